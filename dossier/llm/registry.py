@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm.chat import OP8_SQL, op8_chat_formatting
+from dossier.llm.mixing import OP5_SQL, op5_mixing
+from dossier.llm.sharding import op10_sharding
 from dossier.llm.substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_mixing, op8_chat_formatting, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": OP5_SQL, "op8_chat_formatting": OP8_SQL}
