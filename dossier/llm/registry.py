@@ -14,11 +14,12 @@ from dossier.llm.mixing import OP5_SQL, op5_mixing
 from dossier.llm.near_dedup import op4_near_dedup
 from dossier.llm.sharding import op10_sharding
 from dossier.llm.substring_dedup import op1_substring_dedup
+from dossier.llm.suffix_tree_lm import op3_lm_scoring
 from dossier.llm.warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_near_dedup, op5_mixing, op6_embedding_dedup, op7_warc, op8_chat_formatting, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_lm_scoring, op4_near_dedup, op5_mixing, op6_embedding_dedup, op7_warc, op8_chat_formatting, op9_decontamination, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
