@@ -1 +1,16 @@
 """Queries of the driver contract with their SQL."""
+
+from __future__ import annotations
+
+from dossier.queries import ledger, relational
+from dossier.queries.base import Query
+
+_PARTS = (relational, ledger)
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for part in _PARTS for name, f in part.registry.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.registry.sql.items()}
