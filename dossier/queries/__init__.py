@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dossier.queries import ledger, relational
+from dossier.queries import ledger, pages, relational, texts
 from dossier.queries.base import Query
 
-_PARTS = (relational, ledger)
+_PARTS = (relational, ledger, texts, pages)
 
 
 def queries() -> dict[str, Query]:
