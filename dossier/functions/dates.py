@@ -35,13 +35,13 @@ def deadline(c: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.coalesce(local, F.when(plain.rlike(ZONED), plain.try_cast("timestamp")))
 
 
-def eligibility(given: list[Column], now: Column) -> Column:
+def eligibility(given: list[Column], now: Column, zone: str = LOCAL_ZONE) -> Column:
     """struct(status, resolved) of deadlines as texts at an instant.
 
     No deadline that can be read: unknown.  All past: expired, but unknown if another can't be read.  Else eligible if all
     are one instant, and conflict if not.  resolved is the latest.
     """
-    parsed = [deadline(c) for c in given]
+    parsed = [deadline(c, zone) for c in given]
     read = F.filter(F.array(*parsed), lambda x: x.isNotNull())
     said = F.array(*(~(collapsed(c) == "") & c.isNotNull() for c in given))
     bad = F.exists(F.arrays_zip(said.alias("said"), F.array(*(p.isNotNull() for p in parsed)).alias("read")), lambda x: x["said"] & ~x["read"])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dossier.queries import decisions, ledger, pages, relational, texts
+from dossier.queries import decisions, ledger, pages, relational, runs, texts
 from dossier.queries.base import Query
 
-_PARTS = (relational, ledger, texts, pages, decisions)
+_PARTS = (relational, ledger, texts, pages, decisions, runs)
 
 
 def queries() -> dict[str, Query]:

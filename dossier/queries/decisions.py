@@ -35,7 +35,7 @@ def deadline_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.date_format(when, "yyyy-MM-dd"))
         .when(kind == 4, F.date_format(when + F.expr("INTERVAL 30 DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     )
-    found = dates.eligibility([F.date_format(when, "yyyy-MM-dd  HH:mm:ss"), other], F.lit("1996-01-01 00:00:00").cast("timestamp"))
+    found = dates.eligibility([F.date_format(when, "yyyy-MM-dd  HH:mm:ss"), other], F.lit("1996-01-01 00:00:00").cast("timestamp"), "+04:00")
     return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("e")).select("o_orderkey", "e.status", "e.resolved")
 
 
