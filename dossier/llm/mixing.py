@@ -81,6 +81,7 @@ def curriculum(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules:
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         key.alias("order_key"),
         F.floor(key / F.lit((1 << 60) // buckets)).cast("int").alias("bucket"),
+        F.xxhash64(text).alias("tie"),
         *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
     dealt = sized.repartition("source_key", "bucket")
@@ -92,7 +93,7 @@ def curriculum(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules:
     starts = by_bucket.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
     starts = starts.join(targets, "source_key")
 
-    within = W.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id", "size", *[f"carried_{c}" for c in carry]).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_key", "bucket"])
     start = F.col("bucket_start") + F.col("inner_start")
     middles = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda turn: (turn * F.col("source_size") + start) * 2 + F.col("size"))
@@ -114,10 +115,11 @@ def _by_weight(weight: Column, share: Column, schedules: Mapping[int, Schedule])
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, a row for each copy, in training order; the columns of docs."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mix = curriculum(docs, carry=others, **options)
-    copies = mix.select(*docs.columns, F.explode("positions").alias("training_position"))
-    return copies.repartitionByRange("training_position").sortWithinPartitions("training_position").select(*docs.columns)
+    names = docs.columns
+    own = [c if c in ("doc_id", "text", "source") else f"given_{i}" for i, c in enumerate(names)]
+    mix = curriculum(docs.toDF(*own), carry=[c for c in own if c not in ("doc_id", "source")], **options)
+    copies = mix.select(*own, F.explode("positions").alias("training_position"))
+    return copies.repartitionByRange("training_position").sortWithinPartitions("training_position").drop("training_position").toDF(*names)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,9 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def deduplicated_documents(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are near-duplicates of one with a smaller doc_id in their class."""
     dropped = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"given_{i}" for i in range(len(names))])
+    return plain.join(dropped, F.col(f"given_{names.index('doc_id')}") == F.col("doc_id"), "left_anti").toDF(*names)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

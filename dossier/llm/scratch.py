@@ -1,28 +1,5 @@
 """Intermediate tables in the folder that a cluster's executors share."""
 
-from __future__ import annotations
+from dossier.store import fresh_path, shared_dir, stored
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, as in tests, a folder under /tmp/checkpoints."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(set_dir or "/tmp/checkpoints")
-    return set_dir or "/tmp/checkpoints"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: later jobs don't repeat the work, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "shared_dir", "stored"]
