@@ -9,11 +9,13 @@ the band of shifts that the threshold allows, over the union is their similarity
 an edit-sensitive Jaccard coefficient of 0.8 or more.
 
 Texts with the same words are one node.  In each bucket of a band all members are
-aligned with one pivot, not with each other; then the members outside the
-bucket's largest class so far with another one's, and in the end each pair of
-members that are still in different classes: what links the bucket holds is
-decided without all pairs of a large group.  At a similarity of 0.8 the twenty
-bands miss a pair about once in 20,000.
+aligned with one pivot, not with each other.  In buckets that still hold several
+classes the pairs between them are decided as well: listed one by one in small
+buckets, and in large ones in tiles of bounded size, where the numbers of shared
+shingles of all pairs bound their similarity at once and only pairs that can reach
+the threshold are aligned; a tile returns no more links than join its classes.  So
+all links of a bucket count without a row for each pair of a large group.  At a
+similarity of 0.8 the twenty bands miss a pair about once in 20,000.
 """
 
 from __future__ import annotations
@@ -126,24 +128,103 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return m / (len(a) + len(b) - m)
 
 
-def _verify(size: int, threshold: float):
-    def arrays(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for chunk in words.chunks(column):
-            labels, offsets, _ = labelled_shingles(chunk, size)
-            out += [labels[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return out
+def _label_arrays(column: pa.Array, size: int) -> list[np.ndarray]:
+    out = []
+    for chunk in words.chunks(column):
+        labels, offsets, _ = labelled_shingles(chunk, size)
+        out += [labels[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
+
 
+def _verify(size: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(arrays(batch.column("text_a")), arrays(batch.column("text_b")), strict=True)
+            pairs = zip(_label_arrays(batch.column("text_a"), size), _label_arrays(batch.column("text_b"), size), strict=True)
             s = np.array([aligned_similarity(a, b, threshold) for a, b in pairs])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 2, pivot_rounds: int = 3) -> DataFrame:
+SMALL = 32  #: members of a bucket whose open pairs are listed; larger buckets are compared in tiles
+TILE_ROWS, TILE_SHINGLES = 256, 400_000
+RARE = 12  #: documents of a tile up to which the pairs that share a shingle are counted one by one
+
+
+def _shared(labels: list[np.ndarray]) -> np.ndarray:
+    """For each pair of documents the number of labelled shingles that they share."""
+    n = len(labels)
+    doc = np.repeat(np.arange(n), [len(x) for x in labels])
+    _, column, counts = np.unique(np.concatenate(labels), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    often = counts[column] > RARE
+    out = np.zeros(n * n, dtype=np.float32)
+    names = np.unique(column[often])
+    place, at = np.searchsorted(names, column[often]), doc[often]
+    for a in range(0, len(names), 2048):
+        part = (place >= a) & (place < a + 2048)
+        m = np.zeros((n, min(2048, len(names) - a)), dtype=np.float32)
+        m[at[part], place[part] - a] = 1
+        out += (m @ m.T).ravel()
+    column, doc = column[~often], doc[~often]
+    for step in range(1, min(RARE, len(column))):
+        same = np.flatnonzero(column[step:] == column[:-step])
+        out += np.bincount(doc[same] * n + doc[same + step], minlength=n * n).astype(np.float32)
+    out = out.reshape(n, n)
+    return np.maximum(out, out.T)
+
+
+def _tile_links(reps: list[int], classes: list[int], blocks: list[int], labels: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Enough links between documents of different classes (and, if there are two, of different blocks) to join all that are linked."""
+    sizes = np.array([len(x) for x in labels], dtype=np.float64)
+    block, group = np.array(blocks), np.array(classes)
+    good = _shared(labels) >= threshold * (sizes[:, None] + sizes) / (1 + threshold) - 1e-6
+    good &= group[:, None] != group
+    if len(set(blocks)) > 1:
+        good &= block[:, None] != block
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(good, 1)), strict=True):
+        a, b = find(classes[i]), find(classes[j])
+        if a != b and aligned_similarity(labels[i], labels[j], threshold) >= threshold:
+            root[max(a, b)] = min(a, b)
+            links.append((reps[i], reps[j]))
+    return links
+
+
+def _cross(size: int, threshold: float):
+    """Rows of tiles in order -> links between their documents of different classes."""
+
+    def compared(rows: list[tuple]) -> pa.RecordBatch:
+        reps, classes, blocks, texts = zip(*rows, strict=True)
+        links = _tile_links(reps, classes, blocks, _label_arrays(pa.array(texts, pa.string()), size), threshold) if len(set(classes)) > 1 else []
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "rep", "class", "block", "text")]
+            for key, low, high, *row in zip(*columns, strict=True):
+                if (key, low, high) != tile:
+                    if rows:
+                        yield compared(rows)
+                    tile, rows = (key, low, high), []
+                rows.append(tuple(row))
+        if rows:
+            yield compared(rows)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
     """One row a document of (doc_id, text): doc_id, class_id (the smallest doc_id that links lead to), kept (it is that one).
 
     Texts with the same words are copies whatever the white space.  A text without words, or null, is like no other; one
@@ -153,47 +234,47 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_signatures(size, bands, rows), "doc_id long, k1 long, k2 long, n long, bands array<long>"), "signatures")
     copies = signed.where("doc_id IS NOT NULL AND k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    buckets = stored(copies.select("rep", "n", F.explode("bands").alias("key")), "buckets")
-    shared_keys = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    buckets = stored(buckets.join(shared_keys, "key"), "buckets")
-
-    classes = None
-    links = None
-    checked = None
-    for turn in range(pivot_rounds + 1):
-        placed = buckets.withColumn("class", F.col("rep")) if classes is None else buckets.join(classes.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        if turn == 0:
-            pivots = placed.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("pivot"))
-            pairs = placed.join(pivots, "key").where("rep <> pivot.rep")
-        else:
-            by_class = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("members"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn))).alias("pivot"))
-            mixed = by_class.groupBy("key").agg(F.max_by(F.struct("class", "pivot"), F.struct("members", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-            open_members = stored(placed.join(mixed.select("key", F.col("main.class").alias("main"), F.col("main.pivot").alias("pivot")), "key"), "open")
-            if open_members.isEmpty():
-                break
-            if turn < pivot_rounds:
-                pairs = open_members.where("class <> main")
-            else:
-                other = open_members.select("key", F.struct("rep", "n").alias("pivot"), F.col("class").alias("other"))
-                pairs = open_members.select("key", "rep", "n", "class").join(other, "key").where("class < other")
-        within = F.least("n", F.col("pivot.n")) >= threshold * F.greatest("n", F.col("pivot.n"))
-        pairs = pairs.where(within).select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(_with_texts(stored(pairs, "pairs"), docs).mapInArrow(_verify(size, threshold), "a long, b long, similarity double"), "aligned")
-        checked = found if checked is None else checked.union(found)
-        links = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        classes = components(links)
-    rep = copies.select("k1", "k2", "rep").join(classes.toDF("rep", "class"), "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class"))
+    every = stored(copies.select("rep", "n", F.explode("bands").alias("key")), "buckets")
+    shared_keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min_by(F.struct("rep", "n"), "rep").alias("pivot")).where("members > 1")
+    buckets = stored(every.join(shared_keys.hint("merge"), "key"), "buckets")
+    texts = stored(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    alike = lambda n, other: F.least(n, other) >= threshold * F.greatest(n, other)
+
+    members = buckets.where((F.col("rep") != F.col("pivot.rep")) & alike(F.col("n"), F.col("pivot.n")))
+    links = _aligned(members.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct(), texts, size, threshold)
+
+    placed = buckets.join(components(links).toDF("rep", "class").hint("merge"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    mixed = placed.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("key")
+    undecided = stored(placed.join(mixed.hint("merge"), "key"), "undecided")
+    listed = undecided.where((F.col("members") <= SMALL) & (F.col("rep") != F.col("pivot.rep"))).select("key", "rep", "n", "class")
+    other = listed.toDF("key", "other_rep", "other_n", "other_class")
+    pairs = listed.join(other, (listed["key"] == other["key"]) & (F.col("rep") < F.col("other_rep")) & (F.col("class") != F.col("other_class")) & alike(F.col("n"), F.col("other_n")))
+    links = links.union(_aligned(pairs.select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct(), texts, size, threshold))
+    links = links.union(_tiled(undecided.where(F.col("members") > SMALL), texts, size, threshold))
+
+    classes = components(links).toDF("rep", "class")
+    rep = copies.select("k1", "k2", "rep").join(classes, "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class"))
     out = signed.select("doc_id", "k1", "k2").join(rep, ["k1", "k2"], "left")
     class_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class", "doc_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    return pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+def _aligned(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) that alignment confirms."""
+    first, second = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    joined = pairs.join(second.hint("merge"), "b").join(first.hint("merge"), "a")
+    return stored(joined.mapInArrow(_verify(size, threshold), "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b"), "links")
+
+
+def _tiled(members: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links between members of large buckets that are in different classes: blocks of a bucket against each other, whole and in bounded pieces."""
+    blocks = F.greatest(F.ceil(F.col("members") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    dealt = members.select("key", "rep", "class", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    with_text = dealt.join(texts.toDF("rep", "text").hint("merge"), "rep")
+    paired = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = paired.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "class", "block", "text")
+    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stored(tiles.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_cross(size, threshold), "a long, b long"), "links")
 
 
 def deduplicated_documents(docs: DataFrame, **options) -> DataFrame:
