@@ -83,7 +83,7 @@ def cleaned_children(children: Column, code: str, name: str | None = None) -> Co
 def replaced_children(stored: Column, given: Column) -> Column:
     """struct(children, changed): null keeps the stored list, any list replaces it if it differs."""
     next_ = F.coalesce(given, stored)
-    return F.struct(next_.alias("children"), ~next_.eqNullSafe(stored).alias("changed"))
+    return F.struct(next_.alias("children"), (~next_.eqNullSafe(stored)).alias("changed"))
 
 
 def missing_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

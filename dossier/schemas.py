@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+LONG, STRING, TIME, FLAG = T.LongType(), T.StringType(), T.TimestampType(), T.BooleanType()
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+def _fields(kind: T.DataType, names: str) -> dict[str, T.DataType]:
+    return dict.fromkeys(names.split(), kind)
+
+
+def _list(names: str) -> T.ArrayType:
+    return T.ArrayType(_struct(**_fields(STRING, names)))
 
 
 RESOURCE_TYPES = ("armeps_documents_page", "eauction_tender_page", "direct_file", "unknown")
@@ -19,22 +30,21 @@ RESERVATION_STATUSES = ("reserved", "settled", "unresolved", "released")
 
 ANNOUNCEMENT_FIELDS = ("title", "source_section", "source_section_name", "source_page_url", "resource_type", "published_at", "deadline_at", "tender_time_raw")
 ANNOUNCEMENT_REQUIRED = ("resource_url", "source_section", "source_section_name", "source_page_url", "resource_type", "title")
-ANNOUNCEMENTS = _struct("resource_url string, " + ", ".join(f"{c} string" for c in ANNOUNCEMENT_FIELDS) + ", first_seen_at timestamp, last_seen_at timestamp")
+ANNOUNCEMENTS = _struct(resource_url=STRING, **dict.fromkeys(ANNOUNCEMENT_FIELDS, STRING), **_fields(TIME, "first_seen_at last_seen_at"))
 ENRICHMENT = _struct(
-    "resource_url string, enrichment_status string, procedure_code string, contracting_authority string, detail_title string, procurement_type string, procedure_type string, "
-    "description string, estimated_value string, published_at_detail string, deadline_at_detail string, number_of_lots long, document_url string, published_at_match boolean, "
-    "deadline_at_match boolean, cpv_codes array<struct<code:string,name:string>>, documents array<struct<document_id:string,filename:string,language:string>>, enriched_at timestamp"
-)
-DOWNLOADS = _struct("download_id long, resource_url string, source_kind string, source_ref string, source_url string, filename string, size_bytes long, sha256 string, downloaded_at timestamp")
+    **_fields(STRING, "resource_url enrichment_status procedure_code contracting_authority detail_title procurement_type procedure_type description estimated_value"),
+    **_fields(STRING, "published_at_detail deadline_at_detail document_url"),
+    number_of_lots=LONG, **_fields(FLAG, "published_at_match deadline_at_match"), cpv_codes=_list("code name"), documents=_list("document_id filename language"), enriched_at=TIME,
+)
+DOWNLOADS = _struct(download_id=LONG, **_fields(STRING, "resource_url source_kind source_ref source_url filename sha256"), size_bytes=LONG, downloaded_at=TIME)
 EXTRACTIONS = _struct(
-    "download_id long, member_name string, file_type string, status string, text string, char_count long, paragraph_count long, table_count long, sheet_count long, row_count long, "
-    "cell_count long, error string, extracted_at timestamp"
-)
-ATTEMPTS = _struct("resource_url string, status string, error string, attempted_at timestamp")
-RESULTS = _struct("resource_url string, input_hash string, prompt_version string, provider string, model string, relevance string, result_json string, analyzed_at timestamp")
-STATES = _struct("resource_url string, state string, reason_code string, input_hash string, details map<string,string>, updated_at timestamp")
+    download_id=LONG, **_fields(STRING, "member_name file_type status text error"), **_fields(LONG, "char_count paragraph_count table_count sheet_count row_count cell_count"), extracted_at=TIME,
+)
+ATTEMPTS = _struct(**_fields(STRING, "resource_url status error"), attempted_at=TIME)
+RESULTS = _struct(**_fields(STRING, "resource_url input_hash prompt_version provider model relevance result_json"), analyzed_at=TIME)
+STATES = _struct(**_fields(STRING, "resource_url state reason_code input_hash"), details=T.MapType(STRING, STRING), updated_at=TIME)
 LEDGER = _struct(
-    "event_id string, response_id string, analysis_type string, reference string, input_hash string, model string, input_tokens long, cached_tokens long, cache_write_tokens long, "
-    "output_tokens long, cost decimal(38,12), created_at timestamp"
-)
-DELIVERIES = _struct("resource_url string, input_hash string, status string, attempt_count long, sent_at timestamp")
+    **_fields(STRING, "event_id response_id analysis_type reference input_hash model"), **_fields(LONG, "input_tokens cached_tokens cache_write_tokens output_tokens"),
+    cost=T.DecimalType(38, 12), created_at=TIME,
+)
+DELIVERIES = _struct(**_fields(STRING, "resource_url input_hash status"), attempt_count=LONG, sent_at=TIME)
