@@ -265,3 +265,48 @@ def test_pipeline_against_its_stages(spark, documents):
     got = corpus_pipeline.run(spark, SF).collect()
     assert collections.Counter(r.doc_id for r in got) == copies
     assert len(accepted) > 0.95 * documents.count()
+
+
+def test_tiles_against_all_pairs():
+    """Numbers of shared shingles, and links enough to join classes."""
+    rng = random.Random(9)
+    for _ in range(12):
+        base = rng.sample(range(10**6), 60)
+        labels = []
+        for _ in range(rng.randrange(2, 40)):
+            own = [x if rng.random() > 0.08 else rng.randrange(10**6) for x in base[rng.randrange(4) :]]
+            labels.append(np.array(list(dict.fromkeys(own)), dtype=np.uint64))
+        shared = near_dedup._shared(labels)
+        assert all(shared[i, j] == len(set(labels[i].tolist()) & set(labels[j].tolist())) for i in range(len(labels)) for j in range(len(labels)) if i != j)
+        links = near_dedup._tile_links(list(range(len(labels))), list(range(len(labels))), [0] * len(labels), labels, 0.8)
+        true = [(i, j) for i in range(len(labels)) for j in range(i) if near_dedup.aligned_similarity(labels[i], labels[j], 0.8) >= 0.8]
+
+        def classes(pairs):
+            root = list(range(len(labels)))
+            for _ in root:
+                for i, j in pairs:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        assert classes(links) == classes(true) and len(links) < len(labels)
+
+
+def test_large_bucket_of_unlike_copies(spark):
+    """More near copies than a small bucket lists, most of them too far from the pivot."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(90):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randrange(0, 9)):
+            w[k] = f"e{i}_{k}"
+        texts[i + 5] = w
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
+    sets = {i: labelled(w) for i, w in texts.items()}
+    root = {i: i for i in texts}
+    for _ in range(6):
+        for i in texts:
+            for j in texts:
+                if i != j and root[i] != root[j] and similarity(sets[i], sets[j]) >= 0.8 - 1e-12:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert got == root
