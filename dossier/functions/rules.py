@@ -131,3 +131,19 @@ def mismatch(expected: Column, predicted: Column, same_labels: Column) -> Column
         .when(~same_labels, "label_mismatch")
         .otherwise("none")
     )
+
+
+def routing(reason: Column, not_relevant: Column, gate: Column, admission: Column) -> Column:
+    """Where a batch would send an announcement, as far as can be told without a call."""
+    return (
+        F.when(reason == "skip_expired", "skip_expired")
+        .when(reason.isin("needs_triage", "retry_triage"), "pending_triage")
+        .when(not_relevant, "stopped_not_relevant")
+        .when(gate != "deep_candidate", F.concat(F.lit("commercial_gate_skip:"), gate))
+        .otherwise(F.concat(F.lit("deep:"), admission))
+    )
+
+
+def reconciled_state(is_latest: Column, has_state: Column, same_source: Column, unchanged: Column) -> Column:
+    """What a backfill does to an announcement's state: only the latest version of its own source changes it."""
+    return F.when(~is_latest, "not_latest").when(has_state & ~same_source, "other_source").when(has_state & unchanged, "unchanged").otherwise("updated")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,17 +86,26 @@ def digest_name(c: Column, prefix: str = "", chars: int = 16) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(c, 256), 1, chars))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def safe_file_name(c: Column, most: int = 150, default: str = "document") -> Column:
     """A name without folders, controls and characters that file systems refuse; the extension survives cutting."""
-    name = F.element_at(F.split(F.regexp_replace(c, r"\\", "/"), "/"), -1)
+    name = F.regexp_extract(F.regexp_replace(c, r"\\", "/"), "[^/]*$", 0)
     name = F.regexp_replace(name, r"[\u0000-\u001F\u007F]", "")
     name = F.regexp_replace(name, r'[<>:"|?*]', "_")
     name = F.regexp_replace(name, r"^[ .]+|[ .]+$", "")
-    extension = F.regexp_extract(name, r"(\.[^.]{1,10})$", 1)
-    stem = F.substring(name, F.lit(1), F.length(name) - F.length(extension))
-    name = F.when(F.length(name) > most, F.concat(F.substring(stem, F.lit(1), most - F.length(extension)), extension)).otherwise(name)
-    name = F.when(name.rlike(RESERVED_NAMES), F.concat(F.lit("_"), name)).otherwise(name)
-    return F.when(F.coalesce(name, F.lit("")) == "", F.lit(default)).otherwise(name)
+
+    def cut(n: Column) -> Column:
+        extension = F.regexp_extract(n, r"(\.[^.]{1,10})$", 1)
+        return F.when(F.length(n) > most, F.concat(F.substring(n, F.lit(1), most - F.length(extension)), extension)).otherwise(n)
+
+    def allowed(n: Column) -> Column:
+        return F.when(n.rlike(RESERVED_NAMES), F.concat(F.lit("_"), n)).when(n == "", F.lit(default)).otherwise(n)
+
+    return F.coalesce(let(let(name, cut), allowed), F.lit(default))
 
 
 def padded(c: Column, width: int) -> Column:

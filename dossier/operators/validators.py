@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from dossier.functions.text import is_blank, is_snake_case
 
+#: Fixed values of results.
 RELEVANCE = ("relevant", "maybe", "not_relevant")
-TYPES = ("procurement", "service", "unclear", "unrelated")
+TYPES = ("logistics", "procurement", "logistics_and_procurement", "other_service", "unrelated", "unclear")
 CONFIDENCE = ("high", "medium", "low")
-#: Which types go with which relevance.
-ALLOWED = {"relevant": ("procurement", "service"), "maybe": ("procurement", "service", "unclear"), "not_relevant": ("unrelated",)}
+SOURCES = ("announcement", "enrichment", "document")
+BARRIERS = (
+    "manufacturer_authorization", "official_dealer_required", "origin_restriction", "certification", "license", "medical_registration", "local_service_required",
+    "experience_requirement", "financial_requirement", "bid_security", "contract_security", "short_delivery_deadline", "other",
+)
+#: Which types a triage may give with which relevance, and which of them have a category.
+ALLOWED = {"relevant": ("procurement",), "maybe": ("unclear",), "not_relevant": ("other_service", "unrelated")}
+WITH_CATEGORY = ("procurement", "other_service")
 
 
 def errors(checks: dict[str, Column]) -> Column:
@@ -57,7 +64,7 @@ def triage_errors(status: Column, kind: Column, category: Column, confidence: Co
         "type": not_among(kind, TYPES),
         "confidence": not_among(confidence, CONFIDENCE),
         "reason": is_blank(reason),
-        "category": category.isNotNull() & ~is_snake_case(category),
+        "category": F.when(kind.isin(*WITH_CATEGORY), ~is_snake_case(category)).otherwise(category.isNotNull()),
         "pair": ~F.coalesce(fits, F.lit(False)),
         "deep_flag": (status == "not_relevant") & deep,
     })
@@ -75,3 +82,32 @@ def response_kind(refusal: Column, status: Column, text: Column, valid: Column)
         .when(~F.ltrim(text).startswith("{"), "invalid_structured_output")
         .when(~valid, "validation")
     )
+
+
+def barrier_errors(barriers: Column) -> Column:
+    """Of array<struct<type, description, severity, evidence: array>>: bad_type, blank_description, bad_severity, no_evidence."""
+    each = lambda bad: F.exists(F.coalesce(barriers, F.array().cast("array<struct<type:string,description:string,severity:string,evidence:array<string>>>")), bad)
+    return errors({
+        "bad_type": each(lambda b: not_among(b["type"], BARRIERS)),
+        "blank_description": each(lambda b: is_blank(b["description"])),
+        "bad_severity": each(lambda b: not_among(b["severity"], CONFIDENCE)),
+        "no_evidence": each(lambda b: F.coalesce(F.size(b["evidence"]), F.lit(0)) <= 0),
+    })
+
+
+def item_errors(items: Column) -> Column:
+    """Of array<struct<item_name, evidence: array>>: blank_name, no_evidence; an item can't be claimed without a quote."""
+    each = lambda bad: F.exists(F.coalesce(items, F.array().cast("array<struct<item_name:string,evidence:array<string>>>")), bad)
+    return errors({"blank_name": each(lambda x: is_blank(x["item_name"])), "no_evidence": each(lambda x: F.coalesce(F.size(x["evidence"]), F.lit(0)) <= 0)})
+
+
+def deep_errors(summary: Column, why: Column, kind: Column, confidence: Column, has_procurement: Column, has_logistics: Column) -> Column:
+    """Errors of a deep result: blocks must be there exactly for the types that have them."""
+    return errors({
+        "summary": is_blank(summary),
+        "why_interesting": is_blank(why),
+        "type": not_among(kind, TYPES),
+        "confidence": not_among(confidence, CONFIDENCE),
+        "procurement": kind.isin("procurement", "logistics_and_procurement") != has_procurement,
+        "logistics": kind.isin("logistics", "logistics_and_procurement") != has_logistics,
+    })

@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions import dates, rules
+from dossier.functions import dates, money, rules
 from dossier.operators import contexts, evaluation, validators
 from dossier.queries.base import Registry, table
-from dossier.sources import office
+from dossier.sources import files, office
 
 registry = Registry()
 
@@ -208,16 +208,28 @@ def golden_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add("""
-SELECT doc_id, concat_ws(',', CASE WHEN toxic = 1 AND quality = 1 THEN 'pair' END, CASE WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'deep_flag' END) AS errors FROM labels
+SELECT doc_id, concat_ws(',', CASE WHEN toxic = 1 AND quality = 0 THEN 'category' END, CASE WHEN toxic = 1 AND quality = 1 OR toxic = 0 AND quality = 0 THEN 'pair' END, CASE WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'deep_flag' END) AS errors FROM labels
 """)
 def triage_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of triage rows: types that don't go with the relevance, and a flag that must not be set."""
+    """Errors of triage rows: types and categories that don't go together, and a flag that must not be set."""
     status = F.when(F.col("toxic") == 1, "not_relevant").otherwise("relevant")
-    kind = F.when(F.col("quality") == 1, "procurement").when(F.col("toxic") == 1, "unrelated").otherwise("service")
+    kind = F.when(F.col("quality") == 1, "procurement").when(F.col("toxic") == 1, "unrelated").otherwise("other_service")
     found = validators.triage_errors(status, kind, F.lit("office_goods"), F.lit("high"), F.lit("because"), F.col("doc_id") % 2 == 0)
     return table(spark, sf_dir, "labels").select("doc_id", F.array_join(found, ",").alias("errors"))
 
 
+@registry.add("""
+SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderpriority LIKE '5%' THEN 'summary' END, CASE WHEN o_orderstatus = 'P' THEN 'type' END,
+  CASE WHEN (o_orderstatus = 'F') <> (o_orderkey % 3 = 0) THEN 'procurement' END, CASE WHEN (o_orderstatus = 'O') <> (o_orderkey % 5 = 0) THEN 'logistics' END) AS errors FROM orders
+""")
+def deep_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of deep results: blank texts, unknown types, and blocks that don't go with the type."""
+    kind = F.when(F.col("o_orderstatus") == "F", "procurement").when(F.col("o_orderstatus") == "O", "logistics").otherwise("transport")
+    said = F.when(F.col("o_orderpriority").startswith("5"), F.lit(" ")).otherwise(F.col("o_orderpriority"))
+    found = validators.deep_errors(said, F.lit("why"), kind, F.lit("low"), F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 5 == 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, ",").alias("errors"))
+
+
 @registry.add("SELECT event_id, CASE WHEN event_type = 'error' THEN 'missing:k' ELSE 'extra:kk,missing:k' END AS errors FROM events WHERE event_type IN ('error', 'view')")
 def json_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that are missing or too many after a change to the events' properties."""
@@ -247,6 +259,37 @@ UNION ALL SELECT doc_id || '.zip', 'e.zip!/in.docx', 'success', sha256(head), 1
 """)
 def archive_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document written into an archive of office files, some damaged or too deep, and all of it read back."""
-    files = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_filed, "path string, content binary")
-    rows = office.extracted(files)
+    archives = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_filed, "path string, content binary")
+    rows = office.extracted(archives)
     return rows.select("path", "member_name", "status", F.sha2("text", 256).alias("text_hash"), "paragraph_count")
+
+
+@registry.add("""
+WITH t AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'needs_triage' WHEN 'F' THEN 'needs_deep' ELSE 'skip_expired' END AS reason, o_custkey % 3 = 0 AS not_relevant,
+  CASE WHEN o_totalprice < 50000 THEN 'skip_low_value' ELSE 'deep_candidate' END AS gate, o_totalprice::BIGINT AS tokens FROM orders)
+SELECT CASE WHEN reason = 'skip_expired' THEN 'skip_expired' WHEN reason = 'needs_triage' THEN 'pending_triage' WHEN not_relevant THEN 'stopped_not_relevant'
+  WHEN gate <> 'deep_candidate' THEN 'commercial_gate_skip:' || gate WHEN tokens > 140000 THEN 'deep:deferred_input_too_large' ELSE 'deep:admitted' END AS routing,
+  count(*)::BIGINT AS n, sum(CASE WHEN reason = 'needs_triage' THEN ceil(tokens / 2.4::DECIMAL(4,1)) + 300 ELSE 0 END)::BIGINT AS triage_tokens FROM t GROUP BY 1
+""")
+def routing_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a batch would send each announcement, and the tokens that its triage would take, without a paid call."""
+    reason = F.when(F.col("o_orderstatus") == "O", "needs_triage").when(F.col("o_orderstatus") == "F", "needs_deep").otherwise("skip_expired")
+    gate = rules.commercial_gate(F.lit(False), F.col("o_totalprice"), F.lit(50_000), F.lit(1))
+    chars = F.bround("o_totalprice").cast("long")
+    admission = rules.deep_admission(gate, F.lit(True), chars, F.lit(140_000), F.lit(True))
+    routing = rules.routing(reason, F.col("o_custkey") % 3 == 0, gate, admission)
+    tokens = F.when(reason == "needs_triage", money.request_tokens(chars)).otherwise(F.lit(0))
+    return table(spark, sf_dir, "orders").select(routing.alias("routing"), tokens.alias("t")).groupBy("routing").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("triage_tokens"))
+
+
+@registry.add("""
+WITH c AS (SELECT l_partkey AS folder, CASE WHEN l_returnflag = 'A' THEN 'a.docx' ELSE 'b' END AS name, sha256(l_linenumber::VARCHAR) AS h, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
+g AS (SELECT folder, name, h, min(k) AS first_k FROM c GROUP BY ALL), n AS (SELECT *, first_k = min(first_k) OVER (PARTITION BY folder, name) AS own FROM g)
+SELECT folder, name, h AS sha256, CASE WHEN own THEN name WHEN name = 'b' THEN 'b__' || substr(h, 1, 8) ELSE 'a__' || substr(h, 1, 8) || '.docx' END AS landed_name, count(*)::BIGINT AS files, count(*) FILTER (k > first_k)::BIGINT AS copies
+FROM c JOIN n USING (folder, name, h) GROUP BY ALL
+""")
+def landed_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names under which files land: equal contents share one, other contents of a name get digits of their hash."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("folder"), F.when(F.col("l_returnflag") == "A", "a.docx").otherwise("b").alias("name"), F.sha2(F.col("l_linenumber").cast("string"), 256).alias("sha256"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    named = files.landed_names(rows, "folder", "name", "sha256", "k")
+    return named.groupBy("folder", "name", "sha256", "landed_name").agg(F.count(F.lit(1)).alias("files"), F.count_if("is_copy").alias("copies"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import dates, money, rules, segments, text, urls
 from dossier.operators import validators
+from dossier.sources import files
 
 
 def one(spark, column):
@@ -117,6 +118,10 @@ def test_validators(spark):
     found = lambda *v: one(spark, validators.triage_errors(*(F.lit(x) for x in v)))
     assert found("relevant", "procurement", "office_goods", "high", "why", True) == []
     assert found("not_relevant", "procurement", "Bad", "sure", " ", True) == ["confidence", "reason", "category", "pair", "deep_flag"]
+    assert found("maybe", "unclear", "goods", "low", "why", False) == ["category"]
+    barrier = F.expr("array(named_struct('type', 'license', 'description', 'x', 'severity', 'huge', 'evidence', array('q')))")
+    assert one(spark, validators.barrier_errors(barrier)) == ["bad_severity"]
+    assert one(spark, validators.item_errors(F.expr("array(named_struct('item_name', 'x', 'evidence', cast(array() as array<string>)))"))) == ["no_evidence"]
     assert one(spark, validators.key_errors(F.lit('{"b":1,"c":2}'), ["a", "b"])) == ["extra:c", "missing:a"]
     items = F.expr("array(named_struct('source_type', 'document', 'text', ' '))")
     assert one(spark, validators.evidence_errors(items, ["document"])) == ["blank_text"]
@@ -143,3 +148,15 @@ def test_clipped(spark):
     assert clip("One two. Three four five", 12) == "One two."
     assert clip("One two three, four five", 16) == "One two three…"
     assert clip("abcdefghijkl", 5) == "abcd…"
+
+
+def test_landed_files(spark):
+    assert [files.header_name(x) for x in (None, "inline", 'attachment; filename="a b.docx"', "attachment; filename*=UTF-8\'\'%D1%84.zip", 'attachment; filename="=?UTF-8?B?0YQ=?="', 'attachment; filename="\u00d1\u0084"')] == [None, None, "a b.docx", "ф.zip", "ф", "ф"]
+    state = lambda *v: one(spark, files.response_state(*(F.lit(x) for x in v)))
+    assert state(404, "attachment", "text/html", "", 9, 9) == "unknown"
+    assert state(200, "", "application/zip", "", 0, 0) == "direct_file"
+    assert state(200, "", "text/html; charset=utf-8", "", 4, 0) == "html_tender_page"
+    assert state(200, "", "text/html", "", 0, 2) == "html_documents_page"
+    given = spark.createDataFrame([("d", "a.zip", "11111111aa", 1), ("d", "a.zip", "22222222bb", 2), ("d", "a.zip", "22222222cc", 3), ("d", "a.zip", "11111111aa", 4)], "folder string, name string, sha string, k int")
+    got = {r.k: (r.landed_name, r.is_copy) for r in files.landed_names(given, "folder", "name", "sha", "k").collect()}
+    assert got == {1: ("a.zip", False), 2: ("a__22222222bb.zip", False), 3: ("a__22222222cc.zip", False), 4: ("a.zip", True)}
