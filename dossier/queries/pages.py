@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions import text, urls
 from dossier.functions.dates import first_datetime
 from dossier.queries.base import Registry, table
-from dossier.sources import html
+from dossier.sources import html, probes
 
 registry = Registry()
 
@@ -120,3 +120,57 @@ def header_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = lots.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit("<table><tr><th><a>Flag</a></th><th>Number:</th><th> Part</th></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
     cells = html.table_cells(html.nodes(pages, "page_id", tags=("table", "tr", "th", "td")), "page_id")
     return cells.groupBy("page_id", "row_node").pivot("header", ["number", "part", "flag"]).agg(F.first("value")).drop("row_node")
+
+
+@registry.add(f"""
+WITH h AS (SELECT page_id, url, unnest(regexp_extract_all({BODY}, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, CASE WHEN href = '' OR href LIKE '#%' OR regexp_matches(lower(href), '^(javascript|mailto):') THEN 'script'
+    WHEN regexp_matches(lower(href), '[.](pdf|doc|docx|xls|xlsx|zip|rar|7z|xml)($|[&?#])') THEN 'document'
+    WHEN regexp_matches(lower(href || url), 'download|attachment|getfile') THEN 'document_hint' ELSE 'other' END AS kind, count(*)::BIGINT AS n FROM h GROUP BY ALL
+""")
+def link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page by kind."""
+    pages = _pages(spark, sf_dir)
+    found = probes.classified_links(pages, html.nodes(pages, "page_id", tags=("a",)), "page_id", "url")
+    return found.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registry.add("""
+WITH s AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<script.*?</script>'), chr(10)) AS scripts, regexp_replace(html, '(?is)<script.*?</script>', '', 'g') AS rest FROM pages)
+SELECT page_id, len(regexp_extract_all(scripts, 'track'))::INTEGER AS in_scripts_track, len(regexp_extract_all(rest, 'track'))::INTEGER AS outside_track,
+  len(regexp_extract_all(scripts, 'the'))::INTEGER AS in_scripts_the, len(regexp_extract_all(rest, 'the'))::INTEGER AS outside_the FROM s
+""")
+def page_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", *probes.word_counts(F.col("html"), ["track", "the"]))
+
+
+@registry.add("SELECT o_custkey AS page_id, max(o_orderkey % 97)::INTEGER AS last_page, CASE WHEN count(*) FILTER (o_orderkey % 97 = 2) > 0 THEN '/list/2' END AS second_url FROM orders GROUP BY 1")
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pagination of list pages written from the orders of a customer."""
+    link = F.concat(F.lit('<a href="/list/'), (F.col("o_orderkey") % 97).cast("string"), F.lit('">p</a><a href="/other">x</a>'))
+    pages = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.collect_list(link), "").alias("html"))
+    return probes.pagination(html.nodes(pages, "page_id", tags=("a",)), "page_id", r"^/list/(\d+)$")
+
+
+@registry.add("""
+WITH f AS (SELECT p_partkey, p_name FROM part), s AS (SELECT DISTINCT l_partkey, lower(replace(p_name, ' ', '')) AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R')
+SELECT p_partkey, s.k IS NOT NULL AS on_page FROM f LEFT JOIN s ON l_partkey = p_partkey
+""")
+def names_on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names beside the names that returned lots show in capitals and with other spaces."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    shown = parts.join(returned, "p_partkey").select("p_partkey", F.upper(F.regexp_replace("p_name", " ", "\u00a0 ")).alias("p_name"))
+    return probes.matched_names(parts, shown, "p_partkey", "p_name").select("p_partkey", "on_page")
+
+
+@registry.add("""
+SELECT c_custkey AS page_id, 'deadline' AS field, 'Last day ' || c_name AS label FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'value', 'Estimated VALUE' FROM customer UNION ALL SELECT c_custkey, 'value', 'Price (' || c_mktsegment || ')' FROM customer
+""")
+def keyword_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of detail pages written from customers, by the words that they hold."""
+    last = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("<dt>Last  day "), F.col("c_name"), F.lit("</dt>"))).otherwise(F.lit("<dt>Name</dt>"))
+    body = F.concat(F.lit("<dl><dt>Estimated VALUE</dt><dd>price</dd>"), last, F.lit("<dt>Price ("), F.col("c_mktsegment"), F.lit(")</dt></dl>"))
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), body.alias("html"))
+    return probes.keyword_fields(html.nodes(pages, "page_id", tags=("dt", "dd")), "page_id", ("dt",), {"deadline": ("last day", "deadline"), "value": ("value", "price")})
