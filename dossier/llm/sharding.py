@@ -3,7 +3,7 @@
 DataFrame functions only.  Every shard draws a number for the key, and the
 smallest -log(draw) / weight wins; so a new shard takes rows from all others and
 no row moves between old ones.  Slots inside a shard count rows bucket by bucket
-of a second hash, so that no task numbers a whole shard.
+of a hash of the row, so that no task numbers a whole shard.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def shard_rows(docs: DataFrame, *, weights: Sequence[float] = (1.0,) * 40, grown
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
         rendezvous(key, weights).alias("best"),
         F.struct(_score(key, F.lit(n), F.lit(float(grown_weight))).alias("score"), F.lit(n).alias("shard")).alias("new"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(key, F.lit("slot"), F.crc32("text")), F.lit(buckets)).cast("int").alias("bucket"),
     )
     rows = best.select("doc_id", "size", "text_crc32", F.col("best.shard").alias("shard"), F.least("best", "new")["shard"].alias("grown_shard"), "bucket")
     dealt = rows.repartition("shard", "bucket")

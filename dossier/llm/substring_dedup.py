@@ -7,7 +7,7 @@ some window over it also starts in a document with a smaller doc_id.
    sparse count-min sketch.  Only the counters that were hit are sent, two
    bytes each; merging adds them up, saturating at two, and leaves one bit a
    counter: "two or more".
-2. Documents are dealt into groups by a hash of doc_id.  Each group sends the
+2. Documents are dealt into groups by a hash of the row.  Each group sends the
    windows which all rows of the merged sketch call repeated, once each with
    the smallest doc_id that it has for it.  A reducer for each slice of the hash
    space finds out exactly (by 96 bits and the slice) which entries have a
@@ -234,7 +234,7 @@ def substring_dedup(docs: DataFrame, *, size: int = 50, counters_per_window: flo
     groups = 1 + n_bytes // group_bytes
     n_slices = int(1 + n_bytes // 6 // slice_entries // 2)
 
-    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     requests = dealt.groupBy("grp").applyInArrow(_requests(size, n_counters, n_slices, sketch), "slice long, grp long, n long, keys binary")
     answers = requests.groupBy("slice").applyInArrow(_answers, "slice long, grp long, bits binary")
     return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_removal(size, n_counters, n_slices, sketch, with_text), OUTPUT + (", kept_text string" if with_text else ""))
