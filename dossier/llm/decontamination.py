@@ -16,6 +16,7 @@ run of words as long as an item lies whole in some passage.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,8 +188,8 @@ def _split(text: str) -> int:
         head, found, tail = text.rpartition(mark)
         if found and head.split() and tail.split():
             return len(head)
-    n = text.split()
-    return len(" ".join(n[: len(n) - max(1, len(n) // 3)])) if len(n) > 1 else 0
+    starts = [m.start() for m in re.finditer(r"\S+", text)]
+    return starts[len(starts) - max(1, len(starts) // 3)] if len(starts) > 1 else 0
 
 
 def build_indexes(items: list[tuple[int, str | None]], threshold: float) -> list[ItemIndex]:
@@ -196,7 +197,7 @@ def build_indexes(items: list[tuple[int, str | None]], threshold: float) -> list
     classes: dict[int, list[_Item]] = {}
     for item_id, text in items:
         text = text or ""
-        cut = _split(" ".join(text.split(" ")))
+        cut = _split(text)
         ((h, offsets),) = [terms(c) for c in words.chunks(pa.array([text]))] or [(np.zeros(0, np.uint64), np.zeros(2, np.int64))]
         if not len(h):
             continue
