@@ -104,7 +104,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, *, usable: Column, most_documents: int = 4000, dim: int = 16, epochs: int = 6, rate: float = 20.0, clean_loss: float = 0.001, floor: float = 0.5, seed: int = 7) -> LanguageModel | None:
     """A model of the usable rows of (doc_id, text, lang); None if there are none.
 
-    Learns from about most_documents / languages documents of each language, chosen by a hash of doc_id; that and the
+    Learns from about most_documents / languages documents of each language, chosen by a hash of doc_id and text; that and the
     number of subword buckets bound what the driver gets.  A fifth of them calibrates: the temperature minimises the
     log loss, and the rejection score is the lowest clean_loss quantile of the right predictions, floor at most.
     """
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, *, usable: Column, most_documents: int = 4000, dim: int
         return None
     languages = sorted(counts)
     each = max(1, most_documents // len(languages))
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    order = F.xxhash64("doc_id", "text", F.lit(seed))
     limit = F.lit(0)
     for name, n in counts.items():
         limit = F.when(F.col("lang") == name, F.lit(int(min(1.0, each / n) * ((1 << 31) - 1)))).otherwise(limit)
