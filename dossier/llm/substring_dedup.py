@@ -4,8 +4,8 @@ A window is a run of 50 consecutive words of one document.  A word goes when
 some window over it also starts in a document with a smaller doc_id.
 
 1. Every task counts the windows of its documents (once a document) in a
-   sparse count-min sketch.  Only the counters that were hit are sent, two
-   bytes each; merging adds them up, saturating at two, and leaves one bit a
+   sparse count-min sketch.  Only the counters that were hit are sent, about a
+   byte each; merging adds them up, saturating at two, and leaves one bit a
    counter: "two or more".
 2. Documents are dealt into groups by a hash of the row.  Each group sends the
    windows which all rows of the merged sketch call repeated, once each with
@@ -50,44 +50,64 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
 
-def _sketch(size: int, n_counters: int):
+def _sketch(size: int, n_counters: int, flush: int = 2 << 20):
     """Batches of documents -> sparse counters: row, shard, and the steps from counter to counter; a step of 0 says that one counts two or more."""
+    schema = pa.schema([("r", pa.int32()), ("shard", pa.int32()), ("steps", pa.binary())])
+
+    def counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h1, h2, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out: dict[str, list] = {"r": [], "shard": [], "steps": []}
+        for row in range(ROWS):
+            counter = _counters(h1, h2, row, n_counters)
+            order = np.argsort(counter, kind="stable")
+            c, d = counter[order], doc[order]
+            new = np.ones(len(c), dtype=bool)
+            new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+            c = c[new]
+            third = np.zeros(len(c), dtype=bool)  # two are enough
+            third[2:] = c[2:] == c[:-2]
+            c = c[~third]
+            cuts = np.flatnonzero(np.diff(c // _U(SHARD))) + 1
+            for part in np.split(c, cuts):
+                shard = int(part[0]) // SHARD
+                out["r"].append(row)
+                out["shard"].append(shard)
+                out["steps"].append(_packed(np.diff(part.astype(np.int64), prepend=shard * SHARD - 1)))
+        return pa.RecordBatch.from_pydict(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, docs = [], 0, 0
         for batch in batches:
             for chunk in words.chunks(batch.column("text")):
                 h1, h2, at = words.windows(chunk.hashes(), chunk.doc_words, size)
-                if not len(at):
-                    continue
-                doc = chunk.doc_of_word()[at]
-                out: dict[str, list] = {"r": [], "shard": [], "steps": []}
-                for row in range(ROWS):
-                    counter = _counters(h1, h2, row, n_counters)
-                    order = np.argsort(counter, kind="stable")
-                    c, d = counter[order], doc[order]
-                    new = np.ones(len(c), dtype=bool)
-                    new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
-                    c = c[new]
-                    third = np.zeros(len(c), dtype=bool)  # two are enough
-                    third[2:] = c[2:] == c[:-2]
-                    c = c[~third]
-                    shards = c // _U(SHARD)
-                    cuts = np.flatnonzero(np.diff(shards)) + 1
-                    for part in np.split(c, cuts):
-                        shard = int(part[0]) // SHARD
-                        steps = np.diff(part.astype(np.int64), prepend=shard * SHARD - 1)
-                        out["r"].append(row)
-                        out["shard"].append(shard)
-                        out["steps"].append(_packed(steps))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("r", pa.int32()), ("shard", pa.int32()), ("steps", pa.binary())]))
+                if len(at):
+                    parts.append((h1, h2, chunk.doc_of_word()[at] + docs))
+                    n += len(at)
+                docs += len(chunk)
+                if n >= flush:
+                    yield counted(parts)
+                    parts, n = [], 0
+        if parts:
+            yield counted(parts)
 
     return run
 
 
 def _packed(steps: np.ndarray) -> bytes:
-    """The first byte tells whether two or four bytes hold a step."""
-    small = int(steps.max()) < 1 << 16
-    return bytes([small]) + steps.astype(np.uint16 if small else np.uint32).tobytes()
+    """Steps in one, two or four bytes each, whichever is shortest; the first byte tells.  Where it is one, bytes of 255 add up to the next one that is not."""
+    more = steps // 255
+    if int(more.sum()) < len(steps):
+        out = np.full(int(more.sum()) + len(steps), 255, dtype=np.uint8)
+        out[np.cumsum(more + 1) - 1] = steps % 255
+        return b"\x01" + out.tobytes()
+    width = np.uint16 if int(steps.max()) < 1 << 16 else np.uint32
+    return bytes([width().itemsize]) + steps.astype(width).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32}[blob[0]], offset=1)
+    at = np.cumsum(steps, dtype=np.int64)
+    return at[steps != 255] if blob[0] == 1 else at
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +115,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r, shard, blob in zip(*(batch.column(c).to_pylist() for c in ("r", "shard", "steps")), strict=True):
             count = counts.setdefault((r, shard), np.zeros(SHARD, dtype=np.uint8))
-            steps = np.frombuffer(blob, dtype=np.uint16 if blob[0] else np.uint32, offset=1)
-            at = np.cumsum(steps, dtype=np.int64) - 1
-            again = steps == 0
+            at = _unpacked(blob) - 1
+            again = np.zeros(len(at), dtype=bool)
+            again[1:] = at[1:] == at[:-1]
             once = at[~again]
             count[once] = np.minimum(count[once] + 1, 2)
             count[at[again]] = 2

@@ -310,3 +310,13 @@ def test_large_bucket_of_unlike_copies(spark):
                 if i != j and root[i] != root[j] and similarity(sets[i], sets[j]) >= 0.8 - 1e-12:
                     root[i] = root[j] = min(root[i], root[j])
     assert got == root
+
+
+def test_packed_steps():
+    rng = np.random.default_rng(3)
+    for most in (2, 200, 300, 5000, 10**6):
+        steps = rng.integers(0, most, 400)
+        steps[0] += 1
+        blob = substring_dedup._packed(steps)
+        assert substring_dedup._unpacked(blob).tolist() == np.cumsum(steps).tolist()
+        assert blob[0] == {2: 1, 200: 1, 300: 1, 5000: 2, 10**6: 4}[most]
