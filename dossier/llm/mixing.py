@@ -65,12 +65,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def curriculum(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules: Mapping[int, Schedule] = SCHEDULES, most: int = 3, buckets: int = BUCKETS, carry: Sequence[str] = ()) -> DataFrame:
-    """One row a document of (doc_id, text, source), range-sorted by first position: doc_id, source, size, source_size, target, taken, copies, positions, first_position, and the columns named in carry.
+def curriculum(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules: Mapping[int, Schedule] = SCHEDULES, most: int = 3, buckets: int = BUCKETS) -> DataFrame:
+    """One row a document of (doc_id, text, source), range-sorted by first position: doc_id, source, size, source_size, target, taken, copies, positions, first_position.
 
     Null text: size 0.  A null source is a source.  A null doc_id sorts as the empty string.  Rows that repeat a doc_id
     are separate documents; equal rows are interchangeable.  Documents that are not taken have no position and come last.
     """
+    out = _placed(docs, weights, schedules, most, buckets, ())
+    place = F.coalesce("first_position", 1 + F.col("order_key") / F.lit(float(1 << 60)))
+    return out.withColumn("place", place).repartitionByRange("place").sortWithinPartitions("place").drop("place", "order_key")
+
+
+def _placed(docs: DataFrame, weights: Sequence[int], schedules: Mapping[int, Schedule], most: int, buckets: int, carry: Sequence[str]) -> DataFrame:
+    """The rows of curriculum in any order, with order_key and the columns named in carry."""
     text, id_text = F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digest = F.md5(id_text)
     key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
@@ -101,8 +108,8 @@ def curriculum(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules:
     share = lambda middle: middle / (F.col("target") * 2)
     position = lambda middle: _by_weight(F.col("weight"), share(middle), schedules)
     out = placed.withColumn("taken_at", taken).withColumn("copies", F.size("taken_at")).withColumn("positions", F.transform("taken_at", position))
-    out = out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions", F.try_element_at("positions", F.lit(1)).alias("first_position"), *[F.col(f"carried_{c}").alias(c) for c in carry], (F.coalesce(F.try_element_at("positions", F.lit(1)), 1 + F.col("order_key") / F.lit(float(1 << 60)))).alias("place"))
-    return out.repartitionByRange("place").sortWithinPartitions("place").drop("place")
+    first = F.try_element_at("positions", F.lit(1))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions", first.alias("first_position"), "order_key", *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
 def _by_weight(weight: Column, share: Column, schedules: Mapping[int, Schedule]) -> Column:
@@ -113,11 +120,11 @@ def _by_weight(weight: Column, share: Column, schedules: Mapping[int, Schedule])
     return out
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules: Mapping[int, Schedule] = SCHEDULES, most: int = 3, buckets: int = BUCKETS) -> DataFrame:
     """The documents that the mix takes, a row for each copy, in training order; the columns of docs."""
     names = docs.columns
     own = [c if c in ("doc_id", "text", "source") else f"given_{i}" for i, c in enumerate(names)]
-    mix = curriculum(docs.toDF(*own), carry=[c for c in own if c not in ("doc_id", "source")], **options)
+    mix = _placed(docs.toDF(*own), weights, schedules, most, buckets, [c for c in own if c not in ("doc_id", "source")])
     copies = mix.select(*own, F.explode("positions").alias("training_position"))
     return copies.repartitionByRange("training_position").sortWithinPartitions("training_position").drop("training_position").toDF(*names)
 
