@@ -293,3 +293,45 @@ def landed_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("folder"), F.when(F.col("l_returnflag") == "A", "a.docx").otherwise("b").alias("name"), F.sha2(F.col("l_linenumber").cast("string"), 256).alias("sha256"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
     named = files.landed_names(rows, "folder", "name", "sha256", "k")
     return named.groupBy("folder", "name", "sha256", "landed_name").agg(F.count(F.lit(1)).alias("files"), F.count_if("is_copy").alias("copies"))
+
+
+@registry.add("""
+WITH l AS (SELECT l_orderkey, max(l_linenumber) AS last_line FROM lineitem GROUP BY 1)
+SELECT i.l_orderkey, i.l_linenumber, i.l_partkey, CASE WHEN l_linenumber <> last_line THEN 'not_latest' WHEN o_orderstatus <> 'P' AND l_suppkey % 2 <> 0 THEN 'other_source' WHEN o_orderstatus <> 'P' AND l_returnflag = 'A' THEN 'unchanged' ELSE 'updated' END AS state
+FROM lineitem i JOIN l USING (l_orderkey) JOIN orders ON o_orderkey = i.l_orderkey
+""")
+def reconciled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a backfill of each version does to its announcement's state: only the latest version of the same source changes it."""
+    lots = table(spark, sf_dir, "lineitem")
+    last = lots.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last_line"))
+    joined = lots.join(last, "l_orderkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    state = rules.reconciled_state(F.col("l_linenumber") == F.col("last_line"), F.col("o_orderstatus") != "P", F.col("l_suppkey") % 2 == 0, F.col("l_returnflag") == "A")
+    return joined.select("l_orderkey", "l_linenumber", "l_partkey", state.alias("state"))
+
+
+@registry.add("""
+SELECT event_id, CASE WHEN k < 10 THEN 'refusal' WHEN k < 20 THEN 'incomplete' WHEN k < 30 THEN 'failed' WHEN k < 40 THEN 'empty' WHEN k < 50 THEN 'invalid_structured_output' WHEN k < 60 THEN 'validation' END AS kind,
+  CASE WHEN k < 10 THEN 'refused' WHEN k < 20 THEN 'output_cut' WHEN k BETWEEN 40 AND 59 THEN 'invalid_output' END AS escalation
+FROM (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events)
+""")
+def response_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with answers, and which of it goes on to a person."""
+    k = F.from_json("props", "k long")["k"]
+    status = F.when(k.between(10, 19), "incomplete").when(k.between(20, 29), "failed").otherwise("completed")
+    said = F.when(k.between(30, 39), F.lit(" ")).when(k.between(40, 49), F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.col("props"))
+    kind = validators.response_kind(F.when(k < 10, "no"), status, said, ~k.between(50, 59))
+    rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"))
+    return rows.select("event_id", "kind", rules.escalation(F.col("kind")).alias("escalation"))
+
+
+@registry.add("""
+SELECT error, count(*)::BIGINT AS n FROM (
+  SELECT CASE WHEN trim(coalesce(c_mktsegment, '')) = '' THEN 'missing segment' END AS error FROM customer
+  UNION ALL SELECT 'bad hash' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'repeated' FROM (SELECT c_nationkey, c_mktsegment FROM customer GROUP BY ALL HAVING count(*) > 1)) WHERE error IS NOT NULL GROUP BY error
+""")
+def case_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All errors of a set of cases, with customers as cases."""
+    digest = F.sha2(F.col("c_name"), 256)
+    cases = table(spark, sf_dir, "customer").select(F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("case_id"), "c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, F.upper(digest)).otherwise(digest).alias("input_hash"))
+    found = evaluation.case_errors(cases, "case_id", "input_hash", {"segment": F.col("c_mktsegment")})
+    return found.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
