@@ -320,3 +320,11 @@ def test_packed_steps():
         blob = substring_dedup._packed(steps)
         assert substring_dedup._unpacked(blob).tolist() == np.cumsum(steps).tolist()
         assert blob[0] == {2: 1, 200: 1, 300: 1, 5000: 2, 10**6: 4}[most]
+
+
+def test_written_shards(spark, documents, tmp_path):
+    sharding.write_shards(documents, str(tmp_path / "shards"), weights=(1.0,) * 5, files_a_shard=2)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    placed = {r.doc_id: r.shard for r in sharding.shard_rows(documents, weights=(1.0,) * 5).collect()}
+    assert {r.doc_id: r.shard for r in back.select("doc_id", "shard").collect()} == placed
+    assert back.count() == documents.count()
