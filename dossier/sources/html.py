@@ -104,15 +104,24 @@ def links(page_nodes: DataFrame, key: str) -> DataFrame:
 
 
 def list_items(page_nodes: DataFrame, key: str, item: Column, title: Column, time: Column) -> DataFrame:
-    """Entries of list pages: key, item_node, title, href, filename, file_type, raw_time; entries without a titled link are left out."""
-    items = page_nodes.where(item)
-    titled = inside(items, page_nodes.where(title), key).select(key, F.col("outer_node").alias("item_node"), "node", "last")
-    linked = page_nodes.where(F.col("tag") == "a").select(key, F.col("node").alias("a_node"), F.col("attrs")["href"].alias("href"), F.trim("text").alias("title"))
-    first = titled.join(linked, key).where("a_node > node AND a_node <= last").groupBy(key, "item_node").agg(F.min_by(F.struct("title", "href"), "a_node").alias("a"))
-    times = inside(items, page_nodes.where(time), key).groupBy(key, F.col("outer_node").alias("item_node")).agg(F.min_by("text", "node").alias("raw_time"))
+    """Entries of list pages: key, item_node, title, href, filename, file_type, raw_time; entries without a titled link are left out.
+
+    Entries don't nest, so that the entry a node is in is the last one that opened before it; one pass over a page's nodes.
+    """
+    order = W.partitionBy(key).orderBy("node")
+    opened = lambda c: F.last(F.when(c, F.struct("node", "last")), ignorenulls=True).over(order)
+    placed = page_nodes.withColumns({"_item": opened(item), "_title": opened(title), "_is_time": time})
+    placed = placed.where((F.col("node") > F.col("_item.node")) & (F.col("node") <= F.col("_item.last")))
+    linked = (F.col("tag") == "a") & (F.col("node") > F.col("_title.node")) & (F.col("node") <= F.col("_title.last")) & (F.col("_title.node") > F.col("_item.node"))
+    first = lambda c, value: F.min_by(value, F.when(c, F.col("node")))
+    found = placed.groupBy(key, F.col("_item.node").alias("item_node")).agg(
+        first(linked, F.struct(F.trim("text").alias("title"), F.col("attrs")["href"].alias("href"))).alias("a"),
+        first(F.col("_is_time"), F.col("text")).alias("raw_time"),
+        F.max(linked).alias("_linked"),
+    )
     name = F.element_at(F.split(F.coalesce("a.href", F.lit("")), "/"), -1)
     kind = F.when(name.contains("."), F.lower(F.substring_index(name, ".", -1))).otherwise("")
-    return first.join(times, [key, "item_node"], "left").select(key, "item_node", "a.title", "a.href", name.alias("filename"), kind.alias("file_type"), F.coalesce("raw_time", F.lit("")).alias("raw_time"))
+    return found.where("_linked").select(key, "item_node", "a.title", "a.href", name.alias("filename"), kind.alias("file_type"), F.coalesce("raw_time", F.lit("")).alias("raw_time"))
 
 
 def labelled_values(page_nodes: DataFrame, key: str, is_label: Column, is_value: Column, fields: dict[str, str]) -> DataFrame:
@@ -120,10 +129,10 @@ def labelled_values(page_nodes: DataFrame, key: str, is_label: Column, is_value:
     name = F.lit(None).cast("string")
     for said, field in fields.items():
         name = F.when(label(F.col("text")) == said, field).otherwise(name)
-    labels = page_nodes.where(is_label).withColumn("field", name).where("field IS NOT NULL").select(key, "field", F.col("node").alias("label_node"), "parent", F.col("last").alias("label_last"))
-    values = page_nodes.where(is_value).select(key, "parent", F.col("node").alias("value_node"), collapsed(F.col("text")).alias("value"))
-    beside = labels.join(values, [key, "parent"]).where("value_node > label_last").groupBy(key, "field", "label_node").agg(F.min_by("value", "value_node").alias("value"))
-    return beside.where("value <> ''").groupBy(key, "field").agg(F.min_by("value", "label_node").alias("value"))
+    later = W.partitionBy(key, "parent").orderBy("node").rowsBetween(1, W.unboundedFollowing)
+    rows = page_nodes.where(is_label | is_value).withColumns({"field": F.when(is_label, name), "_value": F.when(is_value, collapsed(F.col("text")))})
+    beside = rows.withColumn("value", F.first("_value", ignorenulls=True).over(later)).where("field IS NOT NULL AND value <> ''")
+    return beside.groupBy(key, "field").agg(F.min_by("value", "node").alias("value"))
 
 
 def table_cells(page_nodes: DataFrame, key: str) -> DataFrame:
