@@ -136,14 +136,20 @@ def labelled_values(page_nodes: DataFrame, key: str, is_label: Column, is_value:
 
 
 def table_cells(page_nodes: DataFrame, key: str) -> DataFrame:
-    """Cells of tables by their headers: key, table_node, row_node, header, value."""
-    order = W.partitionBy(key, "table_node").orderBy("node")
-    tables = page_nodes.where("tag = 'table'")
-    heads = inside(tables, page_nodes.where("tag = 'th'"), key).withColumnRenamed("outer_node", "table_node").withColumn("place", F.row_number().over(order)).select(key, "table_node", "place", label(F.col("text")).alias("header"))
-    rows = inside(tables, page_nodes.where("tag = 'tr'"), key).select(key, F.col("outer_node").alias("table_node"), F.col("node").alias("row_node"))
-    cells = page_nodes.where("tag = 'td'").select(key, F.col("parent").alias("row_node"), "node", collapsed(F.col("text")).alias("value"))
-    placed = rows.join(cells, [key, "row_node"]).withColumn("place", F.row_number().over(W.partitionBy(key, "table_node", "row_node").orderBy("node")))
-    return placed.join(heads, [key, "table_node", "place"]).select(key, "table_node", "row_node", "header", "value")
+    """Cells of tables by their headers: key, table_node, row_node, header, value; cells beyond the headers are left out.
+
+    A cell's table is the last one that opened before it and isn't closed; one pass over a page's nodes.
+    """
+    opened = F.last(F.when(F.col("tag") == "table", F.struct("node", "last")), ignorenulls=True).over(W.partitionBy(key).orderBy("node"))
+    rows = page_nodes.withColumn("_table", opened).where(F.col("tag").isin("th", "td") & (F.col("node") <= F.col("_table.last")))
+    rows = rows.select(key, F.col("_table.node").alias("table_node"), F.when(F.col("tag") == "td", F.col("parent")).alias("row_node"), "node", "text")
+    place = F.row_number().over(W.partitionBy(key, "table_node", "row_node").orderBy("node"))
+    rows = rows.withColumn("_place", place)
+    is_head = F.col("row_node").isNull()
+    heads = F.collect_list(F.when(is_head, F.struct("_place", label(F.col("text")).alias("header")))).over(W.partitionBy(key, "table_node"))
+    cells = rows.withColumn("_heads", heads).where(~is_head)
+    header = F.get(F.filter("_heads", lambda h: h["_place"] == F.col("_place")), F.lit(0))["header"]
+    return cells.select(key, "table_node", "row_node", header.alias("header"), collapsed(F.col("text")).alias("value")).where("header IS NOT NULL")
 
 
 def structure(page_nodes: DataFrame, key: str) -> DataFrame:
