@@ -1,29 +1,33 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-The tree's symbols are the words with a relative frequency of least_share or more,
-the end of a text, and one class for all other words; a word of the class has its
-unigram share of the class.  Contexts of up to max_depth symbols are candidates if
-they make up least_share of the training tokens, level by level, so that there are
-at most 1 / least_share on a level whatever the corpus.  A candidate stays if its
-next symbols diverge from those of its suffix by a log-likelihood ratio of at least
-penalty * ln(tokens), and with it its suffixes.  Next-symbol distributions are
-smoothed towards the suffix's (Witten-Bell), down to the unigram distribution, and
-each token is scored in the state of the longest suffix of its history that stayed.
-
-Counts are exact and cover all training texts.  Word counts are too many to send
-to every task: groups of documents ask slices of the hash space for the counts of
-their distinct words and get them back.  What is broadcast is the tree: contexts,
-and next symbols that with their context make up least_entry_share of the tokens or
-more, which are at most max_depth / least_entry_share.
+The tree's symbols are all words of the training texts and the end of a text; its
+contexts are runs of up to max_depth words, the oldest of which may be a text's start.
+A context stays if its next symbols diverge from those of its suffix by a
+log-likelihood ratio of at least penalty * ln(tokens), and with it its suffixes.
+Next-symbol distributions are smoothed towards the suffix's (Witten-Bell), down to
+the unigram distribution, and each token is scored in the state of the longest
+suffix of its history that stayed.
+
+Candidates are the contexts seen least_count times or more.  This is no cut of what
+stays: a symbol that follows a context has at least the chance 1 / (2 * tokens + 1)
+after its suffix, so that k places give a ratio of at most k * ln(2 * tokens + 1),
+which with a penalty of 3 keeps nothing of fewer than 3 places from 5 tokens on.
+
+Counts are exact, cover all training texts, and grow with them; none is sent to
+every task.  Groups of documents ask slices of the hash space for what they need and
+get it back, level by level: for the counts of their distinct words, then for each
+length of contexts, of which the counts of the level before tell the candidates, for
+the counts of their (context, next symbol) pairs, and how many next symbols each
+context has and whether it diverges.  A suffix that another context keeps is found by
+a join.  A context with more than hot places is asked for in parts by next symbol;
+the sums of these parts, at most tokens / hot contexts a level, are all that passes
+the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import numpy as np
 import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +35,24 @@ from dossier.llm import words
 from dossier.llm.language_id import remainder
 from dossier.llm.scratch import stored
 
-END = np.uint64(0x5851F42D4C957F2D)  #: stands for the end of a text among word hashes
 _U = np.uint64
+END = _U(0x5851F42D4C957F2D)  #: stands for the end of a text among word hashes
+START = _U(0x14057B7EF767814F)  #: stands for the start of a text in contexts
+_ODD = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93))
+HOT = np.dtype([("c", "<u8"), ("suffix", "<u8"), ("n", "<f8"), ("kinds", "<f8"), ("gain", "<f8")])
+
+ASKED = "grp long, slice long, docs binary, n long, keys binary, sizes binary, gains binary, suffixes binary, entries binary, counts binary, hot binary"
+ANSWERED = "grp long, slice long, counts binary, contexts binary, asks binary, up binary, hot binary, n_words long, n_tokens long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def _table(rows: list[dict], ddl: str) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_schema(ddl))
 
 
 def sequences(column) -> tuple[np.ndarray, np.ndarray]:
@@ -44,266 +64,227 @@ def sequences(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), words.prefix(np.concatenate(counts))
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of values in sorted keys, -1 for others."""
-    if not len(keys):
-        return np.full(len(wanted), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-@dataclass
-class Level:
-    """The contexts of one length.  A context is the one of its text without the last symbol, and the last symbol."""
-
-    keys: np.ndarray  #: sorted; the shorter context's number times the number of symbols, plus the last symbol
-    suffix: np.ndarray  #: number of the context without the first symbol, a level below
-    count: np.ndarray
-    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  #: sorted; context times symbols plus next symbol
-    entry_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    prior: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: weight of the suffix's distribution
-
-
-class SuffixTree:
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, n_texts: int) -> None:
-        """frequent: sorted hashes with their counts; the end is a symbol whatever its count."""
-        keep = frequent != END
-        self.hashes, self.counts = frequent[keep], counts[keep]
-        self.n, self.v, self.n_texts = n, v, n_texts
-        self.end, self.rare, self.start = len(self.hashes), len(self.hashes) + 1, len(self.hashes) + 2
-        self.symbols = len(self.hashes) + 3
-        share = (np.append(self.counts, n_texts) + 0.1) / self.unit
-        self.root = np.append(share, [max(1e-300, 1 - share.sum()), 1.0])
-        self.seen = np.zeros(1 << 16, dtype=bool)
-        self.seen[(self.hashes >> _U(48)).astype(np.int64)] = True
-        self.levels: list[Level] = []
-
-    @property
-    def unit(self) -> float:
-        return self.n + 0.1 * (self.v + 1)
-
-    def symbols_of(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.rare, dtype=np.int64)
-        maybe = np.flatnonzero(self.seen[(h >> _U(48)).astype(np.int64)])
-        at = _find(self.hashes, h[maybe])
-        out[maybe[at >= 0]] = at[at >= 0]
-        out[h == END] = self.end
-        return out
+def _slice_starts(n: int) -> np.ndarray:
+    return (np.arange(n, dtype=object) * (1 << 64) // n).astype(np.uint64)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as hold them all, after a byte that says how many."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def _joined(parts: list, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
 
-    def contexts(self, x: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """For each level and place the number of the context before it, or -1."""
-        first = np.zeros(len(x), dtype=bool)
-        first[offsets[:-1]] = True
-        before = np.empty_like(x)
-        before[1:] = x[:-1]
-        before[first] = self.start
-        out = []
-        for depth, level in enumerate(self.levels):
-            if not depth:
-                key = before
-            else:
-                shorter = np.full(len(x), -1, dtype=np.int64)
-                shorter[1:] = out[-1][:-1]
-                shorter[first] = -1
-                key = np.where(shorter >= 0, shorter * self.symbols + before, -1)
-            out.append(_find(level.keys, key))
-        return out
 
-    def first_level(self, least: float) -> Level:
-        names = np.append(np.flatnonzero(self.counts >= least), [self.start]).astype(np.int64)
-        return Level(names, np.zeros(len(names), np.int64), np.append(self.counts[self.counts >= least], [self.n_texts]).astype(np.int64))
-
-    def next_level(self, least: float) -> Level:
-        """The contexts that are an entry of the last level with enough tokens and a frequent word at the end."""
-        last = self.levels[-1]
-        good = (last.entry_counts >= least) & (last.entries % self.symbols < self.end)
-        keys, count = last.entries[good], last.entry_counts[good]
-        parent, symbol = keys // self.symbols, keys % self.symbols
-        if len(self.levels) == 1:
-            suffix = _find(last.keys, symbol)
-        else:
-            suffix = _find(last.keys, last.suffix[parent] * self.symbols + symbol)
-        known = suffix >= 0
-        return Level(keys[known], suffix[known], count[known])
-
-    def chance(self, depth: int, context: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Smoothed probability of the symbols after contexts of a level."""
-        if depth < 0:
-            return self.root[x]
-        level = self.levels[depth]
-        lower = self.chance(depth - 1, level.suffix[context], x)
-        return self._mixed(level, context, x, lower)
-
-    def _mixed(self, level: Level, context: np.ndarray, x: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        at = _find(level.entries, context * self.symbols + x)
-        own = np.where(at >= 0, level.entry_counts[at] if len(level.entries) else 0, 0)
-        total = own + level.prior[context] * lower
-        return total / (level.total[context] + level.prior[context])
-
-    def close_level(self, level: Level, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, penalty: float) -> None:
-        """Adds the counted next symbols to the last level and tests its contexts' divergence from their suffixes."""
-        order = np.argsort(context * self.symbols + symbol)
-        context, symbol, n = context[order], symbol[order], n[order]
-        level.entries, level.entry_counts = context * self.symbols + symbol, n
-        size = len(level.keys)
-        level.total = np.bincount(context, weights=n, minlength=size)
-        left = np.maximum(0, level.count - level.total)
-        level.prior = np.bincount(context, minlength=size) + left + 1.0
-        depth = len(self.levels) - 1
-        lower = self.chance(depth - 1, level.suffix[context], symbol)
-        seen = np.maximum(level.count, 1)
-        ratio = np.bincount(context, weights=n * np.log(n / seen[context] / lower), minlength=size)
-        rest = np.maximum(1e-12, 1 - np.bincount(context, weights=lower, minlength=size))
-        ratio += np.where(left > 0, left * np.log(np.maximum(left, 1) / seen / rest), 0)
-        level.kept = ratio >= penalty * np.log(max(2, self.n))
-
-    def prune(self) -> None:
-        """Suffixes of contexts that stay, stay."""
-        for depth in range(len(self.levels) - 1, 0, -1):
-            level = self.levels[depth]
-            self.levels[depth - 1].kept[level.suffix[level.kept]] = True
-
-    def log10(self, h: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its log10 probability in the tree and in the base."""
-        base = np.log10((counts + 0.1) / self.unit)
-        if not self.n:
-            return base, base
-        x = self.symbols_of(h)
-        p = self.root[x]
-        for level, context in zip(self.levels, self.contexts(x, offsets), strict=True):
-            at = np.flatnonzero(context >= 0)
-            at = at[level.kept[context[at]]]
-            p[at] = self._mixed(level, context[at], x[at], p[at])
-        out = np.log10(p)
-        rare = x == self.rare
-        out[rare] += base[rare] - np.log10(self.root[self.rare])
-        return out, base
-
-
-def _requests(n_slices: int):
+def _packed(docs: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def _word_requests(n_slices: int):
+    """A group's texts, packed, as slice -1, and its distinct words with their counts in its training texts by slice."""
+
     def run(docs: pa.Table) -> pa.Table:
         h, offsets = sequences(docs.column("text"))
         train = np.repeat(docs.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
         keys, inverse = np.unique(h, return_inverse=True)
-        counts = np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
+        counts = np.bincount(inverse[train], minlength=len(keys))
         group = docs.column("grp")[0].as_py()
         cuts = np.searchsorted(keys, _slice_starts(n_slices))
-        out: dict[str, list] = {"slice": [], "grp": [], "n": [], "keys": []}
+        out = [{"grp": group, "slice": -1, "docs": _packed(docs.select(["doc_id", "text", "train"]))}]
         for s, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
             if b > a:
-                out["slice"].append(s)
-                out["grp"].append(group)
-                out["n"].append(int(b - a))
-                out["keys"].append(keys[a:b].tobytes() + counts[a:b].tobytes())
-        return pa.table(out, schema=pa.schema([("slice", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())]))
+                out.append({"grp": group, "slice": s, "n": int(b - a), "keys": keys[a:b].tobytes(), "counts": _narrow(counts[a:b])})
+        return _table(out, ASKED)
 
     return run
 
 
-def _slice_starts(n: int) -> np.ndarray:
-    return (np.arange(n, dtype=object) * (1 << 64) // n).astype(np.uint64)
+def _word_answers(table: pa.Table) -> pa.Table:
+    """Total counts for each group's words; with a slice's first answer its number of words and its tokens."""
+    keys = _joined([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()], np.uint64)
+    word, inverse = np.unique(keys, return_inverse=True)
+    total = np.bincount(inverse, weights=_joined([_wide(b) for b in table.column("counts").to_pylist()], np.int64)).astype(np.int64)
+    out, at = [], 0
+    for group, s, n in zip(*(table.column(c).to_pylist() for c in ("grp", "slice", "n")), strict=True):
+        out.append({"grp": group, "slice": s, "counts": _narrow(total[inverse[at : at + n]])})
+        at += n
+    out[0] |= {"n_words": int((total > 0).sum()), "n_tokens": int(total.sum())}
+    return _table(out, ANSWERED)
+
+
+class _Asked:
+    """The distinct (context, next symbol) pairs of a group's places, in the order of their slices."""
+
+    def __init__(self, c: np.ndarray, x: np.ndarray, n: np.ndarray, hot: int) -> None:
+        """Contexts, next symbols and counts of the contexts at places."""
+        entries, first, inverse = np.unique(words.mix(c * _ODD[1] + x), return_index=True, return_inverse=True)
+        parts = (1 + n[first] // hot).astype(np.uint64)
+        shard = np.where(parts > 1, words.mix(c[first] + (1 + x[first] % parts) * _ODD[2]), c[first])
+        order = np.argsort(shard, kind="stable")
+        self.entries, self.first = entries[order], first[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.entry_at = place[inverse]  #: of each place
+        shard = shard[order]
+        self.starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+        self.shards, self.of = shard[self.starts], self.first[self.starts]  #: of each context or part: its hash, and a place of it
+        self.sizes = np.diff(np.append(self.starts, len(shard)))
+        self.context_at = np.repeat(np.arange(len(self.starts)), self.sizes)[self.entry_at]
+        self.split = np.flatnonzero(parts[order][self.starts] > 1)
+
+    def rows(self, group: int, c: np.ndarray, suffix: np.ndarray, p: np.ndarray, train: np.ndarray, n_slices: int) -> list[dict]:
+        """Requests; suffixes, chances after these and whether they are trained on are those of the places."""
+        counts = np.bincount(self.entry_at[train], minlength=len(self.entries))
+        gains = np.add.reduceat(counts * np.log(p[self.first]), self.starts) if len(self.starts) else np.zeros(0)
+        cuts = [*np.searchsorted(self.shards, _slice_starts(n_slices)), len(self.shards)]
+        edges = np.append(self.starts, len(self.entries))
+        hot = np.zeros(len(self.split), np.dtype([("at", "<i8"), ("c", "<u8")]))
+        hot["at"], hot["c"] = self.split, c[self.of[self.split]]
+        out = []
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                part, mine = slice(edges[a], edges[b]), hot[(hot["at"] >= a) & (hot["at"] < b)].copy()
+                mine["at"] -= a
+                out.append({
+                    "grp": group, "slice": s, "n": int(b - a), "keys": self.shards[a:b].tobytes(), "sizes": _narrow(self.sizes[a:b]), "gains": gains[a:b].tobytes(),
+                    "suffixes": suffix[self.of[a:b]].tobytes(), "entries": self.entries[part].tobytes(), "counts": _narrow(counts[part]), "hot": mine.tobytes(),
+                })
+        return out
+
 
+def _pair_answers(least_ratio: float):
+    """For each group's pairs their counts, and of their contexts whether they diverge and the number of next symbols.
 
-def _answers(least_share: float):
-    """Total counts for each group's keys; with a slice's first answer its number of words, its tokens, and the words with least_share of these or more."""
+    Asks are a group's contexts that don't diverge, with their suffixes; up, with a slice's first answer, the suffixes of those that do.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        sizes, blobs = table.column("n").to_pylist(), table.column("keys").to_pylist()
-        keys = np.concatenate([np.frombuffer(b, np.uint64, n) for n, b in zip(sizes, blobs, strict=True)])
-        local = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n) for n, b in zip(sizes, blobs, strict=True)])
-        word, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, weights=local).astype(np.int64)
-        big = total >= max(1, least_share * total.sum())
-        out, at = [], 0
-        width = np.uint32 if total.max() < 1 << 32 else np.uint64
-        for n in sizes:
-            out.append(bytes([width().itemsize]) + total[inverse[at : at + n]].astype(width).tobytes())
-            at += n
-        first = lambda x: [x, *[None] * (len(sizes) - 1)]
-        return pa.table({
-            "slice": table.column("slice"), "grp": table.column("grp"), "counts": pa.array(out, pa.binary()),
-            "n_words": pa.array(first(int((total > 0).sum())), pa.int64()), "n_tokens": pa.array(first(int(total.sum())), pa.int64()),
-            "frequent": pa.array(first(word[big].tobytes() + total[big].tobytes()), pa.binary()),
-        })
+        table = table.sort_by("grp")  # sums in the same order in each run
+        read = lambda name, kind: _joined([np.frombuffer(b, kind) for b in table.column(name).to_pylist()], kind)
+        wide = lambda name: _joined([_wide(b) for b in table.column(name).to_pylist()], np.int64)
+        keys, first, context = np.unique(read("keys", np.uint64), return_index=True, return_inverse=True)
+        entries, inverse = np.unique(read("entries", np.uint64), return_inverse=True)
+        sizes, suffixes = wide("sizes"), read("suffixes", np.uint64)
+        total = np.bincount(inverse, weights=wide("counts"), minlength=len(entries))
+        owner = np.empty(len(entries), np.int64)
+        owner[inverse] = np.repeat(context, sizes)
+        n = np.bincount(owner, weights=total, minlength=len(keys))
+        kinds = np.bincount(owner[total > 0], minlength=len(keys))
+        gain = np.bincount(owner, weights=total * np.log(np.maximum(total, 1)), minlength=len(keys))
+        gain -= np.bincount(context, weights=read("gains", np.float64), minlength=len(keys))
+        stays = gain - n * np.log(np.maximum(n, 1)) >= least_ratio
+        split = np.zeros(len(keys), np.uint64)
+        groups, slices, ns = (table.column(c).to_pylist() for c in ("grp", "slice", "n"))
+        names, at = read("keys", np.uint64).copy(), 0
+        for blob, k in zip(table.column("hot").to_pylist(), ns, strict=True):
+            mine = np.frombuffer(blob, np.dtype([("at", "<i8"), ("c", "<u8")]))
+            split[context[at + mine["at"]]] = names[at + mine["at"]] = mine["c"]
+            at += k
+        parted = np.flatnonzero(split)
+        stays[parted] = False
+        hot = np.zeros(len(parted), HOT)
+        hot["c"], hot["suffix"], hot["n"], hot["kinds"], hot["gain"] = split[parted], suffixes[first[parted]], n[parted], kinds[parted], gain[parted]
+        out, at, entry = [], 0, 0
+        for group, s, k in zip(groups, slices, ns, strict=True):
+            mine, m = context[at : at + k], int(sizes[at : at + k].sum())
+            not_yet = np.flatnonzero(~stays[mine])
+            out.append({
+                "grp": group, "slice": s, "counts": _narrow(total[inverse[entry : entry + m]].astype(np.int64)), "contexts": _narrow(kinds[mine] * 2 + stays[mine]),
+                "asks": np.stack([names[at + not_yet], suffixes[at + not_yet]], axis=1).tobytes(),
+            })
+            at, entry = at + k, entry + m
+        out[0] |= {"up": np.unique(suffixes[first[stays]]).tobytes(), "hot": hot.tobytes()}
+        return _table(out, ANSWERED)
 
     return run
 
 
-def _frequent(least_count: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _longs(names: tuple[str, ...], column: str, carried: str | None = None):
+    """Rows of the longs in a binary column, with a column that is carried along."""
+
+    def run(batches):
         for batch in batches:
-            for blob in batch.column("frequent").to_pylist():
-                n = len(blob) // 16
-                word, count = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int64, n, 8 * n)
-                big = count >= least_count
-                yield pa.RecordBatch.from_arrays([pa.array(word[big]), pa.array(count[big])], names=["word", "n"])
+            blobs = batch.column(column).to_pylist()
+            found = [np.frombuffer(b, np.int64).reshape(-1, len(names)) for b in blobs]
+            every = np.concatenate([np.zeros((0, len(names)), np.int64), *found])
+            columns = [pa.array(np.ascontiguousarray(every[:, i])) for i in range(len(names))]
+            if carried:
+                columns.append(batch.column(carried).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *([carried] if carried else [])])
 
     return run
 
 
-def _next_symbols(tree):
-    """Counts of (context of the last level, next symbol) in a task's training texts."""
+class _Model:
+    """What all groups know: tokens, words, training texts, and the contexts with more places than hot."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: SuffixTree = tree.value
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-        n = 0
+    def __init__(self, n: int, v: int, n_texts: int, max_depth: int, least_count: int, hot: int) -> None:
+        self.n, self.unit, self.n_texts = n, n + 0.1 * (v + 1), n_texts
+        self.max_depth, self.least_count, self.hot = max_depth, least_count, hot
+        self.split: list[np.ndarray] = []  #: by level: sorted structs of HOT, with gain as the ratio
 
-        def merged() -> None:
-            nonlocal keys, counts, n
-            fresh, times = np.unique(np.concatenate([np.zeros(0, np.int64), *waiting]), return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, times]), minlength=len(both)).astype(np.int64)
-            keys, n = both, 0
-            waiting.clear()
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                h, offsets = sequences(batch.column("text")[a : a + 500])
-                x = t.symbols_of(h)
-                context = t.contexts(x, offsets)[-1]
-                hit = context >= 0
-                waiting.append(context[hit] * t.symbols + x[hit])
-                n += len(waiting[-1])
-                if n > 1 << 20:
-                    merged()
-        merged()
-        for a in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)]), pa.array(counts[a : a + (1 << 16)])], names=["entry", "n"])
+def _group(model, depth: int, n_slices: int):
+    """Requests of a group for pairs with contexts of depth symbols, or past the last depth its scores, from the answers to all before."""
 
-    return run
-
-
-def _scores(tree):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        t: SuffixTree = tree.value
-        n = docs.num_rows
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        t: _Model = model.value
+        group = packed.column("grp")[0].as_py()
+        docs = pa.ipc.open_stream(packed.column("docs")[0].as_py()).read_all()
         h, offsets = sequences(docs.column("text"))
-        blobs = dict(zip(answers.column("slice").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        keys, inverse = np.unique(h, return_inverse=True)
-        parts = [np.frombuffer(blobs[s], {4: np.uint32, 8: np.uint64}[blobs[s][0]], offset=1).astype(np.int64) for s in sorted(blobs)]
-        counts = np.concatenate([np.zeros(0, np.int64), *parts])[inverse]
-        score, base = np.zeros(n), np.zeros(n)
-        step = max(1, n * (1 << 19) // max(1, len(h)))
-        for a in range(0, n, step):  # bounds the arrays of a place each
-            b = min(n, a + step)
-            part = slice(offsets[a], offsets[b])
-            own, plain = t.log10(h[part], offsets[a : b + 1] - offsets[a], counts[part])
-            score[a:b] = np.add.reduceat(own, offsets[a:b] - offsets[a])
-            base[a:b] = np.add.reduceat(plain, offsets[a:b] - offsets[a])
+        is_train = docs.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        train = np.repeat(is_train, np.diff(offsets))
+        said: dict[int, list] = {}
+        for row in answers.sort_by("slice").to_pylist():
+            said.setdefault(row["level"], []).append(row)
+        told = lambda level, name: _joined([_wide(r[name]) for r in said.get(level, []) if r[name] is not None], np.int64)
+        counts = told(0, "counts")[np.unique(h, return_inverse=True)[1]]
+        p = (counts + 0.1) / t.unit
+        base, best = np.log10(p), p.copy()
+        place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
+        c, before, seen = np.zeros(len(h), np.uint64), np.where(place > 0, np.roll(h, 1), START), counts
+        for level in range(1, t.max_depth + 1):
+            seen = np.where(place > 0, np.roll(seen, 1), t.n_texts if level == 1 else 0)
+            suffix, c = c, words.mix(c * _ODD[0] + before + _U(level))
+            before = np.where(place > level, np.roll(before, 1), START)
+            at = np.flatnonzero(seen >= t.least_count)
+            asked = _Asked(c[at], h[at], seen[at], t.hot)
+            if level == depth:
+                return _table(asked.rows(group, c[at], suffix[at], p[at], train[at], n_slices), ASKED)
+            own, of = told(level, "counts")[asked.entry_at], told(level, "contexts")[asked.context_at]
+            kinds, stays = of >> 1, (of & 1).astype(bool)
+            hot = t.split[level - 1]
+            if len(hot):
+                where = np.minimum(np.searchsorted(hot["c"], c[at]), len(hot) - 1)
+                is_hot = hot["c"][where] == c[at]
+                kinds, stays = np.where(is_hot, hot["kinds"][where].astype(np.int64), kinds), np.where(is_hot, hot["gain"][where] >= 0, stays)
+            for row in said.get(level, []):
+                if row["extra"]:
+                    stays |= np.isin(c[at], np.array(row["extra"], np.int64).view(np.uint64))
+            p[at] = (own + (kinds + 1) * p[at]) / (seen[at] + kinds + 1)
+            best[at[stays]] = p[at[stays]]
+            seen = np.zeros(len(h), np.int64)
+            seen[at] = own
         known = words.prefix((counts > 0).astype(np.int64))
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": pa.array(~docs.column("train").to_numpy(zero_copy_only=False).astype(bool)),
+            "doc_id": docs.column("doc_id"), "held_out": pa.array(~is_train),
             "n_tokens": pa.array(np.diff(offsets)), "n_known": pa.array(known[offsets[1:]] - known[offsets[:-1]]),
-            "train_tokens": pa.array(np.full(n, t.n, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+            "train_tokens": pa.array(np.full(len(is_train), t.n, np.int64)), "base_score": pa.array(np.add.reduceat(base, offsets[:-1])), "score": pa.array(np.add.reduceat(np.log10(best), offsets[:-1])),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_share: float = 1e-4, least_entry_share: float = 1e-6, penalty: float = 3.0, group_bytes: int = 6 << 20, slice_entries: int = 400_000) -> DataFrame:
+def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_count: int = 3, penalty: float = 3.0, group_bytes: int = 6 << 20, slice_entries: int = 400_000, hot: int = 1 << 20) -> DataFrame:
     """One row a document of (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train is a condition on docs.
 
     A null text is empty: its end alone.  Rows that share a doc_id are texts of their own, and a null doc_id is the empty
@@ -314,27 +295,44 @@ def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_share: floa
     n_bytes, n_texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     groups, n_slices = 1 + n_bytes // group_bytes, int(1 + n_bytes // 30 // slice_entries)
     dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    requests = dealt.groupBy("grp").applyInArrow(_requests(n_slices), "slice long, grp long, n long, keys binary")
-    answers = stored(requests.groupBy("slice").applyInArrow(_answers(least_share), "slice long, grp long, counts binary, n_words long, n_tokens long, frequent binary"), "counts")
-    n, v = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    found = answers.where("frequent IS NOT NULL").select("frequent").mapInArrow(_frequent(max(2.0, least_share * n)), "word long, n long").toArrow()  # 1 / least_share rows at most
-    hashes, counts = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(hashes)
-    tree = SuffixTree(hashes[order], counts[order], n, v, n_texts)
-    texts = docs.where("train").select("text")
-    least, least_entry = max(2.0, least_share * n), max(1.0, least_entry_share * n)
-    for depth in range(max_depth if n else 0):
-        level = tree.next_level(least) if depth else tree.first_level(least)
-        tree.levels.append(level)
-        shared = spark.sparkContext.broadcast(tree)
-        found = texts.mapInArrow(_next_symbols(shared), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least_entry).toArrow()
-        entry, times = found.column("entry").to_numpy(), found.column("n").to_numpy()
-        tree.close_level(level, entry // tree.symbols, entry % tree.symbols, times, penalty)
-        if not len(level.keys):
-            break
-    tree.prune()
-    shared = spark.sparkContext.broadcast(tree)
-    return dealt.groupBy("grp").cogroup(answers.select("grp", "slice", "counts").groupBy("grp")).applyInArrow(_scores(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    given = stored(dealt.groupBy("grp").applyInArrow(_word_requests(n_slices), ASKED), "groups")
+    packed = given.where("slice = -1").select("grp", "docs")
+    answers = [stored(given.where("slice >= 0").groupBy("slice").applyInArrow(_word_answers, ANSWERED), "counts")]
+    n, v = answers[0].agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    model, least_ratio = _Model(n, v, n_texts, max_depth if n else 0, least_count, hot), penalty * np.log(max(2, n))
+
+    def asked(depth: int, extra: list[DataFrame], slices: int, ddl: str) -> DataFrame:
+        every = None
+        for level, a in enumerate(answers):
+            rows = a.select("grp", F.lit(level).alias("level"), "slice", "counts", "contexts", F.lit(None).cast("array<long>").alias("extra"))
+            every = every.unionByName(rows) if every else rows
+        for e in extra:
+            every = every.unionByName(e, allowMissingColumns=True)
+        return packed.groupBy("grp").cogroup(every.groupBy("grp")).applyInArrow(_group(spark.sparkContext.broadcast(model), depth, slices), ddl)
+
+    ups: list[DataFrame] = []
+    for depth in range(1, model.max_depth + 1):
+        slices = int(1 + n_bytes // 15 // slice_entries)
+        found = stored(asked(depth, [], slices, ASKED).groupBy("slice").applyInArrow(_pair_answers(least_ratio), ANSWERED), "pairs")
+        answers.append(found)
+        parts = _joined([np.frombuffer(r.hot, HOT) for r in found.where("length(hot) > 0").select("hot").collect()], HOT)
+        names, first, inverse = np.unique(parts["c"], return_index=True, return_inverse=True)
+        split = np.zeros(len(names), HOT)
+        split["c"], split["suffix"] = names, parts["suffix"][first]
+        for name in ("n", "kinds", "gain"):
+            split[name] = np.bincount(inverse, weights=parts[name], minlength=len(names))
+        split["gain"] -= split["n"] * np.log(np.maximum(split["n"], 1)) + least_ratio
+        model.split.append(split)
+        up = found.where("up IS NOT NULL").select("up").mapInArrow(_longs(("c",), "up"), "c long")
+        stay = split["suffix"][split["gain"] >= 0].view(np.int64).tolist()
+        ups.append(up.unionByName(spark.createDataFrame([(c,) for c in stay], "c long")) if stay else up)
+    extra: list[DataFrame] = []
+    for depth in range(model.max_depth - 1, 0, -1):
+        asks = answers[depth].select("grp", "asks").mapInArrow(_longs(("c", "suffix"), "asks", "grp"), "c long, suffix long, grp long")
+        more = stored(asks.join(ups[depth].distinct(), "c", "left_semi"), "suffixes")
+        extra.append(more.groupBy("grp").agg(F.collect_set("c").alias("extra")).withColumns({"level": F.lit(depth), "slice": F.lit(-1).cast("long")}))
+        ups[depth - 1] = ups[depth - 1].unionByName(more.select(F.col("suffix").alias("c")))
+    return asked(model.max_depth + 1, extra, 1, SCORED)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
