@@ -28,7 +28,7 @@ class Site:
 
 def announcements(list_pages: DataFrame, site: Site) -> DataFrame:
     """(url, section, section_name, html) -> announcements with position, in page order."""
-    nodes = html.nodes(list_pages, "url", tags=("div", "a", "p"))
+    nodes = html.nodes(list_pages, "url", tags=("div", "a", "p"), said=("a", "p"))
     items = html.list_items(nodes, "url", (F.col("tag") == "div") & html.has_class("tender"), (F.col("tag") == "div") & html.has_class("tender_title"), (F.col("tag") == "p") & html.has_class("tender_time"))
     joined = items.join(list_pages.select("url", "section", "section_name"), "url")
     return joined.select(

@@ -96,7 +96,7 @@ SELECT o_custkey AS page_id, 'Order & ' || o_orderpriority AS title, o_orderkey
   CASE WHEN o_orderstatus = 'F' THEN 'docx' ELSE '' END AS file_type, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS published_at FROM orders
 """)
 def list_page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = html.nodes(_listing(spark, sf_dir), "page_id", tags=("div", "a", "p"))
+    nodes = html.nodes(_listing(spark, sf_dir), "page_id", tags=("div", "a", "p"), said=("a", "p"))
     items = html.list_items(nodes, "page_id", (F.col("tag") == "div") & html.has_class("tender"), (F.col("tag") == "div") & html.has_class("tender_title"), (F.col("tag") == "p") & html.has_class("tender_time"))
     return items.select("page_id", "title", "filename", "file_type", first_datetime(F.col("raw_time")).alias("published_at"))
 
@@ -118,7 +118,7 @@ def header_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("<tr><td>"), F.col("l_returnflag"), F.lit("</td><td><i>"), F.col("l_linenumber").cast("string"), F.lit("</i></td><td>"), F.col("l_partkey").cast("string"), F.lit("</td></tr>"))
     lots = table(spark, sf_dir, "lineitem")
     pages = lots.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit("<table><tr><th><a>Flag</a></th><th>Number:</th><th> Part</th></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
-    cells = html.table_cells(html.nodes(pages, "page_id", tags=("table", "tr", "th", "td")), "page_id")
+    cells = html.table_cells(html.nodes(pages, "page_id", tags=("table", "tr", "th", "td"), said=("th", "td")), "page_id")
     return cells.groupBy("page_id", "row_node").pivot("header", ["number", "part", "flag"]).agg(F.first("value")).drop("row_node")
 
 

@@ -19,6 +19,7 @@ from dossier.functions.text import collapsed, label
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style"))
+BATCH_TEXT = 16 << 20  #: characters of text in a batch of nodes
 NODE = "node int, parent int, `last` int, tag string, attrs map<string,string>, text string"
 
 
@@ -60,30 +61,41 @@ class _Nodes(HTMLParser):
         if not (self.open and self.tags[self.open[-1]][1] in HIDDEN):
             self.said.append(data)
 
-    def rows(self, html: str, most_text: int) -> Iterator[tuple]:
+    def rows(self, html: str, most_text: int | None, said: tuple[str, ...]) -> Iterator[tuple]:
         self.feed(html)
         self.close()
         while self.open:
             self._shut()
         for k, (parent, tag, attrs) in enumerate(self.tags):
             a, b = self.spans[k]
-            yield k, parent, self.last[k], tag, list(attrs.items()), "".join(self.said[a:b])[:most_text]
+            yield k, parent, self.last[k], tag, list(attrs.items()), "".join(self.said[a:b])[:most_text] if not said or tag in said else ""
 
 
-def nodes(pages: DataFrame, key: str, html: str = "html", most_text: int = 2000, tags: tuple[str, ...] = ()) -> DataFrame:
-    """key and NODE columns of each element, or of those with some tags; a node's text is cut at most_text.  Null pages have none."""
+def nodes(pages: DataFrame, key: str, html: str = "html", most_text: int | None = None, tags: tuple[str, ...] = (), said: tuple[str, ...] = ()) -> DataFrame:
+    """key and NODE columns of each element, or of those with some tags.  Null pages have none.
+
+    A node's text is whole, or cut at most_text where that is given; with said, only nodes of these tags have a text, others an empty one.
+    """
     schema = pa.schema([("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
+            at, found, size = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)] if found else [pa.array([], f.type) for f in schema]  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *columns], names=[key, *schema.names])  # noqa: B023
+
             for i, page in enumerate(batch.column(html).to_pylist()):
-                for row in _Nodes().rows(page or "", most_text):
+                for row in _Nodes().rows(page or "", most_text, said):
                     if not tags or row[3] in tags:
                         at.append(i)
                         found.append(row)
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)] if found else [pa.array([], f.type) for f in schema]
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *columns], names=[key, *schema.names])
+                        size += len(row[5])
+                        if size > BATCH_TEXT:
+                            yield made()
+                            at, found, size = [], [], 0
+            yield made()
 
     return pages.select(key, html).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, {NODE}")
 

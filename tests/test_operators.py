@@ -109,6 +109,25 @@ def test_html(spark):
     assert rows(nodes.where("k = 3"), "tag", "text", "parent") == [("br", "", 0), ("p", "ab", -1)]
 
 
+def test_long_texts_stay_whole(spark):
+    long = "word " * 1000
+    detail = lambda end: f"<dl><dt>Code</dt><dd>{long}{end}</dd></dl>"
+    pages = spark.createDataFrame([(1, detail("a")), (2, detail("b")), (3, f"<table><tr><th>H</th></tr><tr><td>{long}c</td></tr></table><div><a href='x'>{long}d</a></div>")], "k int, html string")
+    nodes = html.nodes(pages, "k")
+    values = html.labelled_values(nodes, "k", F.col("tag") == "dt", F.col("tag") == "dd", {"code": "code"})
+    assert rows(values, "k", "value") == [(1, f"{long}a"), (2, f"{long}b")]
+    assert rows(html.table_cells(nodes, "k"), "value") == [(f"{long}c",)]
+    some = html.nodes(pages, "k", tags=("div", "a"), said=("a",))
+    assert rows(some, "tag", "text") == [("a", f"{long}d"), ("div", "")]
+
+
+def test_batches_of_nodes(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"<p>{k}<b>{'x' * 50}</b></p>") for k in range(30)], "k int, html string")
+    whole = rows(html.nodes(pages, "k"), "k", "node", "text")
+    monkeypatch.setattr(html, "BATCH_TEXT", 20)
+    assert len(whole) == 60 and rows(html.nodes(pages, "k"), "k", "node", "text") == whole
+
+
 SITE = monitor.Site([("h", "/d/", "eauction_tender_page")], {"code": "procedure_code", "published": "published_at_detail"}, ("procedure_code", "published_at_detail"))
 
 
