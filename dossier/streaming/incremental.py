@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dossier.operators import candidates, upsert
+from dossier.operators import upsert
 from dossier.store import fresh_path, table_or_empty
 
 
@@ -28,32 +28,37 @@ def run_available(stream: DataFrame, checkpoint: str, handle) -> None:
 
 
 def upsert_stream(stream: DataFrame, keys: Sequence[str], compared: Sequence[str], position: str, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The last snapshot (keys, compared, first_seen_at, last_seen_at as positions) and the status of every row (keys, position, status)."""
+    """The last snapshot (keys, compared, first_seen_at, last_seen_at as positions) and the status of every row (keys, position, status).
+
+    Rows are taken by position whatever batch they come in: a key's row with the largest position wins, first_seen_at is its
+    smallest position, last_seen_at the largest of the run, and a row is compared with its key's row before it by position.
+    """
     spark = stream.sparkSession
     base = fresh_path(spark, "incremental")
     kinds = {f.name: f for f in stream.schema.fields}
-    snapshot = StructType([kinds[c] for c in (*keys, *compared)]).add("first_seen_at", kinds[position].dataType).add("last_seen_at", kinds[position].dataType)
+    given = StructType([kinds[c] for c in (*keys, *compared, position)])
+    empty = StructType([kinds[c] for c in (*keys, *compared)]).add("first_seen_at", kinds[position].dataType).add("last_seen_at", kinds[position].dataType)
     versions: list[int] = []
 
     def handle(batch: DataFrame, number: int) -> None:
-        now = table_or_empty(spark, f"{base}/snapshot/{number}", snapshot)
-        statuses = upsert.batch_status(now, batch, keys, compared, position, required)
-        statuses.write.mode("overwrite").parquet(f"{base}/status/batch={number}")
-        good = batch
+        batch.select(*given.names).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        good = spark.read.schema(given).parquet(f"{base}/rows/batch={number}")
         for c in required:
             good = good.where(F.col(c).isNotNull())
-        last = candidates.latest(good.select(*keys, *compared, position), list(keys), [position])
-        stamped = last.select(*keys, *compared).join(last.select(*keys, F.col(position).alias("now")), list(keys))
-        moment = stamped.agg(F.max("now")).first()[0]
-        upserted = upsert.upserted(now, stamped.drop("now"), keys, compared, F.lit(moment), touch_existing=True)
-        upserted.write.mode("overwrite").parquet(f"{base}/snapshot/{number + 1}")
+        now = table_or_empty(spark, f"{base}/snapshot/{number}", empty)
+        rows = now.unionByName(good.select(*keys, *compared, F.col(position).alias("first_seen_at"), F.col(position).alias("last_seen_at")))
+        merged = rows.groupBy(*keys).agg(F.max_by(F.struct(*compared), F.struct("last_seen_at")).alias("_last"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+        merged.select(*keys, *(F.col("_last")[c].alias(c) for c in compared), "first_seen_at", "last_seen_at").write.mode("overwrite").parquet(f"{base}/snapshot/{number + 1}")
         versions.append(number + 1)
 
     run_available(stream, f"{base}/checkpoint", handle)
+    none = spark.createDataFrame([], empty)
     if not versions:
-        empty = spark.createDataFrame([], snapshot)
-        return empty, empty.select(*keys, F.col("first_seen_at").alias(position), F.lit("").alias("status"))
-    return spark.read.schema(snapshot).parquet(f"{base}/snapshot/{versions[-1]}"), spark.read.parquet(f"{base}/status").drop("batch")
+        return none, none.select(*keys, F.col("first_seen_at").alias(position), F.lit("").alias("status"))
+    snapshot = spark.read.schema(empty).parquet(f"{base}/snapshot/{versions[-1]}")
+    moment = snapshot.agg(F.max("last_seen_at").alias("last_seen_at"))
+    rows = spark.read.schema(given).parquet(*(f"{base}/rows/batch={n - 1}" for n in sorted(set(versions))))
+    return snapshot.drop("last_seen_at").crossJoin(moment), upsert.batch_status(none, rows, keys, compared, position, required)
 
 
 def once_only(stream: DataFrame, keys: Sequence[str]) -> DataFrame:

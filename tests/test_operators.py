@@ -214,3 +214,19 @@ def test_incremental(spark, tmp_path):
     assert counts["failed"] == 1 and counts["new"] == 2 and sum(counts.values()) == 6
     once = incremental.once_only(incremental.file_stream(spark, f"{tmp_path}/in/*", schema, files_a_batch=1), ["user_id", "event_type"])
     assert rows(once, "user_id", "event_type") == sorted([("a", "x"), ("b", "y"), ("a", "z"), (None, None)], key=str)
+
+
+def test_incremental_by_position(spark, tmp_path):
+    """40 files whose ids interleave and come from the last to the first give what one batch gives."""
+    kind = "user_id long, event_id long, event_type string"
+    events = [(i % 7, i, "xyz"[i * i % 11 % 3]) for i in range(400)]
+    for k in range(40):
+        spark.createDataFrame([e for e in events if (e[1] + 13) % 40 == 39 - k], kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k:02d}")
+    stream = incremental.file_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], kind).schema)
+    snapshot, statuses = incremental.upsert_stream(stream, ["user_id"], ["event_type"], "event_id")
+    last, expected = {}, []
+    for user, i, said in events:
+        expected.append((i, "new" if user not in last else "existing" if last[user] == said else "updated"))
+        last[user] = said
+    assert {r.user_id: (r.event_type, r.first_seen_at, r.last_seen_at) for r in snapshot.collect()} == {u: (t, u, 399) for u, t in last.items()}
+    assert sorted((r.event_id, r.status) for r in statuses.collect()) == expected
