@@ -116,3 +116,17 @@ def padded(c: Column, width: int) -> Column:
 def changed_fields(pairs: dict[str, tuple[Column, Column]]) -> Column:
     """Names of the fields whose two values differ, nulls being equal."""
     return F.filter(F.array(*(F.when(~a.eqNullSafe(b), F.lit(name)) for name, (a, b) in pairs.items())), lambda x: x.isNotNull())
+
+
+def cpv_codes(lines: Column) -> Column:
+    """Lines of a classification as array of struct(code, name): eight digits, a hyphen and a name, other lines as a name without a code.  Blank lines are left out; none gives null."""
+    said = F.filter(F.transform(lines, collapsed), lambda x: x != "")
+    part = lambda x, i: F.regexp_extract(x, r"^([0-9]{8})\s*-\s*(.*)$", i)
+    code = lambda x: F.nullif(part(x, 1), F.lit(""))
+    found = F.transform(said, lambda x: F.struct(code(x).alias("code"), F.when(code(x).isNull(), x).otherwise(F.nullif(part(x, 2), F.lit(""))).alias("name")))
+    return F.when(F.size(found) > 0, found)
+
+
+def callback_id(data: Column) -> Column:
+    """The delivery that a button's data full:<id> names; null for any other data."""
+    return F.nullif(F.regexp_extract(data, r"^full:([0-9]{1,18})\z", 1), F.lit("")).cast("long")

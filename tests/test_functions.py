@@ -160,3 +160,19 @@ def test_landed_files(spark):
     given = spark.createDataFrame([("d", "a.zip", "11111111aa", 1), ("d", "a.zip", "22222222bb", 2), ("d", "a.zip", "22222222cc", 3), ("d", "a.zip", "11111111aa", 4)], "folder string, name string, sha string, k int")
     got = {r.k: (r.landed_name, r.is_copy) for r in files.landed_names(given, "folder", "name", "sha", "k").collect()}
     assert got == {1: ("a.zip", False), 2: ("a__22222222bb.zip", False), 3: ("a__22222222cc.zip", False), 4: ("a.zip", True)}
+
+
+def test_complete_thought(spark):
+    clip = lambda t, n: one(spark, segments.complete_thought(F.lit(t), n))
+    assert clip("short, and", 10) == "short, and"
+    assert clip("one two three, four; five six", 22) == "one two three, four."
+    assert clip("one two three, four и; five six", 23) == "one two three."
+    assert clip("one, two three four five", 20) is None
+    assert clip("one two three four,five six", 22) is None
+
+
+def test_codes_and_callbacks(spark):
+    lines = F.array(*map(F.lit, (" 44131300 -  a  b ", "4413130-x", " ", "44131300-")))
+    assert [tuple(x) for x in one(spark, text.cpv_codes(lines))] == [("44131300", "a b"), (None, "4413130-x"), ("44131300", None)]
+    assert one(spark, text.cpv_codes(F.array(F.lit(" ")))) is None
+    assert [one(spark, text.callback_id(F.lit(x))) for x in ("full:17", "full:", "full:1234567890123456789", "xfull:1", None)] == [17, None, None, None, None]
