@@ -38,7 +38,7 @@ _TOP = np.iinfo(np.uint64).max
 def labelled_shingles(chunk: words.Chunk, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the shingles with their occurrence numbers, unique in a document; offsets of the documents; plain hashes of all words."""
     h = chunk.hashes()
-    shingle, _, at = words.windows(h, chunk.doc_words, size)
+    shingle, at = words.windows(h, chunk.doc_words, size)
     doc = chunk.doc_of_word()[at]
     order = np.argsort(shingle, kind="stable")
     s, d = shingle[order], doc[order]
@@ -81,12 +81,7 @@ def _signatures(size: int, bands: int, rows: int):
             for chunk in words.chunks(batch.column("text")):
                 labels, offsets, h = labelled_shingles(chunk, size)
                 n_words = np.diff(chunk.doc_words)
-                keys = []
-                for salt in (1, 2):
-                    p, inverse = words.powers(words._BASES[salt - 1], len(h) + 1)
-                    sums = words.prefix(words.mix(h ^ _U(salt)) * p[: len(h)])
-                    a, b = chunk.doc_words[:-1], chunk.doc_words[1:]
-                    keys.append(pa.array(words.mix((sums[b] - sums[a]) * inverse[a] + n_words.astype(np.uint64)).view(np.int64), mask=n_words == 0))
+                keys = [pa.array(words.text_key(h if key == 0 else chunk.hashes(key=key), chunk.doc_words, key).view(np.int64), mask=n_words == 0) for key in (0, 1)]
                 sketches = order_sketches(labels, offsets, bands * rows)
                 band = np.zeros((len(sketches), bands), dtype=np.uint64)
                 for r in range(rows):

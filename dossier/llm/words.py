@@ -1,12 +1,23 @@
 """Vectorised words of Arrow string columns.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D.  Hashing works on the
-column's UTF-8 buffer, a few megabytes at a time, so that no Python object is
-made per word.  Null texts have no words.
+column's UTF-8 buffer, so that no Python object is made per word.  Null texts have
+no words.
+
+A word's hash absorbs eight bytes at a time through a bijection, so that unequal
+words of up to eight bytes never share one; words of more than LONG bytes go through
+BLAKE2b.  Each word has two such hashes with keys of their own, and what decides that
+words, runs of words or texts are equal is built from both: 128 bits.  Runs are hashed
+as a tree of pairs, and whole texts as sums over places, each step scrambled, so that
+no pattern of repeated letters or words cancels out.
+
+Memory: a byte or two a byte of text, and some 8-byte numbers a word; temporary
+arrays are of bounded size, however long a text is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +30,14 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CHUNK_BYTES = 2 << 20
+PIECE = 1 << 22  #: bytes whose words are found at a time
+BLOCK = 1 << 18  #: words that are hashed at a time
+LONG = 64
 
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
+_KEYS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,23 +47,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASES[0]))
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, n of each."""
-    if base not in _tables or len(_tables[base][0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, dtype=np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _tables[base] = (both[0], both[1])
-    p, inverse = _tables[base]
-    return p[:n], inverse[:n]
-
-
 def prefix(values: np.ndarray) -> np.ndarray:
     out = np.empty(len(values) + 1, dtype=values.dtype)
     out[0] = 0
@@ -56,6 +54,30 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """The key-th 64-bit hash of each word of the bytes."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    if not len(starts):
+        return out
+    padded = np.append(data, np.zeros(8, dtype=np.uint8))
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    for a in range(0, len(starts), BLOCK):
+        start, length = starts[a : a + BLOCK], (ends[a : a + BLOCK] - starts[a : a + BLOCK])
+        h = length.astype(np.uint64) * _ODD[1 - key] + _KEYS[key]
+        left = np.flatnonzero(length > 0)
+        for lane in range(LONG // 8):
+            value = eights[start[left] + 8 * lane] & _MASKS[np.minimum(length[left] - 8 * lane, 8)]
+            h[left] = mix((h[left] ^ value) * _ODD[key])
+            left = left[length[left] > 8 * (lane + 1)]
+            if not len(left):
+                break
+        for k in np.flatnonzero(length > LONG):
+            digest = hashlib.blake2b(data[start[k] : start[k] + length[k]].data, digest_size=16).digest()
+            h[k] = int.from_bytes(digest[8 * key : 8 * key + 8], "little")
+        out[a : a + BLOCK] = h
+    return out
+
+
 @dataclass
 class Chunk:
     """Some consecutive documents of a column."""
@@ -73,17 +95,31 @@ class Chunk:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self), dtype=np.int64), np.diff(self.doc_words))
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; with A-Z as a-z if lower."""
-        data = LOWER[self.data] if lower else self.data
-        p, inverse = powers(_BASES[0], len(data) + 1)
-        sums = prefix(BYTE_VALUES[data] * p[: len(data)])
-        length = (self.ends - self.starts).astype(np.uint64)
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + length)
+    def hashes(self, lower: bool = False, key: int = 0) -> np.ndarray:
+        """The first or second hash of each word's bytes; with A-Z as a-z if lower."""
+        return hash_words(LOWER[self.data] if lower else self.data, self.starts, self.ends, key)
 
     def words(self, i: int) -> list[bytes]:
         return self.data[self.doc_bytes[i] : self.doc_bytes[i + 1]].tobytes().split()
 
+    def joined(self, keep: np.ndarray) -> Iterator[memoryview]:
+        """For each document the words to keep, joined by one space."""
+        change = np.zeros(len(self.data) + 2, dtype=np.int8)
+        change[self.starts[keep]] = 1
+        change[self.ends[keep] + 1] -= 1  # with the byte after it, if there is one
+        here = np.cumsum(change[: len(self.data)], dtype=np.int8).astype(bool)
+        outside = self.doc_bytes[1:-1]
+        outside = outside[(outside > 0) & (outside < len(self.data))]
+        first = np.zeros(len(self.data) + 1, dtype=bool)
+        first[self.starts[keep]] = True
+        here[outside] &= first[outside]  # the byte after a document's last word is the next document's
+        kept = self.data[here]
+        kept[SPACE[kept]] = 0x20
+        ends = np.searchsorted(np.flatnonzero(here), self.doc_bytes)
+        view = memoryview(kept)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield view[a : b - 1] if b > a and kept[b - 1] == 0x20 else view[a:b]
+
 
 def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Chunks of about most bytes; a longer document is a chunk of its own."""
@@ -106,25 +142,46 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Itera
 
 def _chunk(first: int, data: np.ndarray, doc_bytes: np.ndarray) -> Chunk:
     n = len(data)
-    space = SPACE[data]
-    before, after = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-    before[1:], after[:-1] = space[:-1], space[1:]
     inner = doc_bytes[1:-1]
-    before[inner[inner < n]] = True
-    after[inner[inner > 0] - 1] = True
-    starts = np.flatnonzero(before & ~space)
-    ends = np.flatnonzero(after & ~space) + 1
+    inner = inner[(inner > 0) & (inner < n)]
+    starts, ends = [], []
+    for a in range(0, n, PIECE):
+        b = min(n, a + PIECE)
+        space = np.ones(b - a + 2, dtype=bool)  # of the piece, the byte before and the byte after it
+        lo, hi = max(0, a - 1), min(n, b + 1)
+        space[lo - a + 1 : hi - a + 1] = SPACE[data[lo:hi]]
+        own = ~space[1:-1]
+        before, after = space[:-2].copy(), space[2:].copy()
+        cut = inner[np.searchsorted(inner, a) : np.searchsorted(inner, b + 1)]
+        before[cut[cut < b] - a] = True
+        after[cut[cut > a] - a - 1] = True
+        starts.append(np.flatnonzero(before & own) + a)
+        ends.append(np.flatnonzero(after & own) + (a + 1))
+    none = np.zeros(0, dtype=np.int64)
+    starts, ends = np.concatenate([none, *starts]), np.concatenate([none, *ends])
     return Chunk(first, data, doc_bytes, starts, ends, np.searchsorted(starts, doc_bytes))
 
 
-def windows(h: np.ndarray, doc_words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each run of size words inside a document, and the index of its first word."""
-    n = len(h)
-    left = np.repeat(doc_words[1:], np.diff(doc_words)) - np.arange(n)
+def windows(h: np.ndarray, doc_words: np.ndarray, size: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of size words inside a document, from their hashes, and the index of its first word."""
+    left = np.repeat(doc_words[1:], np.diff(doc_words)) - np.arange(len(h))
     at = np.flatnonzero(left >= size)
-    both = []
-    for base, salt in zip(_BASES, (0, 0xA0761D6478BD642F), strict=True):
-        p, inverse = powers(base, n + 1)
-        sums = prefix((mix(h ^ _U(salt)) if salt else h) * p[:n])
-        both.append(mix((sums[at + size] - sums[at]) * inverse[at]))
-    return both[0], both[1], at
+    run, length, done, out = h, 1, 0, None  # run: hashes of the runs of length words; out: of the first done words
+    while True:
+        if size & length:
+            tail = run[done:]
+            out = tail if out is None else mix(out[: len(tail)] * _ODD[key] + tail[: len(out)])
+            done += length
+        if done == size:
+            break
+        run = mix(run[:-length] * _ODD[1 - key] + run[length:]) if len(run) > length else run[:0]
+        length *= 2
+    return out[at] if len(at) else np.zeros(0, np.uint64), at
+
+
+def text_key(h: np.ndarray, doc_words: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each document's words in order, from their hashes."""
+    place = np.arange(len(h)) - np.repeat(doc_words[:-1], np.diff(doc_words))
+    sums = prefix(mix(h ^ mix(place.astype(np.uint64) + _KEYS[key])))
+    n_words = np.diff(doc_words).astype(np.uint64)
+    return mix((sums[doc_words[1:]] - sums[doc_words[:-1]]) ^ n_words * _ODD[key])
