@@ -9,7 +9,7 @@ is left bound the rest, and a tile, or the pairs left in it, is given up as soon
 the cosine can't reach the threshold.  What comes near it is decided in double
 precision on the original components.
 
-Equal vectors are one row with a multiplicity.  A pair of tiles returns for each
+Equal vectors are one node with a multiplicity.  A pair of tiles returns for each
 vector the number of links and the smallest member of its connected part, never
 the links themselves, so that a large group of near copies costs comparisons but
 no output.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.components import components
-from dossier.llm.scratch import stored
+from dossier.llm.scratch import dropped, stored
 
 SLACK = 1e-4  #: more than float32 sums can be off by
 
@@ -128,41 +128,44 @@ def _parts(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
             return root
 
 
-def _compare(rotation, dim: int, threshold: float, step: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                same = row["tile_a"] == row["tile_b"]
-                ids, many, unit = [], [], []
-                for s in "a" if same else "ab":
-                    ids.append(np.frombuffer(row[f"ids_{s}"], np.int64))
-                    many.append(np.frombuffer(row[f"many_{s}"], np.int64))
-                    unit.append(np.frombuffer(row[f"units_{s}"], np.float64).reshape(-1, dim))
-                i, j = _tile_links(unit[0], unit[-1], rotation.value, threshold, step, same)
-                if not len(i):
-                    continue
-                if not same:
-                    j = j + len(ids[0])
-                all_ids, all_many = np.concatenate(ids), np.concatenate(many)
-                root = _parts(i, j, all_ids)
-                links = np.bincount(i, weights=all_many[j], minlength=len(all_ids)).astype(np.int64)
-                if not same:
-                    links += np.bincount(j, weights=all_many[i], minlength=len(all_ids)).astype(np.int64)
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (all_ids, links, root)], names=["rep", "links", "root"])
+def _read(blob: bytes, kind: str, dim: int) -> np.ndarray:
+    return np.frombuffer(blob, kind).reshape(-1, dim).astype(np.float64)
+
+
+def _compare(rotation, kind: str, dim: int, threshold: float, step: int):
+    """The one or two tiles of a pair -> for each vector with links their number and the smallest node that it reaches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("tile").to_pylist()
+        ids, many = ([np.frombuffer(r[c], np.int64) for r in rows] for c in ("ids", "many"))
+        unit = [_unit(_read(r["vectors"], kind, dim)) for r in rows]
+        same = len(rows) == 1
+        i, j = _tile_links(unit[0], unit[-1], rotation.value, threshold, step, same)
+        if not same:
+            j = j + len(ids[0])
+        all_ids, all_many = np.concatenate(ids), np.concatenate(many)
+        root = _parts(i, j, all_ids)
+        links = np.bincount(i, weights=all_many[j], minlength=len(all_ids)).astype(np.int64)
+        if not same:
+            links += np.bincount(j, weights=all_many[i], minlength=len(all_ids)).astype(np.int64)
+        hit = np.flatnonzero(links)
+        return pa.table({"node": pa.array(all_ids[hit]), "links": pa.array(links[hit]), "root": pa.array(root[hit])})
 
     return run
 
 
-def embedding_links(vectors: DataFrame, *, threshold: float = 0.9, tile_rows: int = 2048, most_cells: int = 1024, sample_rows: int = 20_000, step: int = 16) -> DataFrame:
+def embedding_links(vectors: DataFrame, *, threshold: float = 0.9, tile_bytes: int = 8 << 20, least_tiles: int = 6, most_cells: int = 4096, sample_rows: int = 20_000, step: int = 16) -> DataFrame:
     """One row a vector of (vec_id, embedding array): vec_id, n_links, component_id, kept.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing.  A shorter vector counts
-    as padded with zeros.  Unequal vectors that share a vec_id count as one node with the links of all.  A vector
-    without vec_id counts as a link of others; its own component_id is null.  The axes come from about sample_rows vectors,
-    and any axes give the same result.
+    as padded with zeros.  Rows that share a vec_id are vectors of their own.  A vector without vec_id counts as a link of
+    others and joins them, but never names a component; its own component_id is null and it is kept.  The axes come from
+    about sample_rows vectors, and any axes give the same result.  Tiles are of about tile_bytes, or smaller where that
+    makes fewer than least_tiles.  Each tile is sent to a task for each tile that it is compared with.
     """
     spark = vectors.sparkSession
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = "<f4" if element == "float" else "<f8"  # what holds the given components as they are
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -171,55 +174,59 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.9, tile_rows: in
     rows = rows.withColumns({"k1": F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.lit(1))), "k2": F.when(F.col("embedding").isNotNull(), F.xxhash64(F.lit(2), "embedding"))})
     size = rows.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)), F.count("embedding")).first()
     dim, n = max(1, size[0]), size[1]
-    distinct = rows.where("embedding IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("many"), F.first("embedding").alias("embedding"))
-    distinct = stored(distinct.withColumn("rep", F.coalesce("first_id", "k1")), "vectors")
+    equal = rows.where("embedding IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("many"), F.first("embedding").alias("embedding"))
+    distinct = stored(equal.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
     chance = int(min(1.0, sample_rows / max(1, n)) * (1 << 20)) + 1
     sample = [r[0] for r in distinct.where(F.pmod(F.xxhash64("k1"), F.lit(1 << 20)) < chance).select("embedding").limit(2 * sample_rows).collect()]
     known = _unit(_matrix(pa.array(sample, pa.list_(pa.float64())), dim)) if sample else np.zeros((0, dim))
     rotation = np.linalg.eigh(known.T @ known)[1][:, ::-1].copy() if sample else np.eye(dim)
+    tile_rows = max(1, min(tile_bytes // (dim * int(kind[2])), max(1024, n // least_tiles)))
     wanted = 1 << max(0, int(np.ceil(np.log2(max(1, n / tile_rows)))))
     cells = spark.sparkContext.broadcast(_Cells(known, rotation, min(most_cells, wanted)))
     shared = spark.sparkContext.broadcast(rotation)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _unit(_matrix(batch.column("embedding"), dim)) if batch.num_rows else np.zeros((0, dim))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("many"), pa.array(cells.value.cell(unit)), pa.array([u.tobytes() for u in unit], pa.binary())], names=["rep", "many", "cell", "unit"])
+            x = _matrix(batch.column("embedding"), dim)
+            cell = cells.value.cell(_unit(x)) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("many"), pa.array(cell), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], names=["node", "many", "cell", "vector"])
 
-    placed = stored(distinct.select("rep", "many", "embedding").mapInArrow(dealt, "rep long, many long, cell long, unit binary"), "placed")
-    counts = {r["cell"]: -(-r["n"] // tile_rows) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # most_cells rows at most
+    placed = stored(distinct.select("node", "many", "embedding").mapInArrow(dealt, "node long, many long, cell long, vector binary"), "placed")
+    counts = {r["cell"]: max(1, round(r["n"] / tile_rows)) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # most_cells rows at most
     if not counts:
         counts = {0: 1}
     per_cell = spark.createDataFrame(sorted(counts.items()), "cell long, tiles long")
-    tiled = placed.join(F.broadcast(per_cell), "cell").withColumn("tile", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.col("tiles")))
-    tiles = stored(tiled.select("cell", "tile", "rep", "many", "unit").groupBy("tile").applyInArrow(_tile(dim, shared), "cell long, tile long, ids binary, many binary, units binary, low binary, high binary"), "tiles")
+    tiled = placed.join(F.broadcast(per_cell), "cell").withColumn("tile", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.col("tiles")))
+    tiles = stored(tiled.select("cell", "tile", "node", "many", "vector").groupBy("tile").applyInArrow(_tile(kind, dim, shared), "cell long, tile long, ids binary, many binary, vectors binary, low binary, high binary"), "tiles")
+    dropped(placed)
     boxes = tiles.select("cell", "low", "high").groupBy("cell").applyInArrow(_boxes(dim), "cell long, low binary, high binary").collect()
     rotated = {r["cell"]: (np.frombuffer(r["low"]), np.frombuffer(r["high"])) for r in boxes}
     near = _near_cells(rotated, threshold)
     cell_pairs = F.broadcast(spark.createDataFrame(near, "cell_a long, cell_b long"))  # most_cells squared rows at most
     names = tiles.select("cell", "tile")
-    tile_pairs = cell_pairs.join(names.toDF("cell_a", "tile_a"), "cell_a").join(names.toDF("cell_b", "tile_b"), "cell_b").where("tile_a <= tile_b").select("tile_a", "tile_b")
-    side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("many").alias(f"many_{s}"), F.col("units").alias(f"units_{s}"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    work = tile_pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").repartition(parts, "tile_a", "tile_b")
-    found = stored(work.mapInArrow(_compare(shared, dim, threshold, step), "rep long, links long, root long"), "found")
-
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = distinct.select("k1", "k2", "rep", "many").join(links, "rep", "left").join(classes.toDF("rep", "component"), "rep", "left")
-    per_rep = per_rep.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("vec_id", "k1", "k2").join(per_rep, ["k1", "k2"], "left")
+    pairs = cell_pairs.join(names.toDF("cell_a", "tile_a"), "cell_a").join(names.toDF("cell_b", "tile_b"), "cell_b").where("tile_a <= tile_b").select("tile_a", "tile_b")
+    sent = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("tile_a", "tile_b")))).join(tiles.select("tile", "ids", "many", "vectors"), "tile")
+    compare = _compare(shared, kind, dim, threshold, step)
+    found = stored(sent.groupBy("tile_a", "tile_b").applyInArrow(compare, "node long, links long, root long"), "found")
+    dropped(tiles)
+
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    per_node = distinct.select("k1", "k2", "node", "many", "first_id").join(links, "node", "left").join(classes, "node", "left")
+    per_node = per_node.select("k1", "k2", "first_id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    least = per_node.groupBy("component").agg(F.min("first_id").alias("component_id"))  # the smallest id that is one
+    out = rows.select("vec_id", "k1", "k2").join(per_node.join(least, "component").select("k1", "k2", "n_links", "component_id"), ["k1", "k2"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _tile(dim: int, rotation):
+def _tile(kind: str, dim: int, rotation):
     def run(table: pa.Table) -> pa.Table:
-        units = b"".join(table.column("unit").to_pylist())
-        x = np.frombuffer(units, np.float64).reshape(-1, dim) @ rotation.value
+        vectors = b"".join(table.column("vector").to_pylist())
+        x = _unit(_read(vectors, kind, dim)) @ rotation.value
         blob = lambda v: pa.array([v], pa.binary())
-        return pa.table({"cell": table.column("cell")[:1], "tile": table.column("tile")[:1], "ids": blob(table.column("rep").to_numpy().tobytes()), "many": blob(table.column("many").to_numpy().tobytes()), "units": blob(units), "low": blob(x.min(axis=0).tobytes()), "high": blob(x.max(axis=0).tobytes())})
+        return pa.table({"cell": table.column("cell")[:1], "tile": table.column("tile")[:1], "ids": blob(table.column("node").to_numpy().tobytes()), "many": blob(table.column("many").to_numpy().tobytes()), "vectors": blob(vectors), "low": blob(x.min(axis=0).tobytes()), "high": blob(x.max(axis=0).tobytes())})
 
     return run
 

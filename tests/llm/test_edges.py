@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,38 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (3, 9), (5, 5), (None, 4), (20, 21), (20, 21)], "a long, b long")
     assert {tuple(r) for r in components.components(links).collect()} == {(i, 1) for i in (1, 2, 3, 7, 8, 9)} | {(20, 20), (21, 20)}
     assert components.components(links.limit(0)).count() == 0
+
+
+def test_embeddings_without_ids(spark):
+    """A vector without an id joins others and never names their component, whatever its hash."""
+    rows = [(10, [1.0, 0.0]), (11, [1.0, 0.001]), *[(None, [1.0, 0.0])] * 5, (None, [0.0, 1.0]), (12, [0.3, 1.0]), (None, [-1.0, 0.0]), (13, [0.0, -1.0])]
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {10: (6, 10, True), 11: (6, 10, False), 12: (1, 12, True), 13: (0, 13, True)}
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None) == [(0, None, True), (1, None, True)] + [(6, None, True)] * 5
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """A path in the order of its nodes: the tables written grow with the logarithm of its length."""
+    written = []
+    store = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or store(df, name))
+    for n in (30, 1000):
+        written.clear()
+        path = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+        assert {tuple(r) for r in components.components(path).collect()} == {(i, 0) for i in range(n)}
+        assert len(written) <= 4 + math.ceil(math.log2(n))
+
+
+def test_words_that_collide_under_sums(spark):
+    """Words, and runs of words, in the Thue-Morse order and its complement are unlike in every operator."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    long_one, long_other = " ".join("ab"[b] for b in bits[:1024]), " ".join("ba"[b] for b in bits[:1024])
+    docs = spark.createDataFrame([(1, " ".join([one] * 60)), (2, " ".join([other] * 60)), (3, long_one), (4, long_other)], "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs.where("doc_id < 3")).collect()}
+    assert removed == {1: 0, 2: 0}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    known = {r.doc_id: r.n_known for r in suffix_tree_lm.score_texts(docs.where("doc_id < 3"), F.col("doc_id") == 1).collect()}
+    assert known == {1: 61, 2: 1}
+    items = spark.createDataFrame([(1, " ".join([one] * 12))], "item_id long, text string")
+    assert [r.doc_id for r in decontamination.contaminated_pairs(docs.where("doc_id < 3"), items).collect()] == [1]
