@@ -8,10 +8,13 @@ Next-symbol distributions are smoothed towards the suffix's (Witten-Bell), down
 the unigram distribution, and each token is scored in the state of the longest
 suffix of its history that stayed.
 
-Candidates are the contexts seen least_count times or more.  This is no cut of what
-stays: a symbol that follows a context has at least the chance 1 / (2 * tokens + 1)
-after its suffix, so that k places give a ratio of at most k * ln(2 * tokens + 1),
-which with a penalty of 3 keeps nothing of fewer than 3 places from 5 tokens on.
+Candidates are the contexts that can matter.  A symbol that follows a context of n
+places m times has at least the chance m / (2 * s + 1) after its suffix of s places,
+so that the ratio is at most n * ln((2 * s + 1) / n); over all n that is at most
+(2 * s + 1) / e.  A context is left out if the first bound, or the greatest value it
+takes for fewer places, and the second one for the contexts that end with it, are both
+below the limit.  Both fall when a context or its suffix gets longer on either side, so
+that nothing longer that holds it can stay: leaving it out changes no score.
 
 Counts are exact, cover all training texts, and grow with them; none is sent to
 every task.  Groups of documents ask slices of the hash space for what they need and
@@ -227,11 +230,18 @@ def _longs(names: tuple[str, ...], column: str, carried: str | None = None):
 class _Model:
     """What all groups know: tokens, words, training texts, and the contexts with more places than hot."""
 
-    def __init__(self, n: int, v: int, n_texts: int, max_depth: int, least_count: int, hot: int) -> None:
+    def __init__(self, n: int, v: int, n_texts: int, max_depth: int, least_count: int, least_ratio: float, hot: int) -> None:
         self.n, self.unit, self.n_texts = n, n + 0.1 * (v + 1), n_texts
-        self.max_depth, self.least_count, self.hot = max_depth, least_count, hot
+        self.max_depth, self.least_count, self.least_ratio, self.hot = max_depth, least_count, least_ratio, hot
         self.split: list[np.ndarray] = []  #: by level: sorted structs of HOT, with gain as the ratio
 
+    def candidates(self, seen: np.ndarray, suffix_seen: np.ndarray) -> np.ndarray:
+        """The places whose contexts, of so many places and with suffixes of so many, can diverge or end one that does."""
+        most = 2.0 * suffix_seen + 1
+        n = np.maximum(1.0, np.minimum(seen, most / np.e))
+        bound = np.maximum(n * np.log(most / n), (2.0 * seen + 1) / np.e)
+        return np.flatnonzero((seen >= self.least_count) & (bound >= self.least_ratio * (1 - 1e-9)))
+
 
 def _group(model, depth: int, n_slices: int):
     """Requests of a group for pairs with contexts of depth symbols, or past the last depth its scores, from the answers to all before."""
@@ -253,10 +263,13 @@ def _group(model, depth: int, n_slices: int):
         place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
         c, before, seen = np.zeros(len(h), np.uint64), np.where(place > 0, np.roll(h, 1), START), counts
         for level in range(1, t.max_depth + 1):
+            suffix_seen = seen if level > 1 else t.n
+            if level > 1:
+                seen = following
             seen = np.where(place > 0, np.roll(seen, 1), t.n_texts if level == 1 else 0)
             suffix, c = c, words.mix(c * _ODD[0] + before + _U(level))
             before = np.where(place > level, np.roll(before, 1), START)
-            at = np.flatnonzero(seen >= t.least_count)
+            at = t.candidates(seen, suffix_seen)
             asked = _Asked(c[at], h[at], seen[at], t.hot)
             if level == depth:
                 return _table(asked.rows(group, c[at], suffix[at], p[at], train[at], n_slices), ASKED)
@@ -272,8 +285,8 @@ def _group(model, depth: int, n_slices: int):
                     stays |= np.isin(c[at], np.array(row["extra"], np.int64).view(np.uint64))
             p[at] = (own + (kinds + 1) * p[at]) / (seen[at] + kinds + 1)
             best[at[stays]] = p[at[stays]]
-            seen = np.zeros(len(h), np.int64)
-            seen[at] = own
+            following = np.zeros(len(h), np.int64)
+            following[at] = own
         known = words.prefix((counts > 0).astype(np.int64))
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": pa.array(~is_train),
@@ -299,7 +312,8 @@ def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_count: int
     packed = given.where("slice = -1").select("grp", "docs")
     answers = [stored(given.where("slice >= 0").groupBy("slice").applyInArrow(_word_answers, ANSWERED), "counts")]
     n, v = answers[0].agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    model, least_ratio = _Model(n, v, n_texts, max_depth if n else 0, least_count, hot), penalty * np.log(max(2, n))
+    least_ratio = penalty * np.log(max(2, n))
+    model = _Model(n, v, n_texts, max_depth if n else 0, least_count, least_ratio, hot)
 
     def asked(depth: int, extra: list[DataFrame], slices: int, ddl: str) -> DataFrame:
         every = None
