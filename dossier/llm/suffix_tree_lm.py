@@ -18,10 +18,11 @@ that nothing longer that holds it can stay: leaving it out changes no score.
 
 Counts are exact, cover all training texts, and grow with them; none is sent to
 every task.  Groups of documents ask slices of the hash space for what they need and
-get it back, level by level: for the counts of their distinct words, then for each
-length of contexts, of which the counts of the level before tell the candidates, for
-the counts of their (context, next symbol) pairs, and how many next symbols each
-context has and whether it diverges.  A suffix that another context keeps is found by
+get it back, level by level: for the counts and numbers of their distinct words, then
+for each length of contexts, of which the counts of the level before tell the
+candidates, for the counts of their (context, next symbol) pairs, and how many next
+symbols each context has and whether it diverges.  Numbers are small for frequent
+words, so that texts and the next symbols of a context take a byte or two a word.  A suffix that another context keeps is found by
 a join.  A context with more than hot places is asked for in parts by next symbol;
 the sums of these parts, at most tokens / hot contexts a level, are all that passes
 the driver.
@@ -36,16 +37,18 @@ from pyspark.sql import functions as F
 
 from dossier.llm import words
 from dossier.llm.language_id import remainder
-from dossier.llm.scratch import stored
+from dossier.llm.scratch import dropped, stored
 
 _U = np.uint64
+SYMBOL_BITS = 44  #: of a word's number
 END = _U(0x5851F42D4C957F2D)  #: stands for the end of a text among word hashes
-START = _U(0x14057B7EF767814F)  #: stands for the start of a text in contexts
+START = _U(0x14057B7EF767814F)  #: stands for the start of a text in contexts; no word's number is as large
 _ODD = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93))
 HOT = np.dtype([("c", "<u8"), ("suffix", "<u8"), ("n", "<f8"), ("kinds", "<f8"), ("gain", "<f8")])
 
 ASKED = "grp long, slice long, docs binary, n long, keys binary, sizes binary, gains binary, suffixes binary, entries binary, counts binary, hot binary"
-ANSWERED = "grp long, slice long, counts binary, contexts binary, asks binary, up binary, hot binary, n_words long, n_tokens long"
+CODED = "grp long, docs binary"
+ANSWERED = "grp long, slice long, counts binary, numbers binary, contexts binary, asks binary, up binary, hot binary, n_words long, n_tokens long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -71,14 +74,17 @@ def _slice_starts(n: int) -> np.ndarray:
     return (np.arange(n, dtype=object) * (1 << 64) // n).astype(np.uint64)
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as hold them all, after a byte that says how many."""
-    kind = np.min_scalar_type(int(counts.max(initial=0)))
-    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as hold them all, compressed place by place of these; headed by width and length."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
+    return bytes([kind.itemsize]) + len(values).to_bytes(7, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _wide(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    width, n = blob[0], int.from_bytes(blob[1:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], n * width, "zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _joined(parts: list, kind) -> np.ndarray:
@@ -112,37 +118,57 @@ def _word_requests(n_slices: int):
 
 
 def _word_answers(table: pa.Table) -> pa.Table:
-    """Total counts for each group's words; with a slice's first answer its number of words and its tokens."""
+    """Total counts for each group's words, and their ranks by count in the slice; with a slice's first answer its number of words and its tokens."""
     keys = _joined([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()], np.uint64)
     word, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, weights=_joined([_wide(b) for b in table.column("counts").to_pylist()], np.int64)).astype(np.int64)
+    rank = np.empty(len(word), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(word))
     out, at = [], 0
     for group, s, n in zip(*(table.column(c).to_pylist() for c in ("grp", "slice", "n")), strict=True):
-        out.append({"grp": group, "slice": s, "counts": _narrow(total[inverse[at : at + n]])})
+        own = inverse[at : at + n]
+        out.append({"grp": group, "slice": s, "counts": _narrow(total[own]), "numbers": _narrow(rank[own])})
         at += n
     out[0] |= {"n_words": int((total > 0).sum()), "n_tokens": int(total.sum())}
     return _table(out, ANSWERED)
 
 
+def _coded(n_slices: int):
+    """A group's texts as numbers of words, with the counts of these."""
+
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = pa.ipc.open_stream(packed.column("docs")[0].as_py()).read_all()
+        h, offsets = sequences(docs.column("text"))
+        said = answers.sort_by("slice").to_pylist()
+        counts = _joined([_wide(r["counts"]) for r in said], np.int64)
+        numbers = _joined([_wide(r["numbers"]) * n_slices + r["slice"] for r in said], np.int64)
+        tokens = np.unique(h, return_inverse=True)[1]
+        own = np.argsort(-np.bincount(tokens, minlength=len(counts)), kind="stable")  # frequent words first
+        place = np.empty(len(own), np.int64)
+        place[own] = np.arange(len(own))
+        blob = pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n": pa.array(np.diff(offsets))})
+        parts = {"docs": _packed(blob), "tokens": _narrow(place[tokens]), "numbers": _narrow(numbers[own]), "counts": _narrow(counts[own])}
+        return pa.table({"grp": packed.column("grp")[:1], "docs": pa.array([_packed(pa.table({k: [v] for k, v in parts.items()}))])})
+
+    return run
+
+
 class _Asked:
     """The distinct (context, next symbol) pairs of a group's places, in the order of their slices."""
 
     def __init__(self, c: np.ndarray, x: np.ndarray, n: np.ndarray, hot: int) -> None:
         """Contexts, next symbols and counts of the contexts at places."""
-        entries, first, inverse = np.unique(words.mix(c * _ODD[1] + x), return_index=True, return_inverse=True)
-        parts = (1 + n[first] // hot).astype(np.uint64)
-        shard = np.where(parts > 1, words.mix(c[first] + (1 + x[first] % parts) * _ODD[2]), c[first])
-        order = np.argsort(shard, kind="stable")
-        self.entries, self.first = entries[order], first[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.entry_at = place[inverse]  #: of each place
-        shard = shard[order]
-        self.starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-        self.shards, self.of = shard[self.starts], self.first[self.starts]  #: of each context or part: its hash, and a place of it
-        self.sizes = np.diff(np.append(self.starts, len(shard)))
-        self.context_at = np.repeat(np.arange(len(self.starts)), self.sizes)[self.entry_at]
-        self.split = np.flatnonzero(parts[order][self.starts] > 1)
+        parts = (1 + n // hot).astype(np.uint64)
+        shard = np.where(parts > 1, words.mix(c + (1 + x % parts) * _ODD[2]), c)
+        self.shards, at = np.unique(shard, return_inverse=True)  #: of each context or part: its hash
+        pairs, self.first, self.entry_at = np.unique((at.astype(np.uint64) << _U(SYMBOL_BITS)) | x, return_index=True, return_inverse=True)  #: a place of each pair, and the pair of each place
+        owner = (pairs >> _U(SYMBOL_BITS)).astype(np.int64)
+        self.entries = (pairs & _U((1 << SYMBOL_BITS) - 1)).astype(np.int64)
+        self.starts = np.searchsorted(owner, np.arange(len(self.shards)))
+        self.of = self.first[self.starts]
+        self.sizes = np.diff(np.append(self.starts, len(pairs)))
+        self.context_at = owner[self.entry_at]
+        self.split = np.flatnonzero(parts[self.of] > 1)
 
     def rows(self, group: int, c: np.ndarray, suffix: np.ndarray, p: np.ndarray, train: np.ndarray, n_slices: int) -> list[dict]:
         """Requests; suffixes, chances after these and whether they are trained on are those of the places."""
@@ -150,6 +176,8 @@ class _Asked:
         gains = np.add.reduceat(counts * np.log(p[self.first]), self.starts) if len(self.starts) else np.zeros(0)
         cuts = [*np.searchsorted(self.shards, _slice_starts(n_slices)), len(self.shards)]
         edges = np.append(self.starts, len(self.entries))
+        steps = np.diff(self.entries, prepend=0)
+        steps[self.starts] = self.entries[self.starts]
         hot = np.zeros(len(self.split), np.dtype([("at", "<i8"), ("c", "<u8")]))
         hot["at"], hot["c"] = self.split, c[self.of[self.split]]
         out = []
@@ -159,7 +187,7 @@ class _Asked:
                 mine["at"] -= a
                 out.append({
                     "grp": group, "slice": s, "n": int(b - a), "keys": self.shards[a:b].tobytes(), "sizes": _narrow(self.sizes[a:b]), "gains": gains[a:b].tobytes(),
-                    "suffixes": suffix[self.of[a:b]].tobytes(), "entries": self.entries[part].tobytes(), "counts": _narrow(counts[part]), "hot": mine.tobytes(),
+                    "suffixes": _narrow(suffix[self.of[a:b]]), "entries": _narrow(steps[part]), "counts": _narrow(counts[part]), "hot": mine.tobytes(),
                 })
         return out
 
@@ -175,11 +203,13 @@ def _pair_answers(least_ratio: float):
         read = lambda name, kind: _joined([np.frombuffer(b, kind) for b in table.column(name).to_pylist()], kind)
         wide = lambda name: _joined([_wide(b) for b in table.column(name).to_pylist()], np.int64)
         keys, first, context = np.unique(read("keys", np.uint64), return_index=True, return_inverse=True)
-        entries, inverse = np.unique(read("entries", np.uint64), return_inverse=True)
-        sizes, suffixes = wide("sizes"), read("suffixes", np.uint64)
-        total = np.bincount(inverse, weights=wide("counts"), minlength=len(entries))
-        owner = np.empty(len(entries), np.int64)
-        owner[inverse] = np.repeat(context, sizes)
+        sizes, suffixes = wide("sizes"), wide("suffixes").view(np.uint64)
+        symbols = np.cumsum(wide("entries"))
+        at = np.append(0, np.cumsum(sizes)[:-1])
+        symbols -= np.repeat(np.append(0, symbols)[at], sizes)
+        pairs, inverse = np.unique(np.repeat(context, sizes) << SYMBOL_BITS | symbols, return_inverse=True)
+        owner = pairs >> SYMBOL_BITS
+        total = np.bincount(inverse, weights=wide("counts"), minlength=len(pairs))
         n = np.bincount(owner, weights=total, minlength=len(keys))
         kinds = np.bincount(owner[total > 0], minlength=len(keys))
         gain = np.bincount(owner, weights=total * np.log(np.maximum(total, 1)), minlength=len(keys))
@@ -199,7 +229,7 @@ def _pair_answers(least_ratio: float):
         out, at, entry = [], 0, 0
         for group, s, k in zip(groups, slices, ns, strict=True):
             mine, m = context[at : at + k], int(sizes[at : at + k].sum())
-            not_yet = np.flatnonzero(~stays[mine])
+            not_yet = np.flatnonzero(~stays[mine] & ((2 * n[mine] + 1) / np.e >= least_ratio * (1 - 1e-9)) | (split[mine] > 0))  # that may be the suffix of one that does
             out.append({
                 "grp": group, "slice": s, "counts": _narrow(total[inverse[entry : entry + m]].astype(np.int64)), "contexts": _narrow(kinds[mine] * 2 + stays[mine]),
                 "asks": np.stack([names[at + not_yet], suffixes[at + not_yet]], axis=1).tobytes(),
@@ -249,15 +279,17 @@ def _group(model, depth: int, n_slices: int):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         t: _Model = model.value
         group = packed.column("grp")[0].as_py()
-        docs = pa.ipc.open_stream(packed.column("docs")[0].as_py()).read_all()
-        h, offsets = sequences(docs.column("text"))
+        coded = pa.ipc.open_stream(packed.column("docs")[0].as_py()).read_all().to_pylist()[0]
+        docs = pa.ipc.open_stream(coded["docs"]).read_all()
+        offsets = words.prefix(docs.column("n").to_numpy())
+        tokens = _wide(coded["tokens"])
+        h, counts = _wide(coded["numbers"])[tokens].astype(np.uint64), _wide(coded["counts"])[tokens]
         is_train = docs.column("train").to_numpy(zero_copy_only=False).astype(bool)
         train = np.repeat(is_train, np.diff(offsets))
         said: dict[int, list] = {}
         for row in answers.sort_by("slice").to_pylist():
             said.setdefault(row["level"], []).append(row)
         told = lambda level, name: _joined([_wide(r[name]) for r in said.get(level, []) if r[name] is not None], np.int64)
-        counts = told(0, "counts")[np.unique(h, return_inverse=True)[1]]
         p = (counts + 0.1) / t.unit
         base, best = np.log10(p), p.copy()
         place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -310,19 +342,23 @@ def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_count: int
     dealt = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     given = stored(dealt.groupBy("grp").applyInArrow(_word_requests(n_slices), ASKED), "groups")
     packed = given.where("slice = -1").select("grp", "docs")
-    answers = [stored(given.where("slice >= 0").groupBy("slice").applyInArrow(_word_answers, ANSWERED), "counts")]
-    n, v = answers[0].agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    numbered = stored(given.where("slice >= 0").groupBy("slice").applyInArrow(_word_answers, ANSWERED), "counts")
+    n, v = numbered.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     least_ratio = penalty * np.log(max(2, n))
     model = _Model(n, v, n_texts, max_depth if n else 0, least_count, least_ratio, hot)
 
+    coded = stored(packed.groupBy("grp").cogroup(numbered.groupBy("grp")).applyInArrow(_coded(n_slices), CODED), "coded")
+    dropped(given, numbered)
+    answers: list[DataFrame] = []
+
     def asked(depth: int, extra: list[DataFrame], slices: int, ddl: str) -> DataFrame:
-        every = None
-        for level, a in enumerate(answers):
+        every = spark.createDataFrame([], "grp long, level int, slice long, counts binary, contexts binary, extra array<long>")
+        for level, a in enumerate(answers, 1):
             rows = a.select("grp", F.lit(level).alias("level"), "slice", "counts", "contexts", F.lit(None).cast("array<long>").alias("extra"))
-            every = every.unionByName(rows) if every else rows
+            every = every.unionByName(rows)
         for e in extra:
             every = every.unionByName(e, allowMissingColumns=True)
-        return packed.groupBy("grp").cogroup(every.groupBy("grp")).applyInArrow(_group(spark.sparkContext.broadcast(model), depth, slices), ddl)
+        return coded.groupBy("grp").cogroup(every.groupBy("grp")).applyInArrow(_group(spark.sparkContext.broadcast(model), depth, slices), ddl)
 
     ups: list[DataFrame] = []
     for depth in range(1, model.max_depth + 1):
@@ -342,7 +378,7 @@ def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_count: int
         ups.append(up.unionByName(spark.createDataFrame([(c,) for c in stay], "c long")) if stay else up)
     extra: list[DataFrame] = []
     for depth in range(model.max_depth - 1, 0, -1):
-        asks = answers[depth].select("grp", "asks").mapInArrow(_longs(("c", "suffix"), "asks", "grp"), "c long, suffix long, grp long")
+        asks = answers[depth - 1].select("grp", "asks").mapInArrow(_longs(("c", "suffix"), "asks", "grp"), "c long, suffix long, grp long")
         more = stored(asks.join(ups[depth].distinct(), "c", "left_semi"), "suffixes")
         extra.append(more.groupBy("grp").agg(F.collect_set("c").alias("extra")).withColumns({"level": F.lit(depth), "slice": F.lit(-1).cast("long")}))
         ups[depth - 1] = ups[depth - 1].unionByName(more.select(F.col("suffix").alias("c")))
