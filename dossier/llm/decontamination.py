@@ -3,10 +3,12 @@
 The test items are the indexed documents and every passage of the training texts
 is a query.  An item's weights are divided by its score against itself, so that
 one threshold asks for the same share of any item.  Postings lie in blocks of
-items with the largest weight of each term in each block.  For all passages at
-once, sums of these maxima over a passage's words bound its scores in a block;
-passages that a block can't admit are gone.  The others run block-max WAND over
-the admitted blocks and retrieve every item above the threshold.  What is
+items with the largest weight of each term in each block.  An item's rarest terms
+make up most of its score, so that it must have something from these; where the sum
+of a block's maxima over a passage's leading terms shows that, the sum over all its
+terms bounds the scores, and passages that no block admits are gone.  The others run
+block-max WAND over the admitted blocks and retrieve every item above the threshold.
+The index takes a few numbers a posting, and work arrays are of bounded size.  What is
 retrieved is verified: both the item's question and its answer must be found in
 order, word by word, around the passage.
 
@@ -29,6 +31,8 @@ from dossier.llm import words
 
 K1, B = 1.2, 0.75
 BLOCK = 8
+LEADING = 0.75
+MOST, PAIRS = 1 << 21, 1 << 12  #: cells times blocks, and passages with a block, that are looked at at a time
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _U = np.uint64
@@ -53,6 +57,19 @@ def terms(chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return clean.hashes(), clean.doc_words
 
 
+@dataclass
+class _Postings:
+    """The items of each term and their weights."""
+
+    starts: np.ndarray
+    item: np.ndarray
+    weight: np.ndarray
+
+    def __getitem__(self, t: int) -> tuple[list[int], list[float]]:
+        part = slice(self.starts[t], self.starts[t + 1])
+        return self.item[part].tolist(), self.weight[part].tolist()
+
+
 @dataclass
 class _Item:
     item_id: int
@@ -61,29 +78,42 @@ class _Item:
 
 
 class ItemIndex:
-    """Inverted index of items whose lengths lie in one class."""
+    """Inverted index of items whose lengths lie in one class: sparse, a few numbers a posting."""
 
     def __init__(self, items: list[_Item], threshold: float) -> None:
-        self.items = items
+        self.items, self.threshold = items, threshold
         self.length = max(len(i.sequence) for i in items)
-        distinct = [np.unique(i.sequence, return_counts=True) for i in items]
-        self.vocabulary, df = np.unique(np.concatenate([t for t, _ in distinct]), return_counts=True)
-        n = len(items)
+        n, lengths = len(items), np.array([len(i.sequence) for i in items])
+        item = np.repeat(np.arange(n), lengths)
+        words_, tf = np.unique(np.stack([np.concatenate([i.sequence for i in items]), item.astype(np.uint64)], axis=1), axis=0, return_counts=True)  # by term, then item
+        self.vocabulary, term, df = np.unique(words_[:, 0], return_inverse=True, return_counts=True)
+        item = words_[:, 1].astype(np.int64)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(i.sequence) for i in items])
-        self.threshold = threshold
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
+        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        w = w / np.bincount(item, weights=w, minlength=n)[item]
         self.n_blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.vocabulary) + 1, self.n_blocks), dtype=np.float32)  # the last row is for words outside
-        for i, (term, tf) in enumerate(distinct):
-            at = np.searchsorted(self.vocabulary, term)
-            w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(items[i].sequence) / mean))
-            w = w / w.sum()
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                postings[t].append((i, x))
-            self.block_max[at, i // BLOCK] = np.maximum(self.block_max[at, i // BLOCK], w)
-        self.postings = [([i for i, _ in p], [x for _, x in p]) for p in postings]
-        self.term_max = self.block_max.max(axis=1)
+        self.starts = np.append(0, np.cumsum(df))  #: of each term's postings
+        self.postings = _Postings(self.starts, item.astype(np.int32), w)
+        # the largest weight of each term in each block that has it
+        block = item // BLOCK
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+        self.block_of, self.block_weight = block[first].astype(np.int32), np.maximum.reduceat(w, first).astype(np.float32)
+        self.block_starts = np.searchsorted(term[first], np.arange(len(df) + 1))
+        self.block_keys = term[first] * self.n_blocks + block[first]
+        self.term_max = np.maximum.reduceat(w, self.starts[:-1])
+        # of each item the rarest terms that make up LEADING of its score: an item above the threshold has the rest from these
+        rare = np.lexsort((term, df[term], item))
+        sizes = np.bincount(item, minlength=n)
+        done = np.cumsum(w[rare])
+        done -= np.repeat(np.append(0, done[np.cumsum(sizes)[:-1] - 1]), sizes)
+        leads = done - w[rare] <= LEADING
+        other = np.bincount(item[rare], weights=np.where(leads, 0, w[rare]), minlength=n)
+        self.needed = np.minimum.reduceat(threshold - other, np.arange(0, n, BLOCK)) - 1e-4  #: of each block what its leading terms must sum up to
+        leading = np.zeros(len(w), dtype=bool)
+        leading[rare[leads]] = True
+        entries = np.flatnonzero(np.logical_or.reduceat(leading, first))  # of blocks and terms
+        self.lead_block, self.lead_weight = self.block_of[entries], self.block_weight[entries].astype(np.float64)
+        self.lead_starts = np.searchsorted(term[first][entries], np.arange(len(df) + 1))
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[(self.vocabulary >> _U(44)).astype(np.int64)] = True
 
@@ -96,9 +126,19 @@ class ItemIndex:
         out[maybe[hit]] = at[hit]
         return out
 
+    def block_bounds(self, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The largest weight of each term in the block beside it; 0 where the block lacks it."""
+        keys = terms * self.n_blocks + blocks
+        at = np.minimum(np.searchsorted(self.block_keys, keys), len(self.block_keys) - 1)
+        return np.where(self.block_keys[at] == keys, self.block_weight[at], np.float32(0))
+
     def retrieve(self, query: list[int], admitted: np.ndarray) -> list[tuple[int, float]]:
         """Block-max WAND: items of the admitted blocks with a score of at least the threshold, by item number."""
-        lists = [(self.postings[t][0], self.postings[t][1], self.term_max[t], self.block_max[t]) for t in query]
+        lists, limits = [], []
+        for t in query:
+            part = slice(self.block_starts[t], self.block_starts[t + 1])
+            lists.append((*self.postings[t], float(self.term_max[t])))
+            limits.append(dict(zip(self.block_of[part].tolist(), self.block_weight[part].tolist(), strict=True)))
         at = [0] * len(lists)
         found = []
         while True:
@@ -115,7 +155,7 @@ class ItemIndex:
             while pivot + 1 < len(order) and lists[order[pivot + 1]][0][at[order[pivot + 1]]] == item:
                 pivot += 1
             block = item // BLOCK
-            bound = sum(float(lists[k][3][block]) for k in order[: pivot + 1])
+            bound = sum(limits[k].get(block, 0.0) for k in order[: pivot + 1])
             if admitted[block] and bound >= self.threshold - 1e-6:
                 if lists[order[0]][0][at[order[0]]] == item:
                     score = 0.0
@@ -134,32 +174,55 @@ class ItemIndex:
                 for k in order[: pivot + 1]:
                     _advance(lists[k][0], at, k, max(end, item + 1))
 
-    def passages(self, doc_words: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(document, first word, end, admitted blocks) of each passage that some block admits.
+    def passages(self, doc_words: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(document, first word, end, terms, admitted blocks) of each passage that some block admits.
 
         Cells of half an item's length tile a document, and three in a row are a passage.
         """
         cell = max(1, -(-self.length // 2))
-        starts, docs = [], []
-        for d in np.flatnonzero(np.diff(doc_words)):
-            s = np.arange(doc_words[d], doc_words[d + 1], cell)
-            starts.append(s)
-            docs.append(np.full(len(s), d))
-        if not starts:
-            return
-        start, doc = np.concatenate(starts), np.concatenate(docs)
-        sums = np.add.reduceat(self.block_max[numbers], start, axis=0)
-        bound = sums.copy()
-        for k in (1, 2):
-            bound[:-k] += sums[k:] * (doc[k:] == doc[:-k])[:, None]
-        # a passage that starts inside the one before and ends with it adds nothing
-        inner = np.zeros(len(doc), dtype=bool)
-        inner[1:-1] = (doc[1:-1] == doc[:-2]) & (doc[1:-1] != doc[2:]) | (doc[1:-1] == doc[:-2]) & (np.append(doc[3:], -1) != doc[1:-1])
-        if len(doc) > 1:
-            inner[-1] = doc[-1] == doc[-2]
-        admitted = bound >= self.threshold - 1e-4
-        for k in np.flatnonzero(admitted.any(axis=1) & ~inner):
-            yield int(doc[k]), int(start[k]), int(min(start[k] + 3 * cell, doc_words[doc[k] + 1])), admitted[k]
+        counts = -(-np.diff(doc_words) // cell)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        inner = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)  # of a cell in its document
+        start = doc_words[doc] + inner * cell
+        after = np.arange(len(doc)) - inner + counts[doc]  # the first cell past the document
+        # one that starts inside the passage before and ends with it adds nothing
+        passage = (inner == 0) | (inner <= counts[doc] - 3)
+        place = np.flatnonzero(numbers < len(self.vocabulary))
+        of_word = np.searchsorted(start, place, side="right") - 1
+        in_cell, term = np.divmod(np.unique(of_word * len(self.vocabulary) + numbers[place]), len(self.vocabulary))  # each term once a cell
+        cuts = np.searchsorted(in_cell, np.arange(len(doc) + 1))
+        step = max(1, MOST // self.n_blocks)
+        for a in range(0, len(doc), step):
+            b = min(len(doc), a + step + 2)
+            sums = self._lead_sums(in_cell[cuts[a] : cuts[b]] - a, term[cuts[a] : cuts[b]], b - a)
+            bound = sums.copy()
+            for k in (1, 2):
+                bound[:-k] += sums[k:] * (doc[a + k : b] == doc[a : b - k])[:, None]
+            first, block = np.nonzero((bound[:step] >= self.needed) & passage[a : min(b, a + step), None])
+            for k in range(0, len(first), PAIRS):
+                p, q = first[k : k + PAIRS] + a, block[k : k + PAIRS]
+                low, high = cuts[p], cuts[np.minimum(p + 3, after[p])]
+                n = high - low
+                entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                of, t = np.divmod(np.unique(np.repeat(np.arange(len(p)), n) * len(self.vocabulary) + term[entry]), len(self.vocabulary))
+                good = np.bincount(of, weights=self.block_bounds(t, q[of]), minlength=len(p)) >= self.threshold - 1e-4
+                for x in np.unique(p[good]):
+                    admitted = np.zeros(self.n_blocks, dtype=bool)
+                    admitted[q[good & (p == x)]] = True
+                    yield int(doc[x]), int(start[x]), int(min(start[x] + 3 * cell, doc_words[doc[x] + 1])), np.unique(term[cuts[x] : cuts[min(x + 3, after[x])]]), admitted
+
+    def _lead_sums(self, cell: np.ndarray, term: np.ndarray, n_cells: int) -> np.ndarray:
+        """For each cell and block the sum of the largest weights of the cell's leading terms."""
+        low, n = self.lead_starts[term], np.diff(self.lead_starts)[term]
+        some = n > 0
+        cell, low, n = cell[some], low[some], n[some]
+        sums = np.zeros(n_cells * self.n_blocks)
+        done = np.cumsum(n)
+        for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(done // MOST)) + 1):
+            few = n[cut]
+            entry = np.repeat(low[cut] - (np.cumsum(few) - few), few) + np.arange(few.sum())
+            sums += np.bincount(np.repeat(cell[cut], few) * self.n_blocks + self.lead_block[entry], weights=self.lead_weight[entry], minlength=len(sums))
+        return sums.reshape(n_cells, self.n_blocks)
 
 
 def _advance(items: list[int], at: list[int], k: int, to: int) -> None:
@@ -194,16 +257,14 @@ def _split(text: str) -> int:
 
 def build_indexes(items: list[tuple[int, str | None]], threshold: float) -> list[ItemIndex]:
     """Indexes of the items with words, by classes of length that double."""
+    texts = [text or "" for _, text in items]
+    cut = [_split(text) for text in texts]
+    sequences = [h[a:b] for h, d in map(terms, words.chunks(pa.array(texts, pa.string()))) for a, b in zip(d[:-1], d[1:], strict=True)]
+    heads = [int(n) for _, d in map(terms, words.chunks(pa.array([t[:c] for t, c in zip(texts, cut, strict=True)], pa.string()))) for n in np.diff(d)]
     classes: dict[int, list[_Item]] = {}
-    for item_id, text in items:
-        text = text or ""
-        cut = _split(text)
-        ((h, offsets),) = [terms(c) for c in words.chunks(pa.array([text]))] or [(np.zeros(0, np.uint64), np.zeros(2, np.int64))]
-        if not len(h):
-            continue
-        head = [terms(c)[0] for c in words.chunks(pa.array([text[:cut]]))]
-        split = min(len(head[0]) if head else 0, len(h))
-        classes.setdefault(max(5, (len(h) - 1).bit_length()), []).append(_Item(item_id, h, split))
+    for (item_id, _), h, head in zip(items, sequences, heads, strict=True):
+        if len(h):
+            classes.setdefault(max(5, (len(h) - 1).bit_length()), []).append(_Item(item_id, h, min(head, len(h))))
     return [ItemIndex(c, threshold) for _, c in sorted(classes.items())]
 
 
@@ -213,12 +274,7 @@ def _matches(indexes: list[ItemIndex], chunk: words.Chunk, overlap: float) -> It
     for index in indexes:
         numbers = index.numbers(h)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for doc, a, b, admitted in index.passages(doc_words, numbers):
-            query = np.unique(numbers[a:b])
-            query = query[query < len(index.vocabulary)]
-            admitted = admitted & (index.block_max[query].sum(axis=0) >= index.threshold - 1e-4)  # now each word once
-            if not admitted.any():
-                continue
+        for doc, a, b, query, admitted in index.passages(doc_words, numbers):
             for k, score in index.retrieve(query.tolist(), admitted):
                 item = index.items[k]
                 margin = len(item.sequence)
