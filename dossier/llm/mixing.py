@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.llm.scratch import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUCKETS = 4096
@@ -91,8 +93,10 @@ def _placed(docs: DataFrame, weights: Sequence[int], schedules: Mapping[int, Sch
         F.xxhash64(text).alias("tie"),
         *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
+    if not carry:  # a few numbers a row: words are counted once
+        sized = stored(sized, "sizes")
     dealt = sized.repartition("source_key", "bucket")
-    by_bucket = dealt.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
+    by_bucket = stored(sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source")), "sizes")  # a row a source and bucket
     by_source = by_bucket.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size"), F.first("source").alias("source"))
     targets = source_targets(by_source.select("source", "source_size"), weights, most)
     targets = targets.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))).drop("source")
@@ -121,7 +125,11 @@ def _by_weight(weight: Column, share: Column, schedules: Mapping[int, Schedule])
 
 
 def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules: Mapping[int, Schedule] = SCHEDULES, most: int = 3, buckets: int = BUCKETS) -> DataFrame:
-    """The documents that the mix takes, a row for each copy, in training order; the columns of docs."""
+    """The documents that the mix takes, a row for each copy, in training order; the columns of docs.
+
+    Partitions and the rows in them are in the order of training, and so are the files that they are written to.  Nulls, ties
+    and repeated rows count as in curriculum; a document of size 0 is taken where its place is; no rows give none.
+    """
     names = docs.columns
     own = [c if c in ("doc_id", "text", "source") else f"given_{i}" for i, c in enumerate(names)]
     mix = _placed(docs.toDF(*own), weights, schedules, most, buckets, [c for c in own if c not in ("doc_id", "source")])
