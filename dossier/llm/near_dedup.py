@@ -273,11 +273,22 @@ def _tiled(members: DataFrame, texts: DataFrame, size: int, threshold: float) ->
 
 
 def deduplicated_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that are near-duplicates of one with a smaller doc_id in their class."""
-    dropped = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
+    """docs without the documents that are near-duplicates of one with a smaller doc_id in their class, all columns as they are.
+
+    Of rows that share a doc_id and have the same words one stays.  Rows without a doc_id all stay, as do null texts and
+    those without words; no rows give none.
+    """
+    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
     names = docs.columns
     plain = docs.toDF(*[f"given_{i}" for i in range(len(names))])
-    return plain.join(dropped, F.col(f"given_{names.index('doc_id')}") == F.col("doc_id"), "left_anti").toDF(*names)
+    given_id, given_text = (F.col(f"given_{names.index(c)}") for c in ("doc_id", "text"))
+    left = plain.join(gone, given_id == F.col("doc_id"), "left_anti")
+    repeated = stored(plain.where(given_id.isNotNull()).groupBy(given_id.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        same = F.sha2(F.regexp_replace(F.coalesce(given_text, F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+        many = left.join(repeated, given_id == F.col("doc_id"), "left_semi").groupBy(given_id, same).agg(F.min_by(F.struct("*"), F.xxhash64(given_text)).alias("row")).select("row.*")
+        left = left.join(repeated, given_id == F.col("doc_id"), "left_anti").unionByName(many)
+    return left.toDF(*names)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
