@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 #: Fixed values of the template: escapes and markers.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
@@ -37,7 +38,8 @@ def unescaped(text: Column) -> Column:
 
 
 def _parts(messages: DataFrame) -> Column:
-    if "parts" in messages.columns:
+    kind = messages.schema["parts"].dataType if "parts" in messages.columns else None
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and {"type", "text", "ref", "units"} <= set(kind.elementType.names):
         return F.coalesce(F.col("parts"), F.array().cast(messages.schema["parts"].dataType))
     nothing = F.lit(None)
     return F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), nothing.cast("string").alias("ref"), nothing.cast("long").alias("units")))
@@ -58,7 +60,7 @@ def formatted_conversations(messages: DataFrame, *, rates: Mapping[str, int] = T
     """One row a conversation of (conv_id, turn, role, text), or parts array<struct<type, text, ref, units>> for text: conv_id, formatted, loss_spans, attachments, expanded_tokens.
 
     Turns go by turn (null first), then role, then content.  Null role and text count as empty, no parts as empty text; an
-    unknown part type leaves <file>.  Rows that repeat a turn are turns of their own.  loss_spans has the place (from 1)
+    unknown part type leaves <file>.  A column parts of any other type is ignored, as are all other columns.  Rows that repeat a turn are turns of their own.  loss_spans has the place (from 1)
     and length in formatted of each text part of an assistant's turn; attachments the turn's number, type, ref and tokens.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))

@@ -101,23 +101,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"order": batch.column("order")[part], "lang": batch.column("lang")[part], **out}, schema=schema)
 
 
-def fit(docs: DataFrame, *, usable: Column, most_documents: int = 4000, dim: int = 16, epochs: int = 6, rate: float = 20.0, clean_loss: float = 0.001, floor: float = 0.5, seed: int = 7) -> LanguageModel | None:
+def fit(docs: DataFrame, *, usable: Column, most_documents: int = 4000, most_bytes: int = 64 << 20, dim: int = 16, epochs: int = 6, rate: float = 20.0, clean_loss: float = 0.001, floor: float = 0.5, seed: int = 7) -> LanguageModel | None:
     """A model of the usable rows of (doc_id, text, lang); None if there are none.
 
-    Learns from about most_documents / languages documents of each language, chosen by a hash of doc_id and text; that and the
-    number of subword buckets bound what the driver gets.  A fifth of them calibrates: the temperature minimises the
+    Learns from about most_documents / languages documents of each language, chosen by a hash of doc_id and text, and from
+    fewer where they have more than most_bytes of text together: that bounds what the driver gets.  A fifth of them calibrates: the temperature minimises the
     log loss, and the rejection score is the lowest clean_loss quantile of the right predictions, floor at most.
     """
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
+    mean = {r["lang"]: r["bytes"] / r["n"] for r in found}
     if not counts:
         return None
     languages = sorted(counts)
     each = max(1, most_documents // len(languages))
+    share = min(1.0, most_bytes / max(1.0, sum(min(each, n) * mean[name] for name, n in counts.items())))
     order = F.xxhash64("doc_id", "text", F.lit(seed))
     limit = F.lit(0)
     for name, n in counts.items():
-        limit = F.when(F.col("lang") == name, F.lit(int(min(1.0, each / n) * ((1 << 31) - 1)))).otherwise(limit)
+        limit = F.when(F.col("lang") == name, F.lit(int(min(1.0, share * each / n) * ((1 << 31) - 1)))).otherwise(limit)
     sample = labelled.where(F.shiftrightunsigned(order, 33) <= limit).select(order.alias("order"), "lang", "text")
     rows = sorted(sample.mapInArrow(_features, "order long, lang string, buckets binary, shares binary").collect(), key=lambda r: (r["order"], r["lang"], r["buckets"]))
     data = [(np.frombuffer(r["buckets"], np.uint16).astype(np.int64), np.frombuffer(r["shares"], np.float32), languages.index(r["lang"])) for r in rows]
@@ -152,10 +155,11 @@ def fit(docs: DataFrame, *, usable: Column, most_documents: int = 4000, dim: int
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred, score and lang_accepted, from text alone; docs must not have columns of these names.
+    """docs with lang_pred, score and lang_accepted, from text alone; columns of docs with these names give way.
 
     Null texts and texts without a letter are und with score 0 and rejected, and all texts where nothing was learned.
     """
+    docs = docs.drop("lang_pred", "score", "lang_accepted", "_letter")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {"lang_pred": "string", "score": "double", "lang_accepted": "boolean"}
 
@@ -191,7 +195,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose language is accepted by a model learned from docs, as they are."""
+    """The rows of docs whose language is accepted by a model learned from docs, as they are.
+
+    Null texts and texts without a letter are not accepted; nothing is where no row has a text and lang to learn from.
+    """
     model = fit(docs, usable=remainder(4) != 2, **options)
     columns = docs.columns
     renamed = docs.toDF(*[c if c == "text" else f"given_{i}" for i, c in enumerate(columns)])

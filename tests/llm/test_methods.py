@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,3 +329,118 @@ def test_written_shards(spark, documents, tmp_path):
     placed = {r.doc_id: r.shard for r in sharding.shard_rows(documents, weights=(1.0,) * 5).collect()}
     assert {r.doc_id: r.shard for r in back.select("doc_id", "shard").collect()} == placed
     assert back.count() == documents.count()
+
+
+def test_language_scores_against_brute_force(spark, documents):
+    """Predictions are the softmax of the mean of each byte 2-, 3- and 4-gram's logits."""
+    model = language_id.fit(documents, usable=F.lit(True), most_documents=120)
+    odd = ["", "a", "é", "ab", "The  Tab\tand\nline", "zażółć gęślą jaźń", "x" * 5000, "12 34"]
+    rows = language_id.identify(documents.select("doc_id", "text").limit(40).union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")), model).collect()
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+    for r in rows:
+        data = (r.text or "").encode().translate(low)
+        grams = [data[i : i + k] for k in (2, 3, 4) for i in range(len(data) - k + 1)]
+        bucket = [((int.from_bytes(g, "big") + (len(g) << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> 48 for g in grams]
+        logits = (model.table[bucket].astype(float).mean(axis=0) if bucket else 0) + model.bias
+        p = np.exp((logits - logits.max()) / model.temperature)
+        if any(c.isalpha() for c in r.text or ""):
+            assert r.lang_pred == model.languages[int(p.argmax())] and r.score == pytest.approx(float(p.max() / p.sum()), abs=1e-5)
+            assert r.lang_accepted == (r.score >= model.least_score)
+        else:
+            assert (r.lang_pred, r.score, r.lang_accepted) == ("und", 0.0, False)
+
+
+def test_shards_against_brute_force(spark, documents):
+    """Each key's winner among 40 and 41 shards, and slots without gaps."""
+    import xxhash
+
+    def draw(key, shard):
+        first = xxhash.xxh64_intdigest(key.encode(), 42)
+        return -math.log(((xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), first) >> 11) + 0.5) / 2**53)
+
+    rows = registry.queries()["op10_sharding"](spark, SF).collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        draws = [draw(str(r.doc_id), s) for s in range(41)]
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 16, zlib.crc32(data), "key")
+        assert r.shard == draws.index(min(draws[:40])) and r.grown_shard == draws.index(min(draws))
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_slots_follow_the_order_of_training(spark, documents):
+    from dossier.llm.scratch import stored
+
+    position = {r.doc_id: r.first_position for r in mixing.curriculum(documents).collect()}
+    mixed = stored(mixing.mixed_documents(documents), "mixed")
+    once = collections.Counter(r.doc_id for r in mixed.collect())
+    rows = sharding.shard_rows(mixed, as_read=True).collect()
+    assert collections.Counter(r.doc_id for r in rows) == once
+    for shard in {r.shard for r in rows}:
+        own = sorted((r for r in rows if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own)))
+        places = [position[r.doc_id] for r in own if once[r.doc_id] == 1]
+        assert places == sorted(places)
+
+
+def test_decontamination_against_brute_force(spark):
+    """All pairs of a document and an item, by scoring every item against every passage."""
+    rng = random.Random(3)
+    vocabulary = [f"v{int(rng.paretovariate(0.5)) % 400}" for _ in range(5000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 40)))) for i in range(120)]
+    docs = []
+    for k in range(150):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 150))]
+        if rng.random() < 0.6:
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = [x if rng.random() > 0.12 else "zz" for x in rng.choice(items)[1].split()]
+        docs.append((k, " ".join(w)))
+    expected = set()
+    classes = collections.defaultdict(list)
+    for i, t in items:
+        classes[max(5, (len(t.split()) - 1).bit_length())].append((i, t.split()))
+    for own in classes.values():
+        df = collections.Counter(x for _, w in own for x in set(w))
+        mean, longest = np.mean([len(w) for _, w in own]), max(len(w) for _, w in own)
+        cell = -(-longest // 2)
+        for i, w in own:
+            weight = {x: math.log1p((len(own) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, n in collections.Counter(w).items()}
+            cut = len(w) - max(1, len(w) // 3)
+            for k, text in docs:
+                d = text.split()
+                cells = -(-len(d) // cell)
+                for c in range(cells):
+                    if c and c > cells - 3:
+                        continue
+                    a, b = c * cell, min(c * cell + 3 * cell, len(d))
+                    if sum(weight.get(x, 0) for x in set(d[a:b])) / sum(weight.values()) < 0.6 - 1e-9:
+                        continue
+                    around = d[max(0, a - len(w)) : b + len(w)]
+                    number = {x: n for n, x in enumerate(sorted({*w, *around}))}
+                    common = [decontamination.common_words(np.array([number[x] for x in p]), np.array([number[x] for x in around])) / len(p) if p else 1.0 for p in (w[:cut], w[cut:])]
+                    if min(common) >= 0.8:
+                        expected.add((k, i))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(*frames).collect()} == expected
+    assert len(expected) > 40
+    kept = {r.doc_id for r in decontamination.clean_documents(*frames).collect()}
+    assert kept == {k for k, _ in docs} - {k for k, _ in expected}
+
+
+def test_sketch_stays_a_prefilter(spark):
+    """However many counters a range has, few unrepeated windows pass, and more documents don't let more pass."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(400)]
+    shares = []
+    for n in (100, 400):
+        table = pa.table({"doc_id": [i for i, _ in docs[:n]], "text": [t for _, t in docs[:n]], "grp": [0] * n})
+        shard = 1 << 12
+        counters = int(2.2 * n * 400) // shard * shard
+        hits = substring_dedup._hit(50, counters, shard)(table)
+        said = pa.concat_tables([substring_dedup._merged(shard)(hits.filter(pa.compute.equal(hits["part"], p))) for p in set(hits["part"].to_pylist())])
+        found = substring_dedup._Candidates(table, said, 50, counters, shard, 4)
+        shares.append(len(found.doc) / (n * 351))
+    assert max(shares) < 0.2 and abs(shares[0] - shares[1]) < 0.03
