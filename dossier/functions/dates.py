@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import collapsed
+from dossier.functions.text import collapsed, let
 
+# The formats in which pages give times, and their zone.
 #: Formats of detail pages; the day and the hour may have one digit.
 DETAIL_FORMATS = ("d/M/yyyy H:m:s", "d/M/yyyy H:m", "yyyy-M-d H:m:s")
 DAY_FORMATS = ("yyyy-M-d", "d/M/yyyy")
 TIME_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "d/M/yyyy H:m:s", "d/M/yyyy H:m")
-ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?([.]\d+)?(Z|[+-]\d{2}:?\d{2})$"
+#: Times with an offset: day, time and fraction by Spark's patterns, the offset as Z, +04:00 or +0400.
+OFFSET_FORMATS = tuple(f"yyyy-MM-dd{between}HH:mm[:ss[.SSSSSSSSS]]{offset}" for between in ("'T'", " ") for offset in ("XXX", "XX"))
 LOCAL_ZONE = "Asia/Yerevan"
 
 
@@ -29,10 +31,13 @@ def deadline(c: Column, zone: str = LOCAL_ZONE) -> Column:
 
     The session's time zone must be UTC.
     """
-    plain = collapsed(c)
-    day = _first(plain, DAY_FORMATS) + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
-    local = F.to_utc_timestamp(F.coalesce(day, _first(plain, TIME_FORMATS)), zone)
-    return F.coalesce(local, F.when(plain.rlike(ZONED), plain.try_cast("timestamp")))
+
+
+    def read(plain: Column) -> Column:
+        day = _first(plain, DAY_FORMATS) + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
+        return F.coalesce(F.to_utc_timestamp(F.coalesce(day, _first(plain, TIME_FORMATS)), zone), _first(plain, OFFSET_FORMATS))
+
+    return let(collapsed(c), read)
 
 
 def eligibility(given: list[Column], now: Column, zone: str = LOCAL_ZONE) -> Column:
@@ -41,10 +46,13 @@ def eligibility(given: list[Column], now: Column, zone: str = LOCAL_ZONE) -> Col
     No deadline that can be read: unknown.  All past: expired, but unknown if another can't be read.  Else eligible if all
     are one instant, and conflict if not.  resolved is the latest.
     """
-    parsed = [deadline(c, zone) for c in given]
-    read = F.filter(F.array(*parsed), lambda x: x.isNotNull())
-    said = F.array(*(~(collapsed(c) == "") & c.isNotNull() for c in given))
-    bad = F.exists(F.arrays_zip(said.alias("said"), F.array(*(p.isNotNull() for p in parsed)).alias("read")), lambda x: x["said"] & ~x["read"])
+    each = F.array(*(F.struct(deadline(c, zone).alias("at"), F.coalesce(collapsed(c) != "", F.lit(False)).alias("said")) for c in given))
+    return let(each, lambda x: _eligibility(x, now))
+
+
+def _eligibility(each: Column, now: Column) -> Column:
+    read = F.filter(F.transform(each, lambda x: x["at"]), lambda at: at.isNotNull())
+    bad = F.exists(each, lambda x: x["said"] & x["at"].isNull())
     latest = F.array_max(read)
     status = (
         F.when(F.size(read) == 0, "unknown")

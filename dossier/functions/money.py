@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Prices, the tier's limit and what a request takes.
 MONEY = "decimal(38,12)"
 #: USD a million tokens: input, cached input, cache write, output; a second row holds above long_from input tokens.
 PRICES: Mapping[str, tuple[tuple[str, str, str, str], tuple[str, str, str, str]]] = {
@@ -49,6 +50,22 @@ def conservative_cost(model: Column, tokens: Column, most_output: Column, prices
     return (total.cast("decimal(32,6)") / F.lit(Decimal(1_000_000))).cast(MONEY)
 
 
+def with_overrides(rows: DataFrame, overrides: DataFrame, prices: DataFrame, model: str, columns: tuple[str, ...]) -> DataFrame:
+    """rows with the columns of the override for their model, else of the price table; null, and priced false, without either."""
+    over = overrides.select(model, F.struct(*columns).alias("_over"))
+    base = prices.select(model, F.struct(*columns).alias("_base"))
+    joined = rows.join(F.broadcast(over), model, "left").join(F.broadcast(base), model, "left")  # a row a model
+    found = F.coalesce("_over", "_base")
+    return joined.withColumns({c: found[c] for c in columns} | {"priced": found.isNotNull()}).drop("_over", "_base")
+
+
+def preflight(model: Column, chars: Column, most_output: Column, most_input: int, prices: Mapping = PRICES) -> Column:
+    """struct(tokens, cost, tier, too_large) of a request before it is made; the cost is what it can't exceed."""
+    tokens = request_tokens(chars)
+    tier = F.when(tokens > LONG_FROM, "long").otherwise("standard")
+    return F.struct(tokens.alias("tokens"), conservative_cost(model, tokens, most_output, prices).alias("cost"), tier.alias("tier"), (tokens > most_input).alias("too_large"))
+
+
 def request_tokens(chars: Column) -> Column:
     """Upper estimate of a request's tokens: ceil(chars / 2.4) and the overhead."""
     return F.floor((chars * 10 + CHARS_A_TOKEN_TENTHS - 1) / CHARS_A_TOKEN_TENTHS).cast("long") + REQUEST_OVERHEAD

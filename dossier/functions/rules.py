@@ -86,6 +86,31 @@ def value_facts(official: Column, lot_sum: Column) -> Column:
     return F.struct(value.alias("value"), source.alias("source"), conflict.alias("conflict"))
 
 
+def operational_key(reason: Column, eligibility: Column) -> Column:
+    """What a pending announcement counts as in the operational summary: its reason with what is known of its deadline; null for none."""
+    suffix = F.when(eligibility == "eligible", "_active").when(eligibility == "unknown", "_deadline_unknown").otherwise("_deadline_conflict")
+    return F.when(reason == "skip_expired", reason).otherwise(F.concat(reason, suffix))
+
+
+def enrichment_status(kind: Column, missing: Column) -> Column:
+    """Of a resource type and the number of its missing required fields."""
+    return F.when(kind == "direct_file", "not_required").when(kind == "unknown", "unsupported").when(missing > 0, "partial").otherwise("success")
+
+
+def next_step(c: dict[str, Column]) -> Column:
+    """The step that a batch takes next for an announcement; c has triage_current, not_relevant, deep_current, eligibility, gate, admission."""
+    return (
+        F.when(~c["triage_current"] & (c["eligibility"] == "expired"), "skip_expired")
+        .when(~c["triage_current"], "call_triage")
+        .when(c["not_relevant"], "stop_not_relevant")
+        .when(c["deep_current"], "reuse_deep")
+        .when(c["eligibility"] == "expired", "skip_expired")
+        .when(c["gate"] != "deep_candidate", F.concat(F.lit("gate:"), c["gate"]))
+        .when(c["admission"] != "admitted", F.concat(F.lit("deferred:"), c["admission"]))
+        .otherwise("call_deep")
+    )
+
+
 def best_document(documents: Column) -> Column:
     """Of array<struct<document_id, filename, language>> the readable one by language, then format, then place."""
     ranked = F.transform(documents, lambda d, i: F.struct(_rank(F.upper(d["language"]), LANGUAGES).alias("l"), _rank(urls.extension(d["filename"]), FORMATS).alias("f"), i.alias("i"), d.alias("d")))

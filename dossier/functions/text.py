@@ -67,6 +67,26 @@ def sentences(c: Column) -> Column:
     return F.split(c, r"(?<=[.!?])\s+")
 
 
+def is_placeholder(c: Column) -> Column:
+    """A lot's name that is only the word lot and its number."""
+    return F.coalesce(stripped(c).rlike("(?iu)^(лот|lot)\\s*[№#]?\\s*[0-9]+[.]?$"), F.lit(False))
+
+
+def category_label(code: Column, names: dict[str, str]) -> Column:
+    """The name of a category; of one without a name its code with spaces and a capital."""
+    said = meaningful(code)
+    plain = F.replace(said, F.lit("_"), F.lit(" "))
+    out = F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, F.lit(2), F.length(plain)))
+    for name, label_ in names.items():
+        out = F.when(said == name, F.lit(label_)).otherwise(out)
+    return out
+
+
+def grouped_number(c: Column) -> Column:
+    """A whole number with spaces between its thousands."""
+    return F.replace(F.format_number(c, 0), F.lit(","), F.lit(" "))
+
+
 def is_snake_case(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$"), F.lit(False))
 

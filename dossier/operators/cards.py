@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.dates import local_display
 from dossier.functions.segments import clipped
+from dossier.functions.text import collapsed, is_blank
 
 #: (items, characters of one) from the fullest to the shortest.
 PROFILES = ((5, 160), (3, 100), (1, 60))
@@ -61,3 +63,29 @@ def deliverable(states: DataFrame, deep: DataFrame, deliveries: DataFrame, curre
     )
     state = delivery_state(F.col("summary"), F.col("deep_hash"), F.col("state_hash"), F.coalesce("sent", F.lit(False)), F.col("current_hash"), F.col("expired"))
     return rows.select(key, state.alias("delivery"))
+
+
+def delivered_result(deliveries: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """deliveries (key, input_hash) with result and available: the result of their key, if it is of the version that was delivered."""
+    now = results.select(key, F.col("input_hash").alias("_hash"), F.col("result").alias("_result"))
+    same = F.coalesce(F.col("_hash") == F.col("input_hash"), F.lit(False))
+    return deliveries.join(now, key, "left").withColumns({"result": F.when(same, F.col("_result")), "available": same}).drop("_hash", "_result")
+
+
+def callback_context(deliveries: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """(key, input_hash) -> key, deadline as shown, value; both null unless the current content (key, input_hash, deadline, value) is that version."""
+    now = current.select(key, F.col("input_hash").alias("_hash"), F.col("deadline").alias("_deadline"), F.col("value").alias("_value"))
+    same = F.col("_hash") == F.col("input_hash")
+    return deliveries.join(now, key, "left").select(key, F.when(same, local_display(F.col("_deadline"))).alias("deadline"), F.when(same, F.col("_value")).alias("value"))
+
+
+def field_lines(fields: dict[str, Column]) -> Column:
+    """Name: value of the fields that say something, whole."""
+    lines = F.array(*(F.when(~is_blank(c), F.concat(F.lit(f"{name}: "), collapsed(c))) for name, c in fields.items()))
+    return F.filter(lines, lambda x: x.isNotNull())
+
+
+def barrier_lines(barriers: Column) -> Column:
+    """Lines of array<struct<label, description>>: the description, and the label after it unless the description says it in any case."""
+    said = lambda b: F.contains(F.lower(b["description"]), F.lower(b["label"]))
+    return F.transform(barriers, lambda b: F.concat(F.lit("• "), b["description"], F.when(said(b), F.lit("")).otherwise(F.concat(F.lit(" — "), b["label"]))))

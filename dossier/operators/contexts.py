@@ -60,6 +60,34 @@ def coverage(documents: DataFrame, known: DataFrame, key: str, processing: DataF
     return both.select(key, *(zero(c).alias(c) for c in ("successful", "failed", "skipped", "chars")), unsupported.alias("unsupported"), complete.alias("complete"))
 
 
+def known_names(kind: Column, documents: Column, document_url: Column, resource_url: Column) -> Column:
+    """Names of the documents that an announcement of a resource type is known to have, read or not."""
+    one = lambda c: F.filter(F.array(c), lambda x: x.isNotNull() & (x != ""))
+    listed = F.filter(F.transform(F.coalesce(documents, F.array().cast("array<struct<filename:string>>")), lambda d: d["filename"]), lambda x: x.isNotNull() & (x != ""))
+    none = F.array().cast("array<string>")
+    return F.when(kind == "armeps_documents_page", listed).when(kind == "eauction_tender_page", one(document_url)).when(kind == "direct_file", one(resource_url)).otherwise(none)
+
+
+def metrics(counts: dict[str, Column]) -> Column:
+    """Map of the counts that are known."""
+    pairs = [x for n, c in counts.items() for x in (F.lit(n), c.cast("long"))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+def nested(announcements: DataFrame, enrichments: DataFrame, documents: DataFrame, coverage_: DataFrame, key: str, announcement: Sequence[str], enrichment: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The whole context of each announcement that has an enrichment: key, announcement, enrichment, document_coverage, documents.
+
+    documents are structs of all columns but key, in order, an empty array for none; coverage_ has key and its facts.
+    """
+    rest = [c for c in documents.columns if c != key]
+    lists = documents.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("d")))).alias("l"))
+    entries = lists.select(key, F.transform("l", lambda x: x["d"]).alias("documents"))
+    facts = coverage_.select(key, F.struct(*(c for c in coverage_.columns if c != key)).alias("document_coverage"))
+    joined = announcements.select(key, F.struct(*announcement).alias("announcement")).join(enrichments.select(key, F.struct(*enrichment).alias("enrichment")), key)
+    out = joined.join(facts, key, "left").join(entries, key, "left")
+    return out.withColumn("documents", F.coalesce("documents", F.array().cast(out.schema["documents"].dataType)))
+
+
 def canonical_json(fields: dict[str, Column]) -> Column:
     """Compact JSON of named values by name, nulls kept."""
     return F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items()))), {"ignoreNullFields": "false"})

@@ -10,10 +10,14 @@ from dossier.functions.text import collapsed
 
 
 def grounded(quotes: DataFrame, sources: DataFrame, key: str, quote: str = "quote", text: str = "text") -> DataFrame:
-    """quotes with grounded: whether the quote, white space collapsed, is in the source of its key.  Case and Unicode form count; a blank quote or missing source is not grounded."""
-    joined = quotes.join(sources.select(key, F.col(text).alias("_source")), key, "left")
-    found = (collapsed(F.col(quote)) != "") & collapsed(F.col("_source")).contains(collapsed(F.col(quote)))
-    return joined.withColumn("grounded", F.coalesce(found, F.lit(False))).drop("_source")
+    """quotes with grounded: whether the quote, white space collapsed, is in the source of its key.  Case and Unicode form count; a blank quote or missing source is not grounded.
+
+    A source's white space is collapsed once, however many quotes it has.
+    """
+    plain = sources.select(key, collapsed(F.col(text)).alias("_source"))
+    joined = quotes.withColumn("_quote", collapsed(F.col(quote))).join(plain, key, "left")
+    found = (F.col("_quote") != "") & F.col("_source").contains(F.col("_quote"))
+    return joined.withColumn("grounded", F.coalesce(found, F.lit(False))).drop("_source", "_quote")
 
 
 def grounded_by_content(quotes: DataFrame, sources: DataFrame, canonical: DataFrame, key: str, quote: str = "quote", text: str = "text") -> DataFrame:
@@ -45,3 +49,44 @@ def quote_variants(c: Column) -> Column:
     """The text and its form inside JSON."""
     json = F.to_json(F.struct(c.alias("v")))
     return F.array(c, F.substring(json, F.lit(7), F.length(json) - 8))
+
+
+def leaf_texts(json: Column) -> Column:
+    """The strings and numbers at the leaves of a JSON value, as texts; names, true, false and null are none."""
+    token = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?|-?[0-9][0-9.eE+-]*'), F.lit(0))
+    leaf = F.filter(token, lambda x: ~x.rlike(r":$"))
+    return F.transform(leaf, lambda x: F.when(x.startswith('"'), F.try_variant_get(F.try_parse_json(x), "$", "string")).otherwise(x))
+
+
+def source_variants(text: Column, json: Column) -> Column:
+    """All texts in which a quote may stand: a flat text and its JSON form, or of a nested value its JSON, its leaves and the leaves' JSON forms."""
+    flat = quote_variants(text)
+    nested = F.concat(F.array(json), leaf_texts(json), F.flatten(F.transform(leaf_texts(json), quote_variants)))
+    return F.when(json.isNull(), flat).otherwise(nested)
+
+
+def quoted_in(variants: Column, quote: Column) -> Column:
+    """Whether a quote is in one of the texts, white space collapsed; a blank one never."""
+    plain = collapsed(quote)
+    return F.coalesce((plain != "") & F.exists(variants, lambda v: collapsed(v).contains(plain)), F.lit(False))
+
+
+def field_pieces(fields: dict[str, Column]) -> Column:
+    """array<struct<field, number, text>> of texts and arrays of texts by field, in the given order; nulls and empty ones have no piece."""
+
+
+    def pieces(name: str, c: Column) -> Column:
+        said = F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+        return F.transform(said, lambda x, i: F.struct(F.lit(name).alias("field"), i.cast("long").alias("piece"), x.alias("text")))
+
+    return F.concat(*(pieces(name, c) for name, c in fields.items()))
+
+
+def catalog_ids(kind: Column, field: Column, number: Column) -> Column:
+    """Ids of units of fields: ev_ann_ or ev_enr_, the field and the number from 0."""
+    return F.concat(F.when(kind == "announcement", "ev_ann_").otherwise("ev_enr_"), field, F.lit("_"), number.cast("string"))
+
+
+def repeated_ids(units: DataFrame, group: list[str]) -> DataFrame:
+    """Ids that a catalogue must not hold twice, with their number: a catalogue with any is unusable."""
+    return units.groupBy(*group, "evidence_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

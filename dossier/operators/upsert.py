@@ -86,6 +86,30 @@ def replaced_children(stored: Column, given: Column) -> Column:
     return F.struct(next_.alias("children"), (~next_.eqNullSafe(stored)).alias("changed"))
 
 
+def with_children(stored: DataFrame, rows: DataFrame, keys: Sequence[str], compared: Sequence[str], lists: Sequence[str], now: Column, last: str = "enriched_at") -> DataFrame:
+    """The next snapshot of parents with lists of children, and status: keys, compared, lists, last, status (null for rows that are not given).
+
+    Scalars are replaced; a null list keeps the stored one, any other replaces it whole; last is now for every given row.
+    """
+    new = rows.select(*keys, F.struct(*compared).alias("new"), *(F.col(c).alias(f"new_{c}") for c in lists))
+    old = stored.select(*keys, F.struct(*compared).alias("old"), *(F.col(c).alias(f"old_{c}") for c in lists), F.col(last).alias("_last"))
+    both = new.join(old, list(keys), "full_outer")
+    differs = ~F.col("new").eqNullSafe(F.col("old"))
+    for c in lists:
+        differs = differs | replaced_children(F.col(f"old_{c}"), F.col(f"new_{c}"))["changed"]
+    status = F.when(F.col("new").isNull(), None).when(F.col("old").isNull(), "new").when(differs, "updated").otherwise("existing")
+    return both.select(
+        *keys, *(F.coalesce("new", "old")[c].alias(c) for c in compared), *(F.coalesce(f"new_{c}", f"old_{c}").alias(c) for c in lists),
+        F.when(F.col("new").isNotNull(), now).otherwise(F.col("_last")).alias(last), status.alias("status"),
+    )
+
+
+def results_upserted(stored: DataFrame, rows: DataFrame, keys: Sequence[str], compared: Sequence[str], parents: DataFrame, parent_key: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(next snapshot of results, rows without a parent); analyzed_at is that of the last change."""
+    known = rows.join(parents.select(parent_key).distinct(), parent_key, "left_semi")
+    return upserted(stored, known, keys, compared, now, first="first_analyzed_at", last="analyzed_at"), missing_parents(rows, parents.select(parent_key).distinct(), parent_key)
+
+
 def missing_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents, key, "left_anti")
 

@@ -95,6 +95,53 @@ def barrier_errors(barriers: Column) -> Column:
     })
 
 
+def conflict_errors(conflicts: Column) -> Column:
+    """Of array<struct<sources: array<string>, conflict_description, impact>>: no_sources, bad_source, blank_description, blank_impact."""
+    each = lambda bad: F.exists(F.coalesce(conflicts, F.array().cast("array<struct<sources:array<string>,conflict_description:string,impact:string>>")), bad)
+    return errors({
+        "no_sources": each(lambda c: F.coalesce(F.size(c["sources"]), F.lit(0)) <= 0),
+        "bad_source": each(lambda c: F.exists(F.coalesce(c["sources"], F.array().cast("array<string>")), lambda s: not_among(s, SOURCES))),
+        "blank_description": each(lambda c: is_blank(c["conflict_description"])),
+        "blank_impact": each(lambda c: is_blank(c["impact"])),
+    })
+
+
+def primitive_errors(json: Column, kinds: dict[str, str]) -> Column:
+    """Names of the fields of a JSON object that are not what they must be: text (not blank), text?, flag, flag?, count, count? or list.
+
+    A question mark lets null stand; a missing field is null.  What is no object fails as object.
+    """
+    value = F.try_parse_json(json)
+    checks = {"object": value.isNull() | ~F.ltrim(json).startswith("{")}
+    for name, kind in kinds.items():
+        part = F.try_variant_get(value, f"$.{name}", "variant")
+        said = F.schema_of_variant(part)
+        none = part.isNull() | (said == "VOID")
+        number = F.try_variant_get(value, f"$.{name}", "bigint")
+        right = {
+            "text": (said == "STRING") & ~is_blank(F.try_variant_get(value, f"$.{name}", "string")),
+            "flag": said == "BOOLEAN",
+            "count": (said == "BIGINT") & (number >= 0),
+            "list": said.startswith("ARRAY"),
+        }[kind.rstrip("?")]
+        if kind == "text?":
+            right = said == "STRING"
+        checks[name] = ~(F.coalesce(right, F.lit(False)) | (none if kind.endswith("?") else F.lit(False)))
+    return errors(checks)
+
+
+def procurement_errors(block: Column) -> Column:
+    """Of struct<total_lots, items: array<struct<item_name, evidence>>, lots: array<struct<lot_number, item_count>>>: bad_total, items, bad_lot, bad_count; null has none."""
+    lots = F.coalesce(block["lots"], F.array().cast("array<struct<lot_number:string,item_count:bigint>>"))
+    found = errors({
+        "bad_total": F.coalesce(block["total_lots"] < 0, F.lit(False)),
+        "items": F.size(item_errors(block["items"])) > 0,
+        "bad_lot": F.exists(lots, lambda x: is_blank(x["lot_number"])),
+        "bad_count": F.exists(lots, lambda x: F.coalesce(not_natural(x["item_count"]), F.lit(False))),
+    })
+    return F.when(block.isNull(), F.array().cast("array<string>")).otherwise(found)
+
+
 def item_errors(items: Column) -> Column:
     """Of array<struct<item_name, evidence: array>>: blank_name, no_evidence; an item can't be claimed without a quote."""
     each = lambda bad: F.exists(F.coalesce(items, F.array().cast("array<struct<item_name:string,evidence:array<string>>>")), bad)

@@ -38,6 +38,13 @@ def announcements(list_pages: DataFrame, site: Site) -> DataFrame:
     )
 
 
+def section_runs(list_pages: DataFrame) -> DataFrame:
+    """(section, url, html) -> section, pages, failed (not landed or blank), whole; a failed page leaves the others as they are."""
+    failed = text.is_blank(F.col("html"))
+    runs = list_pages.groupBy("section").agg(F.count(F.lit(1)).alias("pages"), F.count_if(failed).alias("failed"))
+    return runs.withColumn("whole", F.col("failed") == 0)
+
+
 def ingest(stored: DataFrame, given: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """The next snapshot of announcements and the status of each given row, taken in order."""
     keys, fields, needed = ["resource_url"], list(schemas.ANNOUNCEMENT_FIELDS), list(schemas.ANNOUNCEMENT_REQUIRED)
@@ -63,6 +70,9 @@ def enrichments(rows: DataFrame, detail_pages: DataFrame, site: Site) -> DataFra
     for c in site.required:
         found = found & ~text.is_blank(F.col(c))
     status = F.when(found, "success").otherwise("partial")
+    if "resource_type" in rows.columns:
+        joined = joined.join(rows.select("resource_url", "resource_type"), "resource_url")
+        status = rules.enrichment_status(F.col("resource_type"), F.when(found, 0).otherwise(1))
     matches = {f"{c}_match": dates.dates_match(F.col(c), F.col(f"{c}_detail")) for c in ("published_at", "deadline_at") if f"{c}_detail" in names}
     return joined.withColumns(matches | {"enrichment_status": status}).drop("published_at", "deadline_at")
 
@@ -74,14 +84,19 @@ def plans(rows: DataFrame) -> DataFrame:
 
 
 def extractions(planned: DataFrame, files: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
-    """Plans with landed files (url, content) -> resource_url, sha256 and the members' texts; too large files and pages instead of files are failed rows."""
+    """Plans with landed files (url, content, perhaps content_length) -> resource_url, sha256 and the members' texts.
+
+    Too large files, pages instead of files and files of another length than was announced are failed rows.
+    """
     landed = planned.join(files, planned["source_url"] == files["url"])
     length = F.octet_length("content")
     page = F.lower(F.decode(F.substring("content", 1, 200), "ISO-8859-1")).rlike("<!doctype html|<html")
     refused = F.when(length > most_bytes, "too many bytes").when(page, "a page instead of a file")
+    if "content_length" in files.columns:
+        refused = F.when(F.col("content_length") > most_bytes, "too many bytes").when(F.col("content_length") != length, "fewer bytes than announced").otherwise(refused)
     checked = landed.withColumn("refused", refused).withColumn("sha256", F.sha2("content", 256))
-    good = checked.where("refused IS NULL").withColumn("path", F.to_json(F.struct("resource_url", "sha256", F.lower("expected_filename").alias("name"))))
-    texts = office.extracted(good.withColumn("path", F.concat("path", F.lit("|"), F.lower("expected_filename")))).withColumn("k", F.from_json(F.substring_index("path", "|", 1), "resource_url string, sha256 string"))
-    done = texts.select("k.resource_url", "k.sha256", "member_name", "file_type", "status", "text", "error")
+    good = checked.where("refused IS NULL").withColumn("path", F.lower("expected_filename"))
+    texts = office.extracted(good, keys=("resource_url", "sha256"))
+    done = texts.select("resource_url", "sha256", "member_name", "file_type", "status", "text", "error")
     failed = checked.where("refused IS NOT NULL").select("resource_url", "sha256", F.lit("").alias("member_name"), F.lit(None).cast("string").alias("file_type"), F.lit("failed").alias("status"), F.lit(None).cast("string").alias("text"), F.col("refused").alias("error"))
     return done.unionByName(failed)

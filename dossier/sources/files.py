@@ -6,7 +6,6 @@ from email.errors import HeaderParseError
 from email.header import decode_header, make_header
 from email.message import Message
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ def write_artifact(rows: DataFrame, path: str) -> None:
 
 
 def header_name(disposition: str | None) -> str | None:
-    """The file name in a Content-Disposition, with encoded words decoded and UTF-8 that was read as Latin-1 put right."""
+    """The file name in one Content-Disposition, with encoded words decoded and UTF-8 that was read as Latin-1 put right."""
     if not disposition:
         return None
     message = Message()
@@ -50,12 +49,17 @@ def header_name(disposition: str | None) -> str | None:
 
 
 def header_file_name(disposition: Column) -> Column:
-    """As header_name, over batches."""
-
-    def names(c: pd.Series) -> pd.Series:
-        return c.map(header_name)
-
-    return F.pandas_udf(names, "string")(disposition)
+    """The file name in a Content-Disposition: the extended form by its percent codes, a quoted one with a Base64 word of UTF-8 decoded, or a plain one; UTF-8 that was read as Latin-1 is put right; null if there is none."""
+    extended = F.nullif(F.regexp_extract(disposition, r"(?i);\s*filename\*\s*=\s*[^';]*'[^';]*'([^;]+)", 1), F.lit(""))
+    quoted = F.nullif(F.regexp_replace(F.regexp_extract(disposition, r'(?i);\s*filename\s*=\s*"((?:[^"\\]|\\.)*)"', 1), r"\\(.)", "$1"), F.lit(""))
+    plain = F.nullif(F.regexp_extract(disposition, r'(?i);\s*filename\s*=\s*([^";\s]+)', 1), F.lit(""))
+    decoded = F.try_url_decode(F.replace(extended, F.lit("+"), F.lit("%2B")))
+    word = F.regexp_extract(quoted, r"(?i)^=\?utf-8\?b\?([A-Za-z0-9+/=]*)\?=$", 1)
+    encoded = F.when(word != "", F.try_validate_utf8(F.unbase64(word).cast("string")))
+    said = F.coalesce(decoded, encoded, quoted, plain)
+    latin = said.rlike(r"^[\u0000-\u00FF]*[\u0080-\u00FF][\u0000-\u00FF]*$")
+    mended = F.try_validate_utf8(F.encode(said, "ISO-8859-1").cast("string"))
+    return F.nullif(F.trim(F.when(latin, F.coalesce(mended, said)).otherwise(said)), F.lit(""))
 
 
 def landed_names(files: DataFrame, folder: str, name: str, sha256: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
@@ -61,10 +61,19 @@ def _paragraph(node) -> str:
     return "".join(parts)
 
 
-def docx_text(data: bytes) -> tuple[str, dict[str, int]]:
+def _part(z: zipfile.ZipFile, name: str, limits: Limits) -> bytes:
+    """A part of an office file, read no further than a member may be large."""
+    with z.open(name) as f:
+        data = f.read(limits.member_bytes + 1)
+    if len(data) > limits.member_bytes:
+        raise LimitExceeded(f"{name}: too many bytes")
+    return data
+
+
+def docx_text(data: bytes, limits: Limits = Limits()) -> tuple[str, dict[str, int]]:
     """Paragraphs and table rows in the order of the body; cells are parted by tabs."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+        body = ElementTree.fromstring(_part(z, "word/document.xml", limits)).find(f"{W}body")
     lines, paragraphs, tables = [], 0, 0
     for block in body if body is not None else ():
         if block.tag == f"{W}p":
@@ -93,16 +102,16 @@ def xlsx_text(data: bytes, limits: Limits) -> tuple[str, dict[str, int]]:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{S}si")]
-        targets = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet"))
+            shared = ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in ElementTree.fromstring(_part(z, "xl/sharedStrings.xml", limits)).findall(f"{S}si")]
+        targets = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(_part(z, "xl/_rels/workbook.xml.rels", limits))}
+        sheets = list(ElementTree.fromstring(_part(z, "xl/workbook.xml", limits)).iter(f"{S}sheet"))
         if len(sheets) > limits.sheets:
             raise LimitExceeded("too many sheets")
         out, n_sheets, n_rows, n_cells = [], 0, 0, 0
         for sheet in sheets:
             target = targets[sheet.get(f"{R}id")]
             lines = []
-            for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{S}row"):
+            for row in ElementTree.fromstring(_part(z, target if target.startswith("xl/") else f"xl/{target}", limits)).iter(f"{S}row"):
                 values: dict[int, str] = {}
                 for k, cell in enumerate(row.findall(f"{S}c")):
                     value, kind = cell.find(f"{S}v"), cell.get("t")
@@ -129,7 +138,7 @@ def xlsx_text(data: bytes, limits: Limits) -> tuple[str, dict[str, int]]:
 
 def _read(name: str, kind: str, data: bytes, spent: _Spent) -> tuple:
     try:
-        text, counts = docx_text(data) if kind == "docx" else xlsx_text(data, spent.limits)
+        text, counts = docx_text(data, spent.limits) if kind == "docx" else xlsx_text(data, spent.limits)
         keys = ("paragraph_count", "table_count", "sheet_count", "row_count", "cell_count")
         return name, kind, "success", text, *(counts.get(k) for k in keys), None
     except Exception as e:  # whatever a damaged file does is its own failure
@@ -181,21 +190,23 @@ def members(name: str, data: bytes, limits: Limits) -> list[tuple]:
     return spent.rows
 
 
-def extracted(files: DataFrame, *, path: str = "path", content: str = "content", limits: Limits | None = None) -> DataFrame:
-    """(path, content) -> path and the columns of MEMBER, a row a document; null content is a failed row."""
+def extracted(files: DataFrame, *, path: str = "path", content: str = "content", keys: Sequence[str] = (), limits: Limits | None = None) -> DataFrame:
+    """(path, content) -> keys, path and the columns of MEMBER, a row a document; null content is a failed row."""
     limits = limits or Limits()
+    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.select(*keys).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in MEMBER.split(", ")]
         kinds = [pa.int64() if c.endswith("long") else pa.string() for c in MEMBER.split(", ")]
         for batch in batches:
-            for name, data in zip(batch.column(path).to_pylist(), batch.column(content), strict=True):
+            for i, (name, data) in enumerate(zip(batch.column(path).to_pylist(), batch.column(content), strict=True)):
                 rows = members(name or "", data.as_py() or b"", limits)
                 if rows:
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *columns], names=["path", *names])
+                    own = [batch.column(k).take(pa.array([i] * len(rows), pa.int64())) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([name] * len(rows), pa.string()), *columns], names=[*keys, "path", *names])
 
-    return files.select(path, content).mapInArrow(run, f"path string, {MEMBER}")
+    return files.select(*keys, path, content).mapInArrow(run, f"{key_ddl}path string, {MEMBER}")
 
 
 def extraction_status(rows: DataFrame) -> DataFrame:

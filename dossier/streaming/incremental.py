@@ -2,7 +2,8 @@
 
 A batch writes version n + 1 from version n, whole, under its own number; a batch
 that is run again after a failure writes the same version again, so that every
-source row counts once.  Offsets are in the query's checkpoint.
+source row counts once.  Offsets are in the query's checkpoint, beside the versions in
+one base folder: a run with the base of an earlier one goes on where that ended.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from dossier.functions.text import is_blank
 from dossier.operators import upsert
-from dossier.store import fresh_path, table_or_empty
+from dossier.store import fresh_path, numbered, table_or_empty
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 16) -> DataFrame:
@@ -27,47 +29,60 @@ def run_available(stream: DataFrame, checkpoint: str, handle) -> None:
     query.awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, keys: Sequence[str], compared: Sequence[str], position: str, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def upsert_stream(stream: DataFrame, keys: Sequence[str], compared: Sequence[str], position: str, required: Sequence[str] = (), base: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The last snapshot (keys, compared, first_seen_at, last_seen_at as positions) and the status of every row (keys, position, status).
 
     Rows are taken by position whatever batch they come in: a key's row with the largest position wins, first_seen_at is its
     smallest position, last_seen_at the largest of the run, and a row is compared with its key's row before it by position.
+    Rows with a blank required field are failed and change nothing.  base is the folder of versions, rows and checkpoint.
     """
     spark = stream.sparkSession
-    base = fresh_path(spark, "incremental")
+    base = base or fresh_path(spark, "incremental")
     kinds = {f.name: f for f in stream.schema.fields}
     given = StructType([kinds[c] for c in (*keys, *compared, position)])
     empty = StructType([kinds[c] for c in (*keys, *compared)]).add("first_seen_at", kinds[position].dataType).add("last_seen_at", kinds[position].dataType)
-    versions: list[int] = []
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.select(*given.names).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
         good = spark.read.schema(given).parquet(f"{base}/rows/batch={number}")
         for c in required:
-            good = good.where(F.col(c).isNotNull())
+            good = good.where(~is_blank(F.col(c).cast("string")))
         now = table_or_empty(spark, f"{base}/snapshot/{number}", empty)
         rows = now.unionByName(good.select(*keys, *compared, F.col(position).alias("first_seen_at"), F.col(position).alias("last_seen_at")))
         merged = rows.groupBy(*keys).agg(F.max_by(F.struct(*compared), F.struct("last_seen_at")).alias("_last"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
         merged.select(*keys, *(F.col("_last")[c].alias(c) for c in compared), "first_seen_at", "last_seen_at").write.mode("overwrite").parquet(f"{base}/snapshot/{number + 1}")
-        versions.append(number + 1)
 
     run_available(stream, f"{base}/checkpoint", handle)
     none = spark.createDataFrame([], empty)
+    versions = numbered(spark, f"{base}/snapshot")
     if not versions:
         return none, none.select(*keys, F.col("first_seen_at").alias(position), F.lit("").alias("status"))
-    snapshot = spark.read.schema(empty).parquet(f"{base}/snapshot/{versions[-1]}")
+    snapshot = spark.read.schema(empty).parquet(f"{base}/snapshot/{max(versions)}")
     moment = snapshot.agg(F.max("last_seen_at").alias("last_seen_at"))
-    rows = spark.read.schema(given).parquet(*(f"{base}/rows/batch={n - 1}" for n in sorted(set(versions))))
+    rows = spark.read.schema(given).parquet(*(f"{base}/rows/batch={n - 1}" for n in sorted(versions)))
     return snapshot.drop("last_seen_at").crossJoin(moment), upsert.batch_status(none, rows, keys, compared, position, required)
 
 
-def once_only(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each key's first row, across batches; what came first is kept in the query's state."""
+def once_only(stream: DataFrame, keys: Sequence[str], base: str | None = None) -> DataFrame:
+    """Each key's first row, across batches.
+
+    What was delivered is a table that each batch is joined against, not state in executors' memory: it may grow for ever,
+    and a run with the base of an earlier one delivers nothing twice.
+    """
     spark = stream.sparkSession
-    base = fresh_path(spark, "delivered")
+    base = base or fresh_path(spark, "delivered")
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        before = [f"{base}/rows/{n}" for n in numbered(spark, f"{base}/rows") if n < number]
+        new = batch.dropDuplicates(list(keys))
+        if before:
+            seen = spark.read.schema(stream.schema).parquet(*before).select(*(F.col(k).alias(f"_{k}") for k in keys))
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            new = new.join(seen, same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{base}/rows/{number}")
 
-    run_available(stream.dropDuplicates(list(keys)), f"{base}/checkpoint", handle)
-    return table_or_empty(spark, f"{base}/rows", stream.schema).select(*stream.columns)
+    run_available(stream, f"{base}/checkpoint", handle)
+    done = [f"{base}/rows/{n}" for n in numbered(spark, f"{base}/rows")]
+    return spark.read.schema(stream.schema).parquet(*done) if done else spark.createDataFrame([], stream.schema)
