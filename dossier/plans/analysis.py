@@ -1,7 +1,9 @@
 """An analysis batch: which announcements need it is one set-wise plan; the few that the batch takes go one by one to an injected analyzer.
 
 A call is paid for at most once: it is reserved before and settled after, and while
-a reservation is open no other call is made.
+a reservation is open no other call is made.  Triage and deep analysis are two legs of
+one batch with one budget: deep calls are for announcements whose triage is current and
+relevant and which the commercial gate lets through, as next_steps tells.
 """
 
 from __future__ import annotations
@@ -10,10 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from dossier.operators import candidates
+from dossier.functions import rules
+from dossier.operators import candidates, ledger
+from dossier.store import table_or_empty
 
 #: Takes a row as a dictionary, returns result (a dictionary), usage (tokens) and response_id.
 Analyzer = Callable[[dict], dict]
@@ -34,6 +39,7 @@ class Batch:
     ledger: list[dict] = field(default_factory=list)
     reservations: list[dict] = field(default_factory=list)
     blocked: bool = False
+    spent: Decimal = Decimal(0)
 
 
 def selected(rows: DataFrame, limit: int) -> DataFrame:
@@ -45,18 +51,33 @@ def selected(rows: DataFrame, limit: int) -> DataFrame:
     return candidates.limited_with_exempt(waiting, F.col("reason") == "skip_expired", [retried, F.col("first_seen_at"), F.col("resource_url")], limit)
 
 
-def run_batch(rows: DataFrame, analyzer: Analyzer, price: Callable[[dict], Decimal], *, limit: int, budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], open_reservations: int = 0) -> Batch:
+def next_steps(rows: DataFrame, triage: DataFrame, deep: DataFrame, key: str, facts: dict[str, Column]) -> DataFrame:
+    """rows (key, input_hash) with step: what each needs next, with stored results of the same content taken over; facts has eligibility, gate and admission."""
+    same = rows.join(triage.select(key, F.col("input_hash").alias("_triage"), "relevance_status"), key, "left").join(deep.select(key, F.col("input_hash").alias("_deep")), key, "left")
+    current = lambda c: F.coalesce(F.col(c) == F.col("input_hash"), F.lit(False))
+    step = rules.next_step({"triage_current": current("_triage"), "not_relevant": F.coalesce(F.col("relevance_status") == "not_relevant", F.lit(False)), "deep_current": current("_deep")} | facts)
+    return same.withColumn("step", step).drop("_triage", "_deep", "relevance_status")
+
+
+def run_batch(rows: DataFrame, analyzer: Analyzer, price: Callable[[dict], Decimal], *, limit: int, budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], open_reservations: int = 0, leg: str = "triage") -> Batch:
     """Analyzes the selected rows on the driver; their number is bounded by limit, as each is a paid call."""
     batch = Batch(blocked=open_reservations > 0)
     paid = selected(rows, limit).where(F.col("reason") != "skip_expired").limit(limit)
-    for row in (r.asDict(recursive=True) for r in paid.collect()):
+    spent = _calls(batch, [r.asDict(recursive=True) for r in paid.collect()], analyzer, price, budget, spent, estimate, leg)
+    batch.spent = spent
+    return batch
+
+
+def _calls(batch: Batch, rows: list[dict], analyzer: Analyzer, price: Callable[[dict], Decimal], budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], leg: str) -> Decimal:
+    """Calls for the rows of one leg, one by one; what is spent after them."""
+    for row in rows:
         key = {"resource_url": row["resource_url"], "input_hash": row["input_hash"]}
         if batch.blocked:
             batch.outcomes.append(key | {"state": None, "reason_code": "accounting_blocked"})
             continue
         expected = estimate(row)
         if spent + expected > budget:
-            batch.outcomes.append(key | {"state": "triage_deferred_budget", "reason_code": "budget_deferred"})
+            batch.outcomes.append(key | {"state": f"{leg}_deferred_budget", "reason_code": "budget_deferred"})
             continue
         reservation = key | {"status": "reserved", "cost": expected}
         batch.reservations.append(reservation)
@@ -69,17 +90,52 @@ def run_batch(rows: DataFrame, analyzer: Analyzer, price: Callable[[dict], Decim
                 reservation["status"] = "released"
             else:
                 reservation["status"], batch.blocked = "unresolved", True
-            batch.outcomes.append(key | {"state": "triage_error", "reason_code": e.kind})
+            batch.outcomes.append(key | {"state": f"{leg}_error", "reason_code": e.kind})
             continue
         except Exception as e:  # an analyzer's failure is its row's; whether it cost is unknown
             reservation["status"], batch.blocked = "unresolved", True
-            batch.outcomes.append(key | {"state": "triage_error", "reason_code": f"unexpected_error: {type(e).__name__}"})
+            batch.outcomes.append(key | {"state": f"{leg}_error", "reason_code": f"unexpected_error: {type(e).__name__}"})
             continue
         spent += _settle(batch, reservation, answer["usage"], answer.get("response_id"), price)
-        batch.outcomes.append(key | {"state": "triage_completed", "reason_code": answer["result"].get("relevance_status"), "result": answer["result"]})
+        batch.outcomes.append(key | {"state": f"{leg}_completed", "reason_code": answer["result"].get("relevance_status"), "result": answer["result"]})
+    return spent
+
+
+def process(steps: DataFrame, analyzers: dict[str, Analyzer], price: Callable[[dict], Decimal], *, limit: int, budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], open_reservations: int = 0) -> Batch:
+    """Both legs of rows with step (see next_steps): up to limit calls, triage first, by first_seen_at and resource_url; the other rows' states are outcomes without a call."""
+    batch = Batch(blocked=open_reservations > 0)
+    costly = steps.where(F.col("step").isin("call_triage", "call_deep")).orderBy(F.col("step") == "call_deep", "first_seen_at", "resource_url").limit(limit)
+    rows = [r.asDict(recursive=True) for r in costly.collect()]
+    for leg in ("triage", "deep"):
+        spent = _calls(batch, [r for r in rows if r["step"] == f"call_{leg}"], analyzers[leg], price, budget, spent, estimate, leg)
+    batch.spent = spent
     return batch
 
 
+def quiet_states(steps: DataFrame) -> DataFrame:
+    """resource_url, state and reason_code of the rows that take no call."""
+    step = F.col("step")
+    states = {"skip_expired": "skipped_expired", "stop_not_relevant": "stopped_not_relevant", "reuse_deep": "deep_completed"}
+    state = F.when(step.startswith("gate:"), "commercial_gate_skip").when(step == "deferred:deferred_input_too_large", "deep_deferred_input").when(step.startswith("deferred:"), "deep_deferred_budget")
+    for name, value in states.items():
+        state = F.when(step == name, value).otherwise(state)
+    return steps.where(~step.isin("call_triage", "call_deep")).select("resource_url", state.alias("state"), F.nullif(F.regexp_extract(step, ":(.*)$", 1), F.lit("")).alias("reason_code"))
+
+
+def record(spark: SparkSession, batch: Batch, base: str, schemas: dict[str, StructType]) -> None:
+    """Appends a batch to the stored tables ledger and reservations in base; a response that the ledger has, from whatever batch, is not written again."""
+    rows = spark.createDataFrame(batch.ledger, schemas["ledger"])
+    ledger.appended(table_or_empty(spark, f"{base}/ledger", schemas["ledger"]), rows).write.mode("append").parquet(f"{base}/ledger")
+    spark.createDataFrame(batch.reservations, schemas["reservations"]).write.mode("append").parquet(f"{base}/reservations")
+
+
+def outstanding(spark: SparkSession, base: str, schema: StructType) -> int:
+    """The stored reservations that no later row of theirs has settled or released."""
+    rows = table_or_empty(spark, f"{base}/reservations", schema)
+    last = rows.groupBy("resource_url", "input_hash").agg(F.count_if(F.col("status").isin(*ledger.OUTSTANDING)).alias("open"), F.count_if(~F.col("status").isin(*ledger.OUTSTANDING)).alias("closed"))
+    return last.where("open > closed").count()
+
+
 def _settle(batch: Batch, reservation: dict, usage: dict, response_id: str | None, price: Callable[[dict], Decimal]) -> Decimal:
     reservation["status"] = "settled"
     if response_id is not None and any(x["response_id"] == response_id for x in batch.ledger):

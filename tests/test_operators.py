@@ -230,3 +230,67 @@ def test_incremental_by_position(spark, tmp_path):
         last[user] = said
     assert {r.user_id: (r.event_type, r.first_seen_at, r.last_seen_at) for r in snapshot.collect()} == {u: (t, u, 399) for u, t in last.items()}
     assert sorted((r.event_id, r.status) for r in statuses.collect()) == expected
+
+
+def test_both_legs_of_a_batch(spark, tmp_path):
+    from decimal import Decimal
+
+    from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
+
+    from dossier.plans import analysis
+
+    rows = spark.createDataFrame([(f"u{i}", "h", i) for i in range(7)], "resource_url string, input_hash string, first_seen_at long")
+    triage = spark.createDataFrame([("u1", "h", "relevant"), ("u2", "h", "not_relevant"), ("u3", "old", "relevant"), ("u4", "h", "relevant"), ("u6", "h", "relevant")], "resource_url string, input_hash string, relevance_status string")
+    deep = spark.createDataFrame([("u4", "h")], "resource_url string, input_hash string")
+    url = F.col("resource_url")
+    facts = {"eligibility": F.when(url == "u5", "expired").otherwise("eligible"), "gate": F.when(url == "u6", "skip_low_value").otherwise("deep_candidate"), "admission": F.lit("admitted")}
+    steps = analysis.next_steps(rows, triage, deep, "resource_url", facts)
+    assert {r.resource_url: r.step for r in steps.collect()} == {"u0": "call_triage", "u1": "call_deep", "u2": "stop_not_relevant", "u3": "call_triage", "u4": "reuse_deep", "u5": "skip_expired", "u6": "gate:skip_low_value"}
+    assert {r.resource_url: (r.state, r.reason_code) for r in analysis.quiet_states(steps).collect()} == {"u2": ("stopped_not_relevant", None), "u4": ("deep_completed", None), "u5": ("skipped_expired", None), "u6": ("commercial_gate_skip", "skip_low_value")}
+
+    calls = []
+
+    def analyzer(leg):
+        def call(row):
+            calls.append((leg, row["resource_url"]))
+            if row["resource_url"] == "u3":
+                raise analysis.AnalyzerError("timeout")
+            return {"result": {"relevance_status": "relevant"}, "usage": {"input_tokens": 10}, "response_id": "r1"}
+
+        return call
+
+    run = lambda **more: analysis.process(steps, {"triage": analyzer("triage"), "deep": analyzer("deep")}, lambda u: Decimal("0.5"), limit=5, budget=Decimal(9), spent=Decimal(0), estimate=lambda row: Decimal(1), **more)
+    batch = run()
+    # the unknown outcome of u3 blocks the deep call after it
+    assert calls == [("triage", "u0"), ("triage", "u3")] and batch.blocked
+    assert [(o["resource_url"], o["state"], o["reason_code"]) for o in batch.outcomes] == [("u0", "triage_completed", "relevant"), ("u3", "triage_error", "timeout"), ("u1", None, "accounting_blocked")]
+    text = lambda *names: [StructField(n, StringType()) for n in names]
+    schemas = {
+        "ledger": StructType([*text("resource_url", "input_hash", "response_id"), StructField("cost", DecimalType(38, 12)), StructField("input_tokens", LongType())]),
+        "reservations": StructType([*text("resource_url", "input_hash", "status"), StructField("cost", DecimalType(38, 12))]),
+    }
+    assert analysis.outstanding(spark, str(tmp_path), schemas["reservations"]) == 0
+    analysis.record(spark, batch, str(tmp_path), schemas)
+    analysis.record(spark, batch, str(tmp_path), schemas)
+    assert spark.read.parquet(f"{tmp_path}/ledger").count() == 1  # the same response from two batches
+    assert analysis.outstanding(spark, str(tmp_path), schemas["reservations"]) == 1
+    assert all(o["reason_code"] == "accounting_blocked" for o in run(open_reservations=1).outcomes)
+
+
+def test_runs_go_on_where_they_ended(spark, tmp_path):
+    from dossier.streaming import incremental
+
+    schema = "key string, value string, position long"
+    given = f"{tmp_path}/given"
+    kinds = spark.createDataFrame([], schema).schema
+    seen = []
+    for n, rows in enumerate(([("a", "1", 1), ("b", "2", 2)], [("a", "1", 3), ("b", " ", 4), ("c", "5", 5)])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(given)
+        snapshot, statuses = incremental.upsert_stream(incremental.file_stream(spark, given, kinds), ["key"], ["value"], "position", ["value"], base=f"{tmp_path}/run")
+        seen.append(({(r.key, r.value) for r in snapshot.collect()}, {(r.position, r.status) for r in statuses.collect()}))
+        once = incremental.once_only(incremental.file_stream(spark, given, kinds), ["key"], base=f"{tmp_path}/once")
+        assert once.count() == 2 + n
+    assert seen[0] == ({("a", "1"), ("b", "2")}, {(1, "new"), (2, "new")})
+    assert seen[1] == ({("a", "1"), ("b", "2"), ("c", "5")}, {(1, "new"), (2, "new"), (3, "existing"), (4, "failed"), (5, "new")})
+    numbers = sorted(int(p.name) for p in (tmp_path / "run" / "snapshot").iterdir() if p.name.isdigit())
+    assert numbers == [1, 2]
