@@ -212,3 +212,29 @@ def test_words_that_collide_under_sums(spark):
     assert known == {1: 61, 2: 1}
     items = spark.createDataFrame([(1, " ".join([one] * 12))], "item_id long, text string")
     assert [r.doc_id for r in decontamination.contaminated_pairs(docs.where("doc_id < 3"), items).collect()] == [1]
+
+
+def test_records_by_offset(spark):
+    """Without compression an entry's place is where its record begins in its file; a revisit's headers name its response."""
+    import os
+
+    page = "y" * 300
+    path = fresh_path(spark, "warc")
+    rows = [(i, f"http://h{i % 3}.org/{i}", page if i % 2 else f"{i}" * 60) for i in range(1, 40)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path, compression="none", archive_bytes=3000)
+    got = warc.capture_histories(spark, path, rows_a_span=7, run_rows=5, block_rows=2).collect()
+    assert len({r.archive for r in got}) > 1
+    ids = {}
+    for r in got:
+        with open(os.path.join(path, r.archive), "rb") as f:
+            f.seek(r.at)
+            head = f.read(2000).split(b"\r\n\r\n")[0].decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in head[1:])
+        assert head[0] == "WARC/1.1" and fields["X-Page-Id"] == str(r.page_id) and fields["WARC-Type"] == r.record_type
+        ids[r.page_id] = fields
+    for r in got:
+        if r.record_type == "revisit":
+            assert ids[r.page_id]["WARC-Refers-To"] == ids[r.refers_to]["WARC-Record-ID"] and ids[r.page_id]["WARC-Profile"] == warc.REVISIT_PROFILE
+            assert r.refers_to == 1 and r.payload_bytes == 300
+    order = [(r.url_key, r.stamp, r.page_id) for r in sorted(got, key=lambda r: (r.span, r.place))]
+    assert order == sorted(order) and len({r.span for r in got}) > 3
