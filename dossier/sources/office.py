@@ -1,7 +1,11 @@
 """Texts of DOCX, XLSX and ZIP files, a row for each member.
 
-Files come as rows of bytes (spark.read.format("binaryFile")) and are read one at
-a time; a bad file or member is a failed row and never ends the job.
+Files come as rows of bytes (spark.read.format("binaryFile")).  A small walker lists
+the members of an archive and hands on the XML parts of its documents as rows, which
+are dealt anew, so that no task has an archive to itself; small readers turn a part
+into rows of paragraphs, cells, strings or sheets; and texts, counts and limits are
+joins and aggregates over these.  A bad file, member or part is a failed row and never
+ends the job.
 """
 
 from __future__ import annotations
@@ -10,17 +14,24 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.store import stored
+
+# The namespaces of office files.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 MEMBER = "member_name string, file_type string, status string, text string, paragraph_count long, table_count long, sheet_count long, row_count long, cell_count long, error string"
+COUNTS = ("paragraph_count", "table_count", "sheet_count", "row_count", "cell_count")
+PART = "file string, path string, member_name string, file_type string, status string, error string, part string, xml binary"
+#: Rows of a part: a..d say where the text belongs, kind what it is.
+PIECE = "file string, member_name string, part string, kind string, a long, b long, c long, d long, name string, said string"
 
 
 @dataclass
@@ -37,32 +48,23 @@ class Limits:
     chars: int = 10_000_000
 
 
+class LimitExceeded(ValueError):
+    """The whole archive is given up."""
+
+
 @dataclass
 class _Spent:
     limits: Limits
     members: int = 0
     bytes: int = 0
-    rows: list[tuple] = field(default_factory=list)
 
 
-class LimitExceeded(ValueError):
-    """The whole archive is given up."""
+def _told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
-def _paragraph(node) -> str:
-    parts = []
-    for x in node.iter():
-        if x.tag == f"{W}t":
-            parts.append(x.text or "")
-        elif x.tag == f"{W}tab":
-            parts.append("\t")
-        elif x.tag in (f"{W}br", f"{W}cr"):
-            parts.append("\n")
-    return "".join(parts)
-
-
-def _part(z: zipfile.ZipFile, name: str, limits: Limits) -> bytes:
-    """A part of an office file, read no further than a member may be large."""
+def _bounded(z: zipfile.ZipFile, name: str, limits: Limits) -> bytes:
+    """A member's bytes, read no further than it may be large."""
     with z.open(name) as f:
         data = f.read(limits.member_bytes + 1)
     if len(data) > limits.member_bytes:
@@ -70,82 +72,22 @@ def _part(z: zipfile.ZipFile, name: str, limits: Limits) -> bytes:
     return data
 
 
-def docx_text(data: bytes, limits: Limits = Limits()) -> tuple[str, dict[str, int]]:
-    """Paragraphs and table rows in the order of the body; cells are parted by tabs."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ElementTree.fromstring(_part(z, "word/document.xml", limits)).find(f"{W}body")
-    lines, paragraphs, tables = [], 0, 0
-    for block in body if body is not None else ():
-        if block.tag == f"{W}p":
-            paragraphs += 1
-            text = _paragraph(block).strip()
-            lines += [text] if text else []
-        elif block.tag == f"{W}tbl":
-            tables += 1
-            for row in block.iter(f"{W}tr"):
-                cells = ["\n".join(filter(None, (_paragraph(p).strip() for p in cell.iter(f"{W}p")))) for cell in row.findall(f"{W}tc")]
-                if any(cells):
-                    lines.append("\t".join(cells))
-    return "\n".join(lines), {"paragraph_count": paragraphs, "table_count": tables}
-
-
-def _column(reference: str) -> int:
-    n = 0
-    for c in re.match("[A-Z]*", reference)[0]:
-        n = n * 26 + ord(c) - 64
-    return n - 1
-
-
-def xlsx_text(data: bytes, limits: Limits) -> tuple[str, dict[str, int]]:
-    """Stored values of each sheet with any, under its name; cells are parted by tabs, empty ones at the end left out."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in ElementTree.fromstring(_part(z, "xl/sharedStrings.xml", limits)).findall(f"{S}si")]
-        targets = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(_part(z, "xl/_rels/workbook.xml.rels", limits))}
-        sheets = list(ElementTree.fromstring(_part(z, "xl/workbook.xml", limits)).iter(f"{S}sheet"))
-        if len(sheets) > limits.sheets:
-            raise LimitExceeded("too many sheets")
-        out, n_sheets, n_rows, n_cells = [], 0, 0, 0
-        for sheet in sheets:
-            target = targets[sheet.get(f"{R}id")]
-            lines = []
-            for row in ElementTree.fromstring(_part(z, target if target.startswith("xl/") else f"xl/{target}", limits)).iter(f"{S}row"):
-                values: dict[int, str] = {}
-                for k, cell in enumerate(row.findall(f"{S}c")):
-                    value, kind = cell.find(f"{S}v"), cell.get("t")
-                    text = "".join(t.text or "" for t in cell.iter(f"{S}t")) if kind == "inlineStr" else (value.text or "" if value is not None else "")
-                    if kind == "s" and text:
-                        text = shared[int(text)]
-                    elif kind == "b":
-                        text = {"1": "TRUE", "0": "FALSE"}.get(text, text)
-                    if text:
-                        values[_column(cell.get("r")) if cell.get("r") else k] = text
-                n_rows, n_cells = n_rows + bool(values), n_cells + len(values)
-                if n_rows > limits.rows or n_cells > limits.cells:
-                    raise LimitExceeded("too many rows or cells")
-                if values:
-                    lines.append("\t".join(values.get(c, "") for c in range(max(values) + 1)))
-            if lines:
-                n_sheets += 1
-                out.append("\n".join([f"[Sheet: {sheet.get('name')}]", *lines]))
-    text = "\n".join(out)
-    if len(text) > limits.chars:
-        raise LimitExceeded("too much text")
-    return text, {"sheet_count": n_sheets, "row_count": n_rows, "cell_count": n_cells}
-
-
-def _read(name: str, kind: str, data: bytes, spent: _Spent) -> tuple:
+def _document(name: str, kind: str, data: bytes, limits: Limits) -> Iterator[tuple]:
+    """The parts of a DOCX or XLSX that hold what it says: rows of PART from member_name on."""
     try:
-        text, counts = docx_text(data, spent.limits) if kind == "docx" else xlsx_text(data, spent.limits)
-        keys = ("paragraph_count", "table_count", "sheet_count", "row_count", "cell_count")
-        return name, kind, "success", text, *(counts.get(k) for k in keys), None
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = z.namelist()
+            wanted = ["word/document.xml"] if kind == "docx" else ["xl/workbook.xml", "xl/_rels/workbook.xml.rels", *(n for n in names if n == "xl/sharedStrings.xml" or n.startswith("xl/worksheets/") and n.endswith(".xml"))]
+            parts = [(n, _bounded(z, n, limits)) for n in wanted]
     except Exception as e:  # whatever a damaged file does is its own failure
-        return name, kind, "failed", None, *[None] * 5, f"{type(e).__name__}: {e}"
+        yield name, kind, "failed", _told(e), None, None
+        return
+    yield name, kind, "success", None, None, None
+    for part, xml in parts:
+        yield name, kind, "part", None, part, xml
 
 
-def _walk(data: bytes, outer: str, depth: int, spent: _Spent) -> None:
+def _walk(data: bytes, outer: str, depth: int, spent: _Spent) -> Iterator[tuple]:
     limits = spent.limits
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
@@ -158,55 +100,168 @@ def _walk(data: bytes, outer: str, depth: int, spent: _Spent) -> None:
             name = f"{outer}!/{info.filename}" if outer else info.filename
             kind = info.filename.rsplit(".", 1)[-1].lower() if "." in info.filename.rsplit("/", 1)[-1] else ""
             if kind not in ("docx", "xlsx", "zip") or kind == "zip" and depth >= limits.depth:
-                spent.rows.append((name, kind, "skipped", None, *[None] * 5, None))
+                yield name, kind, "skipped", None, None, None
                 continue
             try:
-                with z.open(info) as f:
-                    inner = f.read(limits.member_bytes + 1)
-                if len(inner) > limits.member_bytes:
-                    raise LimitExceeded(f"{info.filename}: more bytes than it declares")
-                if kind == "zip":
-                    _walk(inner, name, depth + 1, spent)
-                else:
-                    spent.rows.append(_read(name, kind, inner, spent))
+                inner = _bounded(z, info.filename, limits)
+                yield from list(_walk(inner, name, depth + 1, spent)) if kind == "zip" else _document(name, kind, inner, limits)
             except LimitExceeded:
                 raise
             except Exception as e:
-                spent.rows.append((name, kind, "failed", None, *[None] * 5, f"{type(e).__name__}: {e}"))
+                yield name, kind, "failed", _told(e), None, None
 
 
-def members(name: str, data: bytes, limits: Limits) -> list[tuple]:
-    """Rows of MEMBER for a file by its extension; members of an archive as outer!/inner."""
+def _members(name: str, data: bytes, limits: Limits) -> list[tuple]:
+    """Rows of PART from member_name on for a file by its extension; members of an archive as outer!/inner."""
     kind = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-    spent = _Spent(limits)
     if kind in ("docx", "xlsx"):
-        return [_read("", kind, data, spent)]
-    if kind != "zip":
-        return [("", kind, "failed", None, *[None] * 5, "ValueError: the type is not supported")]
+        return list(_document("", kind, data, limits))
     try:
-        _walk(data, "", 1, spent)
+        if kind != "zip":
+            raise ValueError("the type is not supported")
+        return list(_walk(data, "", 1, _Spent(limits)))
     except Exception as e:
-        return [("", kind, "failed", None, *[None] * 5, f"{type(e).__name__}: {e}")]
-    return spent.rows
+        return [("", kind, "failed", _told(e), None, None)]
+
+
+def _paragraph(node) -> str:
+    marks = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n"}
+    return "".join((x.text or "") if x.tag == f"{W}t" else marks.get(x.tag, "") for x in node.iter()).strip()
+
+
+def _docx_pieces(xml: bytes) -> Iterator[tuple]:
+    """A paragraph of the body by its block, or of a table by block, row, cell and place; a table itself."""
+    body = ElementTree.fromstring(xml).find(f"{W}body")
+    for a, block in enumerate(body if body is not None else ()):
+        if block.tag == f"{W}p":
+            yield "paragraph", a, 0, 0, 0, None, _paragraph(block)
+        elif block.tag == f"{W}tbl":
+            yield "table", a, 0, 0, 0, None, None
+            for b, row in enumerate(block.iter(f"{W}tr")):
+                for c, cell in enumerate(row.findall(f"{W}tc")):
+                    yield "cell", a, b, c, 0, None, ""
+                    for d, p in enumerate(cell.iter(f"{W}p")):
+                        yield "cell", a, b, c, d, None, _paragraph(p)
+
+
+def _column(reference: str) -> int:
+    n = 0
+    for c in re.match("[A-Z]*", reference)[0]:
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
+def _xlsx_pieces(part: str, xml: bytes) -> Iterator[tuple]:
+    """Shared strings by number, sheets with their order and link, links with their parts, cells by row and column."""
+    root = ElementTree.fromstring(xml)
+    texts = lambda x: "".join(t.text or "" for t in x.iter(f"{S}t"))
+    if part == "xl/sharedStrings.xml":
+        for a, string in enumerate(root.findall(f"{S}si")):
+            yield "string", a, 0, 0, 0, None, texts(string)
+    elif part == "xl/workbook.xml":
+        for a, sheet in enumerate(root.iter(f"{S}sheet")):
+            yield "sheet", a, 0, 0, 0, sheet.get("name"), sheet.get(f"{R}id")
+    elif part.endswith(".rels"):
+        for a, link in enumerate(root):
+            target = (link.get("Target") or "").lstrip("/")
+            yield "link", a, 0, 0, 0, link.get("Id"), target if target.startswith("xl/") else f"xl/{target}"
+    else:
+        for a, row in enumerate(root.iter(f"{S}row")):
+            for k, cell in enumerate(row.findall(f"{S}c")):
+                value, kind = cell.find(f"{S}v"), cell.get("t")
+                text = texts(cell) if kind == "inlineStr" else (value.text or "" if value is not None else "")
+                if text:
+                    b = _column(cell.get("r")) if cell.get("r") else k
+                    if kind == "s":
+                        yield "shared", a, b, int(text), 0, None, None
+                    else:
+                        yield "value", a, b, 0, 0, None, {"1": "TRUE", "0": "FALSE"}.get(text, text) if kind == "b" else text
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [c.split() for c in PIECE.split(", ")]
+    schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in fields])
+    for batch in batches:
+        for file, member, part, xml in zip(*(batch.column(c).to_pylist() for c in ("file", "member_name", "part", "xml")), strict=True):
+            try:
+                rows = list(_docx_pieces(xml) if part.startswith("word/") else _xlsx_pieces(part, xml))
+            except Exception as e:
+                rows = [("error", 0, 0, 0, 0, None, _told(e))]
+            for a in range(0, len(rows), 20_000):
+                kinds = list(zip(*rows[a : a + 20_000], strict=True))
+                n = len(kinds[0])
+                columns = [[file] * n, [member] * n, [part] * n, *kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _joined(order: Sequence[str], text: str, between: str) -> Column:
+    """A group's texts in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), between)
+
+
+def _docx_texts(pieces: DataFrame) -> DataFrame:
+    """Paragraphs and table rows in the order of the body; cells are parted by tabs; blank ones are left out."""
+    document = ["file", "member_name"]
+    cells = pieces.where("kind = 'cell'").groupBy(*document, "a", "b", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("said") != "", F.struct("d", "said")))), lambda x: x["said"]), "\n").alias("cell"))
+    rows = cells.groupBy(*document, "a", "b").agg(_joined(["c"], "cell", "\t").alias("line"), F.max(F.col("cell") != "").alias("any")).where("any").drop("any")
+    lines = rows.unionByName(pieces.where("kind = 'paragraph' AND said <> ''").select(*document, "a", "b", F.col("said").alias("line")))
+    counts = pieces.groupBy(*document).agg(F.count_if(F.col("kind") == "paragraph").alias("paragraph_count"), F.count_if(F.col("kind") == "table").alias("table_count"))
+    return counts.join(lines.groupBy(*document).agg(_joined(["a", "b"], "line", "\n").alias("text")), document, "left")
+
+
+def _xlsx_texts(pieces: DataFrame, limits: Limits) -> DataFrame:
+    """Stored values of each sheet with any, under its name; cells are parted by tabs, empty ones at the end left out."""
+    document = ["file", "member_name"]
+    of = lambda kind: pieces.where(F.col("kind") == kind)
+    links = of("link").select(*document, F.col("name").alias("link"), F.col("said").alias("part"))
+    sheets = of("sheet").select(*document, F.col("a").alias("place"), "name", F.col("said").alias("link")).join(links, [*document, "link"]).drop("link")
+    strings = of("string").select(*document, F.col("a").alias("c"), F.col("said").alias("string"))
+    shared = of("shared").join(strings, [*document, "c"], "left").select(*document, "part", "a", "b", F.col("string").alias("value"))
+    cells = of("value").select(*document, "part", "a", "b", F.col("said").alias("value")).unionByName(shared).where("value <> ''")
+    row = cells.groupBy(*document, "part", "a").agg(F.map_from_entries(F.collect_list(F.struct("b", "value"))).alias("m"), F.max("b").alias("last"), F.count(F.lit(1)).alias("n"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.least("last", F.lit(limits.cells))), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))), "\t")
+    by_sheet = row.withColumn("line", line).groupBy(*document, "part").agg(_joined(["a"], "line", "\n").alias("lines"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("cells"))
+    said = by_sheet.join(sheets, [*document, "part"]).withColumn("block", F.concat(F.lit("[Sheet: "), "name", F.lit("]\n"), "lines"))
+    out = said.groupBy(*document).agg(_joined(["place"], "block", "\n").alias("text"), F.count(F.lit(1)).alias("sheet_count"), F.sum("rows").alias("row_count"), F.sum("cells").alias("cell_count"))
+    every = sheets.groupBy(*document).agg(F.count(F.lit(1)).alias("sheets")).join(out, document, "left").fillna(0, ["sheet_count", "row_count", "cell_count"])
+    limit = F.when(F.col("sheets") > limits.sheets, "too many sheets").when((F.col("row_count") > limits.rows) | (F.col("cell_count") > limits.cells), "too many rows or cells").when(F.length("text") > limits.chars, "too much text")
+    return every.withColumn("error", F.concat(F.lit("LimitExceeded: "), limit)).drop("sheets")
 
 
 def extracted(files: DataFrame, *, path: str = "path", content: str = "content", keys: Sequence[str] = (), limits: Limits | None = None) -> DataFrame:
-    """(path, content) -> keys, path and the columns of MEMBER, a row a document; null content is a failed row."""
+    """(path, content) -> keys, path and the columns of MEMBER, a row a document; null content is a failed row.
+
+    Rows that are alike in keys, path and content give their members once each.
+    """
     limits = limits or Limits()
-    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.select(*keys).schema.fields)
+    names = [c.split()[0] for c in PART.split(", ")]
+    own = files.select(*keys, F.col(path).alias("path"), F.col(content).alias("content"))
+    own = own.withColumn("file", F.sha2(F.concat_ws("\x01", F.to_json(F.struct(*keys, "path")), F.sha2("content", 256)), 256)).dropDuplicates(["file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in MEMBER.split(", ")]
-        kinds = [pa.int64() if c.endswith("long") else pa.string() for c in MEMBER.split(", ")]
+        schema = pa.schema([(n, pa.binary() if n == "xml" else pa.string()) for n in names])
         for batch in batches:
-            for i, (name, data) in enumerate(zip(batch.column(path).to_pylist(), batch.column(content), strict=True)):
-                rows = members(name or "", data.as_py() or b"", limits)
+            for file, name, data in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows = _members(name or "", data.as_py() or b"", limits)
                 if rows:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    own = [batch.column(k).take(pa.array([i] * len(rows), pa.int64())) for k in keys]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array([name] * len(rows), pa.string()), *columns], names=[*keys, "path", *names])
-
-    return files.select(*keys, path, content).mapInArrow(run, f"{key_ddl}path string, {MEMBER}")
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((file, name, *r) for r in rows), strict=True), schema, strict=True)], schema=schema)
+
+    parts = stored(own.select("file", "path", "content").mapInArrow(run, PART), "parts")
+    open_ = parts.where("status = 'part'").select("file", "member_name", "part", "xml").repartition("file", "member_name", "part")
+    pieces = stored(open_.mapInArrow(_pieces, PIECE), "pieces")
+    document = ["file", "member_name"]
+    bad = pieces.where("kind = 'error'").groupBy(*document).agg(F.min("said").alias("_bad"))
+    texts = _docx_texts(pieces.where(F.col("part").startswith("word/"))).unionByName(_xlsx_texts(pieces.where(F.col("part").startswith("xl/")), limits), allowMissingColumns=True)
+    read = parts.where("status <> 'part'").drop("part", "xml").withColumnRenamed("error", "_given").join(bad, document, "left").join(texts, document, "left")
+    error = F.coalesce("_given", "_bad", "error")
+    good = (F.col("status") == "success") & error.isNull()
+    done = read.select(
+        "file", "path", "member_name", "file_type", F.when(error.isNull(), F.col("status")).otherwise("failed").alias("status"), F.when(good, F.coalesce("text", F.lit(""))).alias("text"),
+        *(F.when(good, F.col(c)).alias(c) for c in COUNTS), error.alias("error"),
+    )
+    if keys:
+        done = done.join(own.select("file", *keys), "file")
+    return done.select(*keys, "path", *(c.split()[0] for c in MEMBER.split(", ")))
 
 
 def extraction_status(rows: DataFrame) -> DataFrame:
