@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions import rules
@@ -54,6 +55,20 @@ def mismatches(rows: DataFrame, id_column: str) -> DataFrame:
     return rows.groupBy("mismatch").agg(F.count(F.lit(1)).alias("n"), F.min(id_column).alias("first_id"))
 
 
+def mismatch_ids(rows: DataFrame, id_column: str, position: str) -> DataFrame:
+    """The ids of each class of mismatch, a row each, with their place in the class's order from 1; of compared rows.
+
+    Places are counted in buckets of the position, so that no task has a whole class.
+    """
+    wrong = rows.where("mismatch <> 'none'").select("mismatch", id_column, position)
+    bucket = F.floor(F.col(position) / 4096)
+    counts = wrong.groupBy("mismatch", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("mismatch", "_b", F.coalesce(F.sum("_n").over(W.partitionBy("mismatch").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(W.partitionBy("mismatch", "_b").orderBy(position, id_column))
+    placed = wrong.withColumn("_b", bucket).withColumn("_inner", inner).join(before, ["mismatch", "_b"])
+    return placed.select("mismatch", id_column, (F.col("_before") + F.col("_inner")).cast("long").alias("place"))
+
+
 def passes(rows: DataFrame, errors: Column, by: Sequence[str] = ()) -> DataFrame:
     """Whether all are right, without misses, false alarms and errors; categories don't count."""
     found = rows.groupBy(*by).agg(

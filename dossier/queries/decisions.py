@@ -189,6 +189,12 @@ def mismatch_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.mismatches(_cases(spark, sf_dir), "doc_id")
 
 
+@registry.add(CASES + "SELECT mismatch, doc_id, row_number() OVER (PARTITION BY mismatch ORDER BY doc_id) AS place FROM m WHERE mismatch <> 'none'")
+def mismatch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of each class of mismatch in order."""
+    return evaluation.mismatch_ids(_cases(spark, sf_dir), "doc_id", "doc_id").select("mismatch", "doc_id", "place")
+
+
 @registry.add(CASES + """
 SELECT p AS predicted_status, bool_and(e = p) AS all_right, count(*) FILTER (mismatch = 'false_negative') = 0 AS no_misses, count(*) FILTER (mismatch = 'false_positive') = 0 AS no_false_alarms, true AS no_errors,
   bool_and(e = p) AND count(*) FILTER (mismatch IN ('false_negative', 'false_positive')) = 0 AS passes FROM m GROUP BY p

@@ -11,6 +11,7 @@ from dossier.queries.base import Registry, table
 from dossier.sources import html, probes
 
 registry = Registry()
+SERVICE = r"/[a-z]+[.]php[?][a-z]+=[0-9]+"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,3 +175,71 @@ def keyword_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("<dl><dt>Estimated VALUE</dt><dd>price</dd>"), last, F.lit("<dt>Price ("), F.col("c_mktsegment"), F.lit(")</dt></dl>"))
     pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), body.alias("html"))
     return probes.keyword_fields(html.nodes(pages, "page_id", tags=("dt", "dd")), "page_id", ("dt",), {"deadline": ("last day", "deadline"), "value": ("value", "price")})
+
+
+@registry.add("""
+WITH s AS (SELECT c_custkey AS page_id, c_nationkey AS k, c_mktsegment AS seg FROM customer)
+SELECT page_id, array_to_string(CASE WHEN k % 2 = 0 THEN ['/a.php?id=' || k, '/b.php?doc=7'] ELSE ['/b.php?doc=7'] END, ' ') AS endpoints FROM s
+""")
+def page_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of services in the source of pages written from customers."""
+    k = F.col("c_nationkey")
+    body = F.concat(F.lit("<script>x('/b.php?doc=7','/b.php?doc=7')</script>"), F.when(k % 2 == 0, F.concat(F.lit('<a href="/a.php?id='), k.cast("string"), F.lit('">'))).otherwise(F.lit("")), F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.array_join(probes.endpoints(body, SERVICE), " ").alias("endpoints"))
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey AS page_id, c_nationkey AS k FROM customer)
+SELECT page_id, 'form_post' AS kind, '/go/' || k AS detail FROM c WHERE k % 2 = 0 UNION ALL SELECT page_id, 'form_get', '/go/' || k FROM c WHERE k % 2 = 1
+UNION ALL SELECT page_id, 'refresh', '5 /next/' || k FROM c WHERE k % 3 = 0 UNION ALL SELECT page_id, 'onload', 'go()' FROM c WHERE k % 5 = 0
+UNION ALL SELECT page_id, 'js_navigation', '2' FROM c UNION ALL SELECT page_id, 'js_submit', '1' FROM c WHERE k % 3 = 1
+""")
+def page_next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms, refreshes and navigation by script of pages written from customers."""
+    k, key = F.col("c_nationkey"), F.col("c_nationkey").cast("string")
+    body = F.concat(
+        F.when(k % 3 == 0, F.concat(F.lit('<meta http-equiv="Refresh" content="5; URL=/next/'), key, F.lit('">'))).otherwise(F.lit("")),
+        F.when(k % 5 == 0, F.lit('<body onload="go()">')).otherwise(F.lit("<body>")),
+        F.lit("<form method="), F.when(k % 2 == 0, "POST").otherwise("get"), F.lit(" action='/go/"), key, F.lit("'></form><script>location.href = 'x'; window.open('y');"),
+        F.when(k % 3 == 1, F.lit("f.submit();")).otherwise(F.lit("")), F.lit("</script></body>"),
+    )
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), body.alias("html"))
+    return probes.next_steps(html.nodes(pages, "page_id", tags=("form", "meta", "body"), said=("none",)), pages, "page_id")
+
+
+@registry.add("""
+SELECT c_custkey AS page_id, 'value' AS field, 'Estimated value' AS label, c_mktsegment AS value, 'dt/dd' AS via FROM customer WHERE c_nationkey % 2 = 0
+UNION ALL SELECT c_custkey, 'value', 'Price', c_name, 'tr' FROM customer WHERE c_nationkey % 3 = 0
+UNION ALL SELECT c_custkey, 'value', 'the price is ' || c_nationkey, NULL, 'text' FROM customer WHERE c_nationkey % 2 = 1 AND c_nationkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'deadline', 'Deadline soon', NULL, 'text' FROM customer
+""")
+def found_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields by keyword: pairs first, texts where there is no pair."""
+    k = F.col("c_nationkey")
+    pair = F.concat(F.lit("<dt>Estimated value</dt><dd>"), F.col("c_mktsegment"), F.lit("</dd>"))
+    body = F.concat(
+        F.lit("<dl><dt>Other</dt><dd>x</dd>"), F.when(k % 2 == 0, F.concat(pair, pair)).otherwise(F.lit("")), F.lit("</dl><table>"),
+        F.when(k % 3 == 0, F.concat(F.lit("<tr><td>Price</td><td>"), F.col("c_name"), F.lit("</td></tr>"))).otherwise(F.lit("<tr><td>a</td><td>b</td><td>c</td></tr>")),
+        F.lit("</table><p>the price is "), k.cast("string"), F.lit("</p><div><b>Deadline soon</b></div>"),
+    )
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), body.alias("html"))
+    return probes.found_fields(html.nodes(pages, "page_id"), "page_id", {"value": ("value", "price"), "deadline": ("deadline",)})
+
+
+@registry.add("SELECT c_custkey AS page_id, 'a' AS tag, 'new' AS classes, 'class,href' AS attributes FROM customer WHERE c_nationkey % 2 = 0")
+def structure_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the later version of a page has and the earlier one lacks."""
+    old = F.lit("<div class='x'><p>one</p></div>")
+    new = F.concat(old, F.when(F.col("c_nationkey") % 2 == 0, F.lit("<a class='new' href='#'>two</a>")).otherwise(F.lit("<p>two</p>")))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), old.alias("old"), new.alias("new"))
+    shapes = lambda column: html.structure(html.nodes(customers.select("page_id", F.col(column).alias("html")), "page_id"), "page_id")
+    return html.structure_difference(shapes("new"), shapes("old"), "page_id").drop("n")
+
+
+@registry.add("SELECT p_partkey AS page_id, p_partkey::VARCHAR AS argument FROM part WHERE p_size % 2 = 0")
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents in the calls of their links."""
+    key = F.col("p_partkey").cast("string")
+    call = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("<a href=\"javascript:getDocument('"), key, F.lit("')\">"))).when(F.col("p_size") % 2 == 0, F.concat(F.lit('<a href="#" onclick="getDocument( '), key, F.lit(', 1)">'))).otherwise(F.lit('<a href="/x">'))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), call.alias("html"))
+    return html.call_arguments(html.nodes(pages, "page_id", tags=("a",)), "page_id", "getDocument").drop("node")

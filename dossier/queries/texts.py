@@ -187,7 +187,22 @@ def agreed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.agreed(table(spark, sf_dir, "part"), "p_brand", "p_size")
 
 
-@registry.add()
+@registry.add("""
+WITH RECURSIVE l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role || ': ' || coalesce(text, '') AS line FROM conversations),
+e AS (SELECT conv_id, count(*) AS last_k FROM l GROUP BY 1),
+s AS (
+  SELECT conv_id, last_k, 1::BIGINT AS k, NULL::VARCHAR AS rest, '' AS page, 0 AS n, NULL::VARCHAR AS done FROM e
+  UNION ALL
+  SELECT conv_id, last_k, CASE step WHEN 'fit' THEN k + 1 WHEN 'cut' THEN k + (after = '')::BIGINT WHEN 'end' THEN k + 1 ELSE k END,
+    CASE step WHEN 'fit' THEN NULL WHEN 'cut' THEN nullif(after, '') ELSE line END, CASE step WHEN 'fit' THEN together ELSE '' END,
+    n + (step <> 'fit')::INTEGER, CASE step WHEN 'fit' THEN NULL WHEN 'cut' THEN substr(line, 1, size) ELSE page END
+  FROM (SELECT *, ltrim(substr(line, size + 1), ' ') AS after FROM (
+    SELECT s.*, coalesce(rest, l.line) AS line, CASE WHEN page = '' THEN coalesce(rest, l.line) ELSE page || chr(10) || coalesce(rest, l.line) END AS together,
+      CASE WHEN contains(substr(coalesce(rest, l.line), 2, 4096), ' ') THEN length(substr(coalesce(rest, l.line), 2, 4096)) - strpos(reverse(substr(coalesce(rest, l.line), 2, 4096)), ' ') + 1 ELSE 4096 END AS size,
+      CASE WHEN s.k > last_k THEN 'end' WHEN length(CASE WHEN page = '' THEN coalesce(rest, l.line) ELSE page || chr(10) || coalesce(rest, l.line) END) <= 4096 THEN 'fit' WHEN page <> '' THEN 'full' ELSE 'cut' END AS step
+    FROM s LEFT JOIN l ON l.conv_id = s.conv_id AND l.k = s.k WHERE s.k <= last_k OR s.k = last_k + 1 AND page <> '')))
+SELECT conv_id, (n - 1)::INTEGER AS n, length(done)::INTEGER AS chars, sha256(done) AS page_hash FROM s WHERE done IS NOT NULL
+""")
 def full_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as message pages of at most 4,096 characters."""
     turns = table(spark, sf_dir, "conversations")
@@ -205,3 +220,15 @@ SELECT doc_id, CASE WHEN length(t) <= 160 THEN t WHEN length(s) * 2 >= 160 THEN
 def clipped_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("text", text.collapsed(F.col("text")))
     return docs.select("doc_id", segments.clipped(F.col("text"), 160).alias("clipped"))
+
+
+@registry.add(r"""
+WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+p AS (SELECT doc_id, t, list_transform(list_filter(range(1, 160), lambda i: substr(t, i, 1) IN (',', ';') AND substr(t, i + 1, 1) = ' ' AND i < 160), lambda i: regexp_replace(substr(t, 1, i - 1), '[ ,;:–—-]+$', '')) AS parts FROM c),
+w AS (SELECT doc_id, t, list_filter(parts, lambda x: length(x) >= 64 AND regexp_extract(regexp_replace(x, '[ ,;:–—.-]+$', ''), '[^ ]*$') <> '' AND lower(regexp_extract(regexp_replace(x, '[ ,;:–—.-]+$', ''), '[^ ]*$')) NOT IN ('и', 'или', 'а', 'но', 'что', 'чтобы', 'как', 'для', 'в', 'во', 'на', 'с', 'со', 'по', 'к', 'ко', 'от', 'из', 'о', 'об', 'при', 'за', 'до', 'у', 'не', 'что-либо', 'также', 'где', 'когда', 'если')) AS whole FROM p)
+SELECT doc_id, CASE WHEN length(t) <= 160 THEN t WHEN len(whole) > 0 THEN whole[-1] || '.' END AS thought FROM w
+""")
+def complete_thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, or their longest beginnings that are a thought of their own."""
+    docs = _docs(spark, sf_dir).withColumn("text", text.collapsed(F.col("text")))
+    return docs.select("doc_id", segments.complete_thought(F.col("text"), 160).alias("thought"))

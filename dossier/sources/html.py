@@ -173,3 +173,15 @@ def structure(page_nodes: DataFrame, key: str) -> DataFrame:
 def tag_counts(page_nodes: DataFrame, key: str, tags: tuple[str, ...]) -> DataFrame:
     """Numbers of some tags of each page: what makes a page dynamic."""
     return page_nodes.groupBy(key).agg(*(F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in tags))
+
+
+def structure_difference(shapes: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Shapes (see structure) of shapes' pages that the page of the same key in other lacks."""
+    return shapes.join(other.select(key, "tag", "classes", "attributes"), [key, "tag", "classes", "attributes"], "left_anti")
+
+
+def call_arguments(page_nodes: DataFrame, key: str, function: str, attributes: tuple[str, ...] = ("href", "onclick")) -> DataFrame:
+    """key, node, argument of the first call of a script function in a node's attributes, as document links have it."""
+    said = F.concat_ws(" ", *(F.col("attrs")[a] for a in attributes))
+    argument = F.regexp_extract(said, function + r"\(\s*['\"]?([^'\"),\s]+)", 1)
+    return page_nodes.select(key, "node", argument.alias("argument")).where("argument <> ''")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions import urls
@@ -84,3 +85,45 @@ def matched_names(listed: DataFrame, on_page: DataFrame, key: str, name: str) ->
     shown = on_page.select(key, file_name_key(F.col(name)).alias("_k")).distinct().withColumn("_shown", F.lit(True))
     joined = listed.withColumn("_k", file_name_key(F.col(name))).join(shown, [key, "_k"], "left")
     return joined.withColumn("on_page", F.coalesce("_shown", F.lit(False))).drop("_k", "_shown")
+
+
+def endpoints(html: Column, pattern: str) -> Column:
+    """The distinct places of a page's source that look like addresses of services, in order of the alphabet."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))))
+
+
+def next_steps(page_nodes: DataFrame, pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, kind, detail of what a page would have a browser do: form_post and form_get with their action, refresh with seconds and target, onload, js_navigation and js_submit with their numbers."""
+    attribute = lambda name: F.coalesce(F.col("attrs")[name], F.lit(""))
+    refresh = (F.col("tag") == "meta") & (F.lower(attribute("http-equiv")) == "refresh")
+    kind = F.when(F.col("tag") == "form", F.when(F.lower(attribute("method")) == "post", "form_post").otherwise("form_get")).when(refresh, "refresh").when((F.col("tag") == "body") & (attribute("onload") != ""), "onload")
+    target = F.regexp_replace(attribute("content"), r"(?i)^\s*(\d+)\s*;\s*url\s*=\s*['\"]?([^'\"]*)['\"]?\s*$", "$1 $2")
+    detail = F.when(F.col("tag") == "form", attribute("action")).when(refresh, target).otherwise(attribute("onload"))
+    marked = page_nodes.select(key, kind.alias("kind"), detail.alias("detail")).where("kind IS NOT NULL")
+    scripts = F.array_join(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script\b.*?</script>"), F.lit(0)), "\n")
+    counts = F.array(F.struct(F.lit("js_navigation").alias("kind"), F.regexp_count(scripts, F.lit(r"location\s*(?:\.href)?\s*=|location\.(?:assign|replace)\(|window\.open\(")).alias("n")), F.struct(F.lit("js_submit").alias("kind"), F.regexp_count(scripts, F.lit(r"\.submit\(")).alias("n")))
+    said = pages.select(key, F.explode(counts).alias("c")).select(key, "c.kind", F.col("c.n").cast("string").alias("detail")).where("detail <> '0'")
+    return marked.unionByName(said)
+
+
+def found_fields(page_nodes: DataFrame, key: str, words: dict[str, Sequence[str]], most: int = 3, most_text: int = 150) -> DataFrame:
+    """key, field, label, value, via: up to most finds of each field of a page, each label and value once.
+
+    Pairs of a dt and its dd, or of the two cells of a row, whose label holds one of the words; a short text that holds
+    one counts, without a value, only where no pair does.
+    """
+    rows = page_nodes.select(key, "node", "parent", "tag", collapsed(F.col("text")).alias("text"))
+    siblings = W.partitionBy(key, "parent").orderBy("node")
+    after, n = F.lead(F.struct("tag", "text")).over(siblings), F.count_if(F.col("tag") == "td").over(W.partitionBy(key, "parent"))
+    first = F.row_number().over(siblings) == 1
+    via = F.when((F.col("tag") == "dt") & (after["tag"] == "dd"), "dt/dd").when((F.col("tag") == "td") & (n == 2) & first, "tr")
+    named = F.filter(F.array(*(F.when(F.lower("label").rlike("|".join(w)), F.lit(field)) for field, w in words.items())), lambda x: x.isNotNull())
+    pairs = rows.where(F.col("tag").isin("dt", "dd", "td")).select(key, "node", F.col("text").alias("label"), after["text"].alias("value"), via.alias("via")).where("via IS NOT NULL")
+    pairs = pairs.select(key, "node", "label", "value", "via", F.explode(named).alias("field"))
+    inner = rows.select(key, F.col("parent").alias("node")).distinct()
+    leaves = rows.join(inner, [key, "node"], "left_anti").where(~F.col("tag").isin("title", "noscript") & (F.length("text").between(1, most_text)))
+    texts = leaves.select(key, "node", F.col("text").alias("label"), F.lit(None).cast("string").alias("value"), F.lit("text").alias("via")).select("*", F.explode(named).alias("field"))
+    texts = texts.join(pairs.select(key, "field").distinct(), [key, "field"], "left_anti")
+    once = pairs.unionByName(texts).groupBy(key, "field", "label", "value", "via").agg(F.min("node").alias("node"))
+    nth = F.row_number().over(W.partitionBy(key, "field").orderBy("node"))
+    return once.withColumn("_nth", nth).where(F.col("_nth") <= most).select(key, "field", "label", "value", "via")
