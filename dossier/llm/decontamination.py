@@ -325,7 +325,10 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, *, threshold: float =
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, overlap: float = 0.8, most_index_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of docs that hold no item; all columns as they are."""
+    """The rows of docs that hold no item; all columns as they are.
+
+    Null and empty texts hold nothing, and null and empty items are nowhere; repeated rows are judged alike; no rows give none.
+    """
     names = docs.columns
     plain = docs.toDF(*[c if c == "text" else f"given_{i}" for i, c in enumerate(names)])
     for indexes in _item_blocks(items, threshold, most_index_bytes):
