@@ -176,3 +176,32 @@ def test_codes_and_callbacks(spark):
     assert [tuple(x) for x in one(spark, text.cpv_codes(lines))] == [("44131300", "a b"), (None, "4413130-x"), ("44131300", None)]
     assert one(spark, text.cpv_codes(F.array(F.lit(" ")))) is None
     assert [one(spark, text.callback_id(F.lit(x))) for x in ("full:17", "full:", "full:1234567890123456789", "xfull:1", None)] == [17, None, None, None, None]
+
+
+def test_last_functions(spark, tmp_path):
+    from dossier.operators import grounding, responses
+    from dossier.sources import html, office
+
+    assert one(spark, grounding.document_unit_id(F.lit(7), F.lit("abcdef0123"), F.lit(12))) == "ev_doc_7_abcdef_0012"
+    (tmp_path / "cases.json").write_text('[{"case_id": "a", "n": 1},\n {"case_id": "b", "n": null}]')
+    schema = spark.createDataFrame([], "case_id string, n long").schema
+    assert sorted(tuple(r) for r in files.json_cases(spark, str(tmp_path / "cases.json"), schema).collect()) == [("a", 1), ("b", None)]
+    (tmp_path / "bad.json").write_text('[{"case_id": "a", "n": "x"}')
+    with pytest.raises(Exception):
+        files.json_cases(spark, str(tmp_path / "bad.json"), schema).collect()
+    nodes = html.nodes(spark.createDataFrame([(1, "<div><p>a<b>x</b></p></div><p>c</p>")], "k int, html string"), "k")
+    pairs = html.inside(nodes.where("tag = 'div'"), nodes, "k").collect()
+    assert {(r.outer_node, r.tag, r.text) for r in pairs} == {(0, "p", "ax"), (0, "b", "x")}
+    found = spark.createDataFrame([("success", "docx", "abc"), ("success", "docx", "d"), ("failed", "zip", None)], "status string, file_type string, text string")
+    assert {tuple(r) for r in office.extraction_status(found).collect()} == {("success", "docx", 2, 4), ("failed", "zip", 1, 0)}
+    leaves = one(spark, grounding.leaf_texts(F.lit('{"a":"x \\"y\\"","b":[1,-2.5,true,null,{"c":"z"}],"d":""}')))
+    assert leaves == ['x "y"', "1", "-2.5", "z", ""]
+    said = lambda text_, json, quote: one(spark, grounding.quoted_in(grounding.source_variants(F.lit(text_).cast("string"), F.lit(json).cast("string")), F.lit(quote)))
+    assert said('a "b"', None, 'a \\"b') and said("a  b", None, "a b") and not said("ab", None, " ") and said(None, '{"k":["one","two"]}', '"k":["one') and said(None, '{"k":["o\\nne"]}', "o ne")
+    read = lambda text_: tuple(one(spark, responses.token_count(F.lit(text_).cast("string"))))
+    assert [read(x) for x in (None, "null", "12", "-1", "1.0", "true")] == [(0, False), (0, False), (12, False), (None, True), (None, True), (None, True)]
+
+
+@pytest.mark.parametrize(("header", "expected"), [(None, None), ("inline", None), ('attachment; filename="a b.docx"', "a b.docx"), ("attachment; filename*=UTF-8''%D1%84.zip", "ф.zip"), ('attachment; filename="=?UTF-8?B?0YQ=?="', "ф"), ('attachment; filename="Ñ\u0084"', "ф"), ('attachment; filename="x.zip"; filename*=UTF-8\'\'%zz', "x.zip")])
+def test_header_file_names(spark, header, expected):
+    assert one(spark, files.header_file_name(F.lit(header).cast("string"))) == expected
