@@ -265,12 +265,15 @@ class _Model:
         self.max_depth, self.least_count, self.least_ratio, self.hot = max_depth, least_count, least_ratio, hot
         self.split: list[np.ndarray] = []  #: by level: sorted structs of HOT, with gain as the ratio
 
-    def candidates(self, seen: np.ndarray, suffix_seen: np.ndarray) -> np.ndarray:
-        """The places whose contexts, of so many places and with suffixes of so many, can diverge or end one that does."""
-        most = 2.0 * suffix_seen + 1
-        n = np.maximum(1.0, np.minimum(seen, most / np.e))
-        bound = np.maximum(n * np.log(most / n), (2.0 * seen + 1) / np.e)
-        return np.flatnonzero((seen >= self.least_count) & (bound >= self.least_ratio * (1 - 1e-9)))
+    def candidates(self, seen: np.ndarray, suffix_seen: np.ndarray, level: int) -> np.ndarray:
+        """The places whose contexts, of so many places and with suffixes of so many, can diverge or, short of the last level, end one that does."""
+        at = np.flatnonzero(seen >= self.least_count)
+        own, most = seen[at], 2.0 * np.broadcast_to(suffix_seen, len(seen))[at] + 1
+        n = np.maximum(1.0, np.minimum(own, most / np.e))
+        bound = n * np.log(most / n)
+        if level < self.max_depth:
+            bound = np.maximum(bound, (2.0 * own + 1) / np.e)
+        return at[bound >= self.least_ratio * (1 - 1e-9)]
 
 
 def _group(model, depth: int, n_slices: int):
@@ -301,7 +304,7 @@ def _group(model, depth: int, n_slices: int):
             seen = np.where(place > 0, np.roll(seen, 1), t.n_texts if level == 1 else 0)
             suffix, c = c, words.mix(c * _ODD[0] + before + _U(level))
             before = np.where(place > level, np.roll(before, 1), START)
-            at = t.candidates(seen, suffix_seen)
+            at = t.candidates(seen, suffix_seen, level)
             asked = _Asked(c[at], h[at], seen[at], t.hot)
             if level == depth:
                 return _table(asked.rows(group, c[at], suffix[at], p[at], train[at], n_slices), ASKED)
