@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm import words
 from dossier.llm.components import components
-from dossier.llm.scratch import stored
+from dossier.llm.scratch import dropped, stored
 
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -232,22 +232,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     every = stored(copies.select("rep", "n", F.explode("bands").alias("key")), "buckets")
     shared_keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min_by(F.struct("rep", "n"), "rep").alias("pivot")).where("members > 1")
     buckets = stored(every.join(shared_keys.hint("merge"), "key"), "buckets")
+    dropped(every)
     texts = stored(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     alike = lambda n, other: F.least(n, other) >= threshold * F.greatest(n, other)
 
     members = buckets.where((F.col("rep") != F.col("pivot.rep")) & alike(F.col("n"), F.col("pivot.n")))
-    links = _aligned(members.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct(), texts, size, threshold)
+    first = _aligned(members.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct(), texts, size, threshold)
 
-    placed = buckets.join(components(links).toDF("rep", "class").hint("merge"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    placed = buckets.join(components(first).toDF("rep", "class").hint("merge"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     mixed = placed.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("key")
     undecided = stored(placed.join(mixed.hint("merge"), "key"), "undecided")
     listed = undecided.where((F.col("members") <= SMALL) & (F.col("rep") != F.col("pivot.rep"))).select("key", "rep", "n", "class")
     other = listed.toDF("key", "other_rep", "other_n", "other_class")
     pairs = listed.join(other, (listed["key"] == other["key"]) & (F.col("rep") < F.col("other_rep")) & (F.col("class") != F.col("other_class")) & alike(F.col("n"), F.col("other_n")))
-    links = links.union(_aligned(pairs.select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct(), texts, size, threshold))
-    links = links.union(_tiled(undecided.where(F.col("members") > SMALL), texts, size, threshold))
+    second = _aligned(pairs.select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct(), texts, size, threshold)
+    third = _tiled(undecided.where(F.col("members") > SMALL), texts, size, threshold)
+    dropped(buckets, texts, undecided)
 
-    classes = components(links).toDF("rep", "class")
+    classes = components(first.union(second).union(third)).toDF("rep", "class")
+    dropped(first, second, third)
     rep = copies.select("k1", "k2", "rep").join(classes, "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class"))
     out = signed.select("doc_id", "k1", "k2").join(rep, ["k1", "k2"], "left")
     class_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class", "doc_id"))
