@@ -13,7 +13,7 @@ from dossier.llm.language_id import op2_language_id
 from dossier.llm.mixing import OP5_SQL, op5_mixing
 from dossier.llm.near_dedup import op4_near_dedup
 from dossier.llm.sharding import op10_sharding
-from dossier.llm.substring_dedup import op1_substring_dedup
+from dossier.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from dossier.llm.suffix_tree_lm import op3_lm_scoring
 from dossier.llm.warc import OP7_SQL, op7_warc
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_formatting": OP8_SQL}

@@ -276,3 +276,15 @@ def substring_dedup(docs: DataFrame, *, size: int = 50, counters_per_window: flo
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT r, doc_id, unnest(list_transform(range(1, len(words) - 48), lambda i: {'k': i, 'h': md5(array_to_string(words[i:i + 49], ' '))}), recursive := true) FROM w),
+least AS (SELECT h, min(doc_id) AS first_id FROM s GROUP BY h),
+hit AS (SELECT r, k, TRUE AS starts FROM s JOIN least USING (h) WHERE doc_id > first_id),
+t AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w),
+c AS (SELECT r, word, k, coalesce(bool_or(starts) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), FALSE) AS covered FROM t LEFT JOIN hit USING (r, k)),
+d AS (SELECT r, count(*) AS n, count(*) FILTER (covered) AS gone, string_agg(word, ' ' ORDER BY k) FILTER (NOT covered) AS kept FROM c GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN d USING (r)
+"""
