@@ -46,6 +46,16 @@ def stage_current(row_hash: Column, pairs: Sequence[tuple[Column, Column]], curr
     return F.coalesce(same, F.lit(False))
 
 
+def loaded(candidates: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates (key, ...) with the columns of their row, and the candidates that have none and are left out."""
+    return candidates.join(rows, key), candidates.join(rows.select(key), key, "left_anti")
+
+
+def latest_with_children(versions: DataFrame, children: DataFrame, keys: Sequence[str], order: Sequence[str], version_id: str, child: Column, child_order: Column, name: str) -> DataFrame:
+    """The last version of each key, with an array of that version's children in order, empty for none."""
+    return with_children(latest(versions, keys, order), children, version_id, child, child_order, name)
+
+
 def first_wins(parts: Sequence[DataFrame], key: str, order: Sequence[str]) -> DataFrame:
     """Union in which the first row of a key stays: of an earlier part, then by order.  Rows with a blank key all stay.  Adds part, the number of the part."""
     every = parts[0].withColumn("part", F.lit(0))

@@ -43,6 +43,25 @@ def accuracy(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("ratio", F.try_divide("correct", "total"))
 
 
+def records(cases: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """One record a case: cases (key, preparation, expected_status, expected_type, expected_category) with outcome: skipped (not prepared), error (no prediction or one with an error) or scored.
+
+    predictions has key, predicted_status, predicted_type, predicted_category and error; core, category_match and full are null unless scored.
+    """
+    joined = cases.join(predictions.withColumn("_found", F.lit(True)), key, "left")
+    outcome = F.when(F.col("preparation") != "ok", "skipped").when(F.col("_found").isNull() | F.col("error").isNotNull(), "error").otherwise("scored")
+    scored = compared(joined.withColumn("outcome", outcome))
+    return scored.withColumns({c: F.when(F.col("outcome") == "scored", F.col(c)) for c in ("core", "category_match", "full", "mismatch")}).drop("_found")
+
+
+def valid_cases(cases: DataFrame, errors: DataFrame, most: int = 100) -> DataFrame:
+    """The cases, if they have no errors; else a ValueError that names the first of them."""
+    found = errors.limit(most).collect()
+    if found:
+        raise ValueError("; ".join(" ".join(map(str, r)) for r in found))
+    return cases
+
+
 def confusion(rows: DataFrame, expected: str, predicted: str, labels: Sequence[str] = STATUSES) -> DataFrame:
     """A row an expected label with the counts of each predicted one, zeros included."""
     found = rows.groupBy(expected).pivot(predicted, list(labels)).agg(F.count(F.lit(1)))

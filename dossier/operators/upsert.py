@@ -66,6 +66,12 @@ def status_counts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stage_summary(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of rows with status (new, updated, existing or failed): processed, success, failed and each of the others, zeros included."""
+    count = lambda *names: F.count_if(F.col("status").isin(*names))
+    return outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("processed"), count("new", "updated", "existing").alias("success"), *(count(n).alias(n) for n in ("failed", "new", "updated", "existing")))
+
+
 def last_attempt(stored: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """State of the last attempt: new rows replace stored ones whole."""
     return rows.unionByName(stored.join(rows.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)

@@ -398,3 +398,82 @@ def preflights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a request would take, before it is made."""
     p = money.preflight(F.lit("model_a"), F.bround("o_totalprice").cast("long"), F.lit(1000), 100_000)
     return _orders(spark, sf_dir).select("o_orderkey", p.alias("p")).select("o_orderkey", "p.tokens", "p.tier", "p.too_large")
+
+
+FIELDS = ("file_type", "status", "text", "char_count", "paragraph_count", "table_count", "sheet_count", "row_count", "cell_count", "error", "source")
+
+
+@registry.add("""
+WITH e AS (SELECT event_id AS download_id, CASE WHEN user_id % 2 = 0 THEN '' ELSE 'm' || user_id END AS member_name, user_id, event_id % 5 <> 0 AS stored, event_id % 7 <> 0 AS given FROM events)
+SELECT download_id, member_name, CASE WHEN NOT stored THEN 'new' WHEN user_id % 3 = 0 OR user_id % 11 = 0 THEN 'updated' ELSE 'existing' END AS status, CASE WHEN stored AND user_id % 3 <> 0 AND user_id % 11 <> 0 THEN 'before' ELSE 'now' END AS extracted_at
+FROM e WHERE given
+""")
+def extraction_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractions by download and member, with eleven compared fields: unchanged ones keep their time."""
+    u, i = F.col("user_id"), F.col("event_id")
+    member = F.when(u % 2 == 0, "").otherwise(F.concat(F.lit("m"), u.cast("string")))
+
+    def fields(changed: bool) -> list:
+        more = F.lit(1 if changed else 0)
+        values = (F.lit("docx"), F.lit("success"), F.concat("props", F.when(u % 3 == 0, more).otherwise(0).cast("string")), F.length("props"), u, F.lit(None).cast("long"), F.lit(1), u % 4 + F.when(u % 11 == 0, more).otherwise(0), F.lit(None).cast("long"), F.lit(None).cast("string"), F.col("event_type"))
+        return [v.alias(n) for n, v in zip(FIELDS, values, strict=True)]
+
+    events = table(spark, sf_dir, "events")
+    keys = [i.alias("download_id"), member.alias("member_name")]
+    stored = events.where("event_id % 5 <> 0").select(*keys, *fields(False), F.lit("before").alias("first_extracted_at"), F.lit("before").alias("extracted_at"))
+    given = events.where("event_id % 7 <> 0").select(*keys, *fields(True))
+    names = ["download_id", "member_name"]
+    next_ = upsert.upserted(stored, given, names, FIELDS, F.lit("now"), first="first_extracted_at", last="extracted_at")
+    return upsert.upsert_status(stored, given, names, FIELDS).join(next_.select(*names, "extracted_at"), names).select(*names, "status", "extracted_at")
+
+
+@registry.add("""
+WITH v AS (SELECT l_orderkey, l_suppkey % 2 AS kind, l_linenumber, l_partkey, l_orderkey * 1000 + l_linenumber * 10 + l_partkey % 7 AS id FROM lineitem),
+n AS (SELECT l_orderkey, kind, max(id) AS id FROM v GROUP BY 1, 2), c AS (SELECT DISTINCT id, l_partkey FROM v WHERE l_partkey % 3 <> 0)
+SELECT n.l_orderkey, n.kind, n.id AS download_id, coalesce(string_agg(l_partkey, ',' ORDER BY l_partkey), '') AS extractions FROM n LEFT JOIN c USING (id) GROUP BY ALL
+""")
+def latest_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest download of each source with its extractions."""
+    number = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + F.col("l_partkey") % 7
+    v = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 2).alias("kind"), number.alias("download_id"), "l_partkey")
+    children = v.where("l_partkey % 3 <> 0").select("download_id", "l_partkey").distinct()
+    out = candidates.latest_with_children(v.select("l_orderkey", "kind", "download_id"), children, ["l_orderkey", "kind"], ["download_id"], "download_id", F.col("l_partkey"), F.col("l_partkey"), "e")
+    return out.select("l_orderkey", "kind", "download_id", F.array_join(F.transform("e", lambda x: x.cast("string")), ",").alias("extractions"))
+
+
+@registry.add("""
+SELECT event_type, count(*)::BIGINT AS processed, count(*) FILTER (user_id % 4 <> 0)::BIGINT AS success, count(*) FILTER (user_id % 4 = 0)::BIGINT AS failed, count(*) FILTER (user_id % 4 = 1)::BIGINT AS new, count(*) FILTER (user_id % 4 = 2)::BIGINT AS updated, count(*) FILTER (user_id % 4 = 3)::BIGINT AS existing FROM events GROUP BY 1
+""")
+def stage_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage did, by kind."""
+    status = F.element_at(F.array(*map(F.lit, ("failed", "new", "updated", "existing"))), (F.col("user_id") % 4 + 1).cast("int"))
+    return upsert.stage_summary(table(spark, sf_dir, "events").select("event_type", status.alias("status")), ["event_type"])
+
+
+@registry.add("""
+WITH c AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'stale' ELSE 'ok' END AS preparation, quality AS e, d.n_chars % 2 AS p, d.doc_id IS NULL OR d.n_chars % 7 = 0 AS bad FROM labels LEFT JOIN (SELECT * FROM documents WHERE n_chars % 3 <> 0) d USING (doc_id))
+SELECT doc_id, CASE WHEN preparation <> 'ok' THEN 'skipped' WHEN bad THEN 'error' ELSE 'scored' END AS outcome, CASE WHEN preparation = 'ok' AND NOT bad THEN e = p END AS core FROM c
+""")
+def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each case, whatever became of it."""
+    say = lambda c: F.when(c == 1, "relevant").otherwise("not_relevant")
+    cases = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "stale").otherwise("ok").alias("preparation"), say(F.col("quality")).alias("expected_status"), F.lit("t").alias("expected_type"), F.lit("c").alias("expected_category"))
+    n = F.col("n_chars")
+    predictions = table(spark, sf_dir, "documents").where("n_chars % 3 <> 0").select("doc_id", say(n % 2).alias("predicted_status"), F.lit("t").alias("predicted_type"), F.lit("c").alias("predicted_category"), F.when(n % 7 == 0, "timeout").alias("error"))
+    return evaluation.records(cases, predictions, "doc_id").select("doc_id", "outcome", "core")
+
+
+@registry.add("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def loaded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with their rows; those without one are left out, and told apart."""
+    wanted = _orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey")).distinct()
+    found, _ = candidates.loaded(wanted, table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    return found
+
+
+@registry.add("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id % 2 = 0")
+def unresolved_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounting blocks that are still open and whose usage is not in the ledger."""
+    blocks = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", F.col("event_id").alias("response_id"), F.when(F.col("user_id") % 2 == 1, F.lit(MOMENT)).alias("resolved_at"))
+    written = blocks.where("user_id % 2 = 1").select("response_id")
+    return accounts.ledger.replayed_blocks(blocks, written).select("event_id", "user_id")
