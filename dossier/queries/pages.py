@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text, urls
 from dossier.functions.dates import first_datetime
+from dossier.plans import monitor
 from dossier.queries.base import Registry, table
 from dossier.sources import html, probes
 
@@ -243,3 +244,52 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("<a href=\"javascript:getDocument('"), key, F.lit("')\">"))).when(F.col("p_size") % 2 == 0, F.concat(F.lit('<a href="#" onclick="getDocument( '), key, F.lit(', 1)">'))).otherwise(F.lit('<a href="/x">'))
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), call.alias("html"))
     return html.call_arguments(html.nodes(pages, "page_id", tags=("a",)), "page_id", "getDocument").drop("node")
+
+
+SITE = monitor.Site([("files.example.org", "^/a/", "eauction_tender_page")], {"authority": "contracting_authority", "lots": "number_of_lots", "published": "published_at_detail"}, ("contracting_authority", "number_of_lots"))
+
+
+def _announced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id").cast("string")
+    lists = _listing(spark, sf_dir).select(F.concat(F.lit("https://h/list/"), key).alias("url"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("section"), F.concat(F.lit("Section "), (F.col("page_id") % 3).cast("string")).alias("section_name"), "html")
+    return monitor.announcements(lists, SITE)
+
+
+@registry.add("""
+SELECT 'https://files.example.org/a/' || o_orderkey || CASE WHEN o_orderstatus = 'F' THEN '.DOCX' ELSE '' END AS resource_url, 'Order & ' || o_orderpriority AS title, 's' || o_custkey % 3 AS source_section, 'Section ' || o_custkey % 3 AS source_section_name,
+  'https://h/list/' || o_custkey AS source_page_url, CASE WHEN o_orderstatus = 'F' THEN 'direct_file' ELSE 'eauction_tender_page' END AS resource_type, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS published_at, NULL::VARCHAR AS deadline_at FROM orders
+""")
+def section_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements of list pages with their section, the kind of their link and their times."""
+    return _announced(spark, sf_dir).select("resource_url", "title", "source_section", "source_section_name", "source_page_url", "resource_type", "published_at", "deadline_at")
+
+
+@registry.add("""
+SELECT CASE WHEN o_custkey % 2 = 0 THEN 'new' WHEN o_custkey % 5 = 0 THEN 'updated' ELSE 'existing' END AS status, count(*)::BIGINT AS n FROM orders GROUP BY 1
+""")
+def ingest_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an ingest run does with announcements, some of which are stored, with another title or as they are."""
+    given = _announced(spark, sf_dir)
+    customer = F.regexp_extract("source_page_url", r"(\d+)$", 1).cast("long")
+    moment = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    known = given.where(customer % 2 == 1).withColumn("title", F.when(customer % 5 == 0, F.lit("old")).otherwise(F.col("title")))
+    stored = known.drop("position").withColumns({"first_seen_at": moment, "last_seen_at": moment})
+    _, statuses = monitor.ingest(stored, given, moment)
+    return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_custkey % 3 = 0 AS blank, c_custkey % 4 <> 0 AS landed, CASE c_custkey % 4 WHEN 1 THEN 'direct_file' WHEN 2 THEN 'eauction_tender_page' ELSE 'armeps_documents_page' END AS kind FROM customer)
+SELECT 'u' || c_custkey AS resource_url, CASE WHEN landed THEN c_name END AS contracting_authority, CASE WHEN landed AND NOT blank THEN c_nationkey::VARCHAR END AS number_of_lots, CASE WHEN landed THEN '2026-09-05 07:05:00' END AS published_at_detail,
+  CASE WHEN landed THEN c_custkey % 5 <> 0 END AS published_at_match, CASE WHEN kind = 'direct_file' THEN 'not_required' WHEN landed AND NOT blank THEN 'success' ELSE 'partial' END AS enrichment_status FROM c
+""")
+def detail_enrichments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements with the fields of their landed detail pages, matches of dates, and what is missing."""
+    k, url = F.col("c_custkey"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+    kind = F.when(k % 4 == 1, "direct_file").when(k % 4 == 2, "eauction_tender_page").otherwise("armeps_documents_page")
+    published = F.when(k % 5 == 0, "2026-09-06 07:05:00").otherwise("2026-09-05 07:05:00")
+    rows = table(spark, sf_dir, "customer").select(url.alias("resource_url"), published.alias("published_at"), F.lit(None).cast("string").alias("deadline_at"), kind.alias("resource_type"))
+    body = F.concat(F.lit("<dl><dt>Authority :</dt><dd> "), F.col("c_name"), F.lit("</dd><dt>Published</dt><dd>5/9/2026 7:05</dd><dt>Lots:</dt><dd>"), F.when(k % 3 == 0, " \n").otherwise(F.col("c_nationkey").cast("string")), F.lit("</dd></dl>"))
+    details = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(url.alias("url"), body.alias("html"))
+    found = monitor.enrichments(rows, details, SITE)
+    return found.select("resource_url", "contracting_authority", "number_of_lots", "published_at_detail", "published_at_match", "enrichment_status")
