@@ -231,7 +231,7 @@ def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH o AS (SELECT CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'needs_triage' WHEN 2 THEN 'retry_deep' ELSE 'skip_expired' END AS reason, CASE o_orderstatus WHEN 'O' THEN 'eligible' WHEN 'F' THEN 'unknown' ELSE 'conflict' END AS e FROM orders)
 SELECT CASE WHEN reason = 'skip_expired' THEN reason ELSE reason || CASE e WHEN 'eligible' THEN '_active' WHEN 'unknown' THEN '_deadline_unknown' ELSE '_deadline_conflict' END END AS pending, count(*)::BIGINT AS n FROM o WHERE reason IS NOT NULL GROUP BY 1
 """)
-def operational_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pending_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending work by reason and what is known of the deadline."""
     c = F.col("o_custkey") % 4
     reason = F.when(c == 1, "needs_triage").when(c == 2, "retry_deep").when(c == 3, "skip_expired")
