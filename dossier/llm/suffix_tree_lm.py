@@ -153,16 +153,30 @@ def _coded(n_slices: int):
     return run
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and which of them is at each place; places in four bytes."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), dtype=np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ordered[new], order[new].astype(np.int32), which
+
+
 class _Asked:
     """The distinct (context, next symbol) pairs of a group's places, in the order of their slices."""
 
     def __init__(self, c: np.ndarray, x: np.ndarray, n: np.ndarray, hot: int) -> None:
         """Contexts, next symbols and counts of the contexts at places."""
         parts = (1 + n // hot).astype(np.uint64)
-        shard = np.where(parts > 1, words.mix(c + (1 + x % parts) * _ODD[2]), c)
-        self.shards, at = np.unique(shard, return_inverse=True)  #: of each context or part: its hash
-        pairs, self.first, self.entry_at = np.unique((at.astype(np.uint64) << _U(SYMBOL_BITS)) | x, return_index=True, return_inverse=True)  #: a place of each pair, and the pair of each place
-        owner = (pairs >> _U(SYMBOL_BITS)).astype(np.int64)
+        shard = np.where(parts > 1, words.mix(c + (1 + x % parts) * _ODD[2]), c) if (parts > 1).any() else c
+        self.shards, _, at = _distinct(shard)  #: of each context or part: its hash
+        pairs = at.astype(np.uint64) << _U(SYMBOL_BITS)
+        del at
+        pairs |= x
+        pairs, self.first, self.entry_at = _distinct(pairs)  #: a place of each pair, and the pair of each place
+        owner = (pairs >> _U(SYMBOL_BITS)).astype(np.int32)
         self.entries = (pairs & _U((1 << SYMBOL_BITS) - 1)).astype(np.int64)
         self.starts = np.searchsorted(owner, np.arange(len(self.shards)))
         self.of = self.first[self.starts]
@@ -285,23 +299,27 @@ def _group(model, depth: int, n_slices: int):
         coded = pa.ipc.open_stream(packed.column("docs")[0].as_py()).read_all().to_pylist()[0]
         docs = pa.ipc.open_stream(coded["docs"]).read_all()
         offsets = words.prefix(docs.column("n").to_numpy())
-        tokens = _wide(coded["tokens"])
-        h, counts = _wide(coded["numbers"])[tokens].astype(np.uint64), _wide(coded["counts"])[tokens]
+        tokens = _wide(coded["tokens"]).astype(np.int32)
+        few = np.int32 if t.n < 1 << 31 else np.int64  # what holds any count
+        h, seen = _wide(coded["numbers"])[tokens].view(np.uint64), _wide(coded["counts"]).astype(few)[tokens]
+        del tokens
         is_train = docs.column("train").to_numpy(zero_copy_only=False).astype(bool)
         train = np.repeat(is_train, np.diff(offsets))
         said: dict[int, list] = {}
         for row in answers.sort_by("slice").to_pylist():
             said.setdefault(row["level"], []).append(row)
         told = lambda level, name: _joined([_wide(r[name]) for r in said.get(level, []) if r[name] is not None], np.int64)
-        p = (counts + 0.1) / t.unit
-        base, best = np.log10(p), p.copy()
-        place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
-        c, before, seen = np.zeros(len(h), np.uint64), np.where(place > 0, np.roll(h, 1), START), counts
+        n_known = np.add.reduceat((seen > 0).astype(np.int64), offsets[:-1]) if depth > t.max_depth else None
+        p = (seen + 0.1) / t.unit
+        base = np.add.reduceat(np.log10(p), offsets[:-1]) if depth > t.max_depth else None
+        best = p.copy()
+        place = np.arange(len(h), dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), np.diff(offsets))
+        c, before = np.zeros(len(h), np.uint64), np.where(place > 0, np.roll(h, 1), START)
         for level in range(1, t.max_depth + 1):
             suffix_seen = seen if level > 1 else t.n
             if level > 1:
                 seen = following
-            seen = np.where(place > 0, np.roll(seen, 1), t.n_texts if level == 1 else 0)
+            seen = np.where(place > 0, np.roll(seen, 1), few(t.n_texts if level == 1 else 0))
             suffix, c = c, words.mix(c * _ODD[0] + before + _U(level))
             before = np.where(place > level, np.roll(before, 1), START)
             at = t.candidates(seen, suffix_seen, level)
@@ -320,19 +338,19 @@ def _group(model, depth: int, n_slices: int):
                     stays |= np.isin(c[at], np.array(row["extra"], np.int64).view(np.uint64))
             p[at] = (own + (kinds + 1) * p[at]) / (seen[at] + kinds + 1)
             best[at[stays]] = p[at[stays]]
-            following = np.zeros(len(h), np.int64)
+            following = np.zeros(len(h), few)
             following[at] = own
-        known = words.prefix((counts > 0).astype(np.int64))
+            del asked, own, of, kinds, stays, at
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": pa.array(~is_train),
-            "n_tokens": pa.array(np.diff(offsets)), "n_known": pa.array(known[offsets[1:]] - known[offsets[:-1]]),
-            "train_tokens": pa.array(np.full(len(is_train), t.n, np.int64)), "base_score": pa.array(np.add.reduceat(base, offsets[:-1])), "score": pa.array(np.add.reduceat(np.log10(best), offsets[:-1])),
+            "n_tokens": pa.array(np.diff(offsets)), "n_known": pa.array(n_known),
+            "train_tokens": pa.array(np.full(len(is_train), t.n, np.int64)), "base_score": pa.array(base), "score": pa.array(np.add.reduceat(np.log10(best), offsets[:-1])),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_count: int = 3, penalty: float = 3.0, group_bytes: int = 6 << 20, slice_entries: int = 400_000, hot: int = 1 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train, *, max_depth: int = 3, least_count: int = 3, penalty: float = 3.0, group_bytes: int = 5 << 20, slice_entries: int = 400_000, hot: int = 1 << 20) -> DataFrame:
     """One row a document of (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train is a condition on docs.
 
     A null text is empty: its end alone.  Rows that share a doc_id are texts of their own, and a null doc_id is the empty
