@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.chat import OP8_SQL, op8_chat_formatting
+from dossier.llm.collocations import OP11_SQL, op11_collocations
 from dossier.llm.decontamination import op9_decontamination
 from dossier.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from dossier.llm.language_id import op2_language_id
@@ -18,9 +19,18 @@ from dossier.llm.suffix_tree_lm import op3_lm_scoring
 from dossier.llm.warc import OP7_SQL, op7_warc
 
 
+OPERATORS = (
+    op1_substring_dedup, op2_language_id, op3_lm_scoring, op4_near_dedup, op5_mixing, op6_embedding_dedup, op7_warc, op8_chat_formatting, op9_decontamination, op10_sharding,
+    op11_collocations,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_lm_scoring, op4_near_dedup, op5_mixing, op6_embedding_dedup, op7_warc, op8_chat_formatting, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_formatting": OP8_SQL,
+        "op11_collocations": OP11_SQL,
+    }
