@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm.bpe import op13_bpe
 from dossier.llm.chat import OP8_SQL, op8_chat_formatting
 from dossier.llm.collocations import OP11_SQL, op11_collocations
 from dossier.llm.decontamination import op9_decontamination
@@ -21,7 +22,7 @@ from dossier.llm.warc import OP7_SQL, op7_warc
 
 OPERATORS = (
     op1_substring_dedup, op2_language_id, op3_lm_scoring, op4_near_dedup, op5_mixing, op6_embedding_dedup, op7_warc, op8_chat_formatting, op9_decontamination, op10_sharding,
-    op11_collocations,
+    op11_collocations, op13_bpe,
 )
 
 
