@@ -40,14 +40,15 @@ from dossier.llm.words import LOWER, mix, prefix
 
 LONGEST = 5
 PIECE = 4 << 20  #: bytes that are cut into words at a time
-SLICE = 4 << 20  #: places whose phrases are counted at a time
+BLOCK = 1 << 20  #: numbers after which a row's texts are cut at the next break
+SLICE = 2 << 20  #: places whose phrases are counted at a time
 LEAST_BITS, MOST_BITS, SECTION = 20, 28, 20  #: powers of two: bits of a bitset, and of what one task makes of it
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[0x20, 0x09]] = 1
 _CLASS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 _U = np.uint64
 
-CODED = "row string, lang string, n long, vocab array<string>, counts array<int>, codes binary"
+CODED = "row string, lang string, n long, vocab array<string>, counts array<int>, codes array<binary>"
 COUNTED = "k1 long, k2 long, k3 long, n long, left long, right long"
 
 
@@ -74,7 +75,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class _Coder:
-    """Words of one language as numbers of a vocabulary, in the order of the texts; 0 parts pieces."""
+    """Words of one language as numbers of a vocabulary, in the order of the texts; 0 parts pieces.  A row begins with a 0."""
 
     def __init__(self) -> None:
         self.vocab: list[pa.Array] = []
@@ -120,19 +121,21 @@ class _Coder:
             codes.append(np.concatenate([np.zeros(1, np.uint32), numbers[first : first + len(vocab)]])[own])
             first += len(vocab)
         codes = np.concatenate(codes)
+        breaks = np.flatnonzero(codes == 0)
+        cuts = [0, *np.unique(breaks[np.minimum(np.searchsorted(breaks, np.arange(BLOCK, len(codes), BLOCK)), len(breaks) - 1)]).tolist(), len(codes)]
         counts = np.bincount(codes, minlength=len(whole.dictionary) + 1)[1:]
-        return {"row": uuid.uuid4().hex, "lang": lang, "n": self.words, "vocab": whole.dictionary.cast(pa.large_string()), "counts": counts.astype(np.int32), "codes": codes.tobytes()}
+        return {"row": uuid.uuid4().hex, "lang": lang, "n": self.words, "vocab": whole.dictionary.cast(pa.large_string()), "counts": counts.astype(np.int32), "codes": [codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]}
 
 
 def _code(row_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.string()), ("lang", pa.string()), ("n", pa.int64()), ("vocab", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())])
+        schema = pa.schema([("row", pa.string()), ("lang", pa.string()), ("n", pa.int64()), ("vocab", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("codes", pa.list_(pa.binary()))])
         coders: dict[str, _Coder] = {}
 
         def ended(lang: str) -> pa.RecordBatch:
             row = coders.pop(lang).row(lang)
             as_list = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values).cast(kind))
-            return pa.RecordBatch.from_arrays([pa.array([row["row"]]), pa.array([lang]), pa.array([row["n"]]), as_list(row["vocab"], pa.string()), as_list(row["counts"], pa.int32()), pa.array([row["codes"]], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([row["row"]]), pa.array([lang]), pa.array([row["n"]]), as_list(row["vocab"], pa.string()), as_list(row["counts"], pa.int32()), as_list(row["codes"], pa.binary())], schema=schema)
 
         for batch in batches:
             langs = batch.column("lang")
@@ -346,7 +349,7 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, row_word
     dropped(placed)
     here = coded.select("row", "lang", F.posexplode("vocab").alias("code", "word")).join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
     known = here.groupBy("row").agg(F.collect_list(F.struct("code", F.col("id").cast("long").alias("id"))).alias("known"))
-    texts = stored(coded.select("row", "codes").join(known, "row").select("codes", "known").mapInArrow(_numbered, "ids binary"), "numbers")
+    texts = stored(coded.select("row", F.explode("codes").alias("codes")).join(known, "row").select("codes", "known").mapInArrow(_numbered, "ids binary"), "numbers")
     names = vocabulary.join(stored(totals, "totals"), "lang").select("id", "lang", "word", F.col("n").alias("word_n"), "total")
     dropped(coded)
 
