@@ -38,8 +38,8 @@ PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]]
 _U = np.uint64
 
 
-def terms(chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words without case and without ASCII punctuation at their ends, and the documents' offsets; words of punctuation alone are left out."""
+def terms(chunk: words.Chunk) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both hashes of the words without case and without ASCII punctuation at their ends, and the documents' offsets; words of punctuation alone are left out."""
     data = words.LOWER[chunk.data]
     if len(data) > 1:  # capitals of Latin-1: C3 80 to C3 9E, but for the multiplication sign
         capital = np.zeros(len(data), dtype=bool)
@@ -54,7 +54,7 @@ def terms(chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     places = np.flatnonzero(~mark)
     starts, ends = places[plain[starts]], places[plain[ends] - 1] + 1
     clean = words.Chunk(chunk.first, data, chunk.doc_bytes, starts, ends, np.searchsorted(starts, chunk.doc_bytes))
-    return clean.hashes(), clean.doc_words
+    return clean.both_hashes(), clean.doc_words
 
 
 @dataclass
@@ -73,7 +73,8 @@ class _Postings:
 @dataclass
 class _Item:
     item_id: int
-    sequence: np.ndarray
+    sequence: np.ndarray  #: first hashes of its words
+    second: np.ndarray
     split: int  #: words before it are the question, the others the answer
 
 
@@ -232,13 +233,13 @@ def _advance(items: list[int], at: list[int], k: int, to: int) -> None:
     at[k] = n
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
+def common_words(a: list, b: list) -> int:
     """Length of the longest common subsequence, by a row of bits a word of b."""
-    where: dict[int, int] = {}
-    for k, x in enumerate(a.tolist()):
+    where: dict = {}
+    for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
     full = row = (1 << len(a)) - 1
-    for x in b.tolist():
+    for x in b:
         if m := where.get(x):
             u = row & m
             row = (row + u | row - u) & full
@@ -259,12 +260,12 @@ def build_indexes(items: list[tuple[int, str | None]], threshold: float) -> list
     """Indexes of the items with words, by classes of length that double."""
     texts = [text or "" for _, text in items]
     cut = [_split(text) for text in texts]
-    sequences = [h[a:b] for h, d in map(terms, words.chunks(pa.array(texts, pa.string()))) for a, b in zip(d[:-1], d[1:], strict=True)]
+    sequences = [[x[a:b] for x in h] for h, d in map(terms, words.chunks(pa.array(texts, pa.string()))) for a, b in zip(d[:-1], d[1:], strict=True)]
     heads = [int(n) for _, d in map(terms, words.chunks(pa.array([t[:c] for t, c in zip(texts, cut, strict=True)], pa.string()))) for n in np.diff(d)]
     classes: dict[int, list[_Item]] = {}
     for (item_id, _), h, head in zip(items, sequences, heads, strict=True):
-        if len(h):
-            classes.setdefault(max(5, (len(h) - 1).bit_length()), []).append(_Item(item_id, h, min(head, len(h))))
+        if n := len(h[0]):
+            classes.setdefault(max(5, (n - 1).bit_length()), []).append(_Item(item_id, *h, min(head, n)))
     return [ItemIndex(c, threshold) for _, c in sorted(classes.items())]
 
 
@@ -272,14 +273,16 @@ def _matches(indexes: list[ItemIndex], chunk: words.Chunk, overlap: float) -> It
     """(document, item_id, score, question overlap, answer overlap), the best passage for each document and item."""
     h, doc_words = terms(chunk)
     for index in indexes:
-        numbers = index.numbers(h)
+        numbers = index.numbers(h[0])
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for doc, a, b, query, admitted in index.passages(doc_words, numbers):
             for k, score in index.retrieve(query.tolist(), admitted):
                 item = index.items[k]
                 margin = len(item.sequence)
-                around = h[max(doc_words[doc], a - margin) : min(doc_words[doc + 1], b + margin)]
-                parts = item.sequence[: item.split], item.sequence[item.split :]
+                part = slice(max(doc_words[doc], a - margin), min(doc_words[doc + 1], b + margin))
+                around = [*zip(h[0][part].tolist(), h[1][part].tolist(), strict=True)]
+                every = [*zip(item.sequence.tolist(), item.second.tolist(), strict=True)]
+                parts = every[: item.split], every[item.split :]
                 question, answer = (common_words(p, around) / len(p) if len(p) else 1.0 for p in parts)
                 if question >= overlap and answer >= overlap:
                     best[doc, item.item_id] = max(best.get((doc, item.item_id), (0.0, 0.0, 0.0)), (score, question, answer))

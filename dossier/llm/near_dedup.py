@@ -35,19 +35,22 @@ _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
 
 
-def labelled_shingles(chunk: words.Chunk, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the shingles with their occurrence numbers, unique in a document; offsets of the documents; plain hashes of all words."""
-    h = chunk.hashes()
-    shingle, at = words.windows(h, chunk.doc_words, size)
+def labelled_shingles(chunk: words.Chunk, size: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Both hashes of the shingles with their occurrence numbers; offsets of the documents; both hashes of all words."""
+    h = chunk.both_hashes()
+    (shingle, at), (second, _) = (words.windows(x, chunk.doc_words, size, key) for key, x in enumerate(h))
     doc = chunk.doc_of_word()[at]
     order = np.argsort(shingle, kind="stable")
-    s, d = shingle[order], doc[order]
+    s, t, d = shingle[order], second[order], doc[order]
+    if ((s[1:] == s[:-1]) & (t[1:] != t[:-1])).any():
+        order = np.lexsort((doc, second, shingle))
+        s, t, d = shingle[order], second[order], doc[order]
     new = np.ones(len(s), dtype=bool)
-    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1])
     nth = np.arange(len(s)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(s) else np.zeros(0, np.int64)
     label = np.empty(len(s), dtype=np.uint64)
     label[order] = nth.astype(np.uint64)
-    return words.mix(shingle + label * _U(0x9E3779B97F4A7C15)), np.searchsorted(doc, np.arange(len(chunk) + 1)), h
+    return [words.mix(x + label * _U(0x9E3779B97F4A7C15)) for x in (shingle, second)], np.searchsorted(doc, np.arange(len(chunk) + 1)), h
 
 
 def order_sketches(labels: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -79,9 +82,10 @@ def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in words.chunks(batch.column("text")):
-                labels, offsets, h = labelled_shingles(chunk, size)
+                (labels, _), offsets, h = labelled_shingles(chunk, size)
                 n_words = np.diff(chunk.doc_words)
-                keys = [pa.array(words.text_key(h if key == 0 else chunk.hashes(key=key), chunk.doc_words, key).view(np.int64), mask=n_words == 0) for key in (0, 1)]
+                keys = [pa.array(words.text_key(x, chunk.doc_words, key).view(np.int64), mask=n_words == 0) for key, x in enumerate(h)]
+                del h
                 sketches = order_sketches(labels, offsets, bands * rows)
                 band = np.zeros((len(sketches), bands), dtype=np.uint64)
                 for r in range(rows):
@@ -108,12 +112,17 @@ def chain_length(at: np.ndarray) -> int:
     return n
 
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Common labelled shingles in one order, over the union; 0 where it can't reach the threshold."""
+def aligned_similarity(first: list[np.ndarray], other: list[np.ndarray], threshold: float) -> float:
+    """Common labelled shingles, equal in both hashes, in one order, over the union; 0 where it can't reach the threshold."""
+    a, b = first[0], other[0]
     need = threshold * (len(a) + len(b)) / (1 + threshold)
     if min(len(a), len(b)) < need - 1e-9:
         return 0.0
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    labels, second = np.concatenate([a, b]), np.concatenate([first[1], other[1]])
+    order = np.lexsort((second, labels))  # each label once a document, a's before b's
+    labels, second = labels[order], second[order]
+    both = np.flatnonzero((labels[1:] == labels[:-1]) & (second[1:] == second[:-1]))
+    ia, ib = order[both], order[both + 1] - len(a)
     if len(ia) < need - 1e-9:
         return 0.0
     band = len(a) + len(b) - 2 * need + 1e-9
@@ -123,11 +132,12 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return m / (len(a) + len(b) - m)
 
 
-def _label_arrays(column: pa.Array, size: int) -> list[np.ndarray]:
+def _label_arrays(column: pa.Array, size: int) -> list[list[np.ndarray]]:
+    """Both hashes of each text's labelled shingles."""
     out = []
     for chunk in words.chunks(column):
         labels, offsets, _ = labelled_shingles(chunk, size)
-        out += [labels[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        out += [[x[a:b] for x in labels] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     return out
 
 
@@ -170,11 +180,11 @@ def _shared(labels: list[np.ndarray]) -> np.ndarray:
     return np.maximum(out, out.T)
 
 
-def _tile_links(reps: list[int], classes: list[int], blocks: list[int], labels: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+def _tile_links(reps: list[int], classes: list[int], blocks: list[int], labels: list[list[np.ndarray]], threshold: float) -> list[tuple[int, int]]:
     """Enough links between documents of different classes (and, if there are two, of different blocks) to join all that are linked."""
-    sizes = np.array([len(x) for x in labels], dtype=np.float64)
+    sizes = np.array([len(x[0]) for x in labels], dtype=np.float64)
     block, group = np.array(blocks), np.array(classes)
-    good = _shared(labels) >= threshold * (sizes[:, None] + sizes) / (1 + threshold) - 1e-6
+    good = _shared([x[0] for x in labels]) >= threshold * (sizes[:, None] + sizes) / (1 + threshold) - 1e-6
     good &= group[:, None] != group
     if len(set(blocks)) > 1:
         good &= block[:, None] != block

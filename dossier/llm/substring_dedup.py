@@ -76,8 +76,10 @@ class _Windows:
         parts: list[tuple[np.ndarray, ...]] = []
         total = done = 0
         for chunk in words.chunks(docs.column("text")):
-            h1, at = words.windows(chunk.hashes(), chunk.doc_words, size)
-            h2, _ = words.windows(chunk.hashes(key=1), chunk.doc_words, size, key=1)
+            first, second = chunk.both_hashes()
+            h1, at = words.windows(first, chunk.doc_words, size)
+            h2, _ = words.windows(second, chunk.doc_words, size, key=1)
+            del first, second
             row = chunk.first + chunk.doc_of_word()[at]
             parts.append((h1, h2, row, ids[row]))
             self.chunks.append((chunk, at, slice(total, total + len(at))))

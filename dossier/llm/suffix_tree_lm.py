@@ -41,7 +41,7 @@ from dossier.llm.scratch import dropped, stored
 
 _U = np.uint64
 SYMBOL_BITS = 44  #: of a word's number
-END = _U(0x5851F42D4C957F2D)  #: stands for the end of a text among word hashes
+END = (_U(0x5851F42D4C957F2D), _U(0x2545F4914F6CDD1D))  #: stand for the end of a text among both hashes of words
 START = _U(0x14057B7EF767814F)  #: stands for the start of a text in contexts; no word's number is as large
 _ODD = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93))
 HOT = np.dtype([("c", "<u8"), ("suffix", "<u8"), ("n", "<f8"), ("kinds", "<f8"), ("gain", "<f8")])
@@ -61,13 +61,14 @@ def _table(rows: list[dict], ddl: str) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_schema(ddl))
 
 
-def sequences(column) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, A-Z as a-z, each text followed by its end; offsets of the texts."""
-    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def sequences(column) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both hashes of all tokens, A-Z as a-z, each text followed by its end; offsets of the texts."""
+    hashes, counts = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]], [np.zeros(0, np.int64)]
     for chunk in words.chunks(column):
-        hashes.append(np.insert(chunk.hashes(lower=True), chunk.doc_words[1:], END))
+        for out, h, end in zip(hashes, chunk.both_hashes(lower=True), END, strict=True):
+            out.append(np.insert(h, chunk.doc_words[1:], end))
         counts.append(np.diff(chunk.doc_words) + 1)
-    return np.concatenate(hashes), words.prefix(np.concatenate(counts))
+    return [np.concatenate(h) for h in hashes], words.prefix(np.concatenate(counts))
 
 
 def _slice_starts(n: int) -> np.ndarray:
@@ -104,14 +105,15 @@ def _word_requests(n_slices: int):
     def run(docs: pa.Table) -> pa.Table:
         h, offsets = sequences(docs.column("text"))
         train = np.repeat(docs.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
-        keys, inverse = np.unique(h, return_inverse=True)
+        keys, second, inverse = words.distinct_pairs(*h)
+        del h
         counts = np.bincount(inverse[train], minlength=len(keys))
         group = docs.column("grp")[0].as_py()
         cuts = np.searchsorted(keys, _slice_starts(n_slices))
         out = [{"grp": group, "slice": -1, "docs": _packed(docs.select(["doc_id", "text", "train"]))}]
         for s, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
             if b > a:
-                out.append({"grp": group, "slice": s, "n": int(b - a), "keys": keys[a:b].tobytes(), "counts": _narrow(counts[a:b])})
+                out.append({"grp": group, "slice": s, "n": int(b - a), "keys": keys[a:b].tobytes() + second[a:b].tobytes(), "counts": _narrow(counts[a:b])})
         return _table(out, ASKED)
 
     return run
@@ -119,8 +121,8 @@ def _word_requests(n_slices: int):
 
 def _word_answers(table: pa.Table) -> pa.Table:
     """Total counts for each group's words, and their ranks by count in the slice; with a slice's first answer its number of words and its tokens."""
-    keys = _joined([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()], np.uint64)
-    word, inverse = np.unique(keys, return_inverse=True)
+    both = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in table.column("keys").to_pylist()]
+    word, _, inverse = words.distinct_pairs(*(_joined([b[i] for b in both], np.uint64) for i in (0, 1)))
     total = np.bincount(inverse, weights=_joined([_wide(b) for b in table.column("counts").to_pylist()], np.int64)).astype(np.int64)
     rank = np.empty(len(word), np.int64)
     rank[np.argsort(-total, kind="stable")] = np.arange(len(word))
@@ -142,7 +144,8 @@ def _coded(n_slices: int):
         said = answers.sort_by("slice").to_pylist()
         counts = _joined([_wide(r["counts"]) for r in said], np.int64)
         numbers = _joined([_wide(r["numbers"]) * n_slices + r["slice"] for r in said], np.int64)
-        tokens = np.unique(h, return_inverse=True)[1]
+        tokens = words.distinct_pairs(*h)[2]
+        del h
         own = np.argsort(-np.bincount(tokens, minlength=len(counts)), kind="stable")  # frequent words first
         place = np.empty(len(own), np.int64)
         place[own] = np.arange(len(own))

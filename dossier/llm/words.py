@@ -4,12 +4,12 @@ A word is a run of bytes outside 0x20 and 0x09-0x0D.  Hashing works on the
 column's UTF-8 buffer, so that no Python object is made per word.  Null texts have
 no words.
 
-A word's hash absorbs eight bytes at a time through a bijection, so that unequal
-words of up to eight bytes never share one; words of more than LONG bytes go through
-BLAKE2b.  Each word has two such hashes with keys of their own, and what decides that
-words, runs of words or texts are equal is built from both: 128 bits.  Runs are hashed
-as a tree of pairs, and whole texts as sums over places, each step scrambled, so that
-no pattern of repeated letters or words cancels out.
+A word's bytes are absorbed eight at a time by a state of 128 bits, both halves of which
+feed each other; words of more than LONG bytes go through BLAKE2b.  Each word has two
+64-bit hashes made of the whole state.  One of them may pick candidates; what decides
+that words, runs of words or texts are equal asks both.  Runs are hashed as a tree of
+pairs, and whole texts as sums over places, each step scrambled, so that no pattern of
+repeated letters or words cancels out.
 
 Memory: a byte or two a byte of text, and some 8-byte numbers a word; temporary
 arrays are of bounded size, however long a text is.
@@ -54,27 +54,31 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
-    """The key-th 64-bit hash of each word of the bytes."""
-    out = np.empty(len(starts), dtype=np.uint64)
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """Of each word of the bytes the 64-bit hashes of these keys."""
+    out = [np.empty(len(starts), dtype=np.uint64) for _ in keys]
     if not len(starts):
         return out
     padded = np.append(data, np.zeros(8, dtype=np.uint8))
     eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
     for a in range(0, len(starts), BLOCK):
         start, length = starts[a : a + BLOCK], (ends[a : a + BLOCK] - starts[a : a + BLOCK])
-        h = length.astype(np.uint64) * _ODD[1 - key] + _KEYS[key]
+        state = [length.astype(np.uint64) * _ODD[1 - k] + _KEYS[k] for k in (0, 1)]
         left = np.flatnonzero(length > 0)
         for lane in range(LONG // 8):
             value = eights[start[left] + 8 * lane] & _MASKS[np.minimum(length[left] - 8 * lane, 8)]
-            h[left] = mix((h[left] ^ value) * _ODD[key])
+            h, g = state[0][left], state[1][left]
+            state[0][left] = mix((h ^ value) * _ODD[0] + g)
+            state[1][left] = mix((g + value) * _ODD[1] ^ h)
             left = left[length[left] > 8 * (lane + 1)]
             if not len(left):
                 break
-        for k in np.flatnonzero(length > LONG):
-            digest = hashlib.blake2b(data[start[k] : start[k] + length[k]].data, digest_size=16).digest()
-            h[k] = int.from_bytes(digest[8 * key : 8 * key + 8], "little")
-        out[a : a + BLOCK] = h
+        long = [(k, hashlib.blake2b(data[start[k] : start[k] + length[k]].data, digest_size=16).digest()) for k in np.flatnonzero(length > LONG)]
+        for key, found in zip(keys, out, strict=True):
+            h = mix(state[key] + mix(state[1 - key] * _ODD[key]))
+            for k, digest in long:
+                h[k] = int.from_bytes(digest[8 * key : 8 * key + 8], "little")
+            found[a : a + BLOCK] = h
     return out
 
 
@@ -95,9 +99,13 @@ class Chunk:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self), dtype=np.int64), np.diff(self.doc_words))
 
-    def hashes(self, lower: bool = False, key: int = 0) -> np.ndarray:
-        """The first or second hash of each word's bytes; with A-Z as a-z if lower."""
-        return hash_words(LOWER[self.data] if lower else self.data, self.starts, self.ends, key)
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        """The first hash of each word's bytes; with A-Z as a-z if lower."""
+        return hash_words(LOWER[self.data] if lower else self.data, self.starts, self.ends)[0]
+
+    def both_hashes(self, lower: bool = False) -> list[np.ndarray]:
+        """Both hashes of each word's bytes; with A-Z as a-z if lower."""
+        return hash_words(LOWER[self.data] if lower else self.data, self.starts, self.ends, (0, 1))
 
     def words(self, i: int) -> list[bytes]:
         return self.data[self.doc_bytes[i] : self.doc_bytes[i + 1]].tobytes().split()
@@ -185,3 +193,16 @@ def text_key(h: np.ndarray, doc_words: np.ndarray, key: int = 0) -> np.ndarray:
     sums = prefix(mix(h ^ mix(place.astype(np.uint64) + _KEYS[key])))
     n_words = np.diff(doc_words).astype(np.uint64)
     return mix((sums[doc_words[1:]] - sums[doc_words[:-1]]) ^ n_words * _ODD[key])
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of two hashes, and which of them is at each place."""
+    first, at, which = np.unique(a, return_index=True, return_inverse=True)
+    if (b[at][which] == b).all():
+        return first, b[at], which
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which[order] = np.cumsum(new) - 1
+    return a[new], b[new], which

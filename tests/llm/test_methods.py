@@ -37,7 +37,7 @@ def test_sql(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
 
 
 def test_words():
@@ -279,8 +279,8 @@ def test_tiles_against_all_pairs():
             labels.append(np.array(list(dict.fromkeys(own)), dtype=np.uint64))
         shared = near_dedup._shared(labels)
         assert all(shared[i, j] == len(set(labels[i].tolist()) & set(labels[j].tolist())) for i in range(len(labels)) for j in range(len(labels)) if i != j)
-        links = near_dedup._tile_links(list(range(len(labels))), list(range(len(labels))), [0] * len(labels), labels, 0.8)
-        true = [(i, j) for i in range(len(labels)) for j in range(i) if near_dedup.aligned_similarity(labels[i], labels[j], 0.8) >= 0.8]
+        links = near_dedup._tile_links(list(range(len(labels))), list(range(len(labels))), [0] * len(labels), both := [[x, words.mix(x)] for x in labels], 0.8)
+        true = [(i, j) for i in range(len(labels)) for j in range(i) if near_dedup.aligned_similarity(both[i], both[j], 0.8) >= 0.8]
 
         def classes(pairs):
             root = list(range(len(labels)))
@@ -420,7 +420,7 @@ def test_decontamination_against_brute_force(spark):
                         continue
                     around = d[max(0, a - len(w)) : b + len(w)]
                     number = {x: n for n, x in enumerate(sorted({*w, *around}))}
-                    common = [decontamination.common_words(np.array([number[x] for x in p]), np.array([number[x] for x in around])) / len(p) if p else 1.0 for p in (w[:cut], w[cut:])]
+                    common = [decontamination.common_words([number[x] for x in p], [number[x] for x in around]) / len(p) if p else 1.0 for p in (w[:cut], w[cut:])]
                     if min(common) >= 0.8:
                         expected.add((k, i))
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
