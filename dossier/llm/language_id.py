@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from dossier.llm import words
 
 GRAMS = (2, 3, 4)
+PIECE = 1 << 20  #: bytes whose subwords are looked up at a time
 BUCKET_BITS = 16
 UNKNOWN = "und"
 _U = np.uint64
@@ -53,21 +54,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _subwords(chunk: words.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length the places of the grams inside documents and their buckets; any white space is one kind of space."""
-    data = words.LOWER[chunk.data]
-    data = np.where(words.SPACE[data], np.uint8(32), data).astype(np.uint64)
-    n = len(data)
-    end = np.repeat(chunk.doc_bytes[1:], np.diff(chunk.doc_bytes)) if n else np.zeros(0, np.int64)
-    value = data.copy()
-    for size in range(1, max(GRAMS) + 1):
-        if size > 1:
-            if len(value) < 2:
-                return
-            value = (value[:-1] << _U(8)) | data[size - 1 :]
-        if size in GRAMS:
-            inside = np.arange(len(value)) + size <= end[: len(value)]
-            bucket = ((value + _U(size << 40)) * _U(0x9E3779B97F4A7C15)) >> _U(64 - BUCKET_BITS)
-            yield np.flatnonzero(inside), bucket[inside].astype(np.int64)
+    """The places of the grams inside documents and their buckets, by pieces of the bytes and by length; any white space is one kind of space."""
+    n, more = len(chunk.data), max(GRAMS) - 1
+    for a in range(0, n, PIECE):
+        data = words.LOWER[chunk.data[a : a + PIECE + more]]  # with what the piece's last grams need
+        data = np.where(words.SPACE[data], np.uint8(32), data).astype(np.uint64)
+        count = min(PIECE, n - a)
+        first, last = np.searchsorted(chunk.doc_bytes, (a, a + count), side="right")
+        cuts = np.append(np.clip(chunk.doc_bytes[first:last] - a, 0, count), count)
+        end = np.repeat(chunk.doc_bytes[np.minimum(np.arange(first, last + 1), len(chunk.doc_bytes) - 1)] - a, np.diff(cuts, prepend=0))
+        value = data
+        for size in range(1, max(GRAMS) + 1):
+            if size > 1:
+                value = (value[:-1] << _U(8)) | data[size - 1 :]
+            if size in GRAMS:
+                here = value[:count]
+                inside = np.arange(len(here)) + size <= end[: len(here)]
+                bucket = ((here[inside] + _U(size << 40)) * _U(0x9E3779B97F4A7C15)) >> _U(64 - BUCKET_BITS)
+                yield np.flatnonzero(inside) + a, bucket.astype(np.uint16 if BUCKET_BITS <= 16 else np.uint32)
 
 
 def _sums(chunk: words.Chunk, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +82,7 @@ def _sums(chunk: words.Chunk, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
         full = np.flatnonzero(np.diff(cuts))
         if len(full):
             sums[full] += np.add.reduceat(table[bucket], cuts[:-1][full], axis=0)
-            counts += np.diff(cuts)
+            counts[full] += np.diff(cuts)[full]
     return sums, counts
 
 
