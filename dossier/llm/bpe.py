@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.scratch import fresh_path
+from dossier.llm.scratch import dropped, fresh_path, stored
 from dossier.llm.words import prefix
 
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
@@ -505,7 +505,8 @@ def encoded(docs: DataFrame, tokenizer: str, *, most_words: int = 1 << 16, with_
 
     tokenizer: path of a tokenizer file, read on the driver.  The strings of its special tokens are these tokens wherever
     they stand.  Null and empty texts have no ids; repeated rows are rows of their own; an empty table gives none; other
-    columns are ignored.  most_words: how many of the most frequent words the lexicon holds.  A long text is encoded in
+    columns are ignored.  most_words: the lexicon holds the words of the highest levels of frequency that are no more than
+    that together.  A long text is encoded in
     parts of some million characters, cut at white space or digits; what has neither is one part and takes some 60 bytes
     of a task's memory a character.
     """
@@ -514,8 +515,16 @@ def encoded(docs: DataFrame, tokenizer: str, *, most_words: int = 1 << 16, with_
     vocabulary = Vocabulary.read(tokenizer)
     shared = spark.sparkContext.broadcast((vocabulary, Cutter.make(vocabulary)))
     counts = docs.select("text").mapInArrow(_counted(shared), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(most_words).select("word")
-    entries = frequent.mapInArrow(_merged_words(shared), "word binary, ids array<int>").collect()  # most_words rows at most
+    counts = stored(counts.where("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    room, least = most_words, None
+    for level in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 1024 rows at most
+        room -= level["n"]
+        if room < 0:
+            break
+        least = level["level"]
+    frequent = counts.where(F.col("level") >= least) if least is not None else counts.limit(0)
+    entries = frequent.select("word").mapInArrow(_merged_words(shared), "word binary, ids array<int>").collect()  # most_words rows at most
+    dropped(counts)
     lexicon = Lexicon.compiled(sorted((bytes(r["word"]), tuple(r["ids"])) for r in entries))
     name = _shipped(spark, lexicon.to_bytes())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
