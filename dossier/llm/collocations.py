@@ -161,8 +161,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint32)
             known = batch.column("known")[i].values
-            ids = np.zeros(int(codes.max(initial=0)) + 1, dtype=np.uint32)
-            ids[known.field("code").to_numpy() + 1] = known.field("id").to_numpy()
+            own = known.field("code").to_numpy()
+            ids = np.zeros(max(int(codes.max(initial=0)), int(own.max(initial=0)) + 1) + 1, dtype=np.uint32)
+            ids[own + 1] = known.field("id").to_numpy()
             x = np.concatenate([np.zeros(1, np.uint32), ids[codes], np.zeros(1, np.uint32)])
             left, right = np.append(x[:1] * 0, x[:-1]), np.append(x[1:], x[:1] * 0)
             x[(left == 0) & (right == 0)] = 0
