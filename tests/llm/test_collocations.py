@@ -82,6 +82,21 @@ def test_long_texts_in_pieces(monkeypatch):
     assert len(row["codes"]) > 40 and all(not blob or np.frombuffer(blob, np.uint32)[0] == 0 for blob in row["codes"])
 
 
+def test_numbers_of_blocks(monkeypatch):
+    """A row's blocks become numbers one by one; what is infrequent or alone among breaks is 0, and there are no two zeros in a row."""
+    monkeypatch.setattr(module, "BLOCK", 4)
+    coder = module._Coder()
+    coder.add(pa.array(["a b. c d x a b, x a. a b c d", "d"]))
+    row = coder.row("en")
+    vocab = row["vocab"].to_pylist()
+    known = pa.array([[{"code": vocab.index(w), "id": 10 * (k + 1)} for k, w in enumerate("abcd")]] * len(row["codes"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(row["codes"], pa.binary()), known], names=["codes", "known"])
+    blocks = [np.frombuffer(b.column("ids")[0].as_py(), np.uint32).tolist() for b in module._numbered(iter([batch]))]
+    assert len(blocks) > 2 and all(b[0] == 0 == b[-1] for b in blocks)
+    runs = [r.split() for b in blocks for r in " ".join(map(str, b)).split(" 0") if r.strip(" 0")]
+    assert [[int(x) for x in r if x != "0"] for r in runs] == [[10, 20], [30, 40], [10, 20], [10, 20, 30, 40]]
+
+
 def test_slices_lose_no_phrase(monkeypatch):
     rng = np.random.default_rng(2)
     x = np.concatenate([[0], rng.integers(0, 4, 3000), [0]]).astype(np.uint32)

@@ -1,11 +1,13 @@
 """Unlike words never pass for one, whatever one of their two hashes says."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import decontamination, near_dedup, substring_dedup, suffix_tree_lm, words
+from dossier.llm import decontamination, language_id, near_dedup, substring_dedup, suffix_tree_lm, words
 
 #: Pairs of words that one 64-bit hash of an earlier build took for one.
 PAIRS = [
@@ -75,3 +77,19 @@ def test_hashes():
     chunk = next(words.chunks(pa.array([data.tobytes().decode()])))
     for h in chunk.both_hashes():
         assert (h[: len(texts)] == h[len(texts) :]).all() and len(np.unique(h)) == len(set(texts))
+
+
+def test_subwords_by_pieces(monkeypatch):
+    """The grams and sums of texts don't depend on the pieces that the bytes are taken in."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abé \n") for _ in range(rng.randrange(40))) for _ in range(60)] + ["", "a", None, "long " * 500]
+    table = np.random.default_rng(0).normal(size=(1 << language_id.BUCKET_BITS, 3))
+    (chunk,) = words.chunks(pa.array(texts))
+    grams = lambda: sorted(g for at, bucket in language_id._subwords(chunk) for g in zip(at.tolist(), bucket.tolist(), strict=True))
+    whole, (sums, counts) = grams(), language_id._sums(chunk, table)
+    assert len(whole) == sum(max(0, n - g + 1) for n in np.diff(chunk.doc_bytes) for g in language_id.GRAMS) == counts.sum()
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert grams() == whole
+        again = language_id._sums(chunk, table)
+        assert np.allclose(again[0], sums) and (again[1] == counts).all()
