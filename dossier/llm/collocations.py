@@ -39,8 +39,9 @@ from dossier.llm.scratch import dropped, stored
 from dossier.llm.words import LOWER, mix, prefix
 
 LONGEST = 5
-PIECE = 4 << 20  #: bytes that are cut into words at a time
+PIECE = 2 << 20  #: bytes that are cut into words at a time
 BLOCK = 1 << 20  #: numbers after which a row's texts are cut at the next break
+SENT = 1 << 17  #: rows that a task hands on at a time
 SLICE = 2 << 20  #: places whose phrases are counted at a time
 LEAST_BITS, MOST_BITS, SECTION = 20, 28, 20  #: powers of two: bits of a bitset, and of what one task makes of it
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -151,6 +152,7 @@ def _code(row_words: int):
         for lang in sorted(coders):
             if coders[lang].words:
                 yield ended(lang)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -169,6 +171,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x[(left == 0) & (right == 0)] = 0
             x = x[(x > 0) | np.append(True, x[:-1] > 0)]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["ids"])
+    pa.default_memory_pool().release_unused()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -191,7 +194,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     yield from cut()
 
 
-def _combined(k1: np.ndarray, k2: np.ndarray | None, k3: np.ndarray | None, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+def _combined(k1: np.ndarray, k2: np.ndarray | None, k3: np.ndarray | None, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Equal phrases as one row: how many, and the word on either side if it is the same for all."""
     keys = [k for k in (k1, k2, k3) if k is not None]
     order = np.argsort(k1, kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
@@ -202,7 +205,8 @@ def _combined(k1: np.ndarray, k2: np.ndarray | None, k3: np.ndarray | None, left
     same = lambda side: np.where(np.minimum.reduceat(side, at) == np.maximum.reduceat(side, at), side[at], 0) if len(at) else side[at]
     keys = [k[at] for k in keys] + [np.zeros(len(at), np.uint64)] * (3 - len(keys))
     columns = [*keys, np.diff(np.append(at, len(order))), same(left), same(right)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["k1", "k2", "k3", "n", "left", "right"])
+    for a in range(0, len(at), SENT):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT].astype(np.int64)) for c in columns], names=["k1", "k2", "k3", "n", "left", "right"])
 
 
 def _pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +219,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in _slices(batches):
         pair, word = _pairs(x)
         at = np.flatnonzero(word[LONGEST : len(x) - LONGEST]) + LONGEST
-        yield _combined(pair[at], None, None, x[at - 1], x[at + 2])
+        yield from _combined(pair[at], None, None, x[at - 1], x[at + 2])
 
 
 def _bit(k1: np.ndarray, k2: np.ndarray | None, bits: int) -> np.ndarray:
@@ -274,12 +278,12 @@ def _grow(frontier, frequent):
             at = at[frontier.value.has(pair[at])]
             for k in range(3, LONGEST + 1):
                 at = at[often[at + k - 2]]
-                yield _phrases(x, pair, at, k)
+                yield from _phrases(x, pair, at, k)
 
     return run
 
 
-def _phrases(x: np.ndarray, pair: np.ndarray, at: np.ndarray, k: int) -> pa.RecordBatch:
+def _phrases(x: np.ndarray, pair: np.ndarray, at: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     return _combined(pair[at], x[at + 2] << _U(32) if k == 3 else pair[at + 2], x[at + 4] if k == 5 else None, x[at - 1], x[at + k])
 
 
@@ -293,7 +297,7 @@ def _asked(requests):
             for k in (3, 4):
                 at = at[word[at + k - 2]]
                 own = requests.value.has(pair[at], x[at + 2] << _U(32) if k == 3 else pair[at + 2])
-                yield _phrases(x, pair, at[own], k)
+                yield from _phrases(x, pair, at[own], k)
 
     return run
 
@@ -329,7 +333,7 @@ def _settled(scored: DataFrame, top: int) -> DataFrame:
     return scored.where("NOT held AND size(unknown) = 0").select("lang", "score").withColumn("place", F.row_number().over(order)).where(F.col("place") == top).select("lang", F.col("score").alias("settled"))
 
 
-def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, row_words: int = 4 << 20, most_grown: int = 1 << 30) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, row_words: int = 2 << 20, most_grown: int = 1 << 30) -> DataFrame:
     """The best phrases of two to five words of (text, lang) per language: lang, rank, phrase, a, l, r, n, score.
 
     A null lang is 'und', a null or empty text has no words; rows that repeat count again; an empty table gives none.  A
