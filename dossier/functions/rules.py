@@ -37,6 +37,20 @@ def budget_guard(spend: Column, estimate: Column, deep: Column, hard: Column, so
     return F.struct(decision.alias("decision"), ((decision == "allowed") | ((decision == "soft_limit_mode") & ~deep)).alias("allowed"))
 
 
+def guarded(spend, estimate, deep: bool, hard, soft=None, call_cap=None) -> tuple[str, bool]:
+    """(decision, allowed) as budget_guard has it, for one call on the driver; without a soft limit or a limit of one call these don't matter."""
+    left = hard - spend
+    if left <= 0:
+        return "blocked_hard_limit", False
+    if deep and call_cap is not None and estimate > call_cap:
+        return "blocked_single_call_limit", False
+    if estimate > left:
+        return "insufficient_budget_remaining", False
+    if soft is not None and spend >= soft:
+        return "soft_limit_mode", not deep
+    return "allowed", True
+
+
 def deep_admission(gate: Column, priced: Column, tokens: Column, most_tokens: Column, guard_allowed: Column) -> Column:
     return (
         F.when(gate != "deep_candidate", "gate_skip")

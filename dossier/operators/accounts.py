@@ -1,4 +1,4 @@
-"""Reservations and accounting blocks of paid calls, against stored tables."""
+"""Reservations and accounting blocks of paid calls, against stored tables and as states of a journal's entries."""
 
 from __future__ import annotations
 
@@ -60,3 +60,47 @@ def reconciled(blocks: DataFrame, stored: DataFrame, reservations: DataFrame, ke
     after = reservations.join(closed.withColumn("_closed", F.lit(True)), key, "left")
     status = F.when(F.col("_closed") & F.col("status").isin(*OUTSTANDING), "settled").otherwise(F.col("status"))
     return added, closed, after.withColumn("status", status).drop("_closed")
+
+
+#: What each kind of entry makes of its reservation; entries of other kinds leave it as it is.
+AFTER = {"reserved": "reserved", "settled": "settled", "unresolved": "unresolved", "released": "released", "reconciled": "settled"}
+
+
+def journal_reservations(entries: DataFrame) -> DataFrame:
+    """(seq, kind, reservation, ...) -> reservation, status, created_at, settled_at, estimate, cost, reference: what the entries up to the last say of each."""
+    said = entries.where(F.col("kind").isin(*AFTER) & F.col("reservation").isNotNull())
+    status = F.lit(None).cast("string")
+    for kind, after in AFTER.items():
+        status = F.when(F.col("kind") == kind, after).otherwise(status)
+    said = said.withColumn("status", status)
+    opened = F.col("kind") == "reserved"
+    first = lambda c: F.min_by(F.when(opened, F.col(c)), F.when(opened, F.col("seq"))).alias(c)
+    out = said.groupBy("reservation").agg(F.max_by("status", "seq").alias("status"), F.min(F.when(opened, F.col("at"))).alias("created_at"), F.max_by("at", "seq").alias("_at"), first("estimate"), first("reference"), F.max_by("cost", "seq").alias("cost"))
+    return out.withColumn("settled_at", F.when(F.col("status") == "settled", F.col("_at"))).select("reservation", "status", "created_at", "settled_at", "estimate", "cost", "reference")
+
+
+def journal_ledger(entries: DataFrame) -> DataFrame:
+    """The entries with usage that the ledger takes: a response once, by its first entry, and those without a response id always."""
+    paid = entries.where(F.col("kind").isin("settled", "reconciled"))
+    named = paid.where(F.col("response_id").isNotNull()).groupBy("response_id").agg(F.min_by(F.struct(*(c for c in entries.columns if c != "response_id")), "seq").alias("row"))
+    return named.select("row.*", "response_id").select(*entries.columns).unionByName(paid.where(F.col("response_id").isNull()))
+
+
+def open_blocks(entries: DataFrame) -> DataFrame:
+    """The blocks that no entry has reconciled."""
+    closed = entries.where(F.col("kind") == "reconciled").select("block").where(F.col("block").isNotNull()).distinct()
+    return entries.where(F.col("kind") == "block_opened").join(closed, "block", "left_anti")
+
+
+def journal_reason(entries: DataFrame) -> str | None:
+    """Why no call may be made now; None if one may."""
+    held = journal_reservations(entries).where(F.col("status").isin(*OUTSTANDING)).agg(F.count(F.lit(1)).alias("outstanding"))
+    blocks = open_blocks(entries).agg(F.count(F.lit(1)).alias("open_blocks"))
+    return held.crossJoin(blocks).select(block_reason(F.col("outstanding"), F.col("open_blocks"), F.lit(False))).first()[0]  # two single rows
+
+
+def journal_committed(entries: DataFrame) -> DataFrame:
+    """month, spent, reserved, committed: costs by the month of their entry, estimates of outstanding reservations by that of the reservation."""
+    usage = journal_ledger(entries).select("cost", F.col("at").alias("created_at"))
+    held = journal_reservations(entries).select(F.col("estimate").alias("cost"), "created_at", "status")
+    return ledger.committed(usage, held)

@@ -1,9 +1,12 @@
 """An analysis batch: which announcements need it is one set-wise plan; the few that the batch takes go one by one to an injected analyzer.
 
 A call is paid for at most once: it is reserved before and settled after, and while
-a reservation is open no other call is made.  Triage and deep analysis are two legs of
-one batch with one budget: deep calls are for announcements whose triage is current and
-relevant and which the commercial gate lets through, as next_steps tells.
+a reservation is open no other call is made.  With a journal the reservation is stored
+before the call goes out, whatever becomes of the driver; without one the batch's rows
+are for the caller to append.  Triage and deep analysis are two legs of one batch and one
+budget: deep calls are for announcements whose triage is current and relevant and which
+the commercial gate lets through, as next_steps tells, and from the soft limit on, or
+above the limit of one call, they are put off while triage goes on.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dossier.functions import rules
+from dossier.journal import Journal, ReservationBlocked
 from dossier.operators import candidates, ledger
 from dossier.store import table_or_empty
 
@@ -59,16 +63,71 @@ def next_steps(rows: DataFrame, triage: DataFrame, deep: DataFrame, key: str, fa
     return same.withColumn("step", step).drop("_triage", "_deep", "relevance_status")
 
 
-def run_batch(rows: DataFrame, analyzer: Analyzer, price: Callable[[dict], Decimal], *, limit: int, budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], open_reservations: int = 0, leg: str = "triage") -> Batch:
+@dataclass
+class Limits:
+    """A month's budget; soft and call_cap are for deep calls alone."""
+
+    budget: Decimal
+    soft: Decimal | None = None
+    call_cap: Decimal | None = None
+
+
+class _Kept:
+    """Reservations and usage as rows of the batch."""
+
+    def __init__(self, batch: Batch, price: Callable[[dict], Decimal]) -> None:
+        self.batch, self.price = batch, price
+
+    def reserve(self, leg: str, key: dict, expected: Decimal) -> dict:
+        self.batch.reservations.append(reservation := key | {"status": "reserved", "cost": expected})
+        return reservation
+
+    def settle(self, reservation: dict, usage: dict, response_id: str | None, success: bool) -> Decimal:
+        return _settle(self.batch, reservation, usage, response_id, self.price)
+
+    def release(self, reservation: dict, note: str) -> None:
+        reservation["status"] = "released"
+
+    def unresolved(self, reservation: dict, note: str) -> None:
+        reservation["status"] = "unresolved"
+
+
+class _Stored:
+    """Reservations and usage as entries of a journal; usage that it doesn't take opens a block."""
+
+    def __init__(self, batch: Batch, journal: Journal) -> None:
+        self.batch, self.journal = batch, journal
+
+    def reserve(self, leg: str, key: dict, expected: Decimal) -> int:
+        number = self.journal.reserve(leg, key["resource_url"], expected, input_hash=key["input_hash"])
+        self.batch.reservations.append(key | {"status": "stored", "cost": expected, "reservation": number})
+        return number
+
+    def settle(self, reservation: int, usage: dict, response_id: str | None, success: bool) -> Decimal:
+        try:
+            return self.journal.settle(reservation, usage, response_id, success=success) or Decimal(0)
+        except Exception as e:  # the answer is paid for, so that its usage must not be lost
+            self.batch.blocked = True
+            self.journal.open_block(usage, f"{type(e).__name__}: {e}", reservation, response_id)
+            return Decimal(0)
+
+    def release(self, reservation: int, note: str) -> None:
+        self.journal.release(reservation, note)
+
+    def unresolved(self, reservation: int, note: str) -> None:
+        self.journal.unresolved(reservation, note)
+
+
+def run_batch(rows: DataFrame, analyzer: Analyzer, price: Callable[[dict], Decimal], *, limit: int, budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], open_reservations: int = 0, leg: str = "triage", journal: Journal | None = None, soft: Decimal | None = None, call_cap: Decimal | None = None) -> Batch:
     """Analyzes the selected rows on the driver; their number is bounded by limit, as each is a paid call."""
     batch = Batch(blocked=open_reservations > 0)
     paid = selected(rows, limit).where(F.col("reason") != "skip_expired").limit(limit)
-    spent = _calls(batch, [r.asDict(recursive=True) for r in paid.collect()], analyzer, price, budget, spent, estimate, leg)
-    batch.spent = spent
+    kept = _Stored(batch, journal) if journal else _Kept(batch, price)
+    batch.spent = _calls(batch, [r.asDict(recursive=True) for r in paid.collect()], analyzer, kept, Limits(budget, soft, call_cap), spent, estimate, leg)
     return batch
 
 
-def _calls(batch: Batch, rows: list[dict], analyzer: Analyzer, price: Callable[[dict], Decimal], budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], leg: str) -> Decimal:
+def _calls(batch: Batch, rows: list[dict], analyzer: Analyzer, kept: _Kept | _Stored, limits: Limits, spent: Decimal, estimate: Callable[[dict], Decimal], leg: str) -> Decimal:
     """Calls for the rows of one leg, one by one; what is spent after them."""
     for row in rows:
         key = {"resource_url": row["resource_url"], "input_hash": row["input_hash"]}
@@ -76,38 +135,46 @@ def _calls(batch: Batch, rows: list[dict], analyzer: Analyzer, price: Callable[[
             batch.outcomes.append(key | {"state": None, "reason_code": "accounting_blocked"})
             continue
         expected = estimate(row)
-        if spent + expected > budget:
-            batch.outcomes.append(key | {"state": f"{leg}_deferred_budget", "reason_code": "budget_deferred"})
+        decision, allowed = rules.guarded(spent, expected, leg == "deep", limits.budget, limits.soft, limits.call_cap)
+        if not allowed:
+            batch.outcomes.append(key | {"state": f"{leg}_deferred_budget", "reason_code": "budget_deferred", "decision": decision})
+            continue
+        try:
+            reservation = kept.reserve(leg, key, expected)
+        except ReservationBlocked:
+            batch.blocked = True
+            batch.outcomes.append(key | {"state": None, "reason_code": "accounting_blocked"})
             continue
-        reservation = key | {"status": "reserved", "cost": expected}
-        batch.reservations.append(reservation)
         try:
             answer = analyzer(row)
         except AnalyzerError as e:
             if e.usage is not None:
-                spent += _settle(batch, reservation, e.usage, None, price)
+                spent += kept.settle(reservation, e.usage, None, False)
             elif e.kind in UNBILLED:
-                reservation["status"] = "released"
+                kept.release(reservation, e.kind)
             else:
-                reservation["status"], batch.blocked = "unresolved", True
+                kept.unresolved(reservation, e.kind)
+                batch.blocked = True
             batch.outcomes.append(key | {"state": f"{leg}_error", "reason_code": e.kind})
             continue
         except Exception as e:  # an analyzer's failure is its row's; whether it cost is unknown
-            reservation["status"], batch.blocked = "unresolved", True
+            kept.unresolved(reservation, f"{type(e).__name__}: {e}")
+            batch.blocked = True
             batch.outcomes.append(key | {"state": f"{leg}_error", "reason_code": f"unexpected_error: {type(e).__name__}"})
             continue
-        spent += _settle(batch, reservation, answer["usage"], answer.get("response_id"), price)
+        spent += kept.settle(reservation, answer["usage"], answer.get("response_id"), True)
         batch.outcomes.append(key | {"state": f"{leg}_completed", "reason_code": answer["result"].get("relevance_status"), "result": answer["result"]})
     return spent
 
 
-def process(steps: DataFrame, analyzers: dict[str, Analyzer], price: Callable[[dict], Decimal], *, limit: int, budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], open_reservations: int = 0) -> Batch:
+def process(steps: DataFrame, analyzers: dict[str, Analyzer], price: Callable[[dict], Decimal], *, limit: int, budget: Decimal, spent: Decimal, estimate: Callable[[dict], Decimal], open_reservations: int = 0, journal: Journal | None = None, soft: Decimal | None = None, call_cap: Decimal | None = None) -> Batch:
     """Both legs of rows with step (see next_steps): up to limit calls, triage first, by first_seen_at and resource_url; the other rows' states are outcomes without a call."""
     batch = Batch(blocked=open_reservations > 0)
     costly = steps.where(F.col("step").isin("call_triage", "call_deep")).orderBy(F.col("step") == "call_deep", "first_seen_at", "resource_url").limit(limit)
     rows = [r.asDict(recursive=True) for r in costly.collect()]
+    kept = _Stored(batch, journal) if journal else _Kept(batch, price)
     for leg in ("triage", "deep"):
-        spent = _calls(batch, [r for r in rows if r["step"] == f"call_{leg}"], analyzers[leg], price, budget, spent, estimate, leg)
+        spent = _calls(batch, [r for r in rows if r["step"] == f"call_{leg}"], analyzers[leg], kept, Limits(budget, soft, call_cap), spent, estimate, leg)
     batch.spent = spent
     return batch
 

@@ -48,3 +48,8 @@ LEDGER = _struct(
     cost=T.DecimalType(38, 12), created_at=TIME,
 )
 DELIVERIES = _struct(**_fields(STRING, "resource_url input_hash status"), attempt_count=LONG, sent_at=TIME)
+USAGE = _struct(**_fields(LONG, "input_tokens cached_tokens cache_write_tokens output_tokens reasoning_tokens total_tokens"))
+JOURNAL = _struct(
+    seq=LONG, kind=STRING, at=TIME, **_fields(LONG, "reservation block"), **_fields(STRING, "analysis_type reference model prompt_version input_hash response_id note"),
+    **_fields(T.DecimalType(38, 12), "estimate cost"), success=FLAG, usage=USAGE,
+)
