@@ -20,7 +20,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(max(event_id)) OVER () AS last_seen_at FROM events GROUP BY user_id")
 def incremental_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot after a stream of the events, last type by user."""
-    snapshot, _ = incremental.upsert_stream(_events(spark, sf_dir), ["user_id"], ["event_type"], "event_id")
+    snapshot = incremental.snapshot_stream(_events(spark, sf_dir), ["user_id"], ["event_type"], "event_id")
     return snapshot.select("user_id", "event_type", "last_seen_at")
 
 

@@ -50,12 +50,12 @@ def dropped(*tables: DataFrame) -> None:
         delete(table.sparkSession, table.stored_path)
 
 
-def numbered(spark: SparkSession, path: str) -> list[int]:
-    """Names that are whole numbers of the finished tables in a folder, in order."""
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables in a folder, in order."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
-    return sorted(int(n) for n in names if n.isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
+    return sorted(n for n in names if exists(spark, f"{path}/{n}/_SUCCESS"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
