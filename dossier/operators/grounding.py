@@ -1,23 +1,119 @@
-"""Quotes and the texts that they must come from."""
+"""Quotes and the texts that they must come from.
+
+A source goes once through one automaton (Aho and Corasick) of all quotes that are looked
+for in it.  Where a quote names no source, blocks of quotes of bounded size go to all
+sources.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructType
 
 from dossier.functions.text import collapsed
 
+FEW = 4  #: quotes that are looked for one by one
+MOST_QUOTES = 10_000  #: quotes of one automaton
+
+
+def found_in(quotes: list[str], text: str, automaton=None) -> set[str]:
+    """The quotes that the text holds; automaton is one of these quotes."""
+    if automaton is None and len(quotes) <= FEW:
+        return {q for q in quotes if q in text}
+    automaton = automaton or automaton_of(quotes)
+    found: set[str] = set()
+    for _, quote in automaton.iter(text):
+        found.add(quote)
+        if len(found) == len(quotes):
+            break
+    return found
+
+
+def automaton_of(quotes: list[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for quote in quotes:
+        automaton.add_word(quote, quote)
+    automaton.make_automaton()
+    return automaton
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for quotes, source in zip(batch.column("_quotes").to_pylist(), batch.column("_source"), strict=True):
+            asked = sorted({q for q in quotes if q})
+            found = found_in(asked, source.as_py()) if asked and source.is_valid else set()
+            out.append([q in found for q in quotes])
+        kept = [n for n in batch.schema.names if n not in ("_quotes", "_source")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.list_(pa.bool_()))], names=[*kept, "_found"])
+
 
 def grounded(quotes: DataFrame, sources: DataFrame, key: str, quote: str = "quote", text: str = "text") -> DataFrame:
     """quotes with grounded: whether the quote, white space collapsed, is in the source of its key.  Case and Unicode form count; a blank quote or missing source is not grounded.
 
-    A source's white space is collapsed once, however many quotes it has.
+    A source moves once for MOST_QUOTES quotes of its key.
+    """
+    names = quotes.columns
+    numbered = quotes.select(F.col(key).alias("_key"), F.struct(*names).alias("_row"), collapsed(F.col(quote)).alias("_quote"), F.row_number().over(W.partitionBy(key).orderBy(quote)).alias("_n"))
+    numbered = numbered.withColumn("_part", F.when(F.col("_key").isNull(), F.lit(0)).otherwise(F.floor(F.col("_n") / MOST_QUOTES)))
+    asked = numbered.where("_key IS NOT NULL").groupBy("_key", "_part").agg(F.collect_list("_row").alias("_rows"), F.collect_list(F.coalesce("_quote", F.lit(""))).alias("_quotes"))
+    plain = sources.select(F.col(key).alias("_key"), collapsed(F.col(text)).alias("_source"))
+    joined = asked.join(plain, "_key").select("_key", "_rows", "_quotes", "_source")
+    schema = StructType([f for f in joined.schema.fields if f.name in ("_key", "_rows")]).add("_found", ArrayType(BooleanType()))
+    answered = joined.mapInArrow(_answered, schema).select(F.explode(F.arrays_zip("_rows", "_found")).alias("_x")).select("_x._rows.*", F.col("_x._found").alias("grounded"))
+    alone = quotes.join(sources.select(key), key, "left_anti").withColumn("grounded", F.lit(False))
+    return answered.unionByName(alone.select(*names, "grounded"))
+
+
+def found_sources(quotes: DataFrame, sources: DataFrame, quote_id: str, key: str, quote: str = "quote", text: str = "text", most_bytes: int = 16 << 20) -> DataFrame:
+    """(quote_id, quote) looked for in all sources (key, text): quote_id, n_sources, first_source (the smallest key), white space collapsed.
+
+    Blank and null quotes are nowhere, and so have 0 and null.  Quotes go to the sources in blocks of about most_bytes,
+    whatever their number, and a source passes once for each block.
+    """
+    spark = quotes.sparkSession
+    asked = quotes.select(quote_id, collapsed(F.col(quote)).alias("_quote"))
+    distinct = asked.where("_quote <> ''").select("_quote").distinct()
+    n_bytes = distinct.agg(F.coalesce(F.sum(F.octet_length("_quote")), F.lit(0))).first()[0]
+    blocks = 1 + n_bytes // most_bytes
+    plain = sources.select(F.col(key).alias("_key"), collapsed(F.col(text)).alias("_source")).where("_source <> ''")
+    found = None
+    for block in range(blocks):
+        own = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64("_quote"), F.lit(blocks)) == block).collect())
+        shared = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = automaton_of(shared.value) if shared.value else None
+            for batch in batches:
+                at, held = [], []
+                for i, source in enumerate(batch.column("_source").to_pylist()):
+                    here = sorted(found_in(shared.value, source, automaton)) if automaton else []
+                    at += [i] * len(here)
+                    held += here
+                yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(at, pa.int64())), pa.array(held, pa.string())], names=["_key", "_quote"])
+
+        part = plain.mapInArrow(run, StructType([plain.schema["_key"]]).add("_quote", "string")).groupBy("_quote").agg(F.count(F.lit(1)).alias("n_sources"), F.min("_key").alias("first_source"))
+        found = part if found is None else found.unionByName(part)
+    return asked.join(found, "_quote", "left").select(quote_id, F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"), "first_source")
+
+
+def evidence_grounding(results: DataFrame, sources: DataFrame, result: str, evidence: str = "evidence") -> DataFrame:
+    """Results (result, evidence array<struct<source, text>>) with ungrounded: the numbers from 0 of the evidence whose text is not in its source (source, text).
+
+    Evidence without a source, or of a source that there is none of, is not grounded; no evidence gives no numbers.
     """
-    plain = sources.select(key, collapsed(F.col(text)).alias("_source"))
-    joined = quotes.withColumn("_quote", collapsed(F.col(quote))).join(plain, key, "left")
-    found = (F.col("_quote") != "") & F.col("_source").contains(F.col("_quote"))
-    return joined.withColumn("grounded", F.coalesce(found, F.lit(False))).drop("_source", "_quote")
+    items = results.select(F.col(result).alias("_result"), F.posexplode(evidence).alias("_place", "_item"))
+    quotes = items.select("_result", "_place", F.col("_item.source").alias("source"), F.col("_item.text").alias("quote"))
+    bad = grounded(quotes, sources, "source").where("NOT grounded").groupBy("_result").agg(F.array_sort(F.collect_list("_place")).alias("_bad"))
+    joined = results.join(bad, results[result].eqNullSafe(bad["_result"]), "left")
+    return joined.select(*(results[c] for c in results.columns), F.coalesce("_bad", F.array().cast("array<int>")).alias("ungrounded"))
 
 
 def grounded_by_content(quotes: DataFrame, sources: DataFrame, canonical: DataFrame, key: str, quote: str = "quote", text: str = "text") -> DataFrame:

@@ -70,6 +70,11 @@ def triage_errors(status: Column, kind: Column, category: Column, confidence: Co
     })
 
 
+def grounded_errors(found: Column, ungrounded: Column) -> Column:
+    """The errors of a result with those of its evidence (see grounding.evidence_grounding), as ungrounded:number."""
+    return F.concat(found, F.transform(ungrounded, lambda n: F.concat(F.lit("ungrounded:"), n.cast("string"))))
+
+
 def response_kind(refusal: Column, status: Column, text: Column, valid: Column) -> Column:
     """What is wrong with an answer; null if nothing."""
     parsed = F.try_variant_get(F.try_parse_json(text), "$", "string")
