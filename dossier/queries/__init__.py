@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dossier.queries import decisions, displays, ledger, pages, records, relational, runs, texts
+from dossier.queries import decisions, displays, flows, ledger, pages, records, relational, runs, texts
 from dossier.queries.base import Query
 
-_PARTS = (relational, ledger, texts, pages, decisions, runs, records, displays)
+_PARTS = (relational, ledger, texts, pages, decisions, runs, records, displays, flows)
 
 
 def queries() -> dict[str, Query]:
