@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 #: White space as text parsing sees it: Unicode spaces and the four separator controls.
 SPACES = r"[\s\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-#: Words that stand for nothing.
+# Words that stand for nothing, device names that a file can't have, and lots' names that say no more than a number.
 EMPTY_WORDS = ("", "none", "null", "n/a")
-#: Device names that a file can't have.
 RESERVED_NAMES = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
+LOT_PLACEHOLDER = r"(?iuU)^(лот|lot|լոտ)\s*(№|#|n)?\s*\d+$"
 
 
 def stripped(c: Column) -> Column:
@@ -68,8 +68,8 @@ def sentences(c: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    """A lot's name that is only the word lot and its number."""
-    return F.coalesce(stripped(c).rlike("(?iu)^(лот|lot)\\s*[№#]?\\s*[0-9]+[.]?$"), F.lit(False))
+    """A lot's name that is only the word lot, in three languages, and its number."""
+    return F.coalesce(collapsed(c).rlike(LOT_PLACEHOLDER), F.lit(False))
 
 
 def category_label(code: Column, names: dict[str, str]) -> Column:

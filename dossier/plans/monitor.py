@@ -6,7 +6,7 @@ bytes.  A page that can't be read is a failed row and holds up nothing else.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +19,14 @@ from dossier.sources import html, office
 
 @dataclass
 class Site:
-    """How a site's pages are read: URL rules and the labels of its detail pages."""
+    """How a site's pages are read: URL rules, the labels of its detail pages, those whose values are classification lines, fields that are whole numbers, and what marks the link to the documents."""
 
     rules: list[tuple[str, str | None, str]]
     labels: dict[str, str]
     required: tuple[str, ...]
+    classifications: dict[str, str] = field(default_factory=dict)
+    counts: tuple[str, ...] = ()
+    document_marker: str | None = None
 
 
 def announcements(list_pages: DataFrame, site: Site) -> DataFrame:
@@ -57,18 +60,31 @@ def ingest(stored: DataFrame, given: DataFrame, now: Column) -> tuple[DataFrame,
 
 
 def enrichments(rows: DataFrame, detail_pages: DataFrame, site: Site) -> DataFrame:
-    """Announcements with landed detail pages (url, html) -> fields by their labels, date matches and enrichment_status."""
-    nodes = html.nodes(detail_pages, "url", tags=("dt", "dd", "div"))
+    """Announcements with landed detail pages (url, html) -> fields by their labels, date matches and enrichment_status.
+
+    Of a site that says so, counts are whole numbers (null where they are none), classification lines are array of struct(code, name), and
+    document_url is the first link with the mark.
+    """
+    nodes = html.nodes(detail_pages, "url", tags=("dt", "dd", "div", *(("a",) if site.document_marker else ()), *((html.TEXT,) if site.classifications else ())))
     is_label = (F.col("tag") == "dt") | html.has_class("de_t") | html.has_class("fe_t")
     is_value = (F.col("tag") == "dd") | html.has_class("de_v") | html.has_class("fe_v")
     names = sorted(set(site.labels.values()))
     values = html.labelled_values(nodes, "url", is_label, is_value, site.labels).groupBy(F.col("url").alias("resource_url")).pivot("field", names).agg(F.first("value"))
     for c in [n for n in names if n.endswith("_at_detail")]:
         values = values.withColumn(c, dates.normal_datetime(F.col(c)))
+    for c in site.counts:
+        values = values.withColumn(c, text.natural_number(F.col(c)))
     joined = rows.select("resource_url", "published_at", "deadline_at").join(values, "resource_url", "left")
+    if site.classifications:
+        fields = sorted(set(site.classifications.values()))
+        lines = html.labelled_lines(nodes, "url", is_label, is_value, site.classifications).groupBy(F.col("url").alias("resource_url")).pivot("field", fields).agg(F.first("lines"))
+        joined = joined.join(lines.select("resource_url", *(text.cpv_codes(F.col(c)).alias(c) for c in fields)), "resource_url", "left")
+    if site.document_marker:
+        marked = html.first_link(nodes, "url", site.document_marker).select(F.col("url").alias("resource_url"), F.col("href").alias("document_url"))
+        joined = joined.join(marked, "resource_url", "left")
     found = F.lit(True)
     for c in site.required:
-        found = found & ~text.is_blank(F.col(c))
+        found = found & ~text.is_blank(F.col(c).cast("string"))
     status = F.when(found, "success").otherwise("partial")
     if "resource_type" in rows.columns:
         joined = joined.join(rows.select("resource_url", "resource_type"), "resource_url")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions import text, urls
@@ -127,8 +128,8 @@ def header_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"""
 WITH h AS (SELECT page_id, url, unnest(regexp_extract_all({BODY}, '<a href="([^"]*)"', 1)) AS href FROM pages)
 SELECT page_id, CASE WHEN href = '' OR href LIKE '#%' OR regexp_matches(lower(href), '^(javascript|mailto):') THEN 'script'
-    WHEN regexp_matches(lower(href), '[.](pdf|doc|docx|xls|xlsx|zip|rar|7z|xml)($|[&?#])') THEN 'document'
-    WHEN regexp_matches(lower(href || url), 'download|attachment|getfile') THEN 'document_hint' ELSE 'other' END AS kind, count(*)::BIGINT AS n FROM h GROUP BY ALL
+    WHEN regexp_matches(lower(href), '[.](pdf|doc|docx|xls|xlsx|zip|rar|7z|odt|ods|rtf|txt|csv)($|[&?#])') THEN 'document'
+    WHEN regexp_matches(lower(href || url), 'download|attachment|getfile|fileid|documentid') THEN 'document_hint' ELSE 'other' END AS kind, count(*)::BIGINT AS n FROM h GROUP BY ALL
 """)
 def link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each page by kind."""
@@ -293,3 +294,106 @@ def detail_enrichments(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(url.alias("url"), body.alias("html"))
     found = monitor.enrichments(rows, details, SITE)
     return found.select("resource_url", "contracting_authority", "number_of_lots", "published_at_detail", "published_at_match", "enrichment_status")
+
+
+def _customers(spark: SparkSession, sf_dir: str, body) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), body.alias("html"))
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey AS page_id, c_nationkey % 5 AS v FROM customer), s AS (SELECT page_id, CASE WHEN v = 1 THEN 0 ELSE v END AS shape FROM c)
+SELECT page_id, min(page_id) OVER (PARTITION BY shape) AS first_page, CASE WHEN shape = 3 THEN 6 WHEN shape = 4 THEN 4 ELSE 5 END::INTEGER AS size FROM s
+""")
+def nested_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one shape: the order of classes and values of attributes don't count, the order and nesting of elements do."""
+    v = F.col("c_nationkey") % 5
+    link = F.concat(F.lit('<a href="'), F.col("c_name"), F.lit('" class="l">x</a>'))
+    body = F.concat(
+        F.when(v == 1, '<div class="big item" id="q">').otherwise('<div id="p" class="item big">'), F.when(v == 2, F.concat(F.lit("<h2>t</h2><p>"), link, F.lit("<br></p>"))).otherwise(F.concat(F.lit("<p>"), link, F.lit("<br></p>"), F.when(v == 4, "").otherwise("<h2>t</h2>"))),
+        F.when(v == 3, "<i></i>").otherwise("text"), F.lit("</div>"),
+    )
+    trees = html.subtrees(html.nodes(_customers(spark, sf_dir, body), "page_id", most_text=0), "page_id").where("parent = -1")
+    return trees.select("page_id", F.min("page_id").over(W.partitionBy("signature")).alias("first_page"), "size")
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey AS page_id, c_nationkey % 4 AS v FROM customer)
+SELECT page_id, 'b' AS tag, '' AS classes, 1::INTEGER AS size FROM c WHERE v = 0 UNION ALL SELECT page_id, 'li', 'x', 2 FROM c WHERE v = 1 UNION ALL SELECT page_id, 'ul', '', 5 FROM c WHERE v = 2
+""")
+def subtree_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest parts of a page's later version that the earlier one lacks: a new element, a changed one, known ones in a new order."""
+    v = F.col("c_nationkey") % 4
+    old = F.lit('<div><ul><li class="x"><i>1</i></li><li><a href="#">2</a></li></ul></div>')
+    new = F.when(v == 0, '<div><ul><li class="x"><i>1</i></li><li><b>2</b></li></ul></div>').when(v == 1, '<div><ul><li class="x"><a href="#">1</a></li><li><a href="#">2</a></li></ul></div>')
+    new = new.when(v == 2, '<div><ul><li><a href="/">1</a></li><li class="x"><i>2</i></li></ul></div>').otherwise('<div><ul><li class="x"><i>9</i></li><li><a href="#9">8</a></li></ul></div>')
+    trees = lambda body: html.subtrees(html.nodes(_customers(spark, sf_dir, body), "page_id", most_text=0), "page_id")
+    return html.subtree_differences(trees(new), trees(old), "page_id").select("page_id", "tag", "classes", "size")
+
+
+@registry.add("""
+SELECT c_custkey AS page_id, c_nationkey % 2 = 0 OR c_nationkey % 5 = 0 AS known FROM customer
+""")
+def known_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page's entry has the nested shape of an entry of the reference page."""
+    k = F.col("c_nationkey")
+    entry = F.when(k % 2 == 0, '<div class="e"><p><a href="/1">x</a></p></div>').when(k % 5 == 0, '<div class="e"><h3>t</h3><p></p></div>').otherwise('<div class="e"><p><a href="/1">x</a><br></p></div>')
+    reference = _customers(spark, sf_dir, F.lit('<div class="e"><p><a href="/0">y</a></p></div><div class="e"><h3></h3><p>z</p></div>'))
+    trees = lambda pages: html.subtrees(html.nodes(pages, "page_id", most_text=0), "page_id")
+    return html.known_shapes(trees(_customers(spark, sf_dir, F.concat(F.lit("<main>"), entry, F.lit("</main>")))), trees(reference), "page_id", F.col("classes") == "e").select("page_id", "known")
+
+
+TYPED = monitor.Site([], {"authority": "contracting_authority", "lots": "number_of_lots"}, ("contracting_authority", "number_of_lots"), {"cpv": "cpv_codes"}, ("number_of_lots",), "documents/public/")
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_custkey % 3 AS t, c_custkey % 4 <> 0 AS landed FROM customer)
+SELECT 'u' || c_custkey AS resource_url, CASE WHEN landed AND t > 0 THEN c_nationkey::BIGINT END AS number_of_lots, CASE WHEN landed AND t > 0 THEN 'success' ELSE 'partial' END AS enrichment_status,
+  CASE WHEN landed THEN CASE t WHEN 0 THEN '60100000=' || c_name || ';null=no code' WHEN 1 THEN '63100000=null;60100000=cargo' END END AS codes, CASE WHEN landed AND t <> 2 THEN '/documents/public/' || c_custkey END AS document_url FROM c
+""")
+def typed_enrichments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail pages whose breaks part classification lines, with lots as numbers and the first marked link."""
+    t, key = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    codes = F.when(t == 0, F.concat(F.lit("<br/>60100000 - "), F.col("c_name"), F.lit("<br/> no\n code "))).when(t == 1, "63100000-<br>60100000- cargo<b> </b>").otherwise(" <br/> ")
+    body = F.concat(
+        F.lit("<dl><dt>Authority:</dt><dd>"), F.col("c_name"), F.lit("</dd><dt>Lots:</dt><dd>"), F.when(t == 0, "many").otherwise(F.col("c_nationkey").cast("string")), F.lit("</dd><dt>CPV:</dt><dd></dd><dt> CPV :</dt><dd>"), codes,
+        F.lit('</dd><dt>Other</dt><dd>60100001-no</dd></dl><a href="/other">a</a>'), F.when(t == 2, "").otherwise(F.concat(F.lit('<p><a href=" /documents/public/'), key, F.lit('">b</a></p><a href="/documents/public/0">c</a>'))),
+    )
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), key).alias("resource_url"), *(F.lit(None).cast("string").alias(c) for c in ("published_at", "deadline_at")))
+    details = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.concat(F.lit("u"), key).alias("url"), body.alias("html"))
+    said = F.array_join(F.transform("cpv_codes", lambda c: F.concat(F.coalesce(c["code"], F.lit("null")), F.lit("="), F.coalesce(c["name"], F.lit("null")))), ";")
+    return monitor.enrichments(rows, details, TYPED).select("resource_url", "number_of_lots", "enrichment_status", said.alias("codes"), "document_url")
+
+
+@registry.add("""
+WITH p AS (SELECT p_partkey AS page_id, p_size % 8 AS k FROM part)
+SELECT page_id, CASE k WHEN 0 THEN 'csv' WHEN 1 THEN 'odt' WHEN 2 THEN 'rtf' WHEN 3 THEN 'txt' WHEN 4 THEN 'ods' END AS extension, CASE WHEN k < 5 THEN 'document' WHEN k < 7 THEN 'document_hint' ELSE 'other' END AS kind FROM p
+""")
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to documents of all kinds, and to addresses that name one by an id."""
+    key = F.col("p_partkey").cast("string")
+    target = F.element_at(F.array(*map(F.lit, ("/a.csv", "/b.ODT?x=1", "/get?f=c.rtf", "/d.txt#e", "/f.ods", "/show?FileId=", "/show?documentid=", "/g.xml"))), (F.col("p_size") % 8 + 1).cast("int"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://h.example/x/").alias("url"), F.concat(F.lit('<a href="'), target, F.lit('">'), key, F.lit("</a>")).alias("html"))
+    return probes.classified_links(pages, html.nodes(pages, "page_id", tags=("a",)), "page_id", "url").select("page_id", "extension", "kind")
+
+
+@registry.add("""
+WITH p AS (SELECT p_partkey, p_size % 7 AS k FROM part) SELECT p_partkey, k < 4 AS is_placeholder FROM p
+""")
+def lot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of lots in three languages with each of the marks; one with a full stop, one with a letter after the number, and one without a number say more."""
+    n = F.col("p_partkey").cast("string")
+    k = F.col("p_size") % 7
+    name = F.when(k == 0, F.concat(F.lit("Լոտ "), n)).when(k == 1, F.concat(F.lit("lot N "), n)).when(k == 2, F.concat(F.lit(" ЛОТ №"), n)).when(k == 3, F.concat(F.lit("lot#"), n)).when(k == 4, F.concat(F.lit("лот "), n, F.lit("."))).when(k == 5, F.concat(F.lit("lot "), n, F.lit("a"))).otherwise(F.lit("lot n"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.is_placeholder(name).alias("is_placeholder"))
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey AS page_id, c_nationkey % 3 AS k FROM customer)
+SELECT page_id, 'js_navigation' AS kind, CASE k WHEN 0 THEN '3' WHEN 1 THEN '2' ELSE '1' END AS detail FROM c UNION ALL SELECT page_id, 'js_submit', '1' FROM c WHERE k = 1
+""")
+def script_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts that go elsewhere or send a form, in any case and with white space before the bracket."""
+    k = F.col("c_nationkey") % 3
+    script = F.when(k == 0, "Location.Replace ('a'); window.location = b; WINDOW.OPEN\t(c)").when(k == 1, "document.location.href='x'; f.Submit (); location.assign\n(1)").otherwise("allocation = 1; x.locations.open(2)")
+    pages = _customers(spark, sf_dir, F.concat(F.lit("<script>"), script, F.lit("</script>")))
+    return probes.next_steps(html.nodes(pages, "page_id", tags=("form", "meta", "body"), said=("none",)), pages, "page_id")

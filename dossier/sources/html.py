@@ -3,10 +3,14 @@
 One small parser turns a page into nodes with their places: a node holds what opens
 after it and before its end, so that containment is a comparison of numbers, and
 everything that pages are asked for is joins and aggregates over nodes of a page.
+Pieces of text are nodes as well where they are asked for (tag #text): what stands
+between two tags.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -20,14 +24,16 @@ from dossier.functions.text import collapsed, label
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style"))
 BATCH_TEXT = 16 << 20  #: characters of text in a batch of nodes
+TEXT = "#text"
 NODE = "node int, parent int, `last` int, tag string, attrs map<string,string>, text string"
 
 
 class _Nodes(HTMLParser):
     """Nodes in order; text is what a node and the nodes in it say, without scripts and styles."""
 
-    def __init__(self) -> None:
+    def __init__(self, pieces: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.pieces, self.piece = pieces, None  #: the piece of text that goes on
         self.tags: list[tuple[int, str, dict]] = []
         self.last: list[int] = []
         self.spans: list[list[int]] = []
@@ -36,6 +42,7 @@ class _Nodes(HTMLParser):
         self.n = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.piece = None
         self.tags.append((self.open[-1] if self.open else -1, tag, {k: v or "" for k, v in attrs}))
         self.last.append(len(self.tags) - 1)
         self.spans.append([len(self.said), len(self.said)])
@@ -48,6 +55,7 @@ class _Nodes(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        self.piece = None
         if any(self.tags[k][1] == tag for k in self.open):
             while self._shut() != tag:
                 pass
@@ -60,6 +68,16 @@ class _Nodes(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.tags[self.open[-1]][1] in HIDDEN):
             self.said.append(data)
+            if self.pieces:
+                if self.piece is None:
+                    self.piece = len(self.tags)
+                    self.tags.append((self.open[-1] if self.open else -1, TEXT, {}))
+                    self.last.append(self.piece)
+                    self.spans.append([len(self.said) - 1, len(self.said)])
+                self.spans[self.piece][1] = len(self.said)
+
+    def handle_comment(self, data: str) -> None:
+        self.piece = None
 
     def rows(self, html: str, most_text: int | None, said: tuple[str, ...]) -> Iterator[tuple]:
         self.feed(html)
@@ -75,6 +93,7 @@ def nodes(pages: DataFrame, key: str, html: str = "html", most_text: int | None
     """key and NODE columns of each element, or of those with some tags.  Null pages have none.
 
     A node's text is whole, or cut at most_text where that is given; with said, only nodes of these tags have a text, others an empty one.
+    Pieces of text are nodes if tags has TEXT.
     """
     schema = pa.schema([("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
@@ -87,7 +106,7 @@ def nodes(pages: DataFrame, key: str, html: str = "html", most_text: int | None
                 return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *columns], names=[key, *schema.names])  # noqa: B023
 
             for i, page in enumerate(batch.column(html).to_pylist()):
-                for row in _Nodes().rows(page or "", most_text, said):
+                for row in _Nodes(TEXT in tags).rows(page or "", most_text, said):
                     if not tags or row[3] in tags:
                         at.append(i)
                         found.append(row)
@@ -147,6 +166,29 @@ def labelled_values(page_nodes: DataFrame, key: str, is_label: Column, is_value:
     return beside.groupBy(key, "field").agg(F.min_by("value", "node").alias("value"))
 
 
+def labelled_lines(page_nodes: DataFrame, key: str, is_label: Column, is_value: Column, fields: dict[str, str]) -> DataFrame:
+    """As labelled_values, with lines: the pieces of text in the value one by one, as breaks and tags part them; blank ones are left out, and a value without any says nothing.
+
+    page_nodes hold pieces of text.  Values don't nest.
+    """
+    name = F.lit(None).cast("string")
+    for said, field in fields.items():
+        name = F.when(label(F.col("text")) == said, field).otherwise(name)
+    order, later = W.partitionBy(key).orderBy("node"), W.partitionBy(key, "parent").orderBy("node").rowsBetween(1, W.unboundedFollowing)
+    rows = page_nodes.where(is_label | is_value | (F.col("tag") == TEXT)).withColumns({"field": F.when(is_label, name), "_value": F.when(is_value, F.col("node"))})
+    opened = F.last(F.when(is_value, F.struct("node", "last")), ignorenulls=True).over(order)
+    rows = rows.withColumns({"_of": F.when(is_label, F.first("_value", ignorenulls=True).over(later)), "_in": opened})
+    pieces = rows.where((F.col("tag") == TEXT) & (F.col("node") > F.col("_in.node")) & (F.col("node") <= F.col("_in.last"))).select(key, F.col("_in.node").alias("_of"), "node", collapsed(F.col("text")).alias("line")).where("line <> ''")
+    lines = pieces.groupBy(key, "_of").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "line"))), lambda p: p["line"]).alias("lines"))
+    beside = rows.where("field IS NOT NULL AND _of IS NOT NULL").select(key, "field", "node", "_of").join(lines, [key, "_of"])
+    return beside.groupBy(key, "field").agg(F.min_by("lines", "node").alias("lines"))
+
+
+def first_link(page_nodes: DataFrame, key: str, marker: str) -> DataFrame:
+    """key, href of each page's first link whose address holds the marker."""
+    return links(page_nodes, key).where(F.col("href").contains(marker)).groupBy(key).agg(F.min_by("href", "node").alias("href"))
+
+
 def table_cells(page_nodes: DataFrame, key: str) -> DataFrame:
     """Cells of tables by their headers: key, table_node, row_node, header, value; cells beyond the headers are left out.
 
@@ -185,3 +227,52 @@ def call_arguments(page_nodes: DataFrame, key: str, function: str, attributes: t
     said = F.concat_ws(" ", *(F.col("attrs")[a] for a in attributes))
     argument = F.regexp_extract(said, function + r"\(\s*['\"]?([^'\"),\s]+)", 1)
     return page_nodes.select(key, "node", argument.alias("argument")).where("argument <> ''")
+
+
+def _signed(key: str):
+    """Signatures of a page's nodes from the last one up: what stands below a node is known when it is reached."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        names = ("node", "parent", "tag", "attrs")
+        below: dict[int, list[str]] = {}
+        sizes: dict[int, int] = {}
+        out = []
+        for node, parent, tag, attrs in reversed([*zip(*(table.column(c).to_pylist() for c in names), strict=True)]):
+            given = dict(attrs)
+            shape = [tag, sorted(given.get("class", "").split()), sorted(given), below.pop(node, [])[::-1]]
+            signature = hashlib.sha256(json.dumps(shape).encode()).hexdigest()
+            size = 1 + sizes.pop(node, 0)
+            below.setdefault(parent, []).append(signature)
+            sizes[parent] = sizes.get(parent, 0) + size
+            out.append((node, parent, tag, " ".join(shape[1]), signature, size))
+        columns = [*zip(*reversed(out), strict=True)]
+        page = table.column(key).slice(0, 1).to_pylist() * len(out)
+        return pa.table([pa.array(page, table.schema.field(key).type), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True))], names=[key, "node", "parent", "tag", "classes", "signature", "size"])
+
+    return run
+
+
+def subtrees(page_nodes: DataFrame, key: str) -> DataFrame:
+    """key, node, parent, tag, classes, signature, size of each subtree of elements.
+
+    Signatures are equal for equal trees of tag, classes (in any order) and names of attributes, children in order, and for
+    no others.  A page is one task's work.
+    """
+    kind = page_nodes.schema[key].dataType.simpleString()
+    elements = page_nodes.where(F.col("tag") != TEXT).select(key, "node", "parent", "tag", "attrs")
+    return elements.groupBy(key).applyInArrow(_signed(key), f"`{key}` {kind}, node int, parent int, tag string, classes string, signature string, size int")
+
+
+def subtree_differences(trees: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The smallest subtrees (see subtrees) that the page of the same key in other lacks: those all of whose children it has."""
+    lacking = trees.join(other.select(key, "signature").distinct(), [key, "signature"], "left_anti")
+    above = lacking.select(key, F.col("parent").alias("node")).distinct()
+    return lacking.join(above, [key, "node"], "left_anti")
+
+
+def known_shapes(trees: DataFrame, other: DataFrame, key: str, roots: Column) -> DataFrame:
+    """The roots among trees with known: whether any page of other has a subtree of that shape, so that whole entries are compared with those of a reference."""
+    shapes = other.select("signature").distinct().withColumn("_known", F.lit(True))
+    joined = trees.where(roots).join(shapes, "signature", "left")
+    return joined.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
