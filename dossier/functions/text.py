@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dossier.functions.canonical import casefolded
+
 #: White space as text parsing sees it: Unicode spaces and the four separator controls.
 SPACES = r"[\s\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Words that stand for nothing, device names that a file can't have, and lots' names that say no more than a number.
@@ -33,8 +35,8 @@ def unix_lines(c: Column) -> Column:
 
 
 def label(c: Column) -> Column:
-    """A form label: collapsed, without a colon at the end, in lower case."""
-    return F.lower(F.rtrim(F.regexp_replace(collapsed(c), ":+$", "")))
+    """A form label: collapsed, without a colon at the end, its case folded."""
+    return casefolded(F.rtrim(F.regexp_replace(collapsed(c), ":+$", "")))
 
 
 def meaningful(c: Column) -> Column:

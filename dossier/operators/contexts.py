@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from dossier.functions import rules, urls
+from dossier.functions import canonical, rules, urls
 
 
 def content_groups(docs: DataFrame, id_column: str, name_column: str | None = None, text: str = "text") -> DataFrame:
@@ -98,6 +99,12 @@ def input_hash(fields: dict[str, Column]) -> Column:
     return F.sha2(canonical_json(fields), 256)
 
 
+def context_hash(contexts: DataFrame, key: str) -> DataFrame:
+    """key, input_hash: of all other columns, at any depth, by their names' order; so is the text that a Python client of the same values would hash."""
+    fields = StructType([f for f in contexts.schema.fields if f.name != key])
+    return contexts.select(key, F.sha2(canonical.canonical_json(F.struct(*fields.names), fields), 256).alias("input_hash"))
+
+
 def backfill_reasons(downloads: DataFrame, extractions: DataFrame, key: str) -> DataFrame:
     """Downloads to be extracted again and why: key, reasons."""
     level = (F.length("member_name") - F.length(F.replace(F.col("member_name"), F.lit("!/"), F.lit("")))) / 2 + 1

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions import urls
+from dossier.functions.canonical import casefolded, nfc
 from dossier.functions.text import collapsed
 from dossier.sources.html import links
 
@@ -79,8 +80,8 @@ def word_counts(html: Column, words: Sequence[str]) -> list[Column]:
 
 
 def file_name_key(c: Column) -> Column:
-    """Names that differ in white space and case only have one key; both sides must be in one Unicode form."""
-    return F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+    """Names that differ in the kind of white space, case and Unicode form only have one key."""
+    return casefolded(collapsed(nfc(c)))
 
 
 def matched_names(listed: DataFrame, on_page: DataFrame, key: str, name: str) -> DataFrame:
