@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import accounts, grounding, validators
+from dossier.operators import accounts, grounding, results, validators
 from dossier.queries.base import Registry, table
 from dossier.sources import updates
 from dossier.store import fresh_path
@@ -151,3 +151,67 @@ def grounded_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = grounding.evidence_grounding(results, docs.withColumnRenamed("doc_id", "source"), "doc_id")
     own = validators.evidence_errors(F.transform("evidence", lambda e: F.struct(e["source_type"], e["text"])), validators.SOURCES)
     return judged.select("doc_id", F.array_join(validators.grounded_errors(own, F.col("ungrounded")), ",").alias("errors"))
+
+
+@registry.add("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 11 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN '$.reason: blank' WHEN 1 THEN '$.confidence: missing' WHEN 2 THEN '$: unknown field "note"' WHEN 3 THEN '$: unclear without maybe' WHEN 4 THEN '$: no deep analysis'
+  WHEN 5 THEN '$.evidence[1].source_type: not one of the values;$.evidence[1].text: too long' WHEN 6 THEN '$.evidence: not a list' WHEN 7 THEN '$: not JSON' ELSE '' END AS faults FROM o
+""")
+def triage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of all faults of triage results that are broken in one way or another."""
+    k = F.col("o_orderkey") % 11
+    item = lambda source, said: F.struct(source.alias("source_type"), F.lit("title").alias("field"), F.lit(None).cast("long").alias("download_id"), F.lit(None).cast("string").alias("member_name"), said.alias("text"))
+    evidence = F.array(item(F.lit("announcement"), F.col("o_orderpriority")), item(F.when(k == 5, "rumour").otherwise("document"), F.when(k == 5, F.repeat(F.lit("x"), F.lit(501))).otherwise("y")))
+    result = F.struct(
+        F.lit("relevant").alias("relevance_status"), F.when(k == 3, "unclear").otherwise("procurement").alias("opportunity_type"), F.lit(None).cast("string").alias("category"), F.lit("high").alias("confidence"),
+        F.when(k == 0, " \t").otherwise(F.col("o_orderpriority")).alias("reason"), (k != 4).alias("requires_deep_analysis"), evidence.alias("evidence"),
+    )
+    json = F.to_json(result, {"ignoreNullFields": "false"})
+    json = F.when(k == 1, F.replace(json, F.lit('"confidence":"high",'), F.lit(""))).when(k == 2, F.replace(json, F.lit('"confidence"'), F.lit('"note":1,"confidence"'))).when(k == 6, F.regexp_replace(json, r'"evidence":\[.*\]\}$', '"evidence":{}}')).when(k == 7, F.substring(json, F.lit(2), F.length(json))).otherwise(json)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(results.triage_faults(json), ";").alias("faults"))
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey, c_custkey % 9 AS k FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN '$.logistics: unknown field "route";$.logistics.cargo: not a text' WHEN 1 THEN '$.procurement.brand_or_equivalent.equivalent_allowed: not a flag' WHEN 2 THEN '$.procurement.items[0].item_name: blank;$.procurement.items[0].evidence: too few'
+  WHEN 3 THEN '$.procurement.lots[0].item_count: too small' WHEN 4 THEN '$.participation_barriers[0].severity: not one of the values' WHEN 5 THEN '$: needs logistics' WHEN 6 THEN '$: must not have procurement' WHEN 7 THEN '$.source_conflicts[0].sources: too few' ELSE '' END AS faults FROM c
+""")
+def deep_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of all faults of deep results: logistics, brands, items, lots, barriers, conflicts, and blocks that the type asks for."""
+    k = F.col("c_custkey") % 9
+    null, name = F.lit("null"), F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))
+    members = lambda fields: F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), v) for n, v in fields.items())), F.lit("}"))
+    quote = members({"source_type": F.lit('"document"'), "field": F.lit('"text"'), "download_id": F.col("c_custkey").cast("string"), "member_name": F.lit('""'), "text": name})
+    listed = lambda *items: F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+    brand = members({"specified_brand": null, "equivalent_allowed": F.when(k == 1, '"yes"').otherwise("true")})
+    item = members({"item_name": F.when(k == 2, '" "').otherwise(name), "lot_number": null, "quantity": null, "unit": null, "key_specifications": F.lit('["m8"]'), "brand_or_equivalent": null, "evidence": F.when(k == 2, "[]").otherwise(listed(quote))})
+    lot = members({"lot_number": F.lit('"1"'), "description": null, "item_count": F.when(k == 3, "-1").otherwise("3"), "evidence": F.lit("[]")})
+    given = {n: null for n in results.PROCUREMENT.fields} | {"total_lots": F.lit("2"), "brand_or_equivalent": brand, "items": listed(item), "lots": listed(lot)}
+    cargo = {n: null for n in results.LOGISTICS.fields} | {"cargo": F.when(k == 0, "7").otherwise(name)}
+    logistics = F.when(k == 0, members(cargo | {"route": null})).when(k == 5, null).otherwise(members(cargo))
+    barrier = members({"type": F.lit('"license"'), "description": name, "severity": F.when(k == 4, '"grave"').otherwise('"low"'), "evidence": listed(quote)})
+    conflict = members({"sources": F.when(k == 7, "[]").otherwise('["document"]'), "conflict_description": name, "impact": name})
+    json = members({
+        "summary": name, "opportunity_type": F.when(k == 6, '"logistics"').otherwise('"logistics_and_procurement"'), "category": null, "why_interesting": name, "contracting_authority": null, "procedure_code": null, "confidence": F.lit('"low"'),
+        "participation_barriers": listed(barrier), "missing_information": F.lit("[]"), "source_conflicts": listed(conflict), "manual_review_required": F.lit("false"), "evidence": listed(quote), "procurement": members(given), "logistics": logistics,
+    })
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(results.deep_faults(json), ";").alias("faults"))
+
+
+@registry.add("""
+WITH p AS (SELECT p_partkey, p_partkey % 8 AS k FROM part)
+SELECT p_partkey, '$.expected: needs a category' AS fault FROM p WHERE k = 1 UNION ALL SELECT p_partkey, '$.expected.opportunity_type: not one of the values' FROM p WHERE k = 2 UNION ALL SELECT p_partkey, '$.input_hash: bad form' FROM p WHERE k = 3
+UNION ALL SELECT p_partkey, '$.expected: not an object' FROM p WHERE k = 4 UNION ALL SELECT p_partkey, '$.title: missing' FROM p WHERE k = 5 UNION ALL SELECT p_partkey, '$.resource_url: repeated' FROM p WHERE k = 6 AND p_partkey > (SELECT min(p_partkey) FROM p WHERE k = 6)
+""")
+def golden_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All faults of a set of golden cases, those of single cases and repeated addresses."""
+    k, key = F.col("p_partkey") % 8, F.col("p_partkey").cast("string")
+    kind = F.when(k == 1, "procurement").when(k == 2, "logistics").otherwise("unclear")
+    expected = F.struct(F.lit("maybe").alias("relevance_status"), kind.alias("opportunity_type"), F.lit(None).cast("string").alias("category"), F.col("p_name").alias("expected_reason"), F.lit(None).cast("string").alias("notes"))
+    case = F.struct(
+        F.concat(F.lit("case-"), key).alias("case_id"), F.when(k == 6, "u").otherwise(F.concat(F.lit("u"), key)).alias("resource_url"), F.col("p_name").alias("title"), F.when(k == 3, "0").otherwise(F.sha2("p_name", 256)).alias("input_hash"), expected.alias("expected"),
+    )
+    json = F.to_json(case, {"ignoreNullFields": "false"})
+    json = F.when(k == 4, F.regexp_replace(json, r'"expected":\{.*\}\}$', '"expected":[]}')).when(k == 5, F.replace(json, F.lit('"title"'), F.lit('"name"'))).otherwise(json)
+    return results.golden_faults(table(spark, sf_dir, "part").select("p_partkey", json.alias("json")), "p_partkey", "json")
