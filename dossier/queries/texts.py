@@ -205,11 +205,9 @@ SELECT conv_id, (n - 1)::INTEGER AS n, length(done)::INTEGER AS chars, sha256(do
 """)
 def full_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as message pages of at most 4,096 characters."""
-    turns = table(spark, sf_dir, "conversations")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), F.coalesce(t["text"], F.lit(""))))
-    cards = turns.groupBy("conv_id").agg(lines.alias("lines"))
-    pages = segments.paged(cards, "lines")
-    return pages.select("conv_id", F.posexplode("pages").alias("n", "page")).select("conv_id", "n", F.length("page").alias("chars"), F.sha2("page", 256).alias("page_hash"))
+    lines = table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))))
+    pages = segments.paged(lines, "conv_id", ["turn", "role", "text"])
+    return pages.select("conv_id", "n", F.length("page").alias("chars"), F.sha2("page", 256).alias("page_hash"))
 
 
 @registry.add(r"""
@@ -232,3 +230,24 @@ def complete_thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, or their longest beginnings that are a thought of their own."""
     docs = _docs(spark, sf_dir).withColumn("text", text.collapsed(F.col("text")))
     return docs.select("doc_id", segments.complete_thought(F.col("text"), 160).alias("thought"))
+
+
+@registry.add("""
+WITH RECURSIVE u AS (SELECT conv_id, turn // 3 AS section, role AS title, trim(regexp_replace(substr(text, 1, 90), '\\s+', ' ', 'g')) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 3, role, turn, text) AS k FROM conversations WHERE trim(regexp_replace(substr(text, 1, 90), '\\s+', ' ', 'g')) <> ''),
+l AS (SELECT *, section || title AS part FROM u),
+s AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS k, '' AS page, NULL::VARCHAR AS part, NULL::VARCHAR AS done FROM l
+  UNION ALL
+  SELECT conv_id, k, CASE WHEN full_ THEN head || chr(10) || line ELSE joined END, new_part, CASE WHEN full_ THEN page END FROM (
+    SELECT *, page <> '' AND length(joined) > 300 AS full_ FROM (
+      SELECT s.conv_id, l.k, l.part AS new_part, l.line, s.page, CASE WHEN s.part = l.part THEN l.title || ' (continued):' ELSE l.title || ':' END AS head,
+        CASE WHEN s.part = l.part THEN s.page || chr(10) || l.line WHEN s.page <> '' THEN s.page || chr(10) || chr(10) || l.title || ':' || chr(10) || l.line ELSE l.title || ':' || chr(10) || l.line END AS joined
+      FROM s JOIN l ON l.conv_id = s.conv_id AND l.k = s.k + 1))),
+p AS (SELECT conv_id, k, done AS page FROM s WHERE done IS NOT NULL UNION ALL SELECT conv_id, max(k) + 1, arg_max(page, k) FROM s GROUP BY 1)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1)::INTEGER AS n, page FROM p
+""")
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns under headings, on pages of at most 300 characters; a section that goes on has its heading again."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.floor(F.col("turn") / 3).alias("third"), "role", text.collapsed(F.substring("text", 1, 90)).alias("line"))
+    rows = turns.withColumns({"section": F.concat(F.col("third").cast("string"), F.col("role")), "title": F.col("role")})
+    return segments.section_pages(rows, "conv_id", ["third", "role", "turn", "text"], 300)

@@ -69,35 +69,36 @@ def test_random_values(spark):
         assert 20 < sum(not r.e for r in got) < 140
 
 
-def one(spark, faults_of, value):
-    return spark.createDataFrame([(json.dumps(value),)], "json string").select(faults_of(F.col("json"))).first()[0]
+def judged(spark, faults_of, values):
+    """The faults of JSON texts and values, worked out together."""
+    texts = [(i, v if v is None or isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)]
+    rows = spark.createDataFrame(texts, "id long, json string").select("id", faults_of(F.col("json")).alias("e")).collect()
+    return [r.e for r in sorted(rows)]
 
 
 def test_between_fields(spark):
     triage = {"relevance_status": "relevant", "opportunity_type": "procurement", "category": None, "confidence": "high", "reason": "r", "requires_deep_analysis": True, "evidence": []}
-    assert one(spark, results.triage_faults, triage) == []
-    assert one(spark, results.triage_faults, triage | {"opportunity_type": "unclear"}) == ["$: unclear without maybe"]
-    assert one(spark, results.triage_faults, triage | {"relevance_status": "not_relevant"}) == ["$: deep analysis of what is not relevant"]
-    assert one(spark, results.triage_faults, triage | {"requires_deep_analysis": False}) == ["$: no deep analysis"]
+    assert judged(spark, results.triage_faults, [triage, triage | {"opportunity_type": "unclear"}, triage | {"relevance_status": "not_relevant"}, triage | {"requires_deep_analysis": False}]) == [
+        [], ["$: unclear without maybe"], ["$: deep analysis of what is not relevant"], ["$: no deep analysis"],
+    ]
     logistics = dict.fromkeys(results.LOGISTICS.fields)
     procurement = dict.fromkeys(results.PROCUREMENT.fields)
     deep = {"summary": "s", "opportunity_type": "logistics", "category": None, "why_interesting": "w", "contracting_authority": None, "procedure_code": None, "confidence": "low", "participation_barriers": [], "missing_information": None, "source_conflicts": [], "manual_review_required": False, "evidence": [], "procurement": None, "logistics": logistics}
-    assert one(spark, results.deep_faults, deep) == []
-    assert one(spark, results.deep_faults, deep | {"logistics": None}) == ["$: needs logistics"]
-    assert one(spark, results.deep_faults, deep | {"procurement": procurement}) == ["$: must not have procurement"]
-    assert one(spark, results.deep_faults, deep | {"opportunity_type": "logistics_and_procurement"}) == ["$: needs procurement"]
-    assert one(spark, results.deep_faults, deep | {"opportunity_type": "unrelated"}) == ["$: must not have logistics"]
-    assert one(spark, results.deep_faults, deep | {"opportunity_type": "transport"}) == ["$.opportunity_type: not one of the values"]
-    assert one(spark, results.deep_faults, deep | {"logistics": logistics | {"cargo": 5, "route": "x"}}) == ['$.logistics: unknown field "route"', "$.logistics.cargo: not a text"]
     quote = {"source_type": "document", "field": "text", "download_id": 1, "member_name": "a", "text": "q"}
     item = {"item_name": "bolt", "lot_number": None, "quantity": None, "unit": None, "key_specifications": ["m8", " "], "brand_or_equivalent": {"specified_brand": None, "equivalent_allowed": "no"}, "evidence": []}
     lot = {"lot_number": " ", "description": None, "item_count": -1, "evidence": [quote | {"evidence_id": ""}]}
-    found = one(spark, results.deep_faults, deep | {"opportunity_type": "procurement", "logistics": None, "procurement": procurement | {"items": [{k: v for k, v in item.items() if k != "brand_or_equivalent"} | {"evidence": [quote], "key_specifications": None}, item], "lots": [lot]}})
-    assert found == [
-        "$.procurement.items[1].key_specifications[1]: blank", "$.procurement.items[1].brand_or_equivalent.equivalent_allowed: not a flag", "$.procurement.items[1].evidence: too few",
-        "$.procurement.lots[0].lot_number: blank", "$.procurement.lots[0].item_count: too small", "$.procurement.lots[0].evidence[0].evidence_id: blank",
+    bought = deep | {"opportunity_type": "procurement", "logistics": None, "procurement": procurement | {"items": [{k: v for k, v in item.items() if k != "brand_or_equivalent"} | {"evidence": [quote], "key_specifications": None}, item], "lots": [lot]}}
+    cases = [
+        (deep, []), (deep | {"logistics": None}, ["$: needs logistics"]), (deep | {"procurement": procurement}, ["$: must not have procurement"]), (deep | {"opportunity_type": "logistics_and_procurement"}, ["$: needs procurement"]),
+        (deep | {"opportunity_type": "unrelated"}, ["$: must not have logistics"]), (deep | {"opportunity_type": "transport"}, ["$.opportunity_type: not one of the values"]),
+        (deep | {"logistics": logistics | {"cargo": 5, "route": "x"}}, ['$.logistics: unknown field "route"', "$.logistics.cargo: not a text"]),
+        (bought, [
+            "$.procurement.items[1].key_specifications[1]: blank", "$.procurement.items[1].brand_or_equivalent.equivalent_allowed: not a flag", "$.procurement.items[1].evidence: too few",
+            "$.procurement.lots[0].lot_number: blank", "$.procurement.lots[0].item_count: too small", "$.procurement.lots[0].evidence[0].evidence_id: blank",
+        ]),
+        *((v, ["$: not JSON"]) for v in ("{", None, '"a":1}', "{} {}", "1,2", "[1],[2]", '1},{"v":2', "")), *((v, ["$: not an object"]) for v in ("[]", "null")),
     ]
-    assert [spark.createDataFrame([(v,)], "json string").select(results.deep_faults(F.col("json"))).first()[0] for v in ("{", None, "[]", "null", '"a":1}', "{} {}", "1,2", "[1],[2]", '1},{"v":2', "")] == [["$: not JSON"], ["$: not JSON"], ["$: not an object"], ["$: not an object"]] + [["$: not JSON"]] * 6
+    assert judged(spark, results.deep_faults, [v for v, _ in cases]) == [e for _, e in cases]
 
 
 def test_golden_cases(spark):
