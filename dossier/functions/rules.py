@@ -186,3 +186,24 @@ def routing(reason: Column, not_relevant: Column, gate: Column, admission: Colum
 def reconciled_state(is_latest: Column, has_state: Column, same_source: Column, unchanged: Column) -> Column:
     """What a backfill does to an announcement's state: only the latest version of its own source changes it."""
     return F.when(~is_latest, "not_latest").when(has_state & ~same_source, "other_source").when(has_state & unchanged, "unchanged").otherwise("updated")
+
+
+#: The parts of facts, document entries and admissions that are kept with a decision or sent to a model.
+FACTS = ("estimated_value", "value_source", "source_refs", "total_lots", "total_quantity", "notes")
+DOCUMENT_SUMMARY = ("download_id", "member_name", "file_type", "extraction_status")
+ADMISSION = ("deep_analysis_status", "reason", "reason_code")
+
+
+def subset(c: Column, names: tuple[str, ...]) -> Column:
+    """A struct of some fields of a struct; null stays null."""
+    return F.when(c.isNotNull(), F.struct(*(c[n].alias(n) for n in names)))
+
+
+def document_summaries(documents: Column) -> Column:
+    """Of array<struct<...>> of documents what a model is told of each: no texts."""
+    return F.transform(documents, lambda d: F.struct(*(d[n].alias(n) for n in DOCUMENT_SUMMARY)))
+
+
+def admission_details(admission: Column, preflight: Column, budget: Column) -> Column:
+    """JSON of an admission's decision, with preflight and budget where there are any."""
+    return F.to_json(F.struct(*(admission[n].alias(n) for n in ADMISSION), preflight.alias("preflight"), budget.alias("budget")))

@@ -78,3 +78,32 @@ def run_cost(records: DataFrame, cost: Column, model: str, by: tuple[str, ...] =
     unpriced = F.min(F.when(cost.isNull(), F.col(model)))
     error = F.when(F.count_if(cost.isNull()) > 0, F.concat(F.lit("no price for "), F.coalesce(unpriced, F.lit("(none)"))))
     return records.groupBy(*by).agg(F.when(error.isNull(), F.sum(cost)).alias("cost"), error.alias("error"))
+
+
+def deep_records(cases: DataFrame, contexts: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """One record a golden case of a deep run: the case's columns, status, what went to the model, what came back, and error (kind, message).
+
+    cases have preparation (ok, or why no call was made) and detail; contexts have document_coverage, input_size_chars and evidence_units; answers have
+    prediction, raw_output, usage, response_id, attempts, error_kind and error_message.  A case that is not prepared is
+    skipped and has nothing of either; one without an answer, or whose answer has an error, is an error, with the usage
+    that it cost all the same.
+    """
+    sent = ("document_coverage", "input_size_chars", "evidence_units")
+    joined = cases.join(contexts.select(key, *sent), key, "left").join(answers.withColumn("_answered", F.lit(True)), key, "left")
+    prepared = F.coalesce(F.col("preparation") == "ok", F.lit(False))
+    answered = F.coalesce(F.col("_answered"), F.lit(False))
+    failed = ~answered | F.col("error_kind").isNotNull()
+    status = F.when(~prepared, "skipped").when(failed, "error").otherwise("scored")
+    text = lambda c: F.col(c).cast("string")
+    kind = F.when(~prepared, text("preparation")).when(~answered, "unexpected_error").otherwise(text("error_kind"))
+    message = F.when(~prepared, text("detail")).when(~answered, "no answer").otherwise(text("error_message"))
+    own = [c for c in cases.columns if c not in ("preparation", "detail")]
+    return joined.select(
+        *own, status.alias("status"), *(F.when(prepared, F.col(c)).alias(c) for c in sent), *(F.when(prepared & ~failed, F.col(c)).alias(c) for c in ("prediction", "raw_output")),
+        *(F.when(prepared & answered, F.col(c)).alias(c) for c in ("usage", "response_id", "attempts")), F.when(~prepared | failed, F.struct(kind.alias("kind"), message.alias("message"))).alias("error"),
+    )
+
+
+def deep_artifacts(records: DataFrame, run: dict[str, Column], cost: Column) -> DataFrame:
+    """One artifact a record, for files.write_artifact: the run's facts (evaluator, prompt, provider, model, ...), the usage, its cost and the record as case."""
+    return records.select(*(c.alias(n) for n, c in run.items()), "usage", cost.alias("cost"), F.struct(*records.columns).alias("case"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import accounts, grounding, results, validators
+from dossier.functions import rules
+from dossier.operators import accounts, grounding, responses, results, validators
 from dossier.queries.base import Registry, table
 from dossier.sources import updates
 from dossier.store import fresh_path
@@ -215,3 +216,41 @@ def golden_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.to_json(case, {"ignoreNullFields": "false"})
     json = F.when(k == 4, F.regexp_replace(json, r'"expected":\{.*\}\}$', '"expected":[]}')).when(k == 5, F.replace(json, F.lit('"title"'), F.lit('"name"'))).otherwise(json)
     return results.golden_faults(table(spark, sf_dir, "part").select("p_partkey", json.alias("json")), "p_partkey", "json")
+
+
+@registry.add("""
+WITH c AS (SELECT doc_id, quality, toxic, doc_id % 7 AS k FROM labels)
+SELECT c.doc_id, CASE WHEN k = 0 THEN 'skipped' WHEN k = 1 OR k = 2 THEN 'error' ELSE 'scored' END AS status, CASE WHEN k > 0 THEN length(d.text) END AS input_size_chars, CASE WHEN k > 2 THEN 'p' || quality END AS prediction,
+  CASE WHEN k > 1 THEN c.doc_id * 10 END::BIGINT AS input_tokens, CASE k WHEN 0 THEN 'stale_context: changed' WHEN 1 THEN 'unexpected_error: no answer' WHEN 2 THEN 'validation: bad block' END AS error
+FROM c JOIN documents d USING (doc_id)
+""")
+def deep_case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of golden cases in a deep run: skipped, failed with what it cost, scored."""
+    k = F.col("doc_id") % 7
+    labels = table(spark, sf_dir, "labels")
+    cases = labels.select("doc_id", F.when(k == 0, "stale_context").otherwise("ok").alias("preparation"), F.when(k == 0, "changed").alias("detail"))
+    contexts = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.lit(1).alias("total_documents")).alias("document_coverage"), F.length("text").alias("input_size_chars"), F.lit(2).alias("evidence_units"))
+    usage = F.struct((F.col("doc_id") * 10).alias("input_tokens"))
+    answers = labels.where("doc_id % 7 <> 1").select(
+        "doc_id", F.concat(F.lit("p"), F.col("quality").cast("string")).alias("prediction"), F.lit("{}").alias("raw_output"), usage.alias("usage"), F.lit("r").alias("response_id"), F.lit(1).alias("attempts"),
+        F.when(k == 2, "validation").alias("error_kind"), F.when(k == 2, "bad block").alias("error_message"),
+    )
+    found = responses.deep_records(cases, contexts, answers, "doc_id")
+    return found.select("doc_id", "status", "input_size_chars", "prediction", F.col("usage.input_tokens").alias("input_tokens"), F.concat("error.kind", F.lit(": "), "error.message").alias("error"))
+
+
+@registry.add("""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE '{"estimated_value":' || l_quantity::BIGINT || ',"value_source":"official","source_refs":["s"],"total_lots":' || l_linenumber || ',"notes":[]}' END AS facts,
+  '{"deep_analysis_status":"deferred","reason":"' || l_shipdate::DATE || '","reason_code":"budget"' || CASE WHEN l_linenumber % 2 = 0 THEN ',"preflight":{"tokens":' || l_partkey || '}' ELSE '' END || '}' AS admission FROM lineitem
+""")
+def decision_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of facts and admissions with a decision."""
+    i = F.col("l_linenumber")
+    facts = F.struct(
+        F.col("l_quantity").cast("long").alias("estimated_value"), F.lit("official").alias("value_source"), F.array(F.lit("s")).alias("source_refs"), i.alias("total_lots"), F.lit(None).cast("long").alias("total_quantity"),
+        F.array().cast("array<string>").alias("notes"), F.lit("left out").alias("lines"),
+    )
+    admission = F.struct(F.lit("deferred").alias("deep_analysis_status"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("reason"), F.lit("budget").alias("reason_code"), F.lit(True).alias("left_out"))
+    preflight = F.when(i % 2 == 0, F.struct(F.col("l_partkey").alias("tokens")))
+    told = rules.admission_details(admission, preflight, F.lit(None).cast("struct<left:bigint>"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.to_json(rules.subset(F.when(i % 3 != 0, facts), rules.FACTS)).alias("facts"), told.alias("admission"))

@@ -72,12 +72,21 @@ def _bounded(z: zipfile.ZipFile, name: str, limits: Limits) -> bytes:
     return data
 
 
-def _document(name: str, kind: str, data: bytes, limits: Limits) -> Iterator[tuple]:
-    """The parts of a DOCX or XLSX that hold what it says: rows of PART from member_name on."""
+def _document(name: str, kind: str, data: bytes, spent: _Spent) -> Iterator[tuple]:
+    """The parts of a DOCX or XLSX that hold what it says: rows of PART from member_name on.
+
+    Parts count towards the bytes of the whole file.  Their sizes are known before they are read, and no more than these is
+    read of them: a document beyond what is left is one failed row.
+    """
+    limits = spent.limits
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = z.namelist()
             wanted = ["word/document.xml"] if kind == "docx" else ["xl/workbook.xml", "xl/_rels/workbook.xml.rels", *(n for n in names if n == "xl/sharedStrings.xml" or n.startswith("xl/worksheets/") and n.endswith(".xml"))]
+            sizes = [z.getinfo(n).file_size for n in wanted]
+            if max(sizes) > limits.member_bytes or spent.bytes + sum(sizes) > limits.total_bytes:
+                raise LimitExceeded(f"{len(sizes)} parts: too many bytes")
+            spent.bytes += sum(sizes)
             parts = [(n, _bounded(z, n, limits)) for n in wanted]
     except Exception as e:  # whatever a damaged file does is its own failure
         yield name, kind, "failed", _told(e), None, None
@@ -104,7 +113,7 @@ def _walk(data: bytes, outer: str, depth: int, spent: _Spent) -> Iterator[tuple]
                 continue
             try:
                 inner = _bounded(z, info.filename, limits)
-                yield from list(_walk(inner, name, depth + 1, spent)) if kind == "zip" else _document(name, kind, inner, limits)
+                yield from list(_walk(inner, name, depth + 1, spent)) if kind == "zip" else _document(name, kind, inner, spent)
             except LimitExceeded:
                 raise
             except Exception as e:
@@ -115,7 +124,7 @@ def _members(name: str, data: bytes, limits: Limits) -> list[tuple]:
     """Rows of PART from member_name on for a file by its extension; members of an archive as outer!/inner."""
     kind = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if kind in ("docx", "xlsx"):
-        return list(_document("", kind, data, limits))
+        return list(_document("", kind, data, _Spent(limits)))
     try:
         if kind != "zip":
             raise ValueError("the type is not supported")
