@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dossier.llm.scratch import fresh_path, stored
 
@@ -175,6 +176,20 @@ def _blocks(cuts: list[tuple], run_rows: int, block_rows: int):
     return run
 
 
+def _sizes(cuts: list[tuple]):
+    """Index rows -> how many of a batch each key range holds: span, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many: dict[int, int] = {}
+            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                span = bisect.bisect_right(cuts, _key(entry))
+                many[span] = many.get(span, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(many.keys(), pa.int32()), pa.array(many.values(), pa.int64())], names=["span", "n"])
+
+    return run
+
+
 def _key(entry: tuple) -> tuple:
     """An entry's place in the order; one without page_id comes first among its like."""
     return entry[0], entry[1], entry[2] is not None, entry[2] or 0, entry[7], entry[8]
@@ -246,7 +261,7 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def capture_histories(spark: SparkSession, path: str, *, rows_a_span: int = 50_000, least_sampled: int = 20_000, sampled_a_span: int = 8, run_rows: int = 100_000, block_rows: int = 4096) -> DataFrame:
-    """The captures of all archives in a folder: span and place (their global order), then the index's columns.
+    """The captures of all archives in a folder: history_place (from 0, in their global order), span and place inside it, then the index's columns.
 
     A page without page_id comes first among its like; equal captures are in the order of their archives; a folder without
     records gives none.  Ranges hold about rows_a_span rows each, however many captures there are: the driver gets
@@ -263,24 +278,33 @@ def capture_histories(spark: SparkSession, path: str, *, rows_a_span: int = 50_0
         keys = sorted(_key(tuple(r)) for r in sampled.limit(4 * wanted).collect())
         cuts = [keys[i * len(keys) // spans] for i in range(1, spans)] if keys else []
     blocks = index.mapInArrow(_blocks(cuts, run_rows, block_rows), "span int, run long, seq long, block binary")
-    return blocks.groupBy("span").applyInArrow(_merge, f"span int, place long, {INDEX}")
+    merged = blocks.groupBy("span").applyInArrow(_merge, f"span int, place long, {INDEX}")
+    sizes = index.mapInArrow(_sizes(cuts), "span int, n long").groupBy("span").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("span")) - F.col("n")  # a row for each range
+    starts = sizes.select("span", before.alias("_start"))
+    return merged.join(starts, "span").select((F.col("_start") + F.col("place")).alias("history_place"), *merged.columns)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    return capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "history_place")
 
 
-OP7_SQL = """
+OP7_SQL = r"""
 WITH page AS (
   SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
-         octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes
+         octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, regexp_replace(split_part(coalesce(url, ''), '#', 1), '^.*?://', '') AS rest
   FROM pages),
 judged AS (
-  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM page)
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id,
+         regexp_replace(split_part(regexp_replace(lower(split_part(rest, '/', 1)), '^.*@', ''), ':', 1), '^www[.]', '') AS host
+  FROM page),
+placed AS (
+  SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN contains(rest, '/') THEN lower(substr(rest, strpos(rest, '/'))) ELSE '' END AS url_key FROM judged)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
-FROM judged
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+       row_number() OVER (ORDER BY url_key, page_id % 100000000, page_id) - 1 AS history_place
+FROM placed
 """
