@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.dates import local_display
 from dossier.functions.segments import clipped
-from dossier.functions.text import collapsed, is_blank
+from dossier.functions.text import collapsed, is_blank, is_placeholder, meaningful
 
 #: (items, characters of one) from the fullest to the shortest.
 PROFILES = ((5, 160), (3, 100), (1, 60))
@@ -89,3 +89,43 @@ def barrier_lines(barriers: Column) -> Column:
     """Lines of array<struct<label, description>>: the description, and the label after it unless the description says it in any case."""
     said = lambda b: F.contains(F.lower(b["description"]), F.lower(b["label"]))
     return F.transform(barriers, lambda b: F.concat(F.lit("• "), b["description"], F.when(said(b), F.lit("")).otherwise(F.concat(F.lit(" — "), b["label"]))))
+
+
+# Words of the lines that cards have.
+LOT, LOTS_ARE, MENTIONS_LOTS = "Лот", "Лотов", "лот"
+LOGISTICS_LINES = (("service", "Услуга"), ("cargo", "Груз"), ("route", "Маршрут"), ("transport_mode", "Вид транспорта"))
+
+
+def lot_line(number: Column, description: Column) -> Column:
+    """A lot's description behind its number; a lot without one says nothing."""
+    said = meaningful(description)
+    return F.when(said.isNotNull(), F.coalesce(F.concat(F.lit(f"{LOT} "), meaningful(number), F.lit(": "), said), said))
+
+
+def named_item_line(name: Column, quantity: Column, unit: Column) -> Column:
+    """An item's name and how much of it; one whose name is only a lot's number says nothing."""
+    said = meaningful(name)
+    much = F.nullif(F.concat_ws(" ", meaningful(quantity), meaningful(unit)), F.lit(""))
+    return F.when(~is_placeholder(said), F.coalesce(F.concat(said, F.lit(" — "), much), said))
+
+
+def logistics_lines(block: Column) -> Column:
+    """Of struct<service, cargo, origin, destination, transport_mode> the lines that say something; null has none."""
+    route = F.nullif(F.concat_ws(" → ", meaningful(block["origin"]), meaningful(block["destination"])), F.lit(""))
+    said = {name: route if name == "route" else meaningful(block[name]) for name, _ in LOGISTICS_LINES}
+    return F.filter(F.array(*(F.concat(F.lit(f"{label_}: "), said[name]) for name, label_ in LOGISTICS_LINES)), lambda x: x.isNotNull())
+
+
+def procured_lines(items: Column, lots: Column, logistics: Column) -> Column:
+    """What is bought: lines of array<struct<item_name, quantity, unit>>, or where these say nothing of array<struct<lot_number, description>>, then those of logistics."""
+    told = lambda c, line: F.coalesce(F.filter(F.transform(c, line), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    of_items = told(items, lambda i: named_item_line(i["item_name"], i["quantity"], i["unit"]))
+    of_lots = told(lots, lambda x: lot_line(x["lot_number"], x["description"]))
+    return F.concat(F.when(F.size(of_items) > 0, of_items).otherwise(of_lots), logistics_lines(logistics))
+
+
+def quantity_lines(summary: Column, total_lots: Column) -> Column:
+    """The summary of quantities, and the number of lots unless the summary speaks of lots."""
+    said = meaningful(summary)
+    lots = F.when(~F.coalesce(F.lower(said).contains(MENTIONS_LOTS), F.lit(False)), F.concat(F.lit(f"{LOTS_ARE}: "), total_lots.cast("string")))
+    return F.filter(F.array(said, lots), lambda x: x.isNotNull())

@@ -253,3 +253,25 @@ def callback_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     now = e.select("event_id", F.when(F.col("user_id") % 2 == 0, "h").otherwise("other").alias("input_hash"), F.col("ts").alias("deadline"), "value")
     return cards.callback_context(e.select("event_id", F.lit("h").alias("input_hash")), now, "event_id")
+
+
+@registry.add("""
+WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 3 = 0 OR l_linenumber % 2 = 0 THEN NULL ELSE 'part ' || l_partkey || CASE WHEN l_linenumber % 5 = 0 THEN ' — pcs' ELSE ' — ' || l_quantity::BIGINT || ' pcs' END END AS item,
+  CASE WHEN l_linenumber % 4 <> 0 THEN CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'Лот ' || l_linenumber || ': ' END || 'supply ' || l_suppkey END AS lot FROM lineitem),
+g AS (SELECT l_orderkey AS k, coalesce(list(item ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (item IS NOT NULL), []) AS items, coalesce(list(lot ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (lot IS NOT NULL), []) AS lots, count(*) AS n FROM i GROUP BY 1)
+SELECT k AS l_orderkey, array_to_string(list_concat(CASE WHEN len(items) > 0 THEN items ELSE lots END, CASE k % 4 WHEN 0 THEN [] WHEN 1 THEN ['Услуга: freight', 'Маршрут: a → b'] WHEN 2 THEN ['Груз: goods ' || k, 'Маршрут: b', 'Вид транспорта: sea'] ELSE [] END), chr(10)) AS bought,
+  array_to_string(CASE k % 3 WHEN 0 THEN ['about ' || n || ' ЛОТОВ'] WHEN 1 THEN ['about ' || n, 'Лотов: ' || n] ELSE ['Лотов: ' || n] END, chr(10)) AS quantities FROM g
+""")
+def procured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cards say of items, of lots where no item says anything, of logistics, and of quantities."""
+    k, i = F.col("l_orderkey"), F.col("l_linenumber")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Лот № "), i.cast("string"))).when(i % 2 == 0, "None").otherwise(F.concat(F.lit(" part  "), F.col("l_partkey").cast("string")))
+    item = F.struct(name.alias("item_name"), F.when(i % 5 == 0, "n/a").otherwise(F.col("l_quantity").cast("long").cast("string")).alias("quantity"), F.lit("pcs").alias("unit"))
+    lot = F.struct(F.when(i % 3 == 0, " ").otherwise(i.cast("string")).alias("lot_number"), F.when(i % 4 != 0, F.concat(F.lit("supply "), F.col("l_suppkey").cast("string"))).alias("description"))
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("item"), lot.alias("lot"))))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("l"), F.count(F.lit(1)).alias("n"))
+    said = lambda **of: F.when(k % 4 == 1, of.get("one")).when(k % 4 == 2, of.get("two")).when(k % 4 == 3, " ")
+    logistics = F.when(k % 4 != 0, F.struct(said(one="freight").alias("service"), said(two=F.concat(F.lit("goods "), k.cast("string"))).alias("cargo"), said(one="a", two="null").alias("origin"), said(one="b", two="b").alias("destination"), said(two="sea").alias("transport_mode")))
+    bought = cards.procured_lines(F.transform("l", lambda x: x["item"]), F.transform("l", lambda x: x["lot"]), logistics)
+    summary = F.when(k % 3 == 0, F.concat(F.lit("about "), F.col("n").cast("string"), F.lit(" ЛОТОВ"))).when(k % 3 == 1, F.concat(F.lit(" about "), F.col("n").cast("string")))
+    return orders.select("l_orderkey", F.array_join(bought, "\n").alias("bought"), F.array_join(cards.quantity_lines(summary, F.col("n")), "\n").alias("quantities"))
