@@ -275,3 +275,19 @@ def procured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = cards.procured_lines(F.transform("l", lambda x: x["item"]), F.transform("l", lambda x: x["lot"]), logistics)
     summary = F.when(k % 3 == 0, F.concat(F.lit("about "), F.col("n").cast("string"), F.lit(" ЛОТОВ"))).when(k % 3 == 1, F.concat(F.lit(" about "), F.col("n").cast("string")))
     return orders.select("l_orderkey", F.array_join(bought, "\n").alias("bought"), F.array_join(cards.quantity_lines(summary, F.col("n")), "\n").alias("quantities"))
+
+
+@registry.add("""
+WITH c AS (SELECT c_custkey AS k, c_name FROM customer)
+SELECT k, CASE k % 6 WHEN 0 THEN c_name || ' é.pdf' WHEN 1 THEN 'Лот ' || k WHEN 2 THEN c_name || 'é ' || k WHEN 3 THEN '=?nowhere?B?YQ==?=' WHEN 4 THEN 'é' || k ELSE c_name || ' é' END AS name FROM c
+""")
+def encoded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of headers in encoded words: Base64 and Q, two charsets, words that go on in the next one, an unknown charset."""
+    k = F.col("c_custkey")
+    name, key = F.col("c_name"), k.cast("string")
+    base = lambda c: F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(c, "UTF-8")), F.lit("?="))
+    said = F.when(k % 6 == 0, base(F.concat(name, F.lit(" é.pdf")))).when(k % 6 == 1, F.concat(F.lit("=?windows-1251?Q?=CB=EE=F2_"), key, F.lit("?=")))
+    said = said.when(k % 6 == 2, F.concat(base(name), F.lit(" \t=?UTF-8?q?=C3?= =?utf-8?Q?=A9_"), key, F.lit("?="))).when(k % 6 == 3, "=?nowhere?B?YQ==?=")
+    said = said.when(k % 6 == 4, F.concat(F.lit("=?iso-8859-1?Q?=E9?= =?iso-8859-1?B?"), F.base64(F.encode(key, "UTF-8")), F.lit("?="))).otherwise(F.concat(name, F.lit(" =?utf-8?Q?=C3=A9?=")))
+    header = F.concat(F.lit('attachment; filename="'), said, F.lit('"'))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), files.header_file_name(header).alias("name"))
