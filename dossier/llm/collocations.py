@@ -50,7 +50,7 @@ _CLASS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 _U = np.uint64
 
 CODED = "row string, lang string, n long, vocab array<string>, counts array<int>, codes array<binary>"
-COUNTED = "k1 long, k2 long, k3 long, n long, left long, right long"
+COUNTED = "k1 long, k2 long, k3 long, n long, sides long"
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,15 +157,27 @@ def _code(row_words: int):
     return run
 
 
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a row (codes, words) and the frequent ones (known, ids) of the same bucket -> the codes of those that are frequent, and their numbers."""
+    for batch in batches:
+        out: dict[str, list] = {"codes": [], "ids": []}
+        for i in range(batch.num_rows):
+            codes, words, known, ids = (batch.column(c)[i].values for c in ("codes", "words", "known", "ids"))
+            at = pc.index_in(words, value_set=known)
+            found = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            out["codes"].append(codes.to_numpy()[found].astype(np.uint32).tobytes())
+            out["ids"].append(ids.to_numpy()[at.fill_null(0).to_numpy()[found]].astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out["codes"], pa.binary()), pa.array(out["ids"], pa.binary())], names=["row", "codes", "ids"])
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes of a row's vocabulary -> numbers of frequent words; runs of what is no such word, and such words alone, are one 0."""
+    """Codes of a row's vocabulary -> numbers of frequent words (own and ids: codes and numbers in pieces); runs of what is no such word, and such words alone, are one 0."""
     for batch in batches:
         for i in range(batch.num_rows):
             codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint32)
-            known = batch.column("known")[i].values
-            own = known.field("code").to_numpy()
+            own, given = (np.frombuffer(b"".join(batch.column(c)[i].as_py()), np.uint32) for c in ("own", "ids"))
             ids = np.zeros(max(int(codes.max(initial=0)), int(own.max(initial=0)) + 1) + 1, dtype=np.uint32)
-            ids[own + 1] = known.field("id").to_numpy()
+            ids[own.astype(np.int64) + 1] = given
             x = np.concatenate([np.zeros(1, np.uint32), ids[codes], np.zeros(1, np.uint32)])
             left, right = np.append(x[:1] * 0, x[:-1]), np.append(x[1:], x[:1] * 0)
             x[(left == 0) & (right == 0)] = 0
@@ -202,11 +214,12 @@ def _combined(k1: np.ndarray, k2: np.ndarray | None, k3: np.ndarray | None, left
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     at = np.flatnonzero(new)
-    same = lambda side: np.where(np.minimum.reduceat(side, at) == np.maximum.reduceat(side, at), side[at], 0) if len(at) else side[at]
+    same = lambda side: np.where(np.minimum.reduceat(side, at) == np.maximum.reduceat(side, at), side[at], _U(0)) if len(at) else side[at]
     keys = [k[at] for k in keys] + [np.zeros(len(at), np.uint64)] * (3 - len(keys))
-    columns = [*keys, np.diff(np.append(at, len(order))), same(left), same(right)]
+    sides = same(left) << _U(32) | same(right)
+    columns = [*keys, np.diff(np.append(at, len(order))), sides]
     for a in range(0, len(at), SENT):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT].astype(np.int64)) for c in columns], names=["k1", "k2", "k3", "n", "left", "right"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT].astype(np.int64)) for c in columns], names=["k1", "k2", "k3", "n", "sides"])
 
 
 def _pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,13 +315,17 @@ def _asked(requests):
     return run
 
 
-def _summed(counted: DataFrame, least: int) -> DataFrame:
-    """(p: numbers of the words, k1, k2, n, held: a longer candidate with as many occurrences holds it)."""
-    sums = counted.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("n"), *(f(c).alias(f"{c}_{name}") for c in ("left", "right") for name, f in (("min", F.min), ("max", F.max)))).where(F.col("n") >= least)
-    half = lambda c: (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    p = F.filter(F.array(*half("k1"), *half("k2"), F.col("k3")), lambda v: v > 0)
-    one_side = lambda c: (F.col(f"{c}_min") == F.col(f"{c}_max")) & (F.col(f"{c}_min") > 0)
-    return sums.select(p.alias("p"), "k1", "k2", "n", ((F.size(p) < LONGEST) & (one_side("left") | one_side("right"))).alias("held"))
+def _summed(counted: DataFrame, least: int, keys: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
+    """(p: numbers of the words, k1, k2, n, held: a longer candidate with as many occurrences holds it).
+
+    All parts have the same word on a side if and only if the bits that all have are those that any has.
+    """
+    sums = counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_and("sides").alias("all_have"), F.bit_or("sides").alias("any_has")).where(F.col("n") >= least)
+    sums = sums.withColumns({k: F.lit(0).cast("long") for k in ("k1", "k2", "k3") if k not in keys})
+    first, second = (lambda c: F.shiftrightunsigned(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    p = F.filter(F.array(first("k1"), second("k1"), first("k2"), second("k2"), F.col("k3")), lambda v: v > 0)
+    one_side = lambda half: (half("all_have") == half("any_has")) & (half("all_have") > 0)
+    return sums.select(p.alias("p"), "k1", "k2", "n", ((F.size(p) < LONGEST) & (one_side(first) | one_side(second))).alias("held"))
 
 
 def _best_cuts(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -333,7 +350,7 @@ def _settled(scored: DataFrame, top: int) -> DataFrame:
     return scored.where("NOT held AND size(unknown) = 0").select("lang", "score").withColumn("place", F.row_number().over(order)).where(F.col("place") == top).select("lang", F.col("score").alias("settled"))
 
 
-def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, row_words: int = 2 << 20, most_grown: int = 1 << 30) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, row_words: int = 2 << 20, bucket_words: int = 20_000, most_grown: int = 1 << 30) -> DataFrame:
     """The best phrases of two to five words of (text, lang) per language: lang, rank, phrase, a, l, r, n, score.
 
     A null lang is 'und', a null or empty text has no words; rows that repeat count again; an empty table gives none.  A
@@ -352,13 +369,17 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, row_word
         first += r["n"]
     vocabulary = stored(placed.join(F.broadcast(spark.createDataFrame(starts, "part int, shift long")), "part").select("lang", "word", "n", (F.col("at") + F.col("shift")).alias("id")), "words")
     dropped(placed)
-    here = coded.select("row", "lang", F.posexplode("vocab").alias("code", "word")).join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
-    known = here.groupBy("row").agg(F.collect_list(F.struct("code", F.col("id").cast("long").alias("id"))).alias("known"))
-    texts = stored(coded.select("row", F.explode("codes").alias("codes")).join(known, "row").select("codes", "known").mapInArrow(_numbered, "ids binary"), "numbers")
+    buckets = F.lit(1 + (first - 1) // bucket_words)
+    bucket = F.pmod(F.xxhash64("word"), buckets).alias("bucket")
+    asked = coded.select("row", "lang", F.posexplode("vocab").alias("code", "word")).groupBy("row", "lang", bucket).agg(F.collect_list("code").alias("codes"), F.collect_list("word").alias("words"))
+    told = vocabulary.groupBy("lang", bucket).agg(F.collect_list("word").alias("known"), F.collect_list("id").alias("ids"))
+    answers = asked.join(told, ["lang", "bucket"]).select("row", "codes", "words", "known", "ids").mapInArrow(_looked_up, "row string, codes binary, ids binary")
+    known = answers.groupBy("row").agg(F.collect_list("codes").alias("own"), F.collect_list("ids").alias("ids"))
+    texts = stored(coded.select("row", F.explode("codes").alias("codes")).join(known, "row").select("codes", "own", "ids").mapInArrow(_numbered, "ids binary"), "numbers")
     names = vocabulary.join(stored(totals, "totals"), "lang").select("id", "lang", "word", F.col("n").alias("word_n"), "total")
     dropped(coded)
 
-    pairs = stored(_summed(texts.mapInArrow(_count_pairs, COUNTED), least), "pairs")
+    pairs = stored(_summed(texts.mapInArrow(_count_pairs, COUNTED), least, ("k1",)), "pairs")
     of_words = vocabulary.select(F.array("id").alias("p"), "n")
     first_words = names.select("id", "lang", "total", F.col("word_n").alias("first_n"))
 
