@@ -45,11 +45,11 @@ def texts(seed, n=160):
     return rows + [(None, "en"), ("", None), (" ., ", "de"), ("one", "xx")] + rows[:5]
 
 
-@pytest.mark.parametrize(("top", "most_grown", "row_words"), [(2000, 1 << 30, 1 << 20), (7, 1 << 30, 200), (7, 1, 1 << 20), (40, 60, 500)])
+@pytest.mark.parametrize(("top", "most_grown", "row_words"), [(2000, 1 << 30, 1 << 20), (7, 1, 200), (40, 60, 500)])
 def test_brute_force(spark, monkeypatch, top, most_grown, row_words):
     rows = texts(top)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3, "text").withColumns({c: F.lit("clash") for c in ("n", "p", "k", "word", "id", "a", "score", "rank")})
-    got = module.collocations(docs, least=6, top=top, most_grown=most_grown, row_words=row_words).collect()
+    got = module.collocations(docs, least=6, top=top, most_grown=most_grown, row_words=row_words, bucket_words=1 << 20 if top > 7 else 5).collect()
     expected = brute_force(rows, 6, top)
     assert sorted(tuple(r) for r in got) == expected
     assert len(expected) > 10 and any(len(r[2].split()) == 5 for r in expected)
@@ -89,8 +89,9 @@ def test_numbers_of_blocks(monkeypatch):
     coder.add(pa.array(["a b. c d x a b, x a. a b c d", "d"]))
     row = coder.row("en")
     vocab = row["vocab"].to_pylist()
-    known = pa.array([[{"code": vocab.index(w), "id": 10 * (k + 1)} for k, w in enumerate("abcd")]] * len(row["codes"]))
-    batch = pa.RecordBatch.from_arrays([pa.array(row["codes"], pa.binary()), known], names=["codes", "known"])
+    number = lambda values: np.array(values, np.uint32).tobytes()
+    own, ids = ([[number([f(w)]) for w in "abcd"]] * len(row["codes"]) for f in (vocab.index, lambda w: 10 * ("abcd".index(w) + 1)))
+    batch = pa.RecordBatch.from_arrays([pa.array(row["codes"], pa.binary()), pa.array(own, pa.list_(pa.binary())), pa.array(ids, pa.list_(pa.binary()))], names=["codes", "own", "ids"])
     blocks = [np.frombuffer(b.column("ids")[0].as_py(), np.uint32).tolist() for b in module._numbered(iter([batch]))]
     assert len(blocks) > 2 and all(b[0] == 0 == b[-1] for b in blocks)
     runs = [r.split() for b in blocks for r in " ".join(map(str, b)).split(" 0") if r.strip(" 0")]
