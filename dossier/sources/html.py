@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,10 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import collapsed, label
+from dossier.store import spread
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style"))
 BATCH_TEXT = 16 << 20  #: characters of text in a batch of nodes
+BATCH_ROWS = 50_000  #: nodes in a batch
 TEXT = "#text"
 NODE = "node int, parent int, `last` int, tag string, attrs map<string,string>, text string"
 
@@ -79,14 +84,93 @@ class _Nodes(HTMLParser):
     def handle_comment(self, data: str) -> None:
         self.piece = None
 
-    def rows(self, html: str, most_text: int | None, said: tuple[str, ...]) -> Iterator[tuple]:
-        self.feed(html)
-        self.close()
+    def read(self, html: str) -> None:
+        """Pages of plain tags and texts go by regular expressions; others through the parser, with the same nodes."""
+        if not self._plain(html):
+            self.__init__(self.pieces)
+            self.feed(html)
+            self.close()
         while self.open:
             self._shut()
-        for k, (parent, tag, attrs) in enumerate(self.tags):
-            a, b = self.spans[k]
-            yield k, parent, self.last[k], tag, list(attrs.items()), "".join(self.said[a:b])[:most_text] if not said or tag in said else ""
+
+    def _plain(self, html: str) -> bool:
+        for text, raw in _TOKENS.findall(html):
+            if raw:
+                known = _plain_tag(raw)
+                if known is None:
+                    return False
+                kind, tag, attrs = known
+                if kind == 0:
+                    self.handle_starttag(tag, attrs)
+                elif kind == 1:
+                    self.handle_endtag(tag)
+                else:
+                    self.handle_startendtag(tag, attrs)
+            elif "<" in text:
+                return False
+            else:
+                self.handle_data(unescape(text) if "&" in text else text)
+        return True
+
+
+_TOKENS = re.compile(r"([^<]+|<(?![^<>]*>))|(<[^<>]*>)")
+_PLAIN_TAG = re.compile(r"""<([a-z][a-z0-9]*)((?:[ \n]+[a-z][a-z-]*="[^"&]*")*)[ ]?(/?)>|</([a-z][a-z0-9]*)>""")
+_PLAIN_ATTR = re.compile(r"""([a-z][a-z-]*)="([^"&]*)\"""")
+#: Elements whose insides are no tags, or that change how what follows is read.
+_RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp plaintext svg math template select".split())
+
+
+@lru_cache(maxsize=1 << 12)
+def _plain_tag(raw: str) -> tuple[int, str, list] | None:
+    """Kind (0 opens, 1 ends, 2 both), name and attributes of a tag that is written in the plainest way; null for others."""
+    m = _PLAIN_TAG.fullmatch(raw)
+    if m is None or (m[1] or m[4]) in _RAW:
+        return None
+    return (1, m[4], []) if m[4] else (2 if m[3] else 0, m[1], _PLAIN_ATTR.findall(m[2]) if m[2] else [])
+
+
+class _Rows:
+    """Nodes in columns, until there is enough of them for a batch."""
+
+    def __init__(self, most_text: int | None, tags: tuple[str, ...], said: tuple[str, ...]) -> None:
+        self.most_text, self.tags, self.said = most_text, frozenset(tags), frozenset(said)
+        self.begin()
+
+    def begin(self) -> None:
+        self.at, self.node, self.parent, self.last, self.tag, self.text = [], [], [], [], [], []
+        self.names, self.values, self.offsets, self.size = [], [], [0], 0
+
+    def add(self, i: int, page: _Nodes) -> Iterator[None]:
+        """Takes a page's nodes, and stops wherever a batch is full."""
+        tags, said, most = self.tags, self.said, self.most_text
+        for k, (parent, tag, attrs) in enumerate(page.tags):
+            if tags and tag not in tags:
+                continue
+            text = ""
+            if most != 0 and (not said or tag in said):
+                a, b = page.spans[k]
+                text = page.said[a] if b == a + 1 else "".join(page.said[a:b])
+                text = text if most is None else text[:most]
+                self.size += len(text)
+            self.at.append(i)
+            self.node.append(k)
+            self.parent.append(parent)
+            self.last.append(page.last[k])
+            self.tag.append(tag)
+            self.text.append(text)
+            if attrs:
+                self.names.extend(attrs)
+                self.values.extend(attrs.values())
+            self.offsets.append(len(self.names))
+            if self.size > BATCH_TEXT or len(self.at) >= BATCH_ROWS:
+                yield
+
+    def made(self, keys: pa.Array, key: str) -> pa.RecordBatch:
+        attrs = pa.MapArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
+        numbers = [pa.array(c, pa.int32()) for c in (self.node, self.parent, self.last)]
+        out = pa.RecordBatch.from_arrays([keys.take(pa.array(self.at, pa.int64())), *numbers, pa.array(self.tag, pa.string()), attrs, pa.array(self.text, pa.string())], names=[key, "node", "parent", "last", "tag", "attrs", "text"])
+        self.begin()
+        return out
 
 
 def nodes(pages: DataFrame, key: str, html: str = "html", most_text: int | None = None, tags: tuple[str, ...] = (), said: tuple[str, ...] = ()) -> DataFrame:
@@ -95,26 +179,17 @@ def nodes(pages: DataFrame, key: str, html: str = "html", most_text: int | None
     A node's text is whole, or cut at most_text where that is given; with said, only nodes of these tags have a text, others an empty one.
     Pieces of text are nodes if tags has TEXT.
     """
-    schema = pa.schema([("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(most_text, tags, said)
         for batch in batches:
-            at, found, size = [], [], 0
-
-            def made() -> pa.RecordBatch:
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)] if found else [pa.array([], f.type) for f in schema]  # noqa: B023
-                return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *columns], names=[key, *schema.names])  # noqa: B023
-
-            for i, page in enumerate(batch.column(html).to_pylist()):
-                for row in _Nodes(TEXT in tags).rows(page or "", most_text, said):
-                    if not tags or row[3] in tags:
-                        at.append(i)
-                        found.append(row)
-                        size += len(row[5])
-                        if size > BATCH_TEXT:
-                            yield made()
-                            at, found, size = [], [], 0
-            yield made()
+            keys = batch.column(key)
+            for i, page in enumerate(batch.column(html)):
+                parsed = _Nodes(TEXT in tags)
+                parsed.read(page.as_py() or "")
+                for _ in rows.add(i, parsed):
+                    yield rows.made(keys, key)
+            yield rows.made(keys, key)
 
     return pages.select(key, html).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, {NODE}")
 
@@ -229,26 +304,31 @@ def call_arguments(page_nodes: DataFrame, key: str, function: str, attributes: t
     return page_nodes.select(key, "node", argument.alias("argument")).where("argument <> ''")
 
 
+@lru_cache(maxsize=1 << 12)
+def _signature(tag: str, classes: str, names: str, below: tuple[str, ...]) -> str:
+    shape = [tag, classes.split(), names.split(" ") if names else [], [*below]]
+    return hashlib.sha256(json.dumps(shape).encode()).hexdigest()
+
+
 def _signed(key: str):
-    """Signatures of a page's nodes from the last one up: what stands below a node is known when it is reached."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        names = ("node", "parent", "tag", "attrs")
-        below: dict[int, list[str]] = {}
-        sizes: dict[int, int] = {}
-        out = []
-        for node, parent, tag, attrs in reversed([*zip(*(table.column(c).to_pylist() for c in names), strict=True)]):
-            given = dict(attrs)
-            shape = [tag, sorted(given.get("class", "").split()), sorted(given), below.pop(node, [])[::-1]]
-            signature = hashlib.sha256(json.dumps(shape).encode()).hexdigest()
-            size = 1 + sizes.pop(node, 0)
-            below.setdefault(parent, []).append(signature)
-            sizes[parent] = sizes.get(parent, 0) + size
-            out.append((node, parent, tag, " ".join(shape[1]), signature, size))
-        columns = [*zip(*reversed(out), strict=True)]
-        page = table.column(key).slice(0, 1).to_pylist() * len(out)
-        return pa.table([pa.array(page, table.schema.field(key).type), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True))], names=[key, "node", "parent", "tag", "classes", "signature", "size"])
+    """Signatures of nodes that come page by page, each from the last one up: what stands below a node is known when it is reached."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, below, sizes = None, {}, {}
+        for batch in batches:
+            out = []
+            for at, node, parent, tag, given, names in zip(*(batch.column(c).to_pylist() for c in (key, "node", "parent", "tag", "given", "names")), strict=True):
+                if at != page:
+                    page, below, sizes = at, {}, {}
+                classes = " ".join(sorted(given.split()))
+                signature = _signature(tag, classes, names, tuple(reversed(below.pop(node, ()))))
+                size = 1 + sizes.pop(node, 0)
+                if parent >= 0:
+                    below.setdefault(parent, []).append(signature)
+                    sizes[parent] = sizes.get(parent, 0) + size
+                out.append((classes, signature, size))
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.string(), pa.string(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "node", "parent", "tag")), *made], names=[key, "node", "parent", "tag", "classes", "signature", "size"])
 
     return run
 
@@ -257,22 +337,26 @@ def subtrees(page_nodes: DataFrame, key: str) -> DataFrame:
     """key, node, parent, tag, classes, signature, size of each subtree of elements.
 
     Signatures are equal for equal trees of tag, classes (in any order) and names of attributes, children in order, and for
-    no others.  A page is one task's work.
+    no others.  Nodes stream page by page, so that a task holds what is open of one page.
     """
     kind = page_nodes.schema[key].dataType.simpleString()
-    elements = page_nodes.where(F.col("tag") != TEXT).select(key, "node", "parent", "tag", "attrs")
-    return elements.groupBy(key).applyInArrow(_signed(key), f"`{key}` {kind}, node int, parent int, tag string, classes string, signature string, size int")
+    elements = page_nodes.where(F.col("tag") != TEXT).select(key, "node", "parent", "tag", F.coalesce(F.col("attrs")["class"], F.lit("")).alias("given"), F.array_join(F.array_sort(F.map_keys("attrs")), " ").alias("names"))
+    ordered = spread(elements, key).sortWithinPartitions(key, F.desc("node"))
+    return ordered.mapInArrow(_signed(key), f"`{key}` {kind}, node int, parent int, tag string, classes string, signature string, size int")
 
 
 def subtree_differences(trees: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """The smallest subtrees (see subtrees) that the page of the same key in other lacks: those all of whose children it has."""
-    lacking = trees.join(other.select(key, "signature").distinct(), [key, "signature"], "left_anti")
+    """The smallest subtrees (see subtrees) that the page of the same key in other lacks: those all of whose children it has.
+
+    Both sides are as large as the pages, however small the table that they come from looks to the planner: merged, never broadcast.
+    """
+    lacking = trees.join(other.select(key, "signature").distinct().hint("merge"), [key, "signature"], "left_anti")
     above = lacking.select(key, F.col("parent").alias("node")).distinct()
-    return lacking.join(above, [key, "node"], "left_anti")
+    return lacking.join(above.hint("merge"), [key, "node"], "left_anti")
 
 
 def known_shapes(trees: DataFrame, other: DataFrame, key: str, roots: Column) -> DataFrame:
     """The roots among trees with known: whether any page of other has a subtree of that shape, so that whole entries are compared with those of a reference."""
     shapes = other.select("signature").distinct().withColumn("_known", F.lit(True))
-    joined = trees.where(roots).join(shapes, "signature", "left")
+    joined = trees.where(roots).join(shapes.hint("merge"), "signature", "left")
     return joined.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")

@@ -44,6 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows dealt to tasks by some keys, or evenly, for work that is far larger than the rows it starts from.
+
+    A small table is one task, and shuffles of small rows are joined into a few: their sizes say nothing of what is done with each row.
+    """
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that stored() wrote and nothing needs any more."""
     for table in tables:

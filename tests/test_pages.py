@@ -96,3 +96,34 @@ def test_smallest_differences(spark):
     parents = {(r.id, r.parent) for r in lacking}
     assert sorted((r.id, r.node) for r in got) == sorted((r.id, r.node) for r in lacking if (r.id, r.node) not in parents)
     assert 0 < len(got) < len(lacking)
+
+
+def test_differences_of_pages_are_merged(spark):
+    rows = html.subtrees(html.nodes(spark.createDataFrame([(1, "<p><b>1</b></p>")], "id long, html string"), "id"), "id")
+    for joined in (html.subtree_differences(rows, rows, "id"), html.known_shapes(rows, rows, "id", F.lit(True))):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_read_by_many_tasks(spark):
+    from dossier.queries import pages
+
+    assert pages._customers(spark, "/root/testdata/sf0.001", F.lit("<p>")).rdd.getNumPartitions() >= 16
+
+
+def test_plain_pages_have_the_parsers_nodes():
+    rng = random.Random(5)
+    parts = ["<p>", "</p>", "<b class=\"x  y\" id=\"1\">", "</b>", "<br>", "<br/>", "<br />", "<a href=\"/1?x=1>\">", "<a href=\"/é\" href=\"/2\" rel=\"\">", "</a>", "<i title=\"a&lt;b\">", "</i>", "<P>", "t", " \n", "1 &lt 2", "&amp;", " > ", " < ", "<!-- c -->", "<title>", "</title>", "<script>", "</script>", "<hr", "</br>", "<li/>", "<!x", "&#65", "<a b='c'>"]
+    plain = 0
+    for _ in range(4000):
+        page = "".join(rng.choices(parts[: rng.choice((8, 11, 17, len(parts)))], k=rng.randrange(12)))
+        for pieces_too in (False, True):
+            slow, fast = html._Nodes(pieces_too), html._Nodes(pieces_too)
+            plain += html._Nodes(pieces_too)._plain(page)
+            slow.feed(page)
+            slow.close()
+            while slow.open:
+                slow._shut()
+            fast.read(page)
+            said = lambda n: [(*t, end, "".join(n.said[a:b])) for t, end, (a, b) in zip(n.tags, n.last, n.spans, strict=True)]
+            assert said(fast) == said(slow), page
+    assert plain > 1000
