@@ -92,8 +92,7 @@ def errors(rule: Rule, value: Column, path: Column | str = "$") -> Column:
 
 def json_errors(rule: Rule, json: Column) -> Column:
     """The faults of a JSON text; of what is none, or has something after it, one."""
-    value = _whole(json)
-    return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(errors(rule, value))
+    return _let(_whole(json), lambda value: F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(errors(rule, value)))
 
 
 def _whole(json: Column) -> Column:
