@@ -12,6 +12,7 @@ from dossier.functions import urls
 from dossier.functions.canonical import casefolded, nfc
 from dossier.functions.text import collapsed
 from dossier.sources.html import links
+from dossier.store import spread
 
 # Extensions of documents, words of download addresses, and how scripts go to another page or send a form.
 DOCUMENT_EXTENSIONS = ("pdf", "doc", "docx", "xls", "xlsx", "zip", "rar", "7z", "odt", "ods", "rtf", "txt", "csv")
@@ -114,20 +115,21 @@ def found_fields(page_nodes: DataFrame, key: str, words: dict[str, Sequence[str]
     """key, field, label, value, via: up to most finds of each field of a page, each label and value once.
 
     Pairs of a dt and its dd, or of the two cells of a row, whose label holds one of the words; a short text that holds
-    one counts, without a value, only where no pair does.
+    one counts, without a value, only where no pair does.  page_nodes are all elements of a page; one shuffle by pages, no joins.
     """
-    rows = page_nodes.select(key, "node", "parent", "tag", collapsed(F.col("text")).alias("text"))
-    siblings = W.partitionBy(key, "parent").orderBy("node")
-    after, n = F.lead(F.struct("tag", "text")).over(siblings), F.count_if(F.col("tag") == "td").over(W.partitionBy(key, "parent"))
-    first = F.row_number().over(siblings) == 1
-    via = F.when((F.col("tag") == "dt") & (after["tag"] == "dd"), "dt/dd").when((F.col("tag") == "td") & (n == 2) & first, "tr")
+    rows = spread(page_nodes.select(key, "node", "parent", "last", "tag", collapsed(F.col("text")).alias("label")), key)
+    paired = F.col("tag").isin("dt", "dd", "td")
+    rows = rows.withColumn("_of", F.when(paired, F.col("parent")).otherwise(-2))  # other nodes come between no pair
+    siblings = W.partitionBy(key, "_of").orderBy("node")
+    after, n = F.lead(F.struct("tag", "label")).over(siblings), F.count_if(F.col("tag") == "td").over(W.partitionBy(key, "_of"))
+    via = F.when((F.col("tag") == "dt") & (after["tag"] == "dd"), "dt/dd").when((F.col("tag") == "td") & (n == 2) & (F.row_number().over(siblings) == 1), "tr")
+    pair = F.struct(after["label"].alias("value"), via.alias("via"))
+    is_text = (F.col("last") == F.col("node")) & ~F.col("tag").isin("title", "noscript") & F.length("label").between(1, most_text)
+    alone = F.when(is_text, F.struct(F.lit(None).cast("string").alias("value"), F.lit("text").alias("via")))
     named = F.filter(F.array(*(F.when(F.lower("label").rlike("|".join(w)), F.lit(field)) for field, w in words.items())), lambda x: x.isNotNull())
-    pairs = rows.where(F.col("tag").isin("dt", "dd", "td")).select(key, "node", F.col("text").alias("label"), after["text"].alias("value"), via.alias("via")).where("via IS NOT NULL")
-    pairs = pairs.select(key, "node", "label", "value", "via", F.explode(named).alias("field"))
-    inner = rows.select(key, F.col("parent").alias("node")).distinct()
-    leaves = rows.join(inner, [key, "node"], "left_anti").where(~F.col("tag").isin("title", "noscript") & (F.length("text").between(1, most_text)))
-    texts = leaves.select(key, "node", F.col("text").alias("label"), F.lit(None).cast("string").alias("value"), F.lit("text").alias("via")).select("*", F.explode(named).alias("field"))
-    texts = texts.join(pairs.select(key, "field").distinct(), [key, "field"], "left_anti")
-    once = pairs.unionByName(texts).groupBy(key, "field", "label", "value", "via").agg(F.min("node").alias("node"))
+    finds = rows.select(key, "node", "label", F.filter(F.array(pair, alone), lambda x: x["via"].isNotNull()).alias("_finds"), named.alias("_named")).where("size(_finds) > 0 AND size(_named) > 0")
+    finds = finds.select(key, "node", "label", "_named", F.explode("_finds").alias("_find")).select(key, "node", "label", "_find.*", F.explode("_named").alias("field"))
+    finds = finds.withColumn("_paired", F.max(F.col("via") != "text").over(W.partitionBy(key, "field"))).where("via <> 'text' OR NOT _paired")
+    once = finds.groupBy(key, "field", "label", "value", "via").agg(F.min("node").alias("node"))
     nth = F.row_number().over(W.partitionBy(key, "field").orderBy("node"))
     return once.withColumn("_nth", nth).where(F.col("_nth") <= most).select(key, "field", "label", "value", "via")
