@@ -31,9 +31,10 @@ class Site:
 
 def announcements(list_pages: DataFrame, site: Site) -> DataFrame:
     """(url, section, section_name, html) -> announcements with position, in page order."""
-    nodes = html.nodes(list_pages, "url", tags=("div", "a", "p"), said=("a", "p"))
-    items = html.list_items(nodes, "url", (F.col("tag") == "div") & html.has_class("tender"), (F.col("tag") == "div") & html.has_class("tender_title"), (F.col("tag") == "p") & html.has_class("tender_time"))
-    joined = items.join(list_pages.select("url", "section", "section_name"), "url")
+    pages = list_pages.select(F.struct("url", "section", "section_name").alias("page"), "html")
+    nodes = html.nodes(pages, "page", tags=("div", "a", "p"), said=("a", "p"))
+    items = html.list_items(nodes, "page", (F.col("tag") == "div") & html.has_class("tender"), (F.col("tag") == "div") & html.has_class("tender_title"), (F.col("tag") == "p") & html.has_class("tender_time"))
+    joined = items.select("page.*", "item_node", "title", "href", "raw_time")
     return joined.select(
         F.col("href").alias("resource_url"), "title", F.col("section").alias("source_section"), F.col("section_name").alias("source_section_name"), F.col("url").alias("source_page_url"),
         urls.classified(F.col("href"), site.rules).alias("resource_type"), dates.first_datetime(F.col("raw_time")).alias("published_at"),
@@ -74,14 +75,14 @@ def enrichments(rows: DataFrame, detail_pages: DataFrame, site: Site) -> DataFra
         values = values.withColumn(c, dates.normal_datetime(F.col(c)))
     for c in site.counts:
         values = values.withColumn(c, text.natural_number(F.col(c)))
-    joined = rows.select("resource_url", "published_at", "deadline_at").join(values, "resource_url", "left")
+    joined = rows.select("resource_url", "published_at", "deadline_at").join(values.hint("merge"), "resource_url", "left")
     if site.classifications:
         fields = sorted(set(site.classifications.values()))
         lines = html.labelled_lines(nodes, "url", is_label, is_value, site.classifications).groupBy(F.col("url").alias("resource_url")).pivot("field", fields).agg(F.first("lines"))
-        joined = joined.join(lines.select("resource_url", *(text.cpv_codes(F.col(c)).alias(c) for c in fields)), "resource_url", "left")
+        joined = joined.join(lines.select("resource_url", *(text.cpv_codes(F.col(c)).alias(c) for c in fields)).hint("merge"), "resource_url", "left")
     if site.document_marker:
         marked = html.first_link(nodes, "url", site.document_marker).select(F.col("url").alias("resource_url"), F.col("href").alias("document_url"))
-        joined = joined.join(marked, "resource_url", "left")
+        joined = joined.join(marked.hint("merge"), "resource_url", "left")
     found = F.lit(True)
     for c in site.required:
         found = found & ~text.is_blank(F.col(c).cast("string"))

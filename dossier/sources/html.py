@@ -216,7 +216,7 @@ def list_items(page_nodes: DataFrame, key: str, item: Column, title: Column, tim
     """
     order = W.partitionBy(key).orderBy("node")
     opened = lambda c: F.last(F.when(c, F.struct("node", "last")), ignorenulls=True).over(order)
-    placed = page_nodes.withColumns({"_item": opened(item), "_title": opened(title), "_is_time": time})
+    placed = spread(page_nodes, key).withColumns({"_item": opened(item), "_title": opened(title), "_is_time": time})
     placed = placed.where((F.col("node") > F.col("_item.node")) & (F.col("node") <= F.col("_item.last")))
     linked = (F.col("tag") == "a") & (F.col("node") > F.col("_title.node")) & (F.col("node") <= F.col("_title.last")) & (F.col("_title.node") > F.col("_item.node"))
     first = lambda c, value: F.min_by(value, F.when(c, F.col("node")))
@@ -236,7 +236,7 @@ def labelled_values(page_nodes: DataFrame, key: str, is_label: Column, is_value:
     for said, field in fields.items():
         name = F.when(label(F.col("text")) == said, field).otherwise(name)
     later = W.partitionBy(key, "parent").orderBy("node").rowsBetween(1, W.unboundedFollowing)
-    rows = page_nodes.where(is_label | is_value).withColumns({"field": F.when(is_label, name), "_value": F.when(is_value, collapsed(F.col("text")))})
+    rows = spread(page_nodes.where(is_label | is_value), key).withColumns({"field": F.when(is_label, name), "_value": F.when(is_value, collapsed(F.col("text")))})
     beside = rows.withColumn("value", F.first("_value", ignorenulls=True).over(later)).where("field IS NOT NULL AND value <> ''")
     return beside.groupBy(key, "field").agg(F.min_by("value", "node").alias("value"))
 
@@ -250,12 +250,12 @@ def labelled_lines(page_nodes: DataFrame, key: str, is_label: Column, is_value:
     for said, field in fields.items():
         name = F.when(label(F.col("text")) == said, field).otherwise(name)
     order, later = W.partitionBy(key).orderBy("node"), W.partitionBy(key, "parent").orderBy("node").rowsBetween(1, W.unboundedFollowing)
-    rows = page_nodes.where(is_label | is_value | (F.col("tag") == TEXT)).withColumns({"field": F.when(is_label, name), "_value": F.when(is_value, F.col("node"))})
+    rows = spread(page_nodes.where(is_label | is_value | (F.col("tag") == TEXT)), key).withColumns({"field": F.when(is_label, name), "_value": F.when(is_value, F.col("node"))})
     opened = F.last(F.when(is_value, F.struct("node", "last")), ignorenulls=True).over(order)
     rows = rows.withColumns({"_of": F.when(is_label, F.first("_value", ignorenulls=True).over(later)), "_in": opened})
     pieces = rows.where((F.col("tag") == TEXT) & (F.col("node") > F.col("_in.node")) & (F.col("node") <= F.col("_in.last"))).select(key, F.col("_in.node").alias("_of"), "node", collapsed(F.col("text")).alias("line")).where("line <> ''")
     lines = pieces.groupBy(key, "_of").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "line"))), lambda p: p["line"]).alias("lines"))
-    beside = rows.where("field IS NOT NULL AND _of IS NOT NULL").select(key, "field", "node", "_of").join(lines, [key, "_of"])
+    beside = rows.where("field IS NOT NULL AND _of IS NOT NULL").select(key, "field", "node", "_of").join(lines.hint("merge"), [key, "_of"])
     return beside.groupBy(key, "field").agg(F.min_by("lines", "node").alias("lines"))
 
 
@@ -270,7 +270,7 @@ def table_cells(page_nodes: DataFrame, key: str) -> DataFrame:
     A cell's table is the last one that opened before it and isn't closed; one pass over a page's nodes.
     """
     opened = F.last(F.when(F.col("tag") == "table", F.struct("node", "last")), ignorenulls=True).over(W.partitionBy(key).orderBy("node"))
-    rows = page_nodes.withColumn("_table", opened).where(F.col("tag").isin("th", "td") & (F.col("node") <= F.col("_table.last")))
+    rows = spread(page_nodes, key).withColumn("_table", opened).where(F.col("tag").isin("th", "td") & (F.col("node") <= F.col("_table.last")))
     rows = rows.select(key, F.col("_table.node").alias("table_node"), F.when(F.col("tag") == "td", F.col("parent")).alias("row_node"), "node", "text")
     place = F.row_number().over(W.partitionBy(key, "table_node", "row_node").orderBy("node"))
     rows = rows.withColumn("_place", place)
