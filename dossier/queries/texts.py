@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions import segments, text
 from dossier.operators import contexts, facts, grounding
 from dossier.queries.base import Registry, table
+from dossier.store import spread
 
 registry = Registry()
 
@@ -164,7 +165,7 @@ def lot_price_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.concat(F.bround("l_extendedprice").cast("long").cast("string"), F.when(F.col("l_orderkey") % 13 == 0, F.lit("x")).otherwise(F.lit("")))
     row = F.concat_ws("\t", F.col("l_linenumber").cast("string"), price, F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))), lambda x: x["row"]), "\n")
-    texts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("Terms\nLots\tName\nNumber\tPrice\n"), rows, F.lit("\nEnd")).alias("text"))
+    texts = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("Terms\nLots\tName\nNumber\tPrice\n"), rows, F.lit("\nEnd")).alias("text"))
     return facts.lot_tables(texts, "doc_id", r"^Lots\tName\s*\nNumber\tPrice\s*$")
 
 
@@ -176,7 +177,7 @@ def quantity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity = F.when(F.col("l_linenumber") == 7, F.lit("some")).otherwise(F.col("l_quantity").cast("long").cast("string"))
     row = F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), quantity)
     rows = F.array_join(F.collect_list(row), "\n")
-    texts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("[Sheet: Lots]\nNo\tUnit price\tQuantity\n"), rows).alias("text"))
+    texts = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("[Sheet: Lots]\nNo\tUnit price\tQuantity\n"), rows).alias("text"))
     return facts.column_totals(texts, "doc_id", ["Unit price", "Quantity"], "Quantity")
 
 
