@@ -10,7 +10,7 @@ from dossier.operators import candidates, cards, ledger, upsert, validators
 from dossier.plans import analysis, delivery, monitor
 from dossier.queries.base import Registry, table
 from dossier.sources import files
-from dossier.store import fresh_path, table_or_empty
+from dossier.store import fresh_path, spread, table_or_empty
 from dossier.streaming import incremental
 
 registry = Registry()
@@ -269,7 +269,7 @@ def procured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(name.alias("item_name"), F.when(i % 5 == 0, "n/a").otherwise(F.col("l_quantity").cast("long").cast("string")).alias("quantity"), F.lit("pcs").alias("unit"))
     lot = F.struct(F.when(i % 3 == 0, " ").otherwise(i.cast("string")).alias("lot_number"), F.when(i % 4 != 0, F.concat(F.lit("supply "), F.col("l_suppkey").cast("string"))).alias("description"))
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("item"), lot.alias("lot"))))
-    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("l"), F.count(F.lit(1)).alias("n"))
+    orders = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(lines.alias("l"), F.count(F.lit(1)).alias("n"))
     said = lambda **of: F.when(k % 4 == 1, of.get("one")).when(k % 4 == 2, of.get("two")).when(k % 4 == 3, " ")
     logistics = F.when(k % 4 != 0, F.struct(said(one="freight").alias("service"), said(two=F.concat(F.lit("goods "), k.cast("string"))).alias("cargo"), said(one="a", two="null").alias("origin"), said(one="b", two="b").alias("destination"), said(two="sea").alias("transport_mode")))
     bought = cards.procured_lines(F.transform("l", lambda x: x["item"]), F.transform("l", lambda x: x["lot"]), logistics)
