@@ -1,8 +1,7 @@
 """Quotes and the texts that they must come from.
 
 A source goes once through one automaton (Aho and Corasick) of all quotes that are looked
-for in it.  Where a quote names no source, blocks of quotes of bounded size go to all
-sources.
+for in it.  Where a quote names no source, all sources are read once for all quotes (lookup).
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StructType
 
 from dossier.functions.text import collapsed
+from dossier.operators import lookup
+from dossier.store import spread
 
 FEW = 4  #: quotes that are looked for one by one
 MOST_QUOTES = 10_000  #: quotes of one automaton
@@ -72,35 +73,16 @@ def grounded(quotes: DataFrame, sources: DataFrame, key: str, quote: str = "quot
     return answered.unionByName(alone.select(*names, "grounded"))
 
 
-def found_sources(quotes: DataFrame, sources: DataFrame, quote_id: str, key: str, quote: str = "quote", text: str = "text", most_bytes: int = 16 << 20) -> DataFrame:
+def found_sources(quotes: DataFrame, sources: DataFrame, quote_id: str, key: str, quote: str = "quote", text: str = "text", most_bytes: int = 64 << 20) -> DataFrame:
     """(quote_id, quote) looked for in all sources (key, text): quote_id, n_sources, first_source (the smallest key), white space collapsed.
 
-    Blank and null quotes are nowhere, and so have 0 and null.  Quotes go to the sources in blocks of about most_bytes,
-    whatever their number, and a source passes once for each block.
+    Blank and null quotes are nowhere, and so have 0 and null.  Sources are dealt to tasks and read once, whatever the number of quotes,
+    of which the tasks have most_bytes at the most: a bitset.
     """
-    spark = quotes.sparkSession
     asked = quotes.select(quote_id, collapsed(F.col(quote)).alias("_quote"))
-    distinct = asked.where("_quote <> ''").select("_quote").distinct()
-    n_bytes = distinct.agg(F.coalesce(F.sum(F.octet_length("_quote")), F.lit(0))).first()[0]
-    blocks = 1 + n_bytes // most_bytes
-    plain = sources.select(F.col(key).alias("_key"), collapsed(F.col(text)).alias("_source")).where("_source <> ''")
-    found = None
-    for block in range(blocks):
-        own = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64("_quote"), F.lit(blocks)) == block).collect())
-        shared = spark.sparkContext.broadcast(own)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = automaton_of(shared.value) if shared.value else None
-            for batch in batches:
-                at, held = [], []
-                for i, source in enumerate(batch.column("_source").to_pylist()):
-                    here = sorted(found_in(shared.value, source, automaton)) if automaton else []
-                    at += [i] * len(here)
-                    held += here
-                yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(at, pa.int64())), pa.array(held, pa.string())], names=["_key", "_quote"])
-
-        part = plain.mapInArrow(run, StructType([plain.schema["_key"]]).add("_quote", "string")).groupBy("_quote").agg(F.count(F.lit(1)).alias("n_sources"), F.min("_key").alias("first_source"))
-        found = part if found is None else found.unionByName(part)
+    plain = spread(sources.select(F.col(key).alias("_key"), collapsed(F.col(text)).alias("_source")), "_key", "_source")
+    found = lookup.holders(asked, plain, "_quote", "_key", "_source", most_bytes).groupBy("_quote").agg(F.count(F.lit(1)).alias("n_sources"), F.min("_key").alias("first_source"))
+    asked = asked.withColumn("_quote", F.col("_quote").cast("binary"))
     return asked.join(found, "_quote", "left").select(quote_id, F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"), "first_source")
 
 

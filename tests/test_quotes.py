@@ -45,3 +45,24 @@ def test_evidence(spark):
     results = spark.createDataFrame([(1, [("a", "x  y"), ("a", "z"), ("b", "x"), (None, "x")]), (2, []), (3, None), (4, [("c", "deep")])], "id long, evidence array<struct<source: string, text: string>>")
     sources = spark.createDataFrame([("a", "w x y"), ("c", "deep")], "source string, text string")
     assert {r.id: r.ungrounded for r in grounding.evidence_grounding(results, sources, "id").collect()} == {1: [1, 2, 3], 2: [], 3: [], 4: []}
+
+
+def test_sources_are_read_once(spark, monkeypatch):
+    """One pass over the sources whatever the quotes; windows and quotes of all lengths, over stretches of a few bytes."""
+    from dossier.operators import lookup
+
+    rng = random.Random(5)
+    said = ["".join(rng.choice("aabé Հ\t") for _ in range(rng.randrange(120))) for _ in range(60)] + ["a" * 100, "ab" * 70, "", None]
+    plain = lambda s: " ".join((s or "").split())
+    quotes = [s[i : i + n] for s in said if s for n in (1, 2, 3, 5, 8, 9, 15, 16, 31, 33, 64, 90) for i in (0, 3, 20)] + ["a" * 99 + "b", "", None, "x"]
+    given = spark.createDataFrame(list(enumerate(quotes)), "id long, quote string").repartition(3)
+    table = spark.createDataFrame([(k if k else None, s) for k, s in enumerate(said)] + [(7, said[7])], "key long, text string")
+    expected = {}
+    for i, q in enumerate(quotes):
+        own = [k for k, s in [*enumerate(said), (7, said[7])] if plain(q) and plain(q) in plain(s)]
+        expected[i] = (len(own), min((k for k in own if k), default=None))
+    for stretch, most_bytes in ((1 << 19, 64 << 20), (50, 64 << 20), (7, 100)):
+        monkeypatch.setattr(lookup, "STRETCH", stretch)
+        found = grounding.found_sources(given, table, "id", "key", most_bytes=most_bytes)
+        assert {r.id: (r.n_sources, r.first_source) for r in found.collect()} == expected
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
