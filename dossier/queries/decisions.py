@@ -245,11 +245,12 @@ def json_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    deep = office.zipped({"x.docx": office.built_docx([])})
     for batch in batches:
         names, contents = [], []
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             lines = (t or "").split("\n")
-            inner = office.zipped({"in.docx": office.built_docx(lines[:1]), "deep.zip": office.zipped({"x.docx": office.built_docx([])})})
+            inner = office.zipped({"in.docx": office.built_docx(lines[:1]), "deep.zip": deep})
             names.append(f"{i}.zip")
             contents.append(office.zipped({"a.docx": office.built_docx(lines, [["n", str(i)]]), "b.xlsx": office.built_xlsx({"Lot": [["id", str(i)], ["", "x"]]}), "c.pdf": b"%", "d.docx": b"damaged", "e.zip": inner}))
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], names=["path", "content"])

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from xml.etree import ElementTree
@@ -21,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.store import stored
+from dossier.store import spread, stored
 
 # The namespaces of office files.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+TEXT, MARKS = f"{W}t", {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n"}
 MEMBER = "member_name string, file_type string, status string, text string, paragraph_count long, table_count long, sheet_count long, row_count long, cell_count long, error string"
 COUNTS = ("paragraph_count", "table_count", "sheet_count", "row_count", "cell_count")
 PART = "file string, path string, member_name string, file_type string, status string, error string, part string, xml binary"
-#: Rows of a part: a..d say where the text belongs, kind what it is.
-PIECE = "file string, member_name string, part string, kind string, a long, b long, c long, d long, name string, said string"
+#: Rows of a part: a..c say where the text belongs, kind what it is.
+PIECE = "file string, member_name string, part string, kind string, a long, b long, c long, name string, said string"
+BATCH_ROWS, BATCH_TEXT = 20_000, 4 << 20  #: rows, and characters or bytes, of a batch that a task hands on
 
 
 @dataclass
@@ -59,6 +63,19 @@ class _Spent:
     bytes: int = 0
 
 
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded numbers and texts: handing on a batch costs more than reading a small part."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or "")
+        if len(held) >= BATCH_ROWS or size >= BATCH_TEXT:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _told(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
@@ -134,23 +151,21 @@ def _members(name: str, data: bytes, limits: Limits) -> list[tuple]:
 
 
 def _paragraph(node) -> str:
-    marks = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n"}
-    return "".join((x.text or "") if x.tag == f"{W}t" else marks.get(x.tag, "") for x in node.iter()).strip()
+    return "".join([(x.text or "") if x.tag == TEXT else MARKS.get(x.tag, "") for x in node.iter()]).strip()
 
 
 def _docx_pieces(xml: bytes) -> Iterator[tuple]:
-    """A paragraph of the body by its block, or of a table by block, row, cell and place; a table itself."""
+    """A paragraph of the body by its block; a table, and each of its rows with any text by block and row, cells parted by tabs."""
     body = ElementTree.fromstring(xml).find(f"{W}body")
     for a, block in enumerate(body if body is not None else ()):
         if block.tag == f"{W}p":
-            yield "paragraph", a, 0, 0, 0, None, _paragraph(block)
+            yield "paragraph", a, 0, 0, None, _paragraph(block)
         elif block.tag == f"{W}tbl":
-            yield "table", a, 0, 0, 0, None, None
+            yield "table", a, 0, 0, None, None
             for b, row in enumerate(block.iter(f"{W}tr")):
-                for c, cell in enumerate(row.findall(f"{W}tc")):
-                    yield "cell", a, b, c, 0, None, ""
-                    for d, p in enumerate(cell.iter(f"{W}p")):
-                        yield "cell", a, b, c, d, None, _paragraph(p)
+                cells = ["\n".join(filter(None, map(_paragraph, cell.iter(f"{W}p")))) for cell in row.findall(f"{W}tc")]
+                if any(cells):
+                    yield "row", a, b, 0, None, "\t".join(cells)
 
 
 def _column(reference: str) -> int:
@@ -166,14 +181,14 @@ def _xlsx_pieces(part: str, xml: bytes) -> Iterator[tuple]:
     texts = lambda x: "".join(t.text or "" for t in x.iter(f"{S}t"))
     if part == "xl/sharedStrings.xml":
         for a, string in enumerate(root.findall(f"{S}si")):
-            yield "string", a, 0, 0, 0, None, texts(string)
+            yield "string", a, 0, 0, None, texts(string)
     elif part == "xl/workbook.xml":
         for a, sheet in enumerate(root.iter(f"{S}sheet")):
-            yield "sheet", a, 0, 0, 0, sheet.get("name"), sheet.get(f"{R}id")
+            yield "sheet", a, 0, 0, sheet.get("name"), sheet.get(f"{R}id")
     elif part.endswith(".rels"):
         for a, link in enumerate(root):
             target = (link.get("Target") or "").lstrip("/")
-            yield "link", a, 0, 0, 0, link.get("Id"), target if target.startswith("xl/") else f"xl/{target}"
+            yield "link", a, 0, 0, link.get("Id"), target if target.startswith("xl/") else f"xl/{target}"
     else:
         for a, row in enumerate(root.iter(f"{S}row")):
             for k, cell in enumerate(row.findall(f"{S}c")):
@@ -182,25 +197,26 @@ def _xlsx_pieces(part: str, xml: bytes) -> Iterator[tuple]:
                 if text:
                     b = _column(cell.get("r")) if cell.get("r") else k
                     if kind == "s":
-                        yield "shared", a, b, int(text), 0, None, None
+                        yield "shared", a, b, int(text), None, None
                     else:
-                        yield "value", a, b, 0, 0, None, {"1": "TRUE", "0": "FALSE"}.get(text, text) if kind == "b" else text
+                        yield "value", a, b, 0, None, {"1": "TRUE", "0": "FALSE"}.get(text, text) if kind == "b" else text
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [c.split() for c in PIECE.split(", ")]
     schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in fields])
-    for batch in batches:
-        for file, member, part, xml in zip(*(batch.column(c).to_pylist() for c in ("file", "member_name", "part", "xml")), strict=True):
-            try:
-                rows = list(_docx_pieces(xml) if part.startswith("word/") else _xlsx_pieces(part, xml))
-            except Exception as e:
-                rows = [("error", 0, 0, 0, 0, None, _told(e))]
-            for a in range(0, len(rows), 20_000):
-                kinds = list(zip(*rows[a : a + 20_000], strict=True))
-                n = len(kinds[0])
-                columns = [[file] * n, [member] * n, [part] * n, *kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for *own, xml in zip(*(batch.column(c) for c in ("file", "member_name", "part", "xml")), strict=True):
+                file, member, part = (x.as_py() for x in own)
+                try:
+                    found = list(_docx_pieces(xml.as_py()) if part.startswith("word/") else _xlsx_pieces(part, xml.as_py()))
+                except Exception as e:
+                    found = [("error", 0, 0, 0, None, _told(e))]
+                yield from ((file, member, part, *x) for x in found)
+
+    return _batched(rows(), schema)
 
 
 def _joined(order: Sequence[str], text: str, between: str) -> Column:
@@ -209,13 +225,11 @@ def _joined(order: Sequence[str], text: str, between: str) -> Column:
 
 
 def _docx_texts(pieces: DataFrame) -> DataFrame:
-    """Paragraphs and table rows in the order of the body; cells are parted by tabs; blank ones are left out."""
-    document = ["file", "member_name"]
-    cells = pieces.where("kind = 'cell'").groupBy(*document, "a", "b", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("said") != "", F.struct("d", "said")))), lambda x: x["said"]), "\n").alias("cell"))
-    rows = cells.groupBy(*document, "a", "b").agg(_joined(["c"], "cell", "\t").alias("line"), F.max(F.col("cell") != "").alias("any")).where("any").drop("any")
-    lines = rows.unionByName(pieces.where("kind = 'paragraph' AND said <> ''").select(*document, "a", "b", F.col("said").alias("line")))
-    counts = pieces.groupBy(*document).agg(F.count_if(F.col("kind") == "paragraph").alias("paragraph_count"), F.count_if(F.col("kind") == "table").alias("table_count"))
-    return counts.join(lines.groupBy(*document).agg(_joined(["a", "b"], "line", "\n").alias("text")), document, "left")
+    """Paragraphs and table rows in the order of the body; blank ones are left out."""
+    kind = F.col("kind")
+    line = F.when(kind.isin("paragraph", "row") & (F.col("said") != ""), F.struct("a", "b", "said"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["said"]), "\n")
+    return pieces.groupBy("file", "member_name").agg(F.count_if(kind == "paragraph").alias("paragraph_count"), F.count_if(kind == "table").alias("table_count"), text.alias("_docx"))
 
 
 def _xlsx_texts(pieces: DataFrame, limits: Limits) -> DataFrame:
@@ -245,27 +259,32 @@ def extracted(files: DataFrame, *, path: str = "path", content: str = "content",
     limits = limits or Limits()
     names = [c.split()[0] for c in PART.split(", ")]
     own = files.select(*keys, F.col(path).alias("path"), F.col(content).alias("content"))
-    own = own.withColumn("file", F.sha2(F.concat_ws("\x01", F.to_json(F.struct(*keys, "path")), F.sha2("content", 256)), 256)).dropDuplicates(["file"])
+    own = own.withColumn("file", F.sha2(F.concat_ws("\x01", F.to_json(F.struct(*keys, "path")), F.sha2("content", 256)), 256))
+    own = spread(own, "file").dropDuplicates(["file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.binary() if n == "xml" else pa.string()) for n in names])
-        for batch in batches:
-            for file, name, data in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = _members(name or "", data.as_py() or b"", limits)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((file, name, *r) for r in rows), strict=True), schema, strict=True)], schema=schema)
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for file, name, data in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                    yield from ((file, name, *r) for r in _members(name or "", data.as_py() or b"", limits))
+
+        return _batched(rows(), schema)
 
     parts = stored(own.select("file", "path", "content").mapInArrow(run, PART), "parts")
-    open_ = parts.where("status = 'part'").select("file", "member_name", "part", "xml").repartition("file", "member_name", "part")
+    open_ = spread(parts.where("status = 'part'").select("file", "member_name", "part", "xml"), "file", "member_name", "part")
     pieces = stored(open_.mapInArrow(_pieces, PIECE), "pieces")
     document = ["file", "member_name"]
     bad = pieces.where("kind = 'error'").groupBy(*document).agg(F.min("said").alias("_bad"))
-    texts = _docx_texts(pieces.where(F.col("part").startswith("word/"))).unionByName(_xlsx_texts(pieces.where(F.col("part").startswith("xl/")), limits), allowMissingColumns=True)
-    read = parts.where("status <> 'part'").drop("part", "xml").withColumnRenamed("error", "_given").join(bad, document, "left").join(texts, document, "left")
+    docx, xlsx = _docx_texts(pieces.where(F.col("part").startswith("word/"))), _xlsx_texts(pieces.where(F.col("part").startswith("xl/")), limits)
+    read = parts.where("status <> 'part'").drop("part", "xml").withColumnRenamed("error", "_given")
+    for found in (bad, docx, xlsx):
+        read = read.join(found, document, "left")
     error = F.coalesce("_given", "_bad", "error")
     good = (F.col("status") == "success") & error.isNull()
     done = read.select(
-        "file", "path", "member_name", "file_type", F.when(error.isNull(), F.col("status")).otherwise("failed").alias("status"), F.when(good, F.coalesce("text", F.lit(""))).alias("text"),
+        "file", "path", "member_name", "file_type", F.when(error.isNull(), F.col("status")).otherwise("failed").alias("status"), F.when(good, F.coalesce("_docx", "text", F.lit(""))).alias("text"),
         *(F.when(good, F.col(c)).alias(c) for c in COUNTS), error.alias("error"),
     )
     if keys:
@@ -304,8 +323,13 @@ def built_xlsx(sheets: dict[str, list[list[str]]]) -> bytes:
 
 
 def zipped(files: dict[str, bytes]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in files.items():
-            z.writestr(zipfile.ZipInfo(name), data)
-    return out.getvalue()
+    """An archive of stored members, written as a whole: zipfile takes several times as long for members of a few bytes."""
+    out, directory, at = [], [], 0
+    for name, data in files.items():
+        said = name.encode()
+        head = struct.pack("<5H3I2H", 20, 0x800, zipfile.ZIP_STORED, 0, 33, zlib.crc32(data), len(data), len(data), len(said), 0)
+        out += [b"PK\3\4", head, said, data]
+        directory += [b"PK\1\2\x14\0", head, struct.pack("<3H2I", 0, 0, 0, 0, at), said]
+        at += 30 + len(said) + len(data)
+    listed = b"".join(directory)
+    return b"".join((*out, listed, struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, len(files), len(files), len(listed), at, 0)))
